@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as C
 
+# cells times ions of an ion table that may be broadcast (about 40 bytes each)
+MAX_BROADCAST_CELLS = 1_000_000
+
 
 # -- as-of on the time grid -------------------------------------------------------------------------------
 def _with_array(df: DataFrame, values: DataFrame, col: str | Column, name: str) -> DataFrame:
@@ -26,7 +29,8 @@ def with_snap_after(df: DataFrame, time: str, grid: DataFrame, out: str, a: str
     t = F.col(time)
     return (
         _with_array(df, grid, a, "_grid")
-        .withColumn(out, F.size(F.filter("_grid", lambda g: g <= t)))
+        # never NULL, and said so: otherwise null checks of later joins would evaluate it twice
+        .withColumn(out, F.coalesce(F.size(F.filter("_grid", lambda g: g <= t)), F.lit(0)))
         .drop("_grid")
     )
 
@@ -183,6 +187,10 @@ def with_ion_fractions(
         log_f = (1 - t) * (1 - u) * y["y1"] + t * (1 - u) * y["y2"] + t * u * y["y3"] + (1 - t) * u * y["y4"]
         return F.pow(F.lit(10.0), log_f)
 
+    # one row per cell of the grid: the grid shape bounds the size, and an uncommonly large grid is not broadcast
+    wide = wide.where((F.col("ih") < shape[0]) & (F.col("it") < shape[1]) & (F.col("ih") >= 0) & (F.col("it") >= 0))
+    if shape[0] * shape[1] * len(ions) <= MAX_BROADCAST_CELLS:
+        wide = F.broadcast(wide)
     return (
         located.join(wide, ["ih", "it"], "left")
         .withColumns({f"f{ion}": fraction(ion) for ion in ions})

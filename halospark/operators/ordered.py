@@ -70,14 +70,12 @@ def running_total(
     The rows are range-partitioned by (keys, order) and written once; each range is summed on its own and the
     totals of the ranges before it are added.  ``total`` also attaches the total of the group.
     """
-    by_key = [F.col(k) for k in keys]
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = cut_lineage(
         df.withColumn("_value", value)
-        .repartitionByRange(parts, *by_key, *order)
+        .repartitionByRange(*[F.col(k) for k in keys], *order)
         .withColumn(_BLOCK, F.spark_partition_id())
     )
-    # one row per (range, key): at most `parts` rows without keys, else only keys on a range edge repeat
+    # one row per (range, key): without keys as many as there are ranges, else only keys on a range edge repeat
     sums = ranged.groupBy(_BLOCK, *keys).agg(F.sum("_value").alias("_sum"))
     before = Window.partitionBy(*keys).orderBy(_BLOCK).rowsBetween(Window.unboundedPreceding, -1)
     carried = sums.withColumn("_carry", F.coalesce(F.sum("_sum").over(before), F.lit(0)))

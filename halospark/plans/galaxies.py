@@ -31,38 +31,37 @@ def _founder_id():
     return F.shiftleft(F.col("snapnum").cast("long"), 32) + F.col("galId")
 
 
-def galaxy_main_ids(flows: DataFrame) -> DataFrame:
+def galaxy_main_ids(flows: DataFrame, written: bool = False) -> DataFrame:
     """(snapnum, galId, mainId): a galaxy continues the mainId that holds most of its stellar mass.
 
     A galaxy without older stars starts a new mainId.  Each snapshot depends on the ones before it, so the loop
     runs over snapshots (at most a time grid's worth), on the galaxy-to-galaxy flows only.  Ties go to the
-    smallest mainId.
+    smallest mainId.  ``written`` says that ``flows`` is a stored table by snapnum already.
     """
-    flows = cut_lineage(flows)
+    if not written:
+        flows = cut_lineage(flows, partition_by="snapnum")
     listed = flows.select("snapnum").distinct().orderBy("snapnum").limit(C.MAX_GRID_ROWS + 1).collect()
     if len(listed) > C.MAX_GRID_ROWS:
         raise ValueError(f"more than {C.MAX_GRID_ROWS} snapshots")
     done: list[DataFrame] = []
     for (snapnum,) in listed:
         now = flows.where(F.col("snapnum") == snapnum)
-        galaxies = now.select("snapnum", "galId").distinct()
         if done:
             known = reduce(DataFrame.unionByName, done).select(
                 F.col("snapnum").alias("psnap"), F.col("galId").alias("pgal"), "mainId"
             )
-            heaviest = (
-                now.join(known, ["psnap", "pgal"])
-                .groupBy("galId", "mainId")
-                .agg(F.sum("Mass").alias("Mass"))
-                .groupBy("galId")
-                .agg(F.max_by("mainId", F.struct(F.col("Mass"), -F.col("mainId"))).alias("mainId"))
-            )
-            galaxies = galaxies.join(heaviest, "galId", "left").withColumn(
-                "mainId", F.coalesce(F.col("mainId"), _founder_id())
-            )
+            now = now.join(known, ["psnap", "pgal"], "left")
         else:
-            galaxies = galaxies.withColumn("mainId", _founder_id())
-        done.append(cut_lineage(galaxies.select("snapnum", "galId", "mainId")))
+            now = now.withColumn("mainId", F.lit(None).cast("long"))
+        # mass without a mainId ranks last, so it decides only where there is nothing else
+        rank = F.struct(F.col("mainId").isNotNull(), F.col("Mass"), -F.col("mainId"))
+        lines = (
+            now.groupBy("snapnum", "galId", "mainId")
+            .agg(F.sum("Mass").alias("Mass"))
+            .groupBy("snapnum", "galId")
+            .agg(F.max_by("mainId", rank).alias("mainId"))
+        )
+        done.append(cut_lineage(lines.withColumn("mainId", F.coalesce(F.col("mainId"), _founder_id()))))
     return reduce(DataFrame.unionByName, done)
 
 
@@ -73,8 +72,8 @@ def galaxy_tree(
 
     ``mainIdNext`` is the mainId that holds most of the galaxy's stars the next time they are in a galaxy.
     """
-    flows = cut_lineage(star_flows(stars))
-    main = galaxy_main_ids(flows)
+    flows = cut_lineage(star_flows(stars), partition_by="snapnum")
+    main = galaxy_main_ids(flows, written=True)
     mass = flows.groupBy("snapnum", "galId").agg(F.sum("Mass").alias("Mstar"))
     following = (
         flows.where("psnap is not null")

@@ -142,9 +142,10 @@ def track_accretion(
         ids = select.gas_in_galaxy(sim.gas, snapnum, gal_id)
         if include_stars:
             ids = ids.union(select.stars_in_galaxy(sim.stars, snapnum, gal_id)).distinct()
-    ancestors = split_ancestors(ids, tables.splits)
-    # history and wind subset are small and used several times each: written once, so that the particle and the
-    # wind table are read once
+    # ids, history and wind subset are small and used several times each: written once, so that the particle and
+    # the wind table are read once
+    ids = cut_lineage(ids.select("PId").distinct())
+    ancestors = split_ancestors(ids, tables.splits, per_snapshot=True)
     history = cut_lineage(gas_history(ids, sim.gas, ancestors, snapnum, sim.stars if include_stars else None))
     # galaxies and halos share their ids
     history = with_relation(history, gal_id, tables.progenitors, tables.hosts)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.joins import with_snap_after
-from ..operators.lineage import cut_lineage
+from ..operators.lineage import cut_and_count, cut_lineage
 
 ANCESTOR_COLUMNS = ("PId", "parentId", "Mass", "snapnext", "parentGen", "gen")
 
@@ -44,12 +44,18 @@ def split_table(split: DataFrame, grid: DataFrame) -> DataFrame:
     return with_parent_gen(placed).select("PId", "parentId", "Mass", "atime", "snapnext", "parentGen")
 
 
-def split_ancestors(ids: DataFrame, splits: DataFrame, max_depth: int = 1000) -> DataFrame:
+def split_ancestors(
+    ids: DataFrame, splits: DataFrame, per_snapshot: bool = False, max_depth: int = 1000
+) -> DataFrame:
     """All split events on the way from the tracked particles back to their oldest ancestors.
 
     One row per (tracked PId, event): ``parentId`` stands in for PId before ``snapnext`` with generation ``gen``.
-    Each round climbs one parent for all particles at once and is checkpointed; rounds go on until no parent is
-    left.  ``max_depth`` only catches a cyclic log, as an error.
+    Each round climbs one parent for all particles at once and is written out; rounds go on until no parent is
+    left.  A small round is broadcast by its size, a large one shuffles.  ``max_depth`` only catches a cyclic log, as an error.
+
+    Every split an ancestor went through before gives a row too.  ``per_snapshot`` keeps of those the one of
+    highest generation per (PId, ancestor, snapshot), all that a history needs, so that a much-split ancestor adds
+    at most one row per snapshot to each of its descendants.
     """
     ids = ids.select("PId").distinct()
     events = splits.select("PId", "parentId", "Mass", "snapnext", "parentGen")
@@ -58,19 +64,19 @@ def split_ancestors(ids: DataFrame, splits: DataFrame, max_depth: int = 1000) ->
     # read by every round: worked out and written once
     births = cut_lineage(events.join(own, "PId", "left").withColumn("own", F.coalesce(F.col("own"), F.lit(0))))
 
-    frontier = cut_lineage(
+    frontier, left = cut_and_count(
         births.join(ids, "PId", "left_semi").withColumn("gen", F.col("own") + 1).select(*ANCESTOR_COLUMNS)
     )
     climbed = [frontier]
     for _ in range(max_depth):
-        if frontier.isEmpty():
+        if left == 0:
             break
         below = frontier.select(
             F.col("PId").alias("_tracked"),
             F.col("parentId").alias("_via"),
             (F.col("gen") - F.col("parentGen")).alias("_gained"),
         )
-        frontier = cut_lineage(
+        frontier, left = cut_and_count(
             births.join(below, F.col("PId") == F.col("_via")).select(
                 F.col("_tracked").alias("PId"),
                 "parentId",
@@ -89,6 +95,8 @@ def split_ancestors(ids: DataFrame, splits: DataFrame, max_depth: int = 1000) ->
     own_splits = events.select(
         "parentId", F.col("Mass").alias("_m"), F.col("snapnext").alias("_s"), F.col("parentGen").alias("_g")
     )
+    if per_snapshot:
+        own_splits = own_splits.groupBy("parentId", "_s").agg(F.max_by("_m", "_g").alias("_m"), F.max("_g").alias("_g"))
     of_ancestors = (
         lineage.select("PId", "parentId", "gen", "parentGen")
         .join(own_splits, "parentId")

@@ -467,13 +467,13 @@ def ion_phase(fx):
 
 # == grids =================================================================================================
 @query(f"""SELECT CAST(x.range AS INT) AS ix, CAST(y.range AS INT) AS iy, round(-1.5 + x.range * (8.5e0 / 64), 6) AS LogRho,
-    round(3.0 + y.range * (5.0e0 / 64), 6) AS LogT, coalesce(c.n, 0) AS count, coalesce(c.m, 0) AS Mass, round(coalesce(c.zm, 0), 6) AS Zmet
+    round(3.0 + y.range * (5.0e0 / 64), 6) AS LogT, coalesce(c.n, 0) AS count, coalesce(c.m, 0) AS Mass, round(coalesce(c.zm, 0), 9) AS Zmet
     FROM range(64) x CROSS JOIN range(64) y LEFT JOIN (
         SELECT gx, gy, count(*) AS n, sum(Mass) AS m, sum(Mass * O / 8.65e-3 * 0.0122) AS zm FROM (SELECT *, {_CELL} FROM fx_points)
         WHERE gx > 0 AND gx < 64 AND gy > 0 AND gy < 64 GROUP BY gx, gy) c ON c.gx = x.range AND c.gy = y.range""")
 def phase_diagram(fx):
     grid = grids.phase_diagram(fx.points.withColumn("LogT", F.col("logT")), 64, 64, "logRho", "LogT")
-    return rounded(grid, "LogRho", "LogT", "Zmet")
+    return rounded(rounded(grid, "LogRho", "LogT"), "Zmet", digits=9)
 
 
 _CTES["q_window"] = "SELECT * FROM fx_points WHERE z > 3000 AND z < 15000"
@@ -493,9 +493,9 @@ def density_map(fx):
     return rounded(grids.density_map(_window(fx), 32, 32), "logMass")
 
 
-@query("SELECT xbin, ybin, round(coalesce(mt / m, 0), 6) AS logT FROM q_map")
+@query("SELECT xbin, ybin, round(coalesce(mt / m, 0), 9) AS logT FROM q_map")
 def temperature_map(fx):
-    return rounded(grids.temperature_map(_window(fx), 32, 32), "logT")
+    return rounded(grids.temperature_map(_window(fx), 32, 32), "logT", digits=9)
 
 
 @query("SELECT ybin, " + ", ".join(f"round(max(log10(m)) FILTER (xbin = {i}), 6) AS c{i}" for i in range(32)) + " FROM q_map GROUP BY ybin")
@@ -550,19 +550,20 @@ def _snaplog(fx: Fixtures) -> DataFrame:
     return physics.with_log_galaxy_mass(fx.snap_galaxies, C.SOLAR_MASS)
 
 
-@query("""SELECT snapnum, galId, round(Zgal, 6) AS Zgal, round(logMgal, 6) AS logMgal, round(logMgas, 6) AS logMgas, round(logMstar, 6) AS logMstar, Sfr
+@query("""SELECT snapnum, galId, round(Zgal, 9) AS Zgal, round(logMgal, 6) AS logMgal, round(logMgas, 6) AS logMgas, round(logMstar, 6) AS logMstar, Sfr
     FROM q_snaplog JOIN (SELECT snapnum, galId, CASE WHEN sum(Sfr) <> 0 THEN sum(Sfr * Zmet) / sum(Sfr) END AS Zgal FROM fx_particles GROUP BY snapnum, galId) USING (snapnum, galId)""")
 def galaxy_properties(fx):
     gas = fx.particles.withColumnRenamed("Zmet", "O")
-    return rounded(aggregates.galaxy_properties(gas, _snaplog(fx)), "Zgal", "logMgal", "logMgas", "logMstar")
+    out = aggregates.galaxy_properties(gas, _snaplog(fx))
+    return rounded(rounded(out, "Zgal", digits=9), "logMgal", "logMgas", "logMstar")
 
 
-@query("""SELECT snapnum, galId, round(Zgal, 6) AS Zgal, round(logMgal, 6) AS logMgal, round(logMgas, 6) AS logMgas, round(logMstar, 6) AS logMstar, Sfr
+@query("""SELECT snapnum, galId, round(Zgal, 9) AS Zgal, round(logMgal, 6) AS logMgal, round(logMgas, 6) AS logMgas, round(logMstar, 6) AS logMstar, Sfr
     FROM q_snaplog JOIN (SELECT snapnum, galId, sum(Mass * Zmet) / sum(Mass) AS Zgal FROM fx_particles GROUP BY snapnum, galId) USING (snapnum, galId)""")
 def galaxy_properties_by_mass(fx):
     gas = fx.particles.withColumnRenamed("Zmet", "Z")
     out = aggregates.galaxy_properties(gas, _snaplog(fx), oxygen=False, sfr_weighted=False)
-    return rounded(out, "Zgal", "logMgal", "logMgas", "logMstar")
+    return rounded(rounded(out, "Zgal", digits=9), "logMgal", "logMgas", "logMstar")
 
 
 @query("SELECT DISTINCT snapnum, haloId FROM fx_particles WHERE haloId <> 0")
@@ -589,10 +590,10 @@ _CTES["q_props"] = """SELECT snapnum, galId, logMstar, Zgal FROM q_snaplog JOIN
     SELECT snapnum, galId, CASE WHEN sum(Sfr) <> 0 THEN sum(Sfr * Zmet) / sum(Sfr) END AS Zgal FROM fx_particles GROUP BY snapnum, galId) USING (snapnum, galId)"""
 
 
-@query("""SELECT snapnum, round(logMstar, 6) AS logMstar, round(Zgal, 6) AS Zgal, round(CASE WHEN Zgal > 0 THEN log10(Zgal / 8.65e-3) END, 5) AS OH FROM q_props""")
+@query("""SELECT snapnum, round(logMstar, 6) AS logMstar, round(Zgal, 9) AS Zgal, round(CASE WHEN Zgal > 0 THEN log10(Zgal / 8.65e-3) END, 5) AS OH FROM q_props""")
 def mzr(fx):
     props = aggregates.galaxy_properties(fx.particles.withColumnRenamed("Zmet", "O"), _snaplog(fx))
-    return rounded(rounded(aggregates.mzr(props), "logMstar", "Zgal"), "OH", digits=5)
+    return rounded(rounded(rounded(aggregates.mzr(props), "logMstar"), "Zgal", digits=9), "OH", digits=5)
 
 
 @query("""SELECT snapnum, round((floor(logMstar / 0.5) + 0.5) * 0.5, 6) AS logM, round(quantile_cont(log10(Zgal / 8.65e-3), 0.5), 5) AS median FROM q_props
@@ -602,7 +603,7 @@ def mzr_binned(fx):
     return rounded(rounded(aggregates.mzr(props, 0.5), "logM"), "median", digits=5)
 
 
-@query("""SELECT snapnum, haloId, bin, n, Mass, round(Mass / (4.0 * pi() / 3.0 * (((bin + 1) * 0.5 * Rvir) ** 3 - (bin * 0.5 * Rvir) ** 3)) * 1e9, 5) AS rho, round(logT, 6) AS logT
+@query("""SELECT snapnum, haloId, bin, n, Mass, round(Mass / (4.0 * pi() / 3.0 * (((bin + 1) * 0.5 * Rvir) ** 3 - (bin * 0.5 * Rvir) ** 3)) * 1e9, 5) AS rho, round(logT, 9) AS logT
     FROM (SELECT p.snapnum, p.haloId, h.Rvir, CAST(floor(sqrt(dx * dx + dy * dy + dz * dz) / h.Rvir * 2) AS BIGINT) AS bin, count(*) AS n, sum(p.Mass) AS Mass,
         sum(p.Mass * p.logT) / sum(p.Mass) AS logT
         FROM (SELECT p.snapnum, p.haloId, p.Mass, p.logT, least(abs(p.x - h.x), 22000 - abs(p.x - h.x)) AS dx,
@@ -612,7 +613,7 @@ def mzr_binned(fx):
 def radial_profile(fx):
     out = aggregates.radial_profile(fx.points, fx.halos, nbins=10, rmax=5.0, boxsize=22000.0)
     return out.select(
-        "snapnum", "haloId", "bin", "n", "Mass", F.round(F.col("rho") * 1e9, 5).alias("rho"), F.round("logT", 6).alias("logT")
+        "snapnum", "haloId", "bin", "n", "Mass", F.round(F.col("rho") * 1e9, 5).alias("rho"), F.round("logT", 9).alias("logT")
     )
 
 
@@ -621,9 +622,9 @@ def wind_fraction(fx):
     return rounded(aggregates.wind_fraction(fx.particles), "fwind")
 
 
-@query("SELECT snapnum, haloId, round(sum(Mass * Zmet) / sum(Mass), 6) AS Zhalo FROM fx_particles WHERE haloId <> 0 GROUP BY snapnum, haloId")
+@query("SELECT snapnum, haloId, round(sum(Mass * Zmet) / sum(Mass), 9) AS Zhalo FROM fx_particles WHERE haloId <> 0 GROUP BY snapnum, haloId")
 def halo_metallicity(fx):
-    return rounded(aggregates.halo_metallicity(fx.particles, "Zmet"), "Zhalo")
+    return rounded(aggregates.halo_metallicity(fx.particles, "Zmet"), "Zhalo", digits=9)
 
 
 # == splits and history ====================================================================================
@@ -818,9 +819,9 @@ def wind_loss_by_tag(fx):
     return winds.loss_by_tag(_track(fx).subset)
 
 
-@query("SELECT PId, snapnum, birthTag, round(Mgain, 6) AS Mgain FROM q_mw")
+@query("SELECT PId, snapnum, birthTag, round(Mgain, 9) AS Mgain FROM q_mw")
 def wind_mass_partition(fx):
-    return rounded(_track(fx).partition, "Mgain")
+    return rounded(_track(fx).partition, "Mgain", digits=9)
 
 
 @query("SELECT snapnum, coalesce(relation, 'TOT') AS relation, sum(Mass) AS Mass FROM q_gp GROUP BY GROUPING SETS ((snapnum, relation), (snapnum))")
@@ -834,11 +835,11 @@ def gain_by_relation(fx):
     return aggregates.accumulated_by_tag(_track(fx).history, "relation", "Mgain")
 
 
-@query("""SELECT snapnum, coalesce(birthTag, 'TOT') AS birthTag, round(sum(m), 5) AS Mgain FROM (
+@query("""SELECT snapnum, coalesce(birthTag, 'TOT') AS birthTag, round(sum(m), 9) AS Mgain FROM (
     SELECT snapnum, birthTag, sum(Mgain) OVER (PARTITION BY PId, birthTag ORDER BY snapnum) AS m FROM q_mw)
     GROUP BY GROUPING SETS ((snapnum, birthTag), (snapnum))""")
 def accumulated_wind(fx):
-    return rounded(aggregates.accumulated_per_particle(_track(fx).partition), "Mgain", digits=5)
+    return rounded(aggregates.accumulated_per_particle(_track(fx).partition), "Mgain", digits=9)
 
 
 _CTES["q_tmax"] = f"SELECT PId, logT AS Tmax FROM fx_particles WHERE snapnum = {LAST_SNAP}"
@@ -856,7 +857,7 @@ _CTES["q_state"] = f"""SELECT PId, max(snapnum < {LAST_SNAP} AND haloId <> 0 AND
     max(CASE WHEN snapnum = {LAST_SNAP} THEN Mass END) AS now FROM q_gp GROUP BY PId"""
 
 
-@query("""SELECT PId, mode, round(Mass, 6) AS Mass FROM (
+@query("""SELECT PId, mode, round(Mass, 9) AS Mass FROM (
     SELECT s.PId, CASE WHEN merger THEN 'Merger' WHEN Tmax > 5.5 THEN 'Hot' ELSE 'Cold' END AS mode,
         CASE WHEN merger THEN now ELSE now - coalesce(g.m, 0) END AS Mass
     FROM q_state s LEFT JOIN (SELECT PId, sum(Mgain) AS m FROM q_mw GROUP BY PId) g USING (PId) LEFT JOIN q_tmax t USING (PId)
@@ -865,7 +866,7 @@ _CTES["q_state"] = f"""SELECT PId, max(snapnum < {LAST_SNAP} AND haloId <> 0 AND
 def accretion_mode(fx):
     t = _track(fx)
     now = fx.particles.where(F.col("snapnum") == LAST_SNAP).select("PId", F.col("logT").alias("Tmax"))
-    return rounded(history.accretion_mode(t.history, t.partition, now, LAST_SNAP), "Mass")
+    return rounded(history.accretion_mode(t.history, t.partition, now, LAST_SNAP), "Mass", digits=9)
 
 
 _CTES["q_star_gp"] = f"""SELECT * FROM q_gas UNION ALL
