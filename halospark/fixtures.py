@@ -1,7 +1,7 @@
 """The domain tables as views of the star-schema test tables, in Spark and (for the checks) as DuckDB SQL.
 
 Years of shipping are snapshots, parts are particles, suppliers are halos, customers are galaxies of the
-mass-function queries, events are wind-track records.  Masses are whole numbers, so sums are exact.
+mass-function queries, events are wind-track records.  Masses and rates are whole numbers, so sums are exact.
 """
 
 from __future__ import annotations
@@ -23,6 +23,11 @@ LAST_SNAP = N_SNAPS - 1
 TARGET = 2
 
 
+def _hundredths(rate: Column) -> Column:
+    """A rate as a whole number of hundredths: sums and products of these are exact."""
+    return F.round(rate * 100)
+
+
 @dataclass(frozen=True)
 class Fixtures:
     spark: SparkSession
@@ -57,8 +62,8 @@ class Fixtures:
                 F.when(F.max("l_tax") < 0.055, 0).otherwise(F.min("l_suppkey") + 1).cast("int").alias("haloId"),
                 q.alias("Mass"),
                 F.when(F.max("l_returnflag") == "R", 0.0).otherwise(q).alias("Sfr"),
-                (3.0 + 50.0 * F.max("l_discount")).alias("logT"),
-                F.max("l_discount").alias("Zmet"),
+                (3.0 + 0.5 * _hundredths(F.max("l_discount"))).alias("logT"),
+                _hundredths(F.max("l_discount")).alias("Zmet"),
                 F.when(F.min("l_linestatus") == "O", 1.0).otherwise(0.0).alias("Mc"),
                 F.max("l_linenumber").cast("double").alias("Mwind"),
             )
@@ -74,7 +79,7 @@ class Fixtures:
             .agg(
                 F.when(F.max("l_tax") < 0.025, 0).otherwise(F.min("l_suppkey") + 1).cast("int").alias("haloId"),
                 F.sum("l_quantity").alias("Mass"),
-                (3.0 + 50.0 * F.max("l_discount")).alias("logT"),
+                (3.0 + 0.5 * _hundredths(F.max("l_discount"))).alias("logT"),
             )
             .withColumn("galId", F.col("haloId"))
         )
@@ -88,12 +93,12 @@ class Fixtures:
             (F.col("l_suppkey") + 1).cast("int").alias("haloId"),
             (F.col("l_extendedprice") / 5.0).alias("x"),
             (F.col("l_quantity") * 400.0).alias("y"),
-            (F.col("l_discount") * 200000.0).alias("z"),
+            (_hundredths(F.col("l_discount")) * 2000.0).alias("z"),
             F.col("l_quantity").alias("Mass"),
-            (3.0 + 50.0 * F.col("l_tax")).alias("logT"),
+            (3.0 + 0.5 * _hundredths(F.col("l_tax"))).alias("logT"),
             (F.col("l_extendedprice") / 15000.0 - 1.5).alias("logRho"),
-            F.col("l_discount").alias("O"),
-            F.col("l_tax").alias("C"),
+            _hundredths(F.col("l_discount")).alias("O"),
+            _hundredths(F.col("l_tax")).alias("C"),
             F.when(F.col("l_linestatus") == "O", F.col("l_tax") * 10).otherwise(0.0).alias("Mc"),
             F.when(F.col("l_returnflag") == "R", 0.0).otherwise(F.col("l_quantity")).alias("Sfr"),
         )
@@ -260,19 +265,19 @@ SQL = {
             CAST(CASE WHEN max(l_tax) < 0.055 THEN 0 ELSE min(l_suppkey) + 1 END AS INT) AS haloId,
             sum(l_quantity) AS Mass,
             CASE WHEN max(l_returnflag) = 'R' THEN 0.0e0 ELSE sum(l_quantity) END AS Sfr,
-            3.0e0 + 50.0e0 * max(l_discount) AS logT, max(l_discount) AS Zmet,
+            3.0e0 + 0.5e0 * round(max(l_discount) * 100) AS logT, round(max(l_discount) * 100) AS Zmet,
             CASE WHEN min(l_linestatus) = 'O' THEN 1.0e0 ELSE 0.0e0 END AS Mc,
             CAST(max(l_linenumber) AS DOUBLE) AS Mwind
         FROM lineitem GROUP BY year(l_shipdate), l_partkey)""",
     "fx_stars": f"""SELECT *, haloId AS galId FROM (
         SELECT CAST(year(l_shipdate) - 1995 AS INT) AS snapnum, l_partkey + {STAR_ID_SHIFT} AS PId,
             CAST(CASE WHEN max(l_tax) < 0.025 THEN 0 ELSE min(l_suppkey) + 1 END AS INT) AS haloId,
-            sum(l_quantity) AS Mass, 3.0e0 + 50.0e0 * max(l_discount) AS logT
+            sum(l_quantity) AS Mass, 3.0e0 + 0.5e0 * round(max(l_discount) * 100) AS logT
         FROM lineitem WHERE l_returnflag = 'A' GROUP BY year(l_shipdate), l_partkey)""",
     "fx_points": """SELECT CAST(year(l_shipdate) - 1995 AS INT) AS snapnum, l_partkey AS PId,
         CAST(l_suppkey + 1 AS INT) AS haloId, l_extendedprice / 5.0e0 AS x, l_quantity * 400.0e0 AS y,
-        l_discount * 200000.0e0 AS z, l_quantity AS Mass, 3.0e0 + 50.0e0 * l_tax AS logT,
-        l_extendedprice / 15000.0e0 - 1.5e0 AS logRho, l_discount AS O, l_tax AS C,
+        round(l_discount * 100) * 2000.0e0 AS z, l_quantity AS Mass, 3.0e0 + 0.5e0 * round(l_tax * 100) AS logT,
+        l_extendedprice / 15000.0e0 - 1.5e0 AS logRho, round(l_discount * 100) AS O, round(l_tax * 100) AS C,
         CASE WHEN l_linestatus = 'O' THEN l_tax * 10 ELSE 0.0e0 END AS Mc,
         CASE WHEN l_returnflag = 'R' THEN 0.0e0 ELSE l_quantity END AS Sfr
         FROM lineitem""",
