@@ -54,6 +54,11 @@ def box_units(lbox_mpc: float, h: float) -> dict[str, float]:
     }
 
 
+def in_display_units(units: dict[str, float]) -> dict[str, float]:
+    """A unit system measured in display units, e.g. the code length in kpc."""
+    return {k: v / C.SYSTEM_UNITS[k] for k, v in units.items()}
+
+
 def check_scale(a: float | None = None, z: float | None = None) -> float:
     """Scale factor from exactly one of ``a`` and ``z``, with range checks."""
     if (a is None) == (z is None):

@@ -151,3 +151,13 @@ def find_snapnum(grid: DataFrame, z: float) -> DataFrame:
     return grid.agg(
         F.min_by("snapnum", F.struct(F.abs(F.col("zred") - z).alias("d"), F.col("snapnum"))).alias("snapnum")
     )
+
+
+def find_snapnums(grid: DataFrame, redshifts: list[float]) -> DataFrame:
+    """(z, snapnum) for many redshifts at once; join it to a catalogue to analyse one epoch per redshift."""
+    asked = F.explode(F.array(*[F.lit(float(z)) for z in redshifts]))
+    return (
+        grid.select("snapnum", "zred", asked.alias("z"))
+        .groupBy("z")
+        .agg(F.min_by("snapnum", F.struct(F.abs(F.col("zred") - F.col("z")).alias("d"), F.col("snapnum"))).alias("snapnum"))
+    )

@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 from ..functions import constants as C
 from ..functions.physics import halo_box, relation
 from ..operators.aggregates import distinct_halos, main_progenitor
+from ..operators.select import particles_in_box, particles_of_halo
+from ..sources.store import materialize
 
 __all__ = [
     "distinct_halos",
+    "halo_extract",
     "halo_relation_of",
     "halo_relations",
     "host_table",
@@ -109,3 +112,27 @@ def progenitor_boxes(
     for c in "xyz":
         boxed = boxed.where((F.col(c) > F.col(f"{c}lo")) & (F.col(c) < F.col(f"{c}hi")))
     return boxed.drop(*edges)
+
+
+def halo_extract(
+    particles: DataFrame,
+    halos: DataFrame,
+    halo_id: int,
+    snapnum: int,
+    base: str,
+    box: bool = True,
+    rlim: float = 1.2,
+    overwrite: bool = False,
+) -> DataFrame:
+    """Stored gas of one halo for drawing: the cube around it (``box``) or its members; reused when present."""
+    cols = ["x", "y", "z", "Mc", "Sfr", "logT"]
+    rows = particles.where(F.col("snapnum") == snapnum)
+
+    def build() -> DataFrame:
+        if box:
+            centre = halos.where(F.col("snapnum") == snapnum)
+            return particles_in_box(rows, centre, halo_id, rlim).select(*cols)
+        return particles_of_halo(rows, halo_id, cols)
+
+    params = {"snapnum": snapnum, "haloId": halo_id, "rlim": rlim if box else None}
+    return materialize(particles.sparkSession, base, "box" if box else "halo", params, build, overwrite)

@@ -15,6 +15,7 @@ from .functions import constants as C
 from .functions import cosmology, physics, units
 from .operators import aggregates, grids, joins, ordered, select
 from .plans import galaxies, history, progenitors, sightlines, splits, winds
+from .sources import catalogues
 
 Query = Callable[[Fixtures], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -344,6 +345,19 @@ def find_snapnum(fx):
     return select.find_snapnum(fx.timegrid, 0.9)
 
 
+@query("""SELECT z, arg_min(snapnum, abs(zred - z)) AS snapnum FROM fx_timegrid, (VALUES (0.1e0), (0.9e0), (2.2e0)) q(z) GROUP BY z""")
+def find_snapnums(fx):
+    return select.find_snapnums(fx.timegrid, [0.1, 0.9, 2.2])
+
+
+@query("""SELECT coalesce(h.snapnum, g.snapnum) AS snapnum, coalesce(h.haloId, g.haloId) AS haloId, round(log10(h.Mvir / 0.7e0), 6) AS logMvir, g.x
+    FROM (SELECT * FROM fx_halos WHERE Npart >= 20) h FULL JOIN (SELECT * FROM fx_halos WHERE x > 4000) g ON g.snapnum = h.snapnum AND g.haloId = h.haloId""")
+def halo_positions(fx):
+    stat = fx.halos.where("x > 4000").withColumnRenamed("haloId", "galId")
+    found = catalogues.halos(fx.halos.where("Npart >= 20").drop("x", "y", "z"), stat, ["Mvir", "x"])
+    return rounded(found, "logMvir")
+
+
 # == ordered ===============================================================================================
 @query("SELECT snapnum, PId, Mass, coalesce(Mass - lag(Mass) OVER (PARTITION BY PId ORDER BY snapnum), 0) AS Mgain FROM fx_particles")
 def mgain_diff(fx):

@@ -7,17 +7,28 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions.physics import metal, with_logT
+from ..operators.joins import attach_group_ids
 from . import schemas
 
 _KEYS = ("ptype", "snapnum", "idx")
 
 
-def build_lake(raw: DataFrame, out: str, groups: DataFrame | None = None, total_metals: bool = True) -> None:
+def build_lake(
+    raw: DataFrame,
+    out: str,
+    groups: DataFrame | None = None,
+    total_metals: bool = True,
+    table: str | None = None,
+    buckets: int | None = None,
+) -> None:
     """Write landed particles (raw field names plus ptype, snapnum, idx) as the lake.
 
     Fields become their short names and declared types, missing fields are left out, ``Metals`` is reduced to the
     total metallicity ``Z`` when ``total_metals``.  ``groups`` (snapnum, ptype, idx, haloId, ...) is joined by
     position.  Rows of a file are sorted by PId so that row-group statistics prune look-ups.
+
+    With ``table`` and ``buckets`` the lake becomes a catalogue table bucketed by PId instead: joins of snapshots
+    on PId (progenitors, histories) then need no shuffle of the particles.
     """
     present = set(raw.columns)
     cols = []
@@ -32,6 +43,17 @@ def build_lake(raw: DataFrame, out: str, groups: DataFrame | None = None, total_
     if groups is not None:
         ids = [c for c in groups.columns if c not in _KEYS]
         df = df.join(groups, list(_KEYS), "left").withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in ids})
+    if table is not None:
+        (
+            df.repartition(buckets, "PId")
+            .write.mode("overwrite")
+            .partitionBy("ptype", "snapnum")
+            .bucketBy(buckets, "PId")
+            .sortBy("PId")
+            .option("path", out)
+            .saveAsTable(table)
+        )
+        return
     (
         df.repartitionByRange("ptype", "snapnum", "PId")
         .sortWithinPartitions("ptype", "snapnum", "PId")
@@ -78,6 +100,52 @@ def particles(
     return df.select("snapnum", "idx", *[column(c) for c in columns if c not in ("snapnum", "idx")])
 
 
+def _with_groups(df: DataFrame, groups: list[DataFrame | None], headers: DataFrame | None) -> DataFrame:
+    """Attach each given group table by position; a lake built with group columns needs none."""
+    for g in groups:
+        if g is not None:
+            df = attach_group_ids(df, g, headers)
+    return df
+
+
+def gas(
+    spark: SparkSession,
+    lake: str,
+    columns: list[str],
+    snapnum: int | list[int] | None = None,
+    galaxies: DataFrame | None = None,
+    halos: DataFrame | None = None,
+) -> DataFrame:
+    """Gas with galId (``galaxies``) and haloId, hostId (``halos``); 0 where a group file has no row."""
+    return _with_groups(particles(spark, lake, "gas", columns, snapnum), [galaxies, halos], None)
+
+
+def stars(
+    spark: SparkSession,
+    lake: str,
+    columns: list[str],
+    headers: DataFrame,
+    snapnum: int | list[int] | None = None,
+    galaxies: DataFrame | None = None,
+    halos: DataFrame | None = None,
+) -> DataFrame:
+    """Stars like :func:`gas`; ``headers`` give the position of the first star in the group files."""
+    rows = particles(spark, lake, "star", columns, snapnum).withColumn("ptype", F.lit(C.PTYPE["star"]))
+    return _with_groups(rows, [galaxies, halos], headers)
+
+
+def dark(
+    spark: SparkSession,
+    lake: str,
+    headers: DataFrame,
+    halos: DataFrame,
+    snapnum: int | list[int] | None = None,
+) -> DataFrame:
+    """Dark matter particles: PId, haloId, hostId."""
+    rows = particles(spark, lake, "dark", ["PId"], snapnum).withColumn("ptype", F.lit(C.PTYPE["dark"]))
+    return _with_groups(rows, [halos], headers).select("snapnum", "idx", "PId", "haloId", "hostId")
+
+
 def with_default(df: DataFrame, col: str, value: float = 0.0) -> DataFrame:
     """Add an optional field that this run did not write."""
     return df if col in df.columns else df.withColumn(col, F.lit(value))

@@ -20,7 +20,7 @@ def test_documented_unit_values():
     assert math.isclose(units.physical(code, 1.0)["length"], 4.408111428571429e21, rel_tol=1e-12)
     at_z1 = units.physical(code, units.check_scale(z=1.0))["length"]
     assert math.isclose(at_z1, 2.2040557142857144e21, rel_tol=1e-12)
-    norm = units.box_units(25, 0.7)["length"] / units.display_units()["length"]
+    norm = units.in_display_units(units.box_units(25, 0.7))["length"]
     assert math.isclose(norm, 35714.285714285725, rel_tol=1e-6)
 
 

@@ -219,3 +219,75 @@ def test_sightline_files(spark, tmp_path):
     assert first == "-0.499700 -0.100000  0.250000 2 1_12.12_10.62.x+10kpc"
     back = text.read_sightlines(spark, str(files[0])).collect()[0]
     assert (back.x, back.axis, back.label) == (-0.4997, 2, "1_12.12_10.62.x+10kpc")
+
+
+def test_group_ids_of_gas_dark_and_stars(spark, tmp_path):
+    """Group files list gas, dark, star particles in this order; positions inside a type start at 0."""
+    raw = None
+    for ptype, n in ((0, 3), (1, 2), (4, 2)):
+        part = spark.range(n).select(
+            F.lit(ptype).alias("ptype"), F.lit(0).alias("snapnum"), F.col("id").alias("idx"),
+            (F.col("id") + 100 * ptype).alias("ParticleIDs"), F.lit(1.0).alias("Masses"),
+        )
+        raw = part if raw is None else raw.unionByName(part)
+    out = str(tmp_path / "lake")
+    lake.build_lake(raw, out)
+    (tmp_path / "so_z000.sogrp").write_text("7\n" + "".join(f"{i},{10 + i}\n" for i in range(1, 7)))
+    (tmp_path / "gal_z000.grp").write_text("7\n" + "".join(f"{20 + i}\n" for i in range(7)))
+    halos = text.read_sogrp(spark, str(tmp_path / "so_z000.sogrp"))
+    gals = text.read_grp(spark, str(tmp_path / "gal_z000.grp"))
+    head = spark.createDataFrame([(0, 3, 2, 2)], "snapnum int, n_gas long, n_dark long, n_star long")
+    gas = {r.PId: (r.galId, r.haloId, r.hostId) for r in lake.gas(spark, out, ["PId"], 0, gals, halos).collect()}
+    assert gas == {0: (20, 1, 11), 1: (21, 2, 12), 2: (22, 3, 13)}
+    dark = {r.PId: (r.haloId, r.hostId) for r in lake.dark(spark, out, head, halos).collect()}
+    assert dark == {100: (4, 14), 101: (5, 15)}
+    stars = {r.PId: (r.galId, r.haloId) for r in lake.stars(spark, out, ["PId", "Mass"], head, 0, gals, halos).collect()}
+    # the halo file is one line short: the last star is in no halo
+    assert stars == {400: (25, 6), 401: (26, 0)}
+
+
+def test_bucketed_lake_joins_snapshots_without_shuffle(spark, tmp_path):
+    from halospark.operators.aggregates import main_progenitor
+
+    groups = _landing(spark).select("ptype", "snapnum", "idx", F.lit(3).alias("haloId"))
+    raw = _landing(spark).withColumn("ParticleIDs", F.col("idx") - F.col("snapnum"))
+    lake.build_lake(raw, str(tmp_path / "b"), groups, table="lake_b", buckets=4)
+    df = spark.table("lake_b")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = main_progenitor(df, 1)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert [tuple(r) for r in got.collect()] == [(3, 0, 3)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("DROP TABLE lake_b")
+    # both exchanges serve the two aggregates after the join
+    assert "SortMergeJoin" in plan and "hashpartitioning(PId" not in plan and plan.count("Exchange hash") == 2
+
+
+def test_catalogue_views(spark):
+    from halospark.sources import catalogues
+
+    so = spark.createDataFrame([(1, 7.0, 7.0, 5.0), (2, 70.0, 7.0, 6.0)], "haloId int, Mvir double, Msub double, Rvir double")
+    st = spark.createDataFrame([(2, 1.5, 0.1, 0.2, 0.3), (3, 2.5, 0.4, 0.5, 0.6)], "galId int, Mgal double, x double, y double, z double")
+    got = {r.haloId: (r.logMvir, r.Rvir, r.x) for r in catalogues.halos(so, st, ["Mvir", "Rvir", "x"]).collect()}
+    assert got == {1: (1.0, 5.0, None), 2: (2.0, 6.0, 0.1), 3: (None, None, 0.4)}
+    with pytest.warns(UserWarning, match="Nope"):
+        out = catalogues.galaxies(st, 1.989e33, ["Mgal", "Nope"])
+    assert out.columns == ["galId", "logMgal"]
+    assert catalogues.galaxies(st, 1.0, log_mass=False).columns == st.columns
+
+
+def test_halo_extract_is_stored_once(spark, tmp_path):
+    from halospark.plans.progenitors import halo_extract
+
+    gas = spark.createDataFrame(
+        [(0, 1, 1.0, 1.0, 1.0, 0.0, 0.0, 5.0), (0, 2, 9.0, 9.0, 9.0, 0.0, 0.0, 5.0)],
+        "snapnum int, haloId int, x double, y double, z double, Mc double, Sfr double, logT double",
+    )
+    halos = spark.createDataFrame([(0, 1, 1.5, 1.0, 1.0, 1.0)], "snapnum int, haloId int, Rvir double, x double, y double, z double")
+    base = str(tmp_path / "x")
+    assert halo_extract(gas, halos, 1, 0, base).count() == 1
+    assert halo_extract(gas.limit(0), halos, 1, 0, base).count() == 1
+    assert halo_extract(gas.limit(0), halos, 1, 0, base, overwrite=True).count() == 0
+    assert [r.x for r in halo_extract(gas, halos, 2, 0, base, box=False).collect()] == [9.0]
