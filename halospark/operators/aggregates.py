@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions.physics import log10_or_null
+from .joins import join_skewed
 from .ordered import group_quantiles, with_cumsum
 
 
@@ -176,11 +177,13 @@ def radial_profile(
 ) -> DataFrame:
     """Mass, density and mass-weighted logT in shells of r/Rvir around every halo.
 
-    ``boxsize`` turns on the nearest periodic image.  The join keeps the particles' (snapnum, haloId) layout.
+    ``boxsize`` turns on the nearest periodic image.  A massive halo is spread over several tasks for the join and
+    comes together again as partial sums per shell.
     """
     key = [c for c in ("snapnum", "haloId") if c in particles.columns and c in halos.columns]
     centres = halos.select(*key, "Rvir", *[F.col(c).alias(f"_{c}") for c in "xyz"])
-    near = particles.where("haloId <> 0").select(*key, "x", "y", "z", "Mass", "logT").join(centres, key)
+    inside = particles.where("haloId <> 0").select(*key, "x", "y", "z", "Mass", "logT")
+    near = join_skewed(inside, centres, key, salt_on=["x", "y", "z"])
 
     def offset(axis: str) -> Column:
         d = F.abs(F.col(axis) - F.col(f"_{axis}"))

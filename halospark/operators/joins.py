@@ -11,6 +11,26 @@ from ..functions import constants as C
 MAX_BROADCAST_CELLS = 1_000_000
 
 
+# parts a hot key of a skewed join is spread over
+SALTS = 16
+
+
+def join_skewed(
+    big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner", salt_on: list[str] | None = None
+) -> DataFrame:
+    """Equi join of a big side whose keys may be hot (one halo, "no halo", one cell) with a smaller one.
+
+    Rows of one key are spread over SALTS parts by a hash of ``salt_on`` (all columns by default; deterministic,
+    so a retried task repeats itself) and the small side is repeated for each part.  Unlike the adaptive skew
+    join this also works where the result is grouped by the join keys right away.  ``how``: inner or left.
+    """
+    if how not in ("inner", "left"):
+        raise ValueError("how must be inner or left")
+    salt = F.pmod(F.xxhash64(*(salt_on or big.columns)), F.lit(SALTS)).cast("int")
+    repeated = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return big.withColumn("_salt", salt).join(repeated, [*keys, "_salt"], how).drop("_salt")
+
+
 # -- as-of on the time grid -------------------------------------------------------------------------------
 def _with_array(df: DataFrame, values: DataFrame, col: str | Column, name: str) -> DataFrame:
     """Attach a small sorted array as a scalar subquery; a grid over the size bound is an error, not a risk."""
@@ -125,8 +145,7 @@ def snapshot_for_redshift(df: DataFrame, z: str, plan: DataFrame) -> DataFrame:
         "_cell", F.explode(F.sequence(F.floor(F.col("zlo") / cell), F.floor(F.col("zhi") / cell)))
     )
     return (
-        df.withColumn("_cell", F.floor(F.col(z) / cell))
-        .join(valid, "_cell")
+        join_skewed(df.withColumn("_cell", F.floor(F.col(z) / cell)), valid, ["_cell"])
         .where((F.col(z) >= F.col("zlo")) & (F.col(z) < F.col("zhi")))
         .drop("_cell")
     )
@@ -190,12 +209,10 @@ def with_ion_fractions(
     # one row per cell of the grid: the grid shape bounds the size, and an uncommonly large grid is not broadcast
     wide = wide.where((F.col("ih") < shape[0]) & (F.col("it") < shape[1]) & (F.col("ih") >= 0) & (F.col("it") >= 0))
     if shape[0] * shape[1] * len(ions) <= MAX_BROADCAST_CELLS:
-        wide = F.broadcast(wide)
-    return (
-        located.join(wide, ["ih", "it"], "left")
-        .withColumns({f"f{ion}": fraction(ion) for ion in ions})
-        .drop("ih", "it", *ions)
-    )
+        joined = located.join(F.broadcast(wide), ["ih", "it"], "left")
+    else:
+        joined = join_skewed(located, wide, ["ih", "it"], "left", [log_nh, logT])
+    return joined.withColumns({f"f{ion}": fraction(ion) for ion in ions}).drop("ih", "it", *ions)
 
 
 # -- positional identity ----------------------------------------------------------------------------------
@@ -211,13 +228,14 @@ def attach_group_ids(particles: DataFrame, groups: DataFrame, snapshots: DataFra
     if snapshots is None:
         placed = particles.withColumn("_pos", F.col("idx"))
     else:
-        counts = snapshots.select("snapnum", "n_gas", "n_dark")
+        # one row per snapshot, so at most a time grid's worth of rows is broadcast
+        counts = snapshots.groupBy("snapnum").agg(F.max("n_gas").alias("n_gas"), F.max("n_dark").alias("n_dark"))
         offset = (
             F.when(F.col("ptype") == C.PTYPE["dark"], F.col("n_gas"))
             .when(F.col("ptype") == C.PTYPE["star"], F.col("n_gas") + F.col("n_dark"))
             .otherwise(0)
         )
-        placed = particles.join(counts, "snapnum", "left").withColumn("_pos", F.col("idx") + offset).drop(
+        placed = particles.join(F.broadcast(counts), "snapnum", "left").withColumn("_pos", F.col("idx") + offset).drop(
             "n_gas", "n_dark"
         )
     listed = groups.withColumnRenamed("idx", "_pos")

@@ -28,10 +28,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return _local_folder.name
 
 
+def new_path(spark: SparkSession) -> str:
+    """A path in the shared folder that nothing else uses."""
+    return f"{checkpoint_dir(spark)}/halospark-{uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and continue from the written table."""
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/halospark-{uuid4().hex}"
+    path = new_path(spark)
     writer = df.write if partition_by is None else df.write.partitionBy(partition_by)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

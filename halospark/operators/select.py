@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
+from .joins import join_skewed
 from .ordered import group_quantiles
 
 
@@ -53,9 +54,8 @@ def galaxies_by_percentile(
 def wind_in_halos(particles: DataFrame, halos: DataFrame) -> DataFrame:
     """Wind particles of the given (snapnum, haloId) rows; halos without wind drop out."""
     wanted = halos.where("haloId > 0").select("snapnum", "haloId")
-    return particles.where("Mc > 0").select("haloId", "snapnum", "PId").join(wanted, ["snapnum", "haloId"]).select(
-        "haloId", "snapnum", "PId"
-    )
+    wind = particles.where("Mc > 0 and haloId > 0").select("haloId", "snapnum", "PId")
+    return join_skewed(wind, wanted, ["snapnum", "haloId"], salt_on=["PId"]).select("haloId", "snapnum", "PId")
 
 
 Limits = tuple[float, float]

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
-from ..operators.lineage import cut_lineage
+from ..operators.joins import join_skewed
+from ..operators.lineage import cut_lineage, new_path
 
 
 def star_flows(stars: DataFrame) -> DataFrame:
@@ -43,13 +42,19 @@ def galaxy_main_ids(flows: DataFrame, written: bool = False) -> DataFrame:
     listed = flows.select("snapnum").distinct().orderBy("snapnum").limit(C.MAX_GRID_ROWS + 1).collect()
     if len(listed) > C.MAX_GRID_ROWS:
         raise ValueError(f"more than {C.MAX_GRID_ROWS} snapshots")
-    done: list[DataFrame] = []
-    for (snapnum,) in listed:
+    spark = flows.sparkSession
+    # one table that grows by a partition per snapshot: every round reads it with a single scan
+    path = new_path(spark)
+    kind = dict(flows.dtypes)
+    schema = f"galId {kind['galId']}, mainId bigint, snapnum {kind['snapnum']}"
+
+    def resolved() -> DataFrame:
+        return spark.read.schema(schema).parquet(path)
+
+    for i, (snapnum,) in enumerate(listed):
         now = flows.where(F.col("snapnum") == snapnum)
-        if done:
-            known = reduce(DataFrame.unionByName, done).select(
-                F.col("snapnum").alias("psnap"), F.col("galId").alias("pgal"), "mainId"
-            )
+        if i:
+            known = resolved().select(F.col("snapnum").alias("psnap"), F.col("galId").alias("pgal"), "mainId")
             now = now.join(known, ["psnap", "pgal"], "left")
         else:
             now = now.withColumn("mainId", F.lit(None).cast("long"))
@@ -60,9 +65,10 @@ def galaxy_main_ids(flows: DataFrame, written: bool = False) -> DataFrame:
             .agg(F.sum("Mass").alias("Mass"))
             .groupBy("snapnum", "galId")
             .agg(F.max_by("mainId", rank).alias("mainId"))
+            .select("galId", F.coalesce(F.col("mainId"), _founder_id()).alias("mainId"), "snapnum")
         )
-        done.append(cut_lineage(lines.withColumn("mainId", F.coalesce(F.col("mainId"), _founder_id()))))
-    return reduce(DataFrame.unionByName, done)
+        lines.write.mode("append").partitionBy("snapnum").parquet(path)
+    return resolved()
 
 
 def galaxy_tree(
@@ -107,8 +113,10 @@ def star_table(stars: DataFrame, main: DataFrame) -> DataFrame:
     so_far = Window.partitionBy("PId").orderBy("snapnum").rowsBetween(Window.unboundedPreceding, 0)
     ever = so_far.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     inside = F.when(F.col("galId") != 0, F.col("galId"))
+    lines = main.select("snapnum", "galId", "mainId")
     return (
-        stars.join(main.select("snapnum", "galId", "mainId"), ["snapnum", "galId"], "left")
+        # about half of the stars may share galId 0
+        join_skewed(stars, lines, ["snapnum", "galId"], "left", ["PId"])
         .withColumn("mainId", F.last("mainId", ignorenulls=True).over(so_far))
         .withColumn("initId", F.first(inside, ignorenulls=True).over(ever))
     )

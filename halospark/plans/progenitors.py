@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as C
 from ..functions.physics import halo_box, relation
 from ..operators.aggregates import distinct_halos, main_progenitor
+from ..operators.joins import join_skewed
 from ..operators.select import particles_in_box, particles_of_halo
 from ..sources.store import materialize
 
@@ -90,7 +91,7 @@ def halo_relation_of(
 def with_relation(df: DataFrame, target: int, progenitors: DataFrame, hosts: DataFrame) -> DataFrame:
     """Add ``relation`` to rows with (snapnum, haloId); rows in no halo are IGM."""
     labels = halo_relations(target, distinct_halos(df), progenitors, hosts)
-    return df.join(labels, ["snapnum", "haloId"], "left").withColumn(
+    return join_skewed(df, labels, ["snapnum", "haloId"], "left").withColumn(
         "relation", F.coalesce(F.col("relation"), F.lit(C.IGM))
     )
 

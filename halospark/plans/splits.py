@@ -20,11 +20,12 @@ ANCESTOR_COLUMNS = ("PId", "parentId", "Mass", "snapnext", "parentGen", "gen")
 def with_parent_gen(split: DataFrame) -> DataFrame:
     """``parentGen``: how many splits of the parent happened at or after this one (average rank on ties).
 
-    Needs ``snapnext``.  Splits are counted per (parent, snapshot) first and only the counts are summed per
-    parent, so the rows of a much-split parent spread over the snapshots.
+    Splits are counted per parent and short stretch of time first and only the counts are summed per parent, so
+    the rows of a much-split parent spread over the stretches.
     """
-    key = ["parentId", "snapnext"]
-    later = Window.partitionBy("parentId").orderBy(F.desc("snapnext")).rowsBetween(Window.unboundedPreceding, -1)
+    key = ["parentId", "_stretch"]
+    split = split.withColumn("_stretch", F.floor(F.col("atime") * 4096))
+    later = Window.partitionBy("parentId").orderBy(F.desc("_stretch")).rowsBetween(Window.unboundedPreceding, -1)
     counts = (
         split.groupBy(*key)
         .agg(F.count("*").alias("_n"))
@@ -35,7 +36,7 @@ def with_parent_gen(split: DataFrame) -> DataFrame:
     not_earlier = F.count("*").over(w.rangeBetween(Window.unboundedPreceding, 0))
     same_time = F.count("*").over(w.rangeBetween(0, 0))
     average_rank = F.col("_later") + not_earlier - (same_time - 1) / 2
-    return split.join(counts, key).withColumn("parentGen", average_rank.cast("int")).drop("_later")
+    return split.join(counts, key).withColumn("parentGen", average_rank.cast("int")).drop("_later", "_stretch")
 
 
 def split_table(split: DataFrame, grid: DataFrame) -> DataFrame:

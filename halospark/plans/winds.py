@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
-from ..operators.joins import with_snap_after, with_snap_before
+from ..operators.joins import join_skewed, with_snap_after, with_snap_before
 from ..operators.ordered import with_diff
 from .progenitors import distinct_halos, halo_relations
 
@@ -77,7 +77,7 @@ def wind_subset(winds: DataFrame, history: DataFrame, lifecycle: DataFrame) -> D
     """Wind rows in the halos the tracked gas ever visited, with the birth halo of the wind particle."""
     births = lifecycle.select("PId", "snapfirst", "birthId")
     return (
-        winds.join(distinct_halos(history), ["snapnum", "haloId"])
+        join_skewed(winds.where("haloId <> 0"), distinct_halos(history), ["snapnum", "haloId"], salt_on=["PId"])
         .join(births, "PId", "left")
         .select("PId", "snapnum", "haloId", "Mass", "Mloss", "snapfirst", "birthId")
     )
@@ -89,7 +89,7 @@ def with_birth_tag(subset: DataFrame, target: int, progenitors: DataFrame, hosts
     tags = halo_relations(target, birth_halos, progenitors, hosts).select(
         F.col("snapnum").alias("snapfirst"), F.col("haloId").alias("birthId"), F.col("relation").alias("birthTag")
     )
-    return subset.join(tags, ["snapfirst", "birthId"], "left")
+    return join_skewed(subset, tags, ["snapfirst", "birthId"], "left", ["PId", "snapnum"])
 
 
 def loss_by_tag(subset: DataFrame) -> DataFrame:
@@ -114,7 +114,7 @@ def wind_mass_partition(history: DataFrame, subset: DataFrame) -> DataFrame:
         "birthTag",
         F.when(total == 0, 1.0).otherwise(F.try_divide(F.col("Mloss"), total)).alias("share"),
     )
-    return history.join(shares, ["snapnum", "haloId"], "left").select(
+    return join_skewed(history, shares, ["snapnum", "haloId"], "left", ["PId"]).select(
         "PId",
         "snapnum",
         F.coalesce(F.col("birthTag"), F.lit(C.IGM)).alias("birthTag"),

@@ -153,9 +153,11 @@ def with_default(df: DataFrame, col: str, value: float = 0.0) -> DataFrame:
 
 def with_mass(df: DataFrame, snapshots: DataFrame) -> DataFrame:
     """Particle masses, replaced by the header's constant mass of the type where that is not 0."""
-    table = snapshots.select("snapnum", F.posexplode("mass_table").alias("ptype", "_m0"))
+    # a few rows per snapshot, so at most a time grid's worth of headers is broadcast
+    heads = snapshots.groupBy("snapnum").agg(F.first("mass_table").alias("mass_table"))
+    table = heads.select("snapnum", F.posexplode("mass_table").alias("ptype", "_m0"))
     return (
-        df.join(table, ["snapnum", "ptype"], "left")
+        df.join(F.broadcast(table), ["snapnum", "ptype"], "left")
         .withColumn("Mass", F.when(F.col("_m0") != 0, F.col("_m0")).otherwise(F.col("Mass")))
         .drop("_m0")
     )
@@ -196,6 +198,7 @@ def particles_multipart(spark: SparkSession, paths: str | list[str]) -> DataFram
         .withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0)))
         .select("_file", "_offset")
     )
-    return rows.join(offsets, "_file").withColumn("idx", F.col("_offset") + F.col("_row")).drop(
+    # the driver has listed these files to plan the scan: one short row each is safe to broadcast
+    return rows.join(F.broadcast(offsets), "_file").withColumn("idx", F.col("_offset") + F.col("_row")).drop(
         "_file", "_row", "_offset"
     )

@@ -103,3 +103,15 @@ def test_redshift_plan_skips_empty_intervals(spark):
     df = spark.createDataFrame([(0.7,), (0.6,), (0.8,), (0.0,), (0.85,)], "z double")
     got = sorted((r.z, r["name"]) for r in joins.snapshot_for_redshift(df, "z", plan).collect())
     assert got == [(0.0, "c"), (0.6, "b"), (0.7, "b")]
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_skewed_join_equals_plain_join(spark, how):
+    pdf, df = _skewed(spark)
+    small = spark.createDataFrame([(7, "a"), (7, "b"), (8, "c"), (99, "d")], "k long, tag string")
+    plain = df.join(small, "k", how)
+    assert sorted(map(str, plain.collect())) == sorted(map(str, joins.join_skewed(df, small, ["k"], how).collect()))
+    cut = joins.join_skewed(df, small, ["k"], how, ["t"])
+    assert sorted(map(str, plain.collect())) == sorted(map(str, cut.collect()))
+    with pytest.raises(ValueError):
+        joins.join_skewed(df, small, ["k"], "full")
