@@ -9,7 +9,7 @@ from __future__ import annotations
 import tempfile
 from uuid import uuid4
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 _local_folder: tempfile.TemporaryDirectory | None = None
@@ -42,8 +42,8 @@ def cut_lineage(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def cut_and_count(df: DataFrame) -> tuple[DataFrame, int]:
-    """:func:`cut_lineage` that also reports the number of rows, counted while writing."""
+def cut_and_count(df: DataFrame, condition: Column) -> tuple[DataFrame, int]:
+    """:func:`cut_lineage` that also reports how many rows meet a condition, counted while writing."""
     seen = Observation()
-    written = cut_lineage(df.observe(seen, F.count(F.lit(1)).alias("n")))
+    written = cut_lineage(df.observe(seen, F.count_if(condition).alias("n")))
     return written, seen.get["n"]

@@ -97,14 +97,16 @@ class PermanentTables:
     progenitors: DataFrame
 
 
-def permanent_tables(sim: Simulation, snapnum: int) -> PermanentTables:
+def permanent_tables(sim: Simulation, snapnum: int, halo_mass: bool = True) -> PermanentTables:
+    """The tables of a run for targets at ``snapnum``; ``halo_mass=False`` leaves the progenitors' masses out."""
+    halos = sim.halos if halo_mass else sim.halos.select("snapnum", "haloId")
     lifecycle = wind_lifecycle(sim.launches, sim.rejoins, sim.gas, sim.grid, sim.n_snaps)
     return PermanentTables(
         lifecycle=lifecycle,
         winds=wind_table(sim.gas, lifecycle),
         hosts=host_table(sim.hosts),
         splits=split_table(sim.splits, sim.grid),
-        progenitors=progenitor_table(sim.dark, sim.halos, sim.hosts, snapnum),
+        progenitors=progenitor_table(sim.dark, halos, sim.hosts, snapnum),
     )
 
 
@@ -135,22 +137,23 @@ def track_accretion(
 
     ``ids`` tracks other particles of the galaxy, e.g. :func:`recent_accretion`.
     """
-    tables = tables or permanent_tables(sim, snapnum)
+    tables = tables or permanent_tables(sim, snapnum, halo_mass=False)
     if include_stars and sim.stars is None:
         raise ValueError("include_stars needs a star table")
     if ids is None:
         ids = select.gas_in_galaxy(sim.gas, snapnum, gal_id)
         if include_stars:
             ids = ids.union(select.stars_in_galaxy(sim.stars, snapnum, gal_id)).distinct()
-    # ids, history and wind subset are small and used several times each: written once, so that the particle and
-    # the wind table are read once
+    # ids, the target's progenitors, history and wind subset are small and used several times each: written once,
+    # so that the tables they come from are read once
     ids = cut_lineage(ids.select("PId").distinct())
-    ancestors = split_ancestors(ids, tables.splits, per_snapshot=True)
+    line = cut_lineage(tables.progenitors.where(F.col("haloId") == gal_id))
+    ancestors = split_ancestors(ids, tables.splits)
     history = cut_lineage(gas_history(ids, sim.gas, ancestors, snapnum, sim.stars if include_stars else None))
     # galaxies and halos share their ids
-    history = with_relation(history, gal_id, tables.progenitors, tables.hosts)
+    history = with_relation(history, gal_id, line, tables.hosts)
     subset = cut_lineage(wind_subset(tables.winds, history, tables.lifecycle))
-    subset = with_birth_tag(subset, gal_id, tables.progenitors, tables.hosts)
+    subset = with_birth_tag(subset, gal_id, line, tables.hosts)
     missing = missing_fields(history, subset)
     if missing:
         raise ValueError(f"tables are not ready, missing {missing}")

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from ..operators.joins import with_snap_after
 from ..operators.lineage import cut_and_count, cut_lineage
 
+# parents climbed between two written rounds
+LEVELS_PER_ROUND = 3
 ANCESTOR_COLUMNS = ("PId", "parentId", "Mass", "snapnext", "parentGen", "gen")
 
 
@@ -46,50 +48,58 @@ def split_table(split: DataFrame, grid: DataFrame) -> DataFrame:
 
 
 def split_ancestors(
-    ids: DataFrame, splits: DataFrame, per_snapshot: bool = False, max_depth: int = 1000
+    ids: DataFrame, splits: DataFrame, per_snapshot: bool = True, max_rounds: int = 300
 ) -> DataFrame:
     """All split events on the way from the tracked particles back to their oldest ancestors.
 
     One row per (tracked PId, event): ``parentId`` stands in for PId before ``snapnext`` with generation ``gen``.
-    Each round climbs one parent for all particles at once and is written out; rounds go on until no parent is
-    left.  A small round is broadcast by its size, a large one shuffles.  ``max_depth`` only catches a cyclic log, as an error.
-
-    Every split an ancestor went through before gives a row too.  ``per_snapshot`` keeps of those the one of
-    highest generation per (PId, ancestor, snapshot), all that a history needs, so that a much-split ancestor adds
-    at most one row per snapshot to each of its descendants.
+    A round climbs a few parents for all particles at once (the levels share one shuffle of the log, or none when
+    the particles are few) and is written out; rounds go on until no parent is left.  ``max_rounds`` only catches a
+    cyclic log, as an error.
+
+    Splits an ancestor went through before give rows too: of those between two snapshots the one of highest
+    generation, which is all that a history can see, so that a much-split ancestor adds at most one row per
+    snapshot to each of its descendants.  ``per_snapshot=False`` lists every single split instead; its size grows
+    with the square of the splits of one particle.
     """
     ids = ids.select("PId").distinct()
     events = splits.select("PId", "parentId", "Mass", "snapnext", "parentGen")
     # splits a particle went through itself = the generation at which it was born, less one
     own = events.groupBy(F.col("parentId").alias("PId")).agg(F.max("parentGen").alias("own"))
-    # read by every round: worked out and written once
+    # read by every round and at the end: worked out and written once
     births = cut_lineage(events.join(own, "PId", "left").withColumn("own", F.coalesce(F.col("own"), F.lit(0))))
+    events = births.drop("own")
 
-    frontier, left = cut_and_count(
-        births.join(ids, "PId", "left_semi").withColumn("gen", F.col("own") + 1).select(*ANCESTOR_COLUMNS)
-    )
-    climbed = [frontier]
-    for _ in range(max_depth):
-        if left == 0:
-            break
-        below = frontier.select(
+    def climb(rows: DataFrame) -> DataFrame:
+        below = rows.select(
             F.col("PId").alias("_tracked"),
             F.col("parentId").alias("_via"),
             (F.col("gen") - F.col("parentGen")).alias("_gained"),
         )
-        frontier, left = cut_and_count(
-            births.join(below, F.col("PId") == F.col("_via")).select(
-                F.col("_tracked").alias("PId"),
-                "parentId",
-                "Mass",
-                "snapnext",
-                "parentGen",
-                (F.col("_gained") + F.col("own") + 1).alias("gen"),
-            )
+        return births.join(below, F.col("PId") == F.col("_via")).select(
+            F.col("_tracked").alias("PId"),
+            "parentId",
+            "Mass",
+            "snapnext",
+            "parentGen",
+            (F.col("_gained") + F.col("own") + 1).alias("gen"),
         )
-        climbed.append(frontier)
+
+    level = births.join(ids, "PId", "left_semi").withColumn("gen", F.col("own") + 1).select(*ANCESTOR_COLUMNS)
+    climbed = []
+    for _ in range(max_rounds):
+        levels = []
+        for step in range(LEVELS_PER_ROUND):
+            levels.append(level.withColumn("_step", F.lit(step)))
+            level = climb(level)
+        top = F.col("_step") == LEVELS_PER_ROUND - 1
+        written, unfinished = cut_and_count(reduce(DataFrame.unionByName, levels), top)
+        climbed.append(written.drop("_step"))
+        if unfinished == 0:
+            break
+        level = climb(written.where(top).drop("_step"))
     else:
-        raise RuntimeError(f"split log does not end after {max_depth} generations of parents")
+        raise RuntimeError(f"split log does not end after {max_rounds * LEVELS_PER_ROUND} generations of parents")
     lineage = reduce(DataFrame.unionByName, climbed)
 
     # splits of an ancestor before the one that made the descendant: same parent, higher count from the end
@@ -97,7 +107,9 @@ def split_ancestors(
         "parentId", F.col("Mass").alias("_m"), F.col("snapnext").alias("_s"), F.col("parentGen").alias("_g")
     )
     if per_snapshot:
-        own_splits = own_splits.groupBy("parentId", "_s").agg(F.max_by("_m", "_g").alias("_m"), F.max("_g").alias("_g"))
+        # equal counts (splits at the same time): the larger mass
+        top = F.max(F.struct("_g", "_m"))
+        own_splits = own_splits.groupBy("parentId", "_s").agg(top.alias("_t")).select("parentId", "_s", "_t._g", "_t._m")
     of_ancestors = (
         lineage.select("PId", "parentId", "gen", "parentGen")
         .join(own_splits, "parentId")

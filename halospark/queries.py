@@ -652,8 +652,9 @@ _CTES["q_line"] = """SELECT s.PId, s.parentId, s.Mass, s.snapnext, s.parentGen,
     UNION ALL SELECT l.PId, e.parentId, e.Mass, e.snapnext, e.parentGen, l.gen + coalesce(o.g, 0) - l.parentGen + 1 AS gen
     FROM q_line l JOIN q_split e ON e.PId = l.parentId LEFT JOIN q_own o ON o.parentId = l.parentId"""
 _CTES["q_anc"] = """SELECT PId, parentId, Mass, snapnext, parentGen, gen FROM q_line UNION ALL
-    SELECT l.PId, l.parentId, e.Mass, e.snapnext, l.parentGen, l.gen + e.parentGen - l.parentGen FROM q_line l JOIN q_split e ON e.parentId = l.parentId
-    WHERE e.parentGen > l.parentGen UNION ALL
+    SELECT l.PId, l.parentId, arg_max(e.Mass, (e.parentGen, e.Mass)), e.snapnext, l.parentGen, l.gen + max(e.parentGen) - l.parentGen
+    FROM q_line l JOIN q_split e ON e.parentId = l.parentId WHERE e.parentGen > l.parentGen
+    GROUP BY l.PId, l.parentId, l.snapnext, e.snapnext, l.parentGen, l.gen UNION ALL
     SELECT parentId, parentId, Mass, snapnext, parentGen, parentGen FROM q_split WHERE parentId IN (SELECT PId FROM q_ids)"""
 _CTES["q_best"] = f"""SELECT * FROM (SELECT a.PId, t.snapnum, a.parentId, a.gen,
     row_number() OVER (PARTITION BY a.PId, t.snapnum ORDER BY a.gen DESC, a.parentId) AS rn

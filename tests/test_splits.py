@@ -107,7 +107,7 @@ def test_cyclic_log_is_an_error(rows):
     log = rows("PId long, parentId long, Mass double, atime double, snapnext int, parentGen int",
                [(1, 2, 1.0, 0.1, 1, 1), (2, 1, 1.0, 0.2, 2, 1)])
     with pytest.raises(RuntimeError):
-        split_ancestors(rows("PId long", [(1,)]), log, max_depth=3)
+        split_ancestors(rows("PId long", [(1,)]), log, max_rounds=3)
 
 
 def test_split_table_places_events_on_the_grid(rows):
