@@ -191,12 +191,14 @@ class Fixtures:
         """Particle p was split off particle p div 4; parents are always older."""
         part = self.table("part")
         end = part.agg(F.max("p_partkey") + 1).scalar()
-        return part.where("p_partkey >= 4").select(
+        events = part.select(
             F.col("p_partkey").alias("PId"),
             F.expr("p_partkey div 4").alias("parentId"),
             (F.col("p_partkey").cast("double") / end).alias("atime"),
             F.col("p_size").cast("double").alias("Mass"),
         )
+        # the first particle has no parent
+        return events.where("parentId <> PId")
 
     @cached_property
     def tracks(self) -> DataFrame:
@@ -304,7 +306,7 @@ SQL = {
         FROM fx_particles WHERE galId <> 0 GROUP BY snapnum, galId""",
     "fx_split": """SELECT p_partkey AS PId, p_partkey // 4 AS parentId,
         CAST(p_partkey AS DOUBLE) / (SELECT max(p_partkey) + 1 FROM part) AS atime, CAST(p_size AS DOUBLE) AS Mass
-        FROM part WHERE p_partkey >= 4""",
+        FROM part WHERE p_partkey // 4 <> p_partkey""",
     "fx_tracks": "SELECT user_id AS PhEWKey, ts AS atime, value AS Mass, event_type AS tag FROM events",
     "fx_launch": """SELECT p_partkey AS PhEWKey, p_partkey AS PId, CAST(p_size AS DOUBLE) AS Mass,
         CAST(p_size AS DOUBLE) / 60.0e0 AS atime FROM part""",

@@ -60,7 +60,7 @@ def virial_radius(mass: Column, z: Column) -> Column:
 
 
 def virial_velocity(mass: Column, z: Column) -> Column:
-    return F.sqrt(C.GRAVITY * mass / virial_radius(mass, z))
+    return F.sqrt(F.try_divide(C.GRAVITY * mass, virial_radius(mass, z)))
 
 
 def virial_temperature(mass: Column, z: Column) -> Column:
@@ -72,7 +72,7 @@ def isothermal_density(mass: Column, z: Column, r_over_rvir: float, h: float = C
     """Number density of a singular isothermal sphere at a fraction of the virial radius."""
     v = circular_velocity(mass, z, h)
     r = virial_radius(mass, z) * r_over_rvir
-    return v * v / (r * r) / (4.0 * pi * C.GRAVITY * 0.60 * C.HYDROGEN_MASS)
+    return F.try_divide(v * v, r * r) / (4.0 * pi * C.GRAVITY * 0.60 * C.HYDROGEN_MASS)
 
 
 def with_virial(df: DataFrame, mass: str, z: str, astro: bool = True, h: float = C.HUBBLE) -> DataFrame:

@@ -191,7 +191,7 @@ def radial_profile(
 
     r = F.sqrt(offset("x") * offset("x") + offset("y") * offset("y") + offset("z") * offset("z"))
     shells = (
-        near.withColumn("_r", r / F.col("Rvir"))
+        near.withColumn("_r", F.try_divide(r, F.col("Rvir")))
         .where(F.col("_r") < rmax)
         .groupBy(*key, "Rvir", F.floor(F.col("_r") * (nbins / rmax)).alias("bin"))
         .agg(

@@ -77,6 +77,9 @@ def asof_join(
     """
     if direction not in ("backward", "forward"):
         raise ValueError("direction must be backward or forward")
+    clash = set(values) & set(left.columns)
+    if clash:
+        raise ValueError(f"rename the value columns {sorted(clash)}: the left side has them too")
     back = direction == "backward"
     block = F.lit(0) if block is None else block
     lefts = left.withColumn("_block", block)
@@ -129,7 +132,7 @@ def interpolate(df: DataFrame, x: str, knots: DataFrame, kx: str, ky: str, out:
     last = F.size("_knots")
     start = F.least(F.col("_i"), last - 1)
     lo, hi = F.get("_knots", start - 1), F.get("_knots", start)
-    y = lo["y"] + (v - lo["x"]) * (hi["y"] - lo["y"]) / (hi["x"] - lo["x"])
+    y = lo["y"] + F.try_divide((v - lo["x"]) * (hi["y"] - lo["y"]), hi["x"] - lo["x"])
     top = F.get("_knots", last - 1)["x"]
     return found.withColumn(out, F.when((F.col("_i") > 0) & (v <= top), y)).drop("_knots", "_i")
 

@@ -48,6 +48,9 @@ def galaxy_main_ids(flows: DataFrame, written: bool = False) -> DataFrame:
     kind = dict(flows.dtypes)
     schema = f"galId {kind['galId']}, mainId bigint, snapnum {kind['snapnum']}"
 
+    if not listed:
+        return spark.createDataFrame([], schema)
+
     def resolved() -> DataFrame:
         return spark.read.schema(schema).parquet(path)
 

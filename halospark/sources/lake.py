@@ -176,7 +176,7 @@ def snapshots(spark: SparkSession, path: str) -> DataFrame:
 
 
 def n_snaps(lake: DataFrame) -> int:
-    """Number of snapshots; answered from the partition listing of a lake."""
+    """Number of snapshots; on a lake this reads partition values and file footers, no particle column."""
     return lake.select("snapnum").distinct().count()
 
 

@@ -19,7 +19,8 @@ _SPACES = r"\s+"
 
 
 def _lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    return spark.read.text(path).select(
+    """Lines that are not blank, with the file and the input split they come from."""
+    return spark.read.text(path).where(F.trim("value") != "").select(
         "value",
         F.col("_metadata.file_path").alias("_file"),
         F.col("_metadata.file_block_start").alias("_start"),
@@ -27,7 +28,7 @@ def _lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def with_line_numbers(lines: DataFrame) -> DataFrame:
-    """Add ``_line`` (0-based, per file) and ``_lines`` (lines of the file).  Only per-split counts are shuffled."""
+    """Add ``_line`` (0-based, per file) and ``_lines`` (their number).  Only per-split counts are shuffled."""
     tagged = lines.withColumn("_id", F.monotonically_increasing_id())
     before = Window.partitionBy("_file").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
     splits = (
@@ -51,7 +52,7 @@ def _typed(lines: DataFrame, schema: T.StructType, sep: str, keep: list[str]) ->
     """Split the lines and cast; a bad or missing field is NULL."""
     parts = F.split(F.trim("value"), sep)
     cols = [F.get(parts, F.lit(i)).try_cast(f.dataType).alias(f.name) for i, f in enumerate(schema.fields)]
-    return lines.where(F.trim("value") != "").select(*cols, *keep)
+    return lines.select(*cols, *keep)
 
 
 def read_catalogue(
@@ -192,7 +193,12 @@ def read_log(
         named = rows.select("*", F.col("_metadata.file_name").alias("_file"))
     else:
         named = _typed(
-            spark.read.text(path).select("value", F.col("_metadata.file_name").alias("_file")), schema, sep, ["_file"]
+            spark.read.text(path)
+            .where(F.trim("value") != "")
+            .select("value", F.col("_metadata.file_name").alias("_file")),
+            schema,
+            sep,
+            ["_file"],
         )
     header = F.col("_file").endswith(".0") & F.col(first).isNull() & F.col(second).isNull()
     return named.where(~header).select(*(columns or schema.fieldNames()))

@@ -60,6 +60,12 @@ def test_distance_against_fine_trapezoid(spark, z):
     assert math.isclose(one(spark, cosmology.angular_distance(F.lit(z))), want, rel_tol=1e-8, abs_tol=1e-9)
 
 
+def test_massless_halo_has_no_virial_velocity(spark):
+    df = spark.createDataFrame([(0.0, 0.5)], "m double, z double")
+    row = cosmology.with_virial(df, "m", "z").collect()[0]
+    assert row.rvir == 0.0 and row.vvir is None and row.n_sis is None
+
+
 def test_relation_order(spark):
     cases = [
         ((0, 5, 0, 5), "IGM"),

@@ -133,6 +133,7 @@ def test_galaxy_tree(rows):
         (1, 6): (founder + 6, 3.0, 1),
         (2, 9): (1, 8.0, None),
     }
+    assert galaxies.galaxy_main_ids(galaxies.star_flows(stars.where("galId = 0"))).count() == 0
     table = galaxies.star_table(stars, tree)
     row = {(r.PId, r.snapnum): (r.mainId, r.initId) for r in table.collect()}
     assert row[3, 1] == (2, 2) and row[3, 2] == (1, 2) and row[4, 1] == (founder + 6, 6)

@@ -28,7 +28,7 @@ def test_group_file_positions_over_many_splits(spark, tmp_path, small_splits):
 
 
 def test_sogrp_is_comma_separated(spark, tmp_path):
-    (tmp_path / "so_z001.sogrp").write_text("3\n5, 4\n0,0\n-2,1\n")
+    (tmp_path / "so_z001.sogrp").write_text("3\n5, 4\n\n0,0\n-2,1\n\n")
     got = text.read_sogrp(spark, str(tmp_path / "so_z001.sogrp")).orderBy("idx").collect()
     assert [(r.haloId, r.hostId, r.idx, r.snapnum) for r in got] == [(5, 4, 0, 1), (0, 0, 1, 1), (-2, 1, 2, 1)]
     assert text.rows_upto(1, 10, 5, 2) == 15 and text.rows_upto(4, 10, 5, 2) == 17
