@@ -146,7 +146,7 @@ def track_accretion(
             ids = ids.union(select.stars_in_galaxy(sim.stars, snapnum, gal_id)).distinct()
     # ids, the target's progenitors, history and wind subset are small and used several times each: written once,
     # so that the tables they come from are read once
-    ids = cut_lineage(ids.select("PId").distinct())
+    ids = cut_lineage(ids.select("PId"))
     line = cut_lineage(tables.progenitors.where(F.col("haloId") == gal_id))
     ancestors = split_ancestors(ids, tables.splits)
     history = cut_lineage(gas_history(ids, sim.gas, ancestors, snapnum, sim.stars if include_stars else None))

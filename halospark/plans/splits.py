@@ -62,7 +62,8 @@ def split_ancestors(
     snapshot to each of its descendants.  ``per_snapshot=False`` lists every single split instead; its size grows
     with the square of the splits of one particle.
     """
-    ids = ids.select("PId").distinct()
+    # the ids enter every level of the first round: looked up once
+    ids = cut_lineage(ids.select("PId").distinct())
     events = splits.select("PId", "parentId", "Mass", "snapnext", "parentGen")
     # splits a particle went through itself = the generation at which it was born, less one
     own = events.groupBy(F.col("parentId").alias("PId")).agg(F.max("parentGen").alias("own"))

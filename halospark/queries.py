@@ -481,13 +481,13 @@ def ion_phase(fx):
 
 # == grids =================================================================================================
 @query(f"""SELECT CAST(x.range AS INT) AS ix, CAST(y.range AS INT) AS iy, round(-1.5 + x.range * (8.5e0 / 64), 6) AS LogRho,
-    round(3.0 + y.range * (5.0e0 / 64), 6) AS LogT, coalesce(c.n, 0) AS count, coalesce(c.m, 0) AS Mass, round(coalesce(c.zm, 0), 9) AS Zmet
+    round(3.0 + y.range * (5.0e0 / 64), 6) AS LogT, coalesce(c.n, 0) AS count, coalesce(c.m, 0) AS Mass, round(coalesce(c.zm, 0), 4) AS Zmet
     FROM range(64) x CROSS JOIN range(64) y LEFT JOIN (
         SELECT gx, gy, count(*) AS n, sum(Mass) AS m, sum(Mass * O / 8.65e-3 * 0.0122) AS zm FROM (SELECT *, {_CELL} FROM fx_points)
         WHERE gx > 0 AND gx < 64 AND gy > 0 AND gy < 64 GROUP BY gx, gy) c ON c.gx = x.range AND c.gy = y.range""")
 def phase_diagram(fx):
     grid = grids.phase_diagram(fx.points.withColumn("LogT", F.col("logT")), 64, 64, "logRho", "LogT")
-    return rounded(rounded(grid, "LogRho", "LogT"), "Zmet", digits=9)
+    return rounded(rounded(grid, "LogRho", "LogT"), "Zmet", digits=4)
 
 
 _CTES["q_window"] = "SELECT * FROM fx_points WHERE z > 3000 AND z < 15000"
