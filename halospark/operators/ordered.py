@@ -90,8 +90,16 @@ def running_total(
 
 
 def with_row_number(df: DataFrame, order: list[Column], out: str = "rn", total: str | None = None) -> DataFrame:
-    """1-based position of every row in a total order of the whole table."""
-    return running_total(df, [], order, F.lit(1), out, total)
+    """1-based position of every row in an order of the whole table.
+
+    Rows that tie in ``order`` follow a hash of their columns, so that many ties still spread over the ranges and a
+    repeated run numbers them alike.
+    """
+    tie = "_tie"
+    numbered = running_total(
+        df.withColumn(tie, F.xxhash64(*df.columns)), [], [*order, F.col(tie)], F.lit(1), out, total
+    )
+    return numbered.drop(tie)
 
 
 def every_nth(df: DataFrame, order: list[Column], k: int) -> DataFrame:

@@ -34,6 +34,9 @@ def test_row_number_and_samples(spark):
     assert sorted(r.t for r in ordered.every_nth(df, [F.col("t")], 100).collect()) == list(range(99, 3000, 100))
     taken = ordered.stride_sample(df, 7, [F.col("t")], rank="r").toPandas().sort_values("t")
     assert taken.t.tolist() == [i * 428 for i in range(7)] and taken.r.tolist() == list(range(7))
+    # nothing but ties: still every number once
+    ties = ordered.with_row_number(df.withColumn("c", F.lit(1)), [F.col("c")], "rn").toPandas()
+    assert sorted(ties.rn) == list(range(1, 3001))
     # fewer rows than asked for: all of them
     assert ordered.stride_sample(df.where("t < 5"), 7, [F.col("t")]).count() == 5
 
