@@ -2,35 +2,58 @@
 
 A written table outlives lost executors, and unlike an RDD checkpoint it brings its size along: the optimizer
 broadcasts a small one by itself and prunes columns and partitions of a large one.
+
+Tables that a loop has done with are deleted by :func:`release`; those that a returned DataFrame still reads go when
+the Python process ends.
 """
 
 from __future__ import annotations
 
-import tempfile
+import atexit
 from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-_local_folder: tempfile.TemporaryDirectory | None = None
+_written: dict[str, SparkSession] = {}
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder; only a local session (tests) may fall back to a temporary one."""
-    global _local_folder
+    """The shared folder: spark.checkpoint.dir, or where it is unset a folder in the session's warehouse."""
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-    if _local_folder is None:
-        _local_folder = tempfile.TemporaryDirectory(prefix="halospark-")
-    return _local_folder.name
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_intermediate"
 
 
 def new_path(spark: SparkSession) -> str:
-    """A path in the shared folder that nothing else uses."""
-    return f"{checkpoint_dir(spark)}/halospark-{uuid4().hex}"
+    """A path in the shared folder that nothing else uses; what is written there is deleted at the latest at exit."""
+    path = f"{checkpoint_dir(spark)}/halospark-{uuid4().hex}"
+    _written[path] = spark
+    return path
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def release(*paths: str) -> None:
+    """Delete written tables that no DataFrame in use reads any more."""
+    for path in paths:
+        spark = _written.pop(path, None)
+        if spark is not None:
+            _delete(spark, path)
+
+
+@atexit.register
+def _release_all() -> None:
+    for path in list(_written):
+        try:
+            release(path)
+        except Exception:  # the session may be gone: its folder is then for its owner to empty
+            return
 
 
 def cut_lineage(df: DataFrame, partition_by: str | None = None) -> DataFrame:
