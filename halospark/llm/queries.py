@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitplanes, line_dedup, quality, sp_bpe, warc
+from . import bitplanes, entropy_mix, jaccard_tree, line_dedup, quality, sp_bpe, warc
 from .common import LOWER, UPPER, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +52,11 @@ def op1_warc_archive(spark, sf_dir):
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@query()
+def op3_jaccard_join(spark, sf_dir):
+    return jaccard_tree.linked(table(spark, sf_dir, "documents"), width=3, percent=90).select("doc_id", "n_shingles", "component_id")
+
+
 @query(
     f"""WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
@@ -113,6 +118,12 @@ def op7_quality_rules(spark, sf_dir):
     )
 
 
+@query()
+def op8_entropy_mix(spark, sf_dir):
+    mixed = entropy_mix.copies(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
 @query()
 def op9_byte_bpe(spark, sf_dir):
     model = sp_bpe.serialise(sp_bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")))
