@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitplanes, entropy_mix, jaccard_tree, line_dedup, quality, sp_bpe, warc
+from . import bitplanes, entropy_mix, jaccard_tree, line_dedup, quality, secret_forest, sp_bpe, warc
 from .common import LOWER, UPPER, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -128,3 +128,8 @@ def op8_entropy_mix(spark, sf_dir):
 def op9_byte_bpe(spark, sf_dir):
     model = sp_bpe.serialise(sp_bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")))
     return sp_bpe.round_trip(table(spark, sf_dir, "documents"), model, public_tokenizers.PATTERN)
+
+
+@query()
+def op10_secret_forest(spark, sf_dir):
+    return secret_forest.scan(table(spark, sf_dir, "documents"))
