@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitplanes, entropy_mix, jaccard_tree, line_dedup, quality, secret_forest, sp_bpe, warc
+from . import bitplanes, curve_ann, entropy_mix, jaccard_tree, line_dedup, quality, secret_forest, sp_bpe, warc
 from .common import LOWER, UPPER, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -77,6 +77,11 @@ def op4_line_dedup(spark, sf_dir):
     )
 
 
+@query()
+def op5_curve_ann(spark, sf_dir):
+    return curve_ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 @query()
 def op6_bit_planes(spark, sf_dir):
     with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
