@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitplanes, curve_ann, entropy_mix, jaccard_tree, line_dedup, quality, secret_forest, sp_bpe, warc
+from . import bitplanes, curve_ann, entropy_mix, jaccard_tree, katz, line_dedup, quality, secret_forest, sp_bpe, warc
 from .common import LOWER, UPPER, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +52,11 @@ def op1_warc_archive(spark, sf_dir):
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@query()
+def op2_katz_scores(spark, sf_dir):
+    return katz.score(table(spark, sf_dir, "documents"))
+
+
 @query()
 def op3_jaccard_join(spark, sf_dir):
     return jaccard_tree.linked(table(spark, sf_dir, "documents"), width=3, percent=90).select("doc_id", "n_shingles", "component_id")
