@@ -120,8 +120,9 @@ def metrics(docs: DataFrame, text: str = "text", into: str = "_quality") -> Data
         "n_dup_lines": F.size(lines) - F.size(F.array_distinct(lines)),
         "n_repeat_words": covered,
     }
-    df = df.withColumn(into, F.struct(*[value[m].cast("long").alias(m) for m in METRICS]))
-    return df.drop(w, lines, hashes, wins, ranked, starts)
+    # as a generator's output the metrics are worked out once: a filter on them is not pushed into the projections
+    one = F.array(F.struct(*[value[m].cast("long").alias(m) for m in METRICS]))
+    return df.select(*[F.col(c) for c in docs.columns], F.explode(one).alias(into))
 
 
 def base_failed(metric: dict[str, Column]) -> Column:
