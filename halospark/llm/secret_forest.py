@@ -18,9 +18,8 @@ table has no findings; other columns are ignored.
 from __future__ import annotations
 
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -122,7 +121,9 @@ def fit(labelled: DataFrame):
     drawn = labelled.where("label is not null").where(draw < rate)
     # one sorted partition of bounded size: the same rows in the same order in every run
     sample = cut_lineage(drawn.select("doc_id", "nth", "candidate", "label", *FEATURES).coalesce(1).sortWithinPartitions("doc_id", "nth", "candidate"))
-    forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, featuresCol="features", labelCol="label")
+    # on labels of 0 and 1 the mean of the trees' leaves is the share of secrets; unlike a classifier's, this model
+    # holds no summary that ties it to the session
+    forest = RandomForestRegressor(numTrees=TREES, maxDepth=DEPTH, seed=SEED, featuresCol="features", labelCol="label", predictionCol="score")
     return Pipeline(stages=[VectorAssembler(inputCols=list(FEATURES), outputCol="features"), forest]).fit(sample)
 
 
@@ -143,5 +144,5 @@ def scan(docs: DataFrame, path: str = "source", labels: DataFrame | None = None,
     if forest is None:
         scored = labelled.withColumn("score", F.coalesce("label", F.lit(0.0)))
     else:
-        scored = forest.transform(labelled).withColumn("score", vector_to_array("probability")[1])
+        scored = forest.transform(labelled)
     return scored.select("doc_id", "nth", "candidate", "label", "score", (F.col("score") >= threshold).alias("is_secret"))
