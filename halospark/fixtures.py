@@ -335,4 +335,10 @@ def with_views(body: str, ctes: dict[str, str]) -> str:
     visit(body)
     if not needed:
         return body
-    return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({ctes[n]})" for n in needed) + "\n" + body
+
+    def defined(name: str) -> str:
+        # worked out once however often it is named; one that names itself is so anyway
+        kind = "" if re.search(rf"\b{name}\b", ctes[name]) else "MATERIALIZED "
+        return f"{name} AS {kind}({ctes[name]})"
+
+    return "WITH RECURSIVE " + ",\n".join(map(defined, needed)) + "\n" + body

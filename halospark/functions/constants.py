@@ -62,5 +62,3 @@ LOGT_THRESHOLD = 5.5
 PTYPE = {"gas": 0, "dark": 1, "star": 4, "bh": 5}
 SELF, PARENT, SAT, SIB, IGM = "SELF", "PARENT", "SAT", "SIB", "IGM"
 
-# upper bound on the rows of a time grid that is held as one array inside an expression
-MAX_GRID_ROWS = 4096

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -67,8 +69,7 @@ def rho_thresh(z: Column, om: float = C.OMEGA_M, ol: float = C.OMEGA_L) -> Colum
     """Density threshold that separates bound from diffuse gas at redshift z."""
     matter = om * F.pow(1 + z, F.lit(3.0))
     f = matter / (matter + ol)
-    pi2 = 9.869604401089358
-    return 6.0 * pi2 * (1 + 0.4093 * F.pow(1 / f - 1, F.lit(0.9052))) - 1
+    return 6.0 * math.pi**2 * (1 + 0.4093 * F.pow(1 / f - 1, F.lit(0.9052))) - 1
 
 
 def phase_region(log_rho: Column, logT: Column, z: Column) -> Column:

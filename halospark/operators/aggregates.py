@@ -6,6 +6,8 @@ All are plain ``groupBy().agg()`` with map-side partial aggregation, so a hot ha
 
 from __future__ import annotations
 
+import math
+
 from math import log10
 
 from pyspark.sql import Column, DataFrame
@@ -202,7 +204,7 @@ def radial_profile(
     )
     width = rmax / nbins
     inner, outer = F.col("bin") * width * F.col("Rvir"), (F.col("bin") + 1) * width * F.col("Rvir")
-    shell = (4.0 * 3.141592653589793 / 3.0) * (outer * outer * outer - inner * inner * inner)
+    shell = (4.0 * math.pi / 3.0) * (outer * outer * outer - inner * inner * inner)
     return shells.select(
         *key, "bin", ((F.col("bin") + 0.5) * width).alias("r"), "n", "Mass", (F.col("Mass") / shell).alias("rho"), "logT"
     )

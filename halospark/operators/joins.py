@@ -7,10 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as C
 
-# cells times ions of an ion table that may be broadcast (about 40 bytes each)
-MAX_BROADCAST_CELLS = 1_000_000
-
-
 # parts a hot key of a skewed join is spread over
 SALTS = 16
 
@@ -32,27 +28,59 @@ def join_skewed(
 
 
 # -- as-of on the time grid -------------------------------------------------------------------------------
-def _with_array(df: DataFrame, values: DataFrame, col: str | Column, name: str) -> DataFrame:
-    """Attach a small sorted array as a scalar subquery; a grid over the size bound is an error, not a risk."""
-    element = F.col(col) if isinstance(col, str) else col
-    # reading stops right after the bound, so an oversized grid is noticed and never gathered
-    array = values.select(element.alias("_v")).limit(C.MAX_GRID_ROWS + 1).agg(
-        F.when(F.count("*") <= C.MAX_GRID_ROWS, F.sort_array(F.collect_list("_v"))).otherwise(
-            F.raise_error(F.lit(f"more than {C.MAX_GRID_ROWS} grid rows: use asof_join"))
+def _located(df: DataFrame, value: Column, grid: DataFrame, key: str | Column, payload: list[str]) -> DataFrame:
+    """``df`` with ``_near``: the grid rows in the value's cell of the axis, with the last before and the first after
+    it, in order; and ``_before``: how many grid rows lie before the first of ``_near``.
+
+    The axis from the first to the last grid value is cut into as many equal cells as there are grid rows, and values
+    and grid meet in an equi join on the cell, which the optimizer broadcasts where the grid's true size allows.  No
+    grid is too large, and each value is compared with the few rows of its own cell only.
+    """
+    at = F.col(key) if isinstance(key, str) else key
+    rows = grid.select(F.struct(at.alias("k"), *payload).alias("_row")).where("_row.k is not null")
+    number = F.col("_row.k").cast("double")
+    axis = rows.agg(F.struct(F.min(number).alias("lo"), F.max(number).alias("hi"), F.count("*").alias("n"))).scalar()
+
+    def cell(x: Column) -> Column:
+        share = F.try_divide(x - F.col("_axis.lo"), F.col("_axis.hi") - F.col("_axis.lo"))
+        return F.when(x.isNull(), None).when(x < F.col("_axis.lo"), -1).when(x > F.col("_axis.hi"), F.col("_axis.n")).otherwise(
+            F.coalesce(F.least(F.floor(share * F.col("_axis.n")), F.col("_axis.n") - 1), F.lit(0))
+        ).cast("long")
+
+    filled = (
+        rows.withColumn("_axis", axis)
+        .withColumn("_cell", cell(number))
+        .groupBy("_cell")
+        .agg(F.sort_array(F.collect_list("_row")).alias("_rows"))
+    )
+    every = rows.agg(F.count("*").alias("n")).select(F.explode(F.sequence(F.lit(-1).cast("long"), F.col("n"))).alias("_cell"))
+    order = Window.orderBy("_cell")
+    earlier, later = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
+    own = F.coalesce(F.col("_rows"), F.array().cast(filled.schema["_rows"].dataType))
+    last = F.last(F.element_at("_rows", -1), ignorenulls=True).over(earlier)
+    following = F.first(F.element_at("_rows", 1), ignorenulls=True).over(later)
+    side = lambda x: F.when(x.isNull(), F.array().cast(filled.schema["_rows"].dataType)).otherwise(F.array(x))
+    upto = F.coalesce(F.sum(F.size("_rows")).over(earlier), F.lit(0))
+    cells = (
+        every.join(filled, "_cell", "left")
+        .withColumns({"_last": last, "_next": following, "_upto": upto, "_own": own})
+        .select(
+            "_cell",
+            F.concat(side(F.col("_last")), "_own", side(F.col("_next"))).alias("_near"),
+            (F.col("_upto") - F.col("_last").isNotNull().cast("int")).alias("_before"),
         )
     )
-    return df.withColumn(name, array.scalar())
+    placed = df.withColumn("_axis", axis).withColumn("_cell", cell(value.cast("double"))).drop("_axis")
+    return placed.join(cells, "_cell", "left").drop("_cell")
 
 
 def with_snap_after(df: DataFrame, time: str, grid: DataFrame, out: str, a: str = "a") -> DataFrame:
     """Index of the first snapshot strictly after an event (= number of grid times <= the event time)."""
     t = F.col(time)
-    return (
-        _with_array(df, grid, a, "_grid")
-        # never NULL, and said so: otherwise null checks of later joins would evaluate it twice
-        .withColumn(out, F.coalesce(F.size(F.filter("_grid", lambda g: g <= t)), F.lit(0)))
-        .drop("_grid")
-    )
+    upto = F.col("_before") + F.size(F.filter("_near", lambda g: g["k"] <= t))
+    # never NULL: an event without a time, and an empty grid, have no snapshot before them
+    found = _located(df, t, grid, a, []).withColumn(out, F.coalesce(upto, F.lit(0)).cast("int"))
+    return found.select(*[c for c in df.columns if c != out], out)
 
 
 def with_snap_before(df: DataFrame, time: str, grid: DataFrame, out: str, a: str = "a") -> DataFrame:
@@ -87,7 +115,8 @@ def asof_join(
 
     keys = [*by, "_block"]
     pick = F.max_by if back else F.min_by
-    edge = rights.groupBy(*keys).agg(pick(F.struct(*values), F.col(on)).alias("_edge"))
+    # of right rows with equal time and key the one with the largest (forward: smallest) values counts
+    edge = rights.groupBy(*keys).agg(pick(F.struct(*values), F.struct(on, *values)).alias("_edge"))
     # every block that holds rows of either side inherits the nearest edge before (after) it
     cells = lefts.select(*keys).distinct().join(edge, keys, "full")
     along = Window.partitionBy(*by).orderBy(F.col("_block").asc() if back else F.col("_block").desc())
@@ -110,7 +139,7 @@ def asof_join(
         .withColumn("_first", (F.col("_side") != 0).cast("int"))
     )
     time = F.col(on).asc() if back else F.col(on).desc()
-    w = Window.partitionBy(*keys).orderBy("_first", time, "_side")
+    w = Window.partitionBy(*keys).orderBy("_first", time, "_side", F.col("_hit").asc() if back else F.col("_hit").desc())
     return (
         merged.withColumn(
             "_found", F.last("_hit", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
@@ -123,35 +152,33 @@ def asof_join(
 # -- interpolation ----------------------------------------------------------------------------------------
 def interpolate(df: DataFrame, x: str, knots: DataFrame, kx: str, ky: str, out: str) -> DataFrame:
     """Piecewise linear interpolation in a bounded table of knots; NULL outside its range."""
-    v = F.col(x)
-    pairs = F.struct(F.col(kx).cast("double").alias("x"), F.col(ky).cast("double").alias("y"))
-    found = _with_array(df, knots, pairs, "_knots").withColumn(
-        "_i", F.size(F.filter("_knots", lambda k: k["x"] <= v))
-    )
-    # _i knots lie at or below v: the segment starts at knot _i (1-based); the last knot closes its segment
-    last = F.size("_knots")
-    start = F.least(F.col("_i"), last - 1)
-    lo, hi = F.get("_knots", start - 1), F.get("_knots", start)
-    y = lo["y"] + F.try_divide((v - lo["x"]) * (hi["y"] - lo["y"]), hi["x"] - lo["x"])
-    top = F.get("_knots", last - 1)["x"]
-    return found.withColumn(out, F.when((F.col("_i") > 0) & (v <= top), y)).drop("_knots", "_i")
+    v = F.col(x).cast("double")
+    sides = knots.select(F.col(kx).cast("double").alias("k"), F.col(ky).cast("double").alias("y"))
+    found = _located(df, v, sides, "k", ["y"]).withColumn("_i", F.size(F.filter("_near", lambda k: k["k"] <= v)))
+    # _i knots of the cell's lie at or below v: the segment starts at the last of them
+    lo, hi = F.get("_near", F.col("_i") - 1), F.get("_near", F.col("_i"))
+    inner = lo["y"] + F.try_divide((v - lo["k"]) * (hi["y"] - lo["y"]), hi["k"] - lo["k"])
+    # the last knot belongs to the range: there its own value counts
+    value = F.when(F.col("_i") > 0, F.when(v == lo["k"], lo["y"]).when(hi.isNotNull(), inner))
+    return found.withColumn(out, value).select(*[c for c in df.columns if c != out], out)
 
 
 # -- intervals --------------------------------------------------------------------------------------------
 def snapshot_for_redshift(df: DataFrame, z: str, plan: DataFrame) -> DataFrame:
-    """Attach the plan rows whose ``zlo <= z < zhi``; plan rows with an empty interval are ignored.
+    """Attach the plan rows whose ``zlo <= z < zhi``; rows outside all intervals keep NULLs.
+
+    A plan row with an empty or open interval is an error when the result is evaluated.
 
     Intervals are cut into cells of width 0.05 so that the join is an equi join on the cell.
     """
     cell = 0.05
-    valid = plan.where("zlo < zhi").withColumn(
-        "_cell", F.explode(F.sequence(F.floor(F.col("zlo") / cell), F.floor(F.col("zhi") / cell)))
-    )
-    return (
-        join_skewed(df.withColumn("_cell", F.floor(F.col(z) / cell)), valid, ["_cell"])
-        .where((F.col(z) >= F.col("zlo")) & (F.col(z) < F.col("zhi")))
-        .drop("_cell")
-    )
+    text = F.format_string("bad redshift interval [%s, %s)", F.col("zlo").cast("string"), F.col("zhi").cast("string"))
+    zlo = F.when(F.col("zlo") < F.col("zhi"), F.col("zlo")).otherwise(F.raise_error(text))
+    cells = F.sequence(F.floor(F.col("zlo") / cell), F.floor(F.col("zhi") / cell))
+    valid = plan.withColumn("zlo", zlo).withColumn("_cell", F.explode(cells))
+    # the interval is part of the join condition, so that rows without one stay
+    inside = (F.col("_at") == F.col("_cell")) & (F.col(z) >= F.col("zlo")) & (F.col(z) < F.col("zhi"))
+    return df.withColumn("_at", F.floor(F.col(z) / cell)).join(valid, inside, "left").drop("_cell", "_at")
 
 
 # -- ion fractions on the (density, temperature) grid -----------------------------------------------------
@@ -209,12 +236,9 @@ def with_ion_fractions(
         log_f = (1 - t) * (1 - u) * y["y1"] + t * (1 - u) * y["y2"] + t * u * y["y3"] + (1 - t) * u * y["y4"]
         return F.pow(F.lit(10.0), log_f)
 
-    # one row per cell of the grid: the grid shape bounds the size, and an uncommonly large grid is not broadcast
+    # one row per cell of the grid: the optimizer broadcasts it where its true size allows
     wide = wide.where((F.col("ih") < shape[0]) & (F.col("it") < shape[1]) & (F.col("ih") >= 0) & (F.col("it") >= 0))
-    if shape[0] * shape[1] * len(ions) <= MAX_BROADCAST_CELLS:
-        joined = located.join(F.broadcast(wide), ["ih", "it"], "left")
-    else:
-        joined = join_skewed(located, wide, ["ih", "it"], "left", [log_nh, logT])
+    joined = located.join(wide, ["ih", "it"], "left")
     return joined.withColumns({f"f{ion}": fraction(ion) for ion in ions}).drop("ih", "it", *ions)
 
 

@@ -43,11 +43,13 @@ def galaxies_by_mass(galaxies: DataFrame, low: float, high: float, index_only: b
 def galaxies_by_percentile(
     galaxies: DataFrame, low: float, high: float, col: str = "logMgal", index_only: bool = False
 ) -> DataFrame:
-    """Galaxies between two exact mass quantiles, both ends included."""
+    """Galaxies between two exact mass quantiles of their snapshot, both ends included."""
     if low > high:
         raise ValueError("low must not exceed high")
-    edges = group_quantiles(galaxies, [], col, {"lo": low, "hi": high}).select(F.struct("lo", "hi")).scalar()
-    rows = galaxies.where((F.col(col) >= edges["lo"]) & (F.col(col) <= edges["hi"]))
+    keys = [c for c in ("snapnum",) if c in galaxies.columns]
+    edges = group_quantiles(galaxies, keys, col, {"_lo": low, "_hi": high})
+    placed = galaxies.join(edges, keys) if keys else galaxies.withColumns({c: edges.select(c).scalar() for c in ("_lo", "_hi")})
+    rows = placed.where((F.col(col) >= F.col("_lo")) & (F.col(col) <= F.col("_hi"))).select(*galaxies.columns)
     return rows.select(*[c for c in ("snapnum", "galId") if c in rows.columns]) if index_only else rows
 
 
@@ -85,21 +87,22 @@ def halo_layer(halos: DataFrame, zlim: Limits, rmin: float = 100.0) -> DataFrame
     return _inside(halos, {"z": zlim}).where(F.col("Rvir") > rmin)
 
 
-def halo_info(halos: DataFrame, halo_id: int) -> DataFrame:
-    """Centre, radius and mass of one halo; evaluating it for an unknown id is an error."""
-    row = halos.where(F.col("haloId") == halo_id)
+def halo_info(halos: DataFrame, snapnum: int, halo_id: int) -> DataFrame:
+    """Centre, radius and mass of one halo; evaluating it for an unknown (snapnum, haloId) is an error."""
+    row = halos.where((F.col("snapnum") == snapnum) & (F.col("haloId") == halo_id))
     found = F.when(F.count("*") > 0, F.lit(halo_id)).otherwise(
-        F.raise_error(F.lit(f"haloId {halo_id} not found"))
+        F.raise_error(F.lit(f"haloId {halo_id} not found at snapnum {snapnum}"))
     )
     cols = ["Rvir", "logMvir", "x", "y", "z"]
-    return row.agg(found.alias("haloId"), *[F.first(c).alias(c) for c in cols])
+    return row.agg(F.lit(snapnum).alias("snapnum"), found.alias("haloId"), *[F.first(c).alias(c) for c in cols])
 
 
-def particles_in_box(particles: DataFrame, halos: DataFrame, halo_id: int, rlim: float) -> DataFrame:
-    """Particles in the cube ``centre +- rlim * Rvir``; limits arrive as one scalar subquery."""
+def particles_in_box(particles: DataFrame, halos: DataFrame, snapnum: int, halo_id: int, rlim: float) -> DataFrame:
+    """Particles of a snapshot in the cube ``centre +- rlim * Rvir``; limits arrive as one scalar subquery."""
     half = F.col("Rvir") * rlim
+    particles = particles.where(F.col("snapnum") == snapnum)
     box = (
-        halos.where(F.col("haloId") == halo_id)
+        halos.where((F.col("snapnum") == snapnum) & (F.col("haloId") == halo_id))
         .agg(
             F.struct(
                 *[F.first(F.col(c) - half).alias(f"{c}lo") for c in "xyz"],
@@ -113,8 +116,8 @@ def particles_in_box(particles: DataFrame, halos: DataFrame, halo_id: int, rlim:
     return particles
 
 
-def particles_of_halo(particles: DataFrame, halo_id: int, cols: list[str] | None = None) -> DataFrame:
-    rows = particles.where(F.col("haloId") == halo_id)
+def particles_of_halo(particles: DataFrame, snapnum: int, halo_id: int, cols: list[str] | None = None) -> DataFrame:
+    rows = particles.where((F.col("snapnum") == snapnum) & (F.col("haloId") == halo_id))
     return rows.select(*cols) if cols else rows
 
 

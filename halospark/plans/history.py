@@ -11,6 +11,7 @@ from ..functions import constants as C
 from ..operators import select
 from ..operators.lineage import cut_lineage
 from ..operators.ordered import with_diff
+from ..sources.store import materialize
 from .progenitors import host_table, progenitor_table, with_relation
 from .splits import ancestor_spans, split_ancestors, split_table
 from .winds import wind_lifecycle, wind_mass_partition, wind_subset, wind_table, with_birth_tag
@@ -110,6 +111,27 @@ def permanent_tables(sim: Simulation, snapnum: int, halo_mass: bool = True) -> P
     )
 
 
+def stored_tables(sim: Simulation, base: str, params: dict[str, object], snapnum: int, overwrite: bool = False) -> PermanentTables:
+    """:func:`permanent_tables` kept below ``base``: what is there for these ``params`` is loaded, the rest is built.
+
+    ``params`` name the run that ``sim`` holds, so that tables of different runs never meet.
+    """
+    spark = sim.gas.sparkSession
+    fresh = permanent_tables(sim, snapnum, halo_mass=False)
+
+    def stored(name: str, own: dict[str, object], build) -> DataFrame:
+        return materialize(spark, base, name, {**params, **own}, build, overwrite)
+
+    lifecycle = stored("lifecycle", {}, lambda: fresh.lifecycle)
+    return PermanentTables(
+        lifecycle=lifecycle,
+        winds=stored("winds", {}, lambda: wind_table(sim.gas, lifecycle)),
+        hosts=stored("hosts", {}, lambda: fresh.hosts),
+        splits=stored("splits", {}, lambda: fresh.splits),
+        progenitors=stored("progenitors", {"snapnum": snapnum}, lambda: fresh.progenitors),
+    )
+
+
 @dataclass(frozen=True)
 class Accretion:
     """History of the tracked gas, the wind around it, and the wind share of every mass gain."""
@@ -148,7 +170,7 @@ def track_accretion(
     # so that the tables they come from are read once
     ids = cut_lineage(ids.select("PId"))
     line = cut_lineage(tables.progenitors.where(F.col("haloId") == gal_id))
-    ancestors = split_ancestors(ids, tables.splits)
+    ancestors = split_ancestors(ids, tables.splits, per_snapshot=True)
     history = cut_lineage(gas_history(ids, sim.gas, ancestors, snapnum, sim.stars if include_stars else None))
     # galaxies and halos share their ids
     history = with_relation(history, gal_id, line, tables.hosts)

@@ -127,13 +127,11 @@ def halo_extract(
 ) -> DataFrame:
     """Stored gas of one halo for drawing: the cube around it (``box``) or its members; reused when present."""
     cols = ["x", "y", "z", "Mc", "Sfr", "logT"]
-    rows = particles.where(F.col("snapnum") == snapnum)
 
     def build() -> DataFrame:
         if box:
-            centre = halos.where(F.col("snapnum") == snapnum)
-            return particles_in_box(rows, centre, halo_id, rlim).select(*cols)
-        return particles_of_halo(rows, halo_id, cols)
+            return particles_in_box(particles, halos, snapnum, halo_id, rlim).select(*cols)
+        return particles_of_halo(particles, snapnum, halo_id, cols)
 
     params = {"snapnum": snapnum, "haloId": halo_id, "rlim": rlim if box else None}
     return materialize(particles.sparkSession, base, "box" if box else "halo", params, build, overwrite)

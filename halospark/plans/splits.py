@@ -47,20 +47,17 @@ def split_table(split: DataFrame, grid: DataFrame) -> DataFrame:
     return with_parent_gen(placed).select("PId", "parentId", "Mass", "atime", "snapnext", "parentGen")
 
 
-def split_ancestors(
-    ids: DataFrame, splits: DataFrame, per_snapshot: bool = True, max_rounds: int = 300
-) -> DataFrame:
+def split_ancestors(ids: DataFrame, splits: DataFrame, per_snapshot: bool = False) -> DataFrame:
     """All split events on the way from the tracked particles back to their oldest ancestors.
 
     One row per (tracked PId, event): ``parentId`` stands in for PId before ``snapnext`` with generation ``gen``.
     A round climbs a few parents for all particles at once (the levels share one shuffle of the log, or none when
-    the particles are few) and is written out; rounds go on until no parent is left.  ``max_rounds`` only catches a
-    cyclic log, as an error.
+    the particles are few) and is written out; rounds go on until no parent is left.  A line of parents with more
+    steps than the log has splits is a cycle, an error.
 
-    Splits an ancestor went through before give rows too: of those between two snapshots the one of highest
-    generation, which is all that a history can see, so that a much-split ancestor adds at most one row per
-    snapshot to each of its descendants.  ``per_snapshot=False`` lists every single split instead; its size grows
-    with the square of the splits of one particle.
+    Splits that an ancestor went through before give rows too, every one of them.  Of those between two snapshots a
+    history can see the one of highest generation only: ``per_snapshot=True`` keeps just these, reduced before they
+    are given to the descendants, which is what :func:`ancestor_spans` needs of a much-split ancestor.
     """
     # the ids enter every level of the first round: looked up once
     ids = cut_lineage(ids.select("PId").distinct())
@@ -68,7 +65,9 @@ def split_ancestors(
     # splits a particle went through itself = the generation at which it was born, less one
     own = events.groupBy(F.col("parentId").alias("PId")).agg(F.max("parentGen").alias("own"))
     # read by every round and at the end: worked out and written once
-    births = cut_lineage(events.join(own, "PId", "left").withColumn("own", F.coalesce(F.col("own"), F.lit(0))))
+    births, n_births = cut_and_count(
+        events.join(own, "PId", "left").withColumn("own", F.coalesce(F.col("own"), F.lit(0))), F.lit(True)
+    )
     events = births.drop("own")
 
     def climb(rows: DataFrame) -> DataFrame:
@@ -88,7 +87,7 @@ def split_ancestors(
 
     level = births.join(ids, "PId", "left_semi").withColumn("gen", F.col("own") + 1).select(*ANCESTOR_COLUMNS)
     climbed = []
-    for _ in range(max_rounds):
+    while True:
         levels = []
         for step in range(LEVELS_PER_ROUND):
             levels.append(level.withColumn("_step", F.lit(step)))
@@ -98,9 +97,9 @@ def split_ancestors(
         climbed.append(written.drop("_step"))
         if unfinished == 0:
             break
+        if len(climbed) * LEVELS_PER_ROUND > n_births:
+            raise RuntimeError("the split log is cyclic: a line of parents is longer than the log")
         level = climb(written.where(top).drop("_step"))
-    else:
-        raise RuntimeError(f"split log does not end after {max_rounds * LEVELS_PER_ROUND} generations of parents")
     lineage = reduce(DataFrame.unionByName, climbed)
 
     # splits of an ancestor before the one that made the descendant: same parent, higher count from the end

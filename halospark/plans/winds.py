@@ -130,55 +130,30 @@ def build_tracks(
     time: str = "atime",
     fields: tuple[str, ...] = ("Mass", "M_c", "dr", "dv"),
     first: tuple[str, ...] = ("PID", "ainit", "Minit", "Z_c", "MinPotID"),
-    block: Column | None = None,
-    max_records: int = 100_000,
+    segment: Column | None = None,
 ) -> DataFrame:
     """One row per wind particle: ``track`` = struct of arrays in time order, ``records`` = their number.
 
-    ``launches`` (with ``key``) restricts and extends the records.  A row must stay bounded, so a track longer
-    than ``max_records`` continues in rows with ``segment`` 1, 2, ...; ``records`` is the total on each of them.
-    Positions in the track are found per ``block`` (a non-decreasing function of ``time``; by default the day of
-    a timestamp or a thousandth of a scale factor), so even the numbering of one endless track is spread.
+    ``launches`` (with ``key``) restricts and extends the records.  The head fields ``first`` are those of the first
+    record of the whole track, ``records`` is its total.  A row must stay bounded: where one particle may have very
+    many records, ``segment`` names a unit of time (a non-decreasing whole-number function of ``time``), and the track
+    has a row for each of its units.
     """
-    if block is None:
-        timelike = dict(records.dtypes)[time].startswith(("timestamp", "date"))
-        block = F.to_date(time) if timelike else F.floor(F.col(time) * 1000)
+    unit = F.lit(0) if segment is None else segment.cast("int")
     if launches is not None:
         records = records.join(launches, key)
     present = [c for c in fields if c in records.columns]
     heads = [c for c in first if c in records.columns]
-    cut = records.select(key, time, *present, *heads).withColumn("_block", block)
-
-    before = Window.partitionBy(key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = (
-        cut.groupBy(key, "_block")
-        .agg(F.count("*").alias("_n"))
-        .withColumns(
-            {
-                "_before": F.coalesce(F.sum("_n").over(before), F.lit(0)),
-                "records": F.sum("_n").over(Window.partitionBy(key)),
-            }
-        )
-        .drop("_n")
-    )
-    inside = Window.partitionBy(key, "_block").orderBy(time, *present)
-    placed = cut.join(sizes, [key, "_block"]).withColumn(
-        "segment", F.floor((F.col("_before") + F.row_number().over(inside) - 1) / max_records).cast("int")
+    placed = records.select(key, time, *present, *heads).withColumn("segment", unit)
+    whole = placed.groupBy(key).agg(
+        *[F.min_by(c, F.struct(time, *present)).alias(c) for c in heads], F.count("*").alias("records")
     )
     row = F.struct(time, *present)
-    return (
-        placed.groupBy(key, "segment")
-        .agg(
-            # the head fields are those of the first record in time
-            *[F.min_by(c, F.struct(time, *present)).alias(c) for c in heads],
-            F.sort_array(F.collect_list(row)).alias("_rows"),
-            F.max("records").alias("records"),
-        )
-        .select(
-            key,
-            "segment",
-            *heads,
-            F.struct(*[F.col(f"_rows.{c}").alias(c) for c in (time, *present)]).alias("track"),
-            "records",
-        )
+    parts = placed.groupBy(key, "segment").agg(F.sort_array(F.collect_list(row)).alias("_rows"))
+    return parts.join(whole, key).select(
+        key,
+        "segment",
+        *heads,
+        F.struct(*[F.col(f"_rows.{c}").alias(c) for c in (time, *present)]).alias("track"),
+        "records",
     )

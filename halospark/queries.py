@@ -14,6 +14,7 @@ from .fixtures import LAST_SNAP, N_SNAPS, SQL, STAR_ID_SHIFT, TARGET, Fixtures,
 from .functions import constants as C
 from .functions import cosmology, physics, units
 from .operators import aggregates, grids, joins, ordered, select
+from .operators.lineage import new_path
 from .plans import galaxies, history, progenitors, sightlines, splits, winds
 from .sources import catalogues
 
@@ -292,19 +293,17 @@ def halo_layer(fx):
     WHERE p.snapnum = {LAST_SNAP} AND p.x > h.x - 2.5 * h.Rvir AND p.x < h.x + 2.5 * h.Rvir AND p.y > h.y - 2.5 * h.Rvir
     AND p.y < h.y + 2.5 * h.Rvir AND p.z > h.z - 2.5 * h.Rvir AND p.z < h.z + 2.5 * h.Rvir""")
 def box_select(fx):
-    halos = fx.halos.where(F.col("snapnum") == LAST_SNAP)
-    points = fx.points.where(F.col("snapnum") == LAST_SNAP)
-    return select.particles_in_box(points, halos, TARGET, 2.5).select("PId", "x", "y", "z", "Mass")
+    return select.particles_in_box(fx.points, fx.halos, LAST_SNAP, TARGET, 2.5).select("PId", "x", "y", "z", "Mass")
 
 
 @query(f"SELECT haloId, Rvir, round(logMvir, 6) AS logMvir, x, y, z FROM fx_log_halos WHERE snapnum = {LAST_SNAP} AND haloId = {TARGET}")
 def halo_info(fx):
-    return rounded(select.halo_info(fx.log_halos.where(F.col("snapnum") == LAST_SNAP), TARGET), "logMvir")
+    return rounded(select.halo_info(fx.log_halos, LAST_SNAP, TARGET).drop("snapnum"), "logMvir")
 
 
-@query(f"SELECT snapnum, PId, x, y, z, Mass FROM fx_points WHERE haloId = {TARGET}")
+@query(f"SELECT snapnum, PId, x, y, z, Mass FROM fx_points WHERE snapnum = {LAST_SNAP} AND haloId = {TARGET}")
 def halo_particles(fx):
-    return select.particles_of_halo(fx.points, TARGET, ["snapnum", "PId", "x", "y", "z", "Mass"])
+    return select.particles_of_halo(fx.points, LAST_SNAP, TARGET, ["snapnum", "PId", "x", "y", "z", "Mass"])
 
 
 @query("""SELECT snapnum, haloId, x - 2 * Rvir AS xlo, x + 2 * Rvir AS xhi, y - 2 * Rvir AS ylo, y + 2 * Rvir AS yhi,
@@ -424,12 +423,12 @@ def cosmic_time(fx):
     return rounded(joins.interpolate(fx.launch, "atime", fx.tcosmic, "a", "t", "t").select("PhEWKey", "t"), "t")
 
 
-@query("""SELECT galId, p.snapnum FROM (SELECT galId, (z + 0.5) * 4 AS zz FROM fx_galaxies) g
-    JOIN (SELECT snapnum, zred - 0.125 AS zlo, zred + 0.125 AS zhi FROM fx_timegrid) p ON zz >= zlo AND zz < zhi""")
+@query("""SELECT galId, coalesce(p.snapnum, -1) AS snapnum FROM (SELECT galId, (z + 0.5) * 4 AS zz FROM fx_galaxies) g
+    LEFT JOIN (SELECT snapnum, zred - 0.125 AS zlo, zred + 0.125 AS zhi FROM fx_timegrid) p ON zz >= zlo AND zz < zhi""")
 def redshift_intervals(fx):
     plan = fx.timegrid.select("snapnum", (F.col("zred") - 0.125).alias("zlo"), (F.col("zred") + 0.125).alias("zhi"))
     df = fx.galaxies.select("galId", ((F.col("z") + 0.5) * 4).alias("zz"))
-    return joins.snapshot_for_redshift(df, "zz", plan).select("galId", "snapnum")
+    return no_null(joins.snapshot_for_redshift(df, "zz", plan).select("galId", "snapnum"), "snapnum")
 
 
 def _ions(fx: Fixtures) -> DataFrame:
@@ -656,6 +655,10 @@ _CTES["q_anc"] = """SELECT PId, parentId, Mass, snapnext, parentGen, gen FROM q_
     FROM q_line l JOIN q_split e ON e.parentId = l.parentId WHERE e.parentGen > l.parentGen
     GROUP BY l.PId, l.parentId, l.snapnext, e.snapnext, l.parentGen, l.gen UNION ALL
     SELECT parentId, parentId, Mass, snapnext, parentGen, parentGen FROM q_split WHERE parentId IN (SELECT PId FROM q_ids)"""
+_CTES["q_anc_all"] = """SELECT PId, parentId, Mass, snapnext, parentGen, gen FROM q_line UNION ALL
+    SELECT l.PId, l.parentId, e.Mass, e.snapnext, l.parentGen, l.gen + e.parentGen - l.parentGen
+    FROM q_line l JOIN q_split e ON e.parentId = l.parentId WHERE e.parentGen > l.parentGen UNION ALL
+    SELECT parentId, parentId, Mass, snapnext, parentGen, parentGen FROM q_split WHERE parentId IN (SELECT PId FROM q_ids)"""
 _CTES["q_best"] = f"""SELECT * FROM (SELECT a.PId, t.snapnum, a.parentId, a.gen,
     row_number() OVER (PARTITION BY a.PId, t.snapnum ORDER BY a.gen DESC, a.parentId) AS rn
     FROM q_anc a JOIN fx_timegrid t ON t.snapnum < a.snapnext AND t.snapnum <= {LAST_SNAP}) WHERE rn = 1"""
@@ -680,13 +683,19 @@ def split_table(fx):
     return _splits(fx)
 
 
-@query("SELECT * FROM q_anc")
+@query("SELECT * FROM q_anc_all")
 def split_ancestors(fx):
     return splits.split_ancestors(_ids(fx), _splits(fx))
 
 
+@query("SELECT * FROM q_anc")
+def split_ancestors_by_snapshot(fx):
+    return splits.split_ancestors(_ids(fx), _splits(fx), per_snapshot=True)
+
+
 def _history(fx: Fixtures) -> DataFrame:
-    return history.gas_history(_ids(fx), fx.particles, splits.split_ancestors(_ids(fx), _splits(fx)), LAST_SNAP)
+    seen = splits.split_ancestors(_ids(fx), _splits(fx), per_snapshot=True)
+    return history.gas_history(_ids(fx), fx.particles, seen, LAST_SNAP)
 
 
 @query("SELECT * FROM q_gas")
@@ -839,6 +848,16 @@ def wind_mass_partition(fx):
     return rounded(_track(fx).partition, "Mgain", digits=9)
 
 
+@query("SELECT PId, snapnum, birthTag, round(Mgain, 9) AS Mgain FROM q_mw")
+def accretion_from_stored(fx):
+    """The permanent tables are stored for one run, then loaded for the target."""
+    base = new_path(fx.particles.sparkSession)
+    run = {"model": "fixture"}
+    history.stored_tables(fx.simulation, base, run, LAST_SNAP)
+    tables = history.stored_tables(fx.simulation, base, run, LAST_SNAP)
+    return rounded(_track(fx, tables=tables).partition, "Mgain", digits=9)
+
+
 @query("SELECT snapnum, coalesce(relation, 'TOT') AS relation, sum(Mass) AS Mass FROM q_gp GROUP BY GROUPING SETS ((snapnum, relation), (snapnum))")
 def mass_by_relation_total(fx):
     return aggregates.mass_by_tag(_track(fx).history, "relation", "Mass", total=True)
@@ -906,14 +925,16 @@ def star_history(fx):
     return history.star_history(fx.stars, TARGET, LAST_SNAP).select("PId", "snapnum", "Mass", "haloId")
 
 
-@query("""SELECT PhEWKey, count(*) AS records, string_agg(CAST(CAST(round(Mass * 100) AS BIGINT) AS VARCHAR), ',' ORDER BY atime, Mass) AS masses,
-    arg_min(Mass, (atime, Mass)) AS first_mass FROM fx_tracks GROUP BY PhEWKey""")
+@query("""SELECT PhEWKey, segment, string_agg(CAST(CAST(round(Mass * 100) AS BIGINT) AS VARCHAR), ',' ORDER BY atime, Mass) AS masses,
+    max(records) AS records, max(first_mass) AS first_mass FROM (SELECT *, CAST(month(atime) - 1 AS INT) AS segment,
+        count(*) OVER (PARTITION BY PhEWKey) AS records, first_value(Mass) OVER (PARTITION BY PhEWKey ORDER BY atime, Mass) AS first_mass
+        FROM fx_tracks) GROUP BY PhEWKey, segment""")
 def wind_tracks(fx):
     records = fx.tracks.withColumn("Minit", F.col("Mass"))
-    tracks = winds.build_tracks(records, first=("Minit",), block=F.to_date("atime"))
+    tracks = winds.build_tracks(records, first=("Minit",), segment=F.month("atime") - 1)
     cents = F.transform("track.Mass", lambda m: F.round(m * 100).cast("long").cast("string"))
     return tracks.select(
-        "PhEWKey", "records", F.concat_ws(",", cents).alias("masses"), F.col("Minit").alias("first_mass")
+        "PhEWKey", "segment", "records", F.concat_ws(",", cents).alias("masses"), F.col("Minit").alias("first_mass")
     )
 
 

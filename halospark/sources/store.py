@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import json
+import time
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,10 +54,20 @@ def table_path(base: str, name: str, params: dict[str, object], fmt: str = "parq
     return f"{base.rstrip('/')}/{name}/{hashlib.sha256(text.encode()).hexdigest()[:20]}"
 
 
+def _versions(spark: SparkSession, path: str) -> list[str]:
+    """The complete versions below a table's path, oldest first."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(folder):
+        return []
+    found = sorted(f.getPath().getName() for f in fs.listStatus(folder) if f.isDirectory())
+    done = [f"{path}/{name}" for name in found]
+    return [v for v in done if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{v}/_SUCCESS"))]
+
+
 def is_complete(spark: SparkSession, path: str) -> bool:
-    """True when a write to this path has been committed."""
-    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    return marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)
+    """True when a version of the table at this path has been committed."""
+    return bool(_versions(spark, path))
 
 
 def materialize(
@@ -69,11 +81,21 @@ def materialize(
     schema: T.StructType | None = None,
     sort_by: list[str] | None = None,
 ) -> DataFrame:
-    """Reuse the stored table of exactly these parameters, or build, store and read it back."""
+    """Reuse the stored table of exactly these parameters, or build, store and read it back.
+
+    Each write is a new version next to the old one, which goes only when the new one is complete: ``build`` may read
+    the table that it replaces, and a failed write leaves it as it was.
+    """
     path = table_path(base, name, params, fmt)
-    if overwrite or not is_complete(spark, path):
-        save(build(), path, fmt, schema, sort_by)
-    return load(spark, path, fmt, schema if fmt == "csv" else None)
+    old = _versions(spark, path)
+    if overwrite or not old:
+        version = f"{path}/{time.time_ns():020d}-{uuid4().hex}"
+        save(build(), version, fmt, schema, sort_by)
+        for gone in old:
+            target = spark._jvm.org.apache.hadoop.fs.Path(gone)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        old = [version]
+    return load(spark, old[-1], fmt, schema if fmt == "csv" else None)
 
 
 def ensure_column(df: DataFrame, name: str, add: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -81,10 +103,11 @@ def ensure_column(df: DataFrame, name: str, add: Callable[[DataFrame], DataFrame
     return df if name in df.columns else add(df)
 
 
-def write_tracks(tracks: DataFrame, path: str, key: str = "PhEWKey", n: int = 128) -> None:
-    """Nested tracks in ``n`` files by particle; segments of one long track spread too."""
+def write_tracks(tracks: DataFrame, path: str, key: str = "PhEWKey", n: int | None = None) -> None:
+    """Nested tracks in ``n`` files by particle, or as many as their size asks for; segments of a track spread too."""
     keys = [key, "segment"] if "segment" in tracks.columns else [key]
-    tracks.repartition(n, *keys).write.mode("overwrite").parquet(path)
+    dealt = tracks.repartition(n, *keys) if n else tracks.hint("rebalance", *keys)
+    dealt.write.mode("overwrite").parquet(path)
 
 
 def write_sightlines(lines: DataFrame, path: str) -> None:

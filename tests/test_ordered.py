@@ -94,18 +94,43 @@ def test_interpolation_matches_numpy(spark):
     assert np.allclose(got[1:-1], np.interp(xs[1:-1], [0, 1, 4], [1, 3, 0]))
 
 
-def test_oversized_grid_is_an_error(spark):
-    grid = spark.range(5000).select(F.col("id").cast("double").alias("a"))
-    df = spark.createDataFrame([(1.0,)], "t double")
-    with pytest.raises(Exception, match="asof_join"):
-        joins.with_snap_after(df, "t", grid, "s").collect()
-
-
-def test_redshift_plan_skips_empty_intervals(spark):
-    plan = spark.createDataFrame([("a", 0.8, 0.0), ("b", 0.6, 0.8), ("c", -0.05, 0.05)], "name string, zlo double, zhi double")
+@pytest.mark.parametrize("grid", [[3.0], [1.0, 1.0, 2.0, 2.5], [0.0, *(1000.0 + i for i in range(50)), 1e6], []])
+def test_snap_after_counts_grid_times(spark, grid):
+    times = [None, -1.0, 0.0, 0.5, 1.0, 2.0, 2.2, 2.5, 3.0, 999.9, 1000.0, 1001.5, 1049.0, 5e5, 1e6, 2e6]
+    df = spark.createDataFrame([(t,) for t in times], "t double")
+    table = spark.createDataFrame([(g,) for g in grid], "a double")
+    got = {r.t: (r.s, r.f) for r in joins.with_snap_before(joins.with_snap_after(df, "t", table, "s"), "t", table, "f").collect()}
+    for t in times:
+        n = sum(g <= t for g in grid) if t is not None else 0
+        assert got[t] == (n, n - 1), t
+
+
+def test_grids_and_knots_of_any_size(spark):
+    grid = spark.range(6000).select(F.col("id").cast("double").alias("a"))
+    df = spark.createDataFrame([(1.0,), (4999.5,), (7000.0,)], "t double")
+    assert sorted(r.s for r in joins.with_snap_after(df, "t", grid, "s").collect()) == [2, 5000, 6000]
+    knots = grid.withColumn("y", F.col("a") * 2)
+    assert [r.y for r in joins.interpolate(df, "t", knots, "a", "y", "y").orderBy("t").collect()] == [2.0, 9999.0, None]
+
+
+def test_redshift_plan(spark):
+    schema = "name string, zlo double, zhi double"
+    plan = spark.createDataFrame([("b", 0.6, 0.8), ("c", -0.05, 0.05)], schema)
     df = spark.createDataFrame([(0.7,), (0.6,), (0.8,), (0.0,), (0.85,)], "z double")
     got = sorted((r.z, r["name"]) for r in joins.snapshot_for_redshift(df, "z", plan).collect())
-    assert got == [(0.0, "c"), (0.6, "b"), (0.7, "b")]
+    assert got == [(0.0, "c"), (0.6, "b"), (0.7, "b"), (0.8, None), (0.85, None)]
+    bad = plan.union(spark.createDataFrame([("a", 0.8, 0.0)], schema))
+    with pytest.raises(Exception, match="bad redshift interval"):
+        joins.snapshot_for_redshift(df, "z", bad).collect()
+
+
+def test_asof_ties_repeat_themselves(spark):
+    left = spark.createDataFrame([(1, 5.0), (1, 1.0)], "k long, t double")
+    right = spark.createDataFrame([(1, 3.0, v) for v in (2.0, 9.0, 4.0)], "k long, t double, v double")
+    for part in (1, 7):
+        back = joins.asof_join(left, right.repartition(part), "t", ["k"], ["v"]).orderBy("t").collect()
+        ahead = joins.asof_join(left, right.repartition(part), "t", ["k"], ["v"], direction="forward").orderBy("t").collect()
+        assert [r.v for r in back] == [None, 9.0] and [r.v for r in ahead] == [2.0, None]
 
 
 @pytest.mark.parametrize("how", ["inner", "left"])

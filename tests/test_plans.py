@@ -76,13 +76,18 @@ def test_shares_of_a_gain_add_up(rows):
 
 
 def test_long_tracks_continue_in_segments(spark, rows):
-    data = [(7, i / 1000.0, float(i)) for i in range(250)] + [(8, 0.5, 1.0), (8, 0.25, 2.0)]
+    data = [(7, i / 1000.0, float(i), 100 + i) for i in range(250)] + [(8, 0.5, 1.0, 5), (8, 0.25, 2.0, 6)]
     random.Random(1).shuffle(data)
     launches = rows("PhEWKey long, PID long, ainit double", [(7, 70, 0.0), (8, 80, 0.1)])
-    tracks = winds.build_tracks(rows("PhEWKey long, atime double, Mass double", data), launches, max_records=100)
+    records = rows("PhEWKey long, atime double, Mass double, Z_c int", data)
+    tracks = winds.build_tracks(records, launches, segment=F.floor(F.col("atime") * 10))
     got = {(r.PhEWKey, r.segment): r for r in tracks.collect()}
-    assert sorted(got) == [(7, 0), (7, 1), (7, 2), (8, 0)]
-    assert got[8, 0].track.atime == [0.25, 0.5] and got[8, 0].track.Mass == [2.0, 1.0] and got[8, 0].PID == 80
+    assert sorted(got) == [(7, 0), (7, 1), (7, 2), (8, 2), (8, 5)]
+    assert got[8, 2].track.atime == [0.25] and got[8, 5].track.Mass == [1.0] and got[8, 5].PID == 80
+    # the head is the first record's on every segment, though the field varies along the track
+    assert {got[7, s].Z_c for s in range(3)} == {100} and got[8, 5].Z_c == 6 and got[8, 5].records == 2
+    whole = {r.PhEWKey: r for r in winds.build_tracks(records, launches).collect()}
+    assert whole[7].track.Mass == [float(i) for i in range(250)] and whole[7].segment == 0 and whole[7].Z_c == 100
     assert [m for s in range(3) for m in got[7, s].track.Mass] == [float(i) for i in range(250)]
     assert {got[7, s].records for s in range(3)} == {250}
 

@@ -107,7 +107,21 @@ def test_cyclic_log_is_an_error(rows):
     log = rows("PId long, parentId long, Mass double, atime double, snapnext int, parentGen int",
                [(1, 2, 1.0, 0.1, 1, 1), (2, 1, 1.0, 0.2, 2, 1)])
     with pytest.raises(RuntimeError):
-        split_ancestors(rows("PId long", [(1,)]), log, max_rounds=3)
+        split_ancestors(rows("PId long", [(1,)]), log)
+
+
+def test_long_lines_of_parents_and_every_split_of_an_ancestor(rows):
+    n = 40
+    data = [(p + 1, p, 1.0, p / 100, p, 1) for p in range(n)]
+    log = rows("PId long, parentId long, Mass double, atime double, snapnext int, parentGen int", data)
+    lineage = split_ancestors(rows("PId long", [(n,)]), log).collect()
+    assert {r.parentId: r.gen for r in lineage} == {p: n - p for p in range(n)}
+    # three earlier splits of the parent between two snapshots: all listed, or the one of highest generation
+    many = rows("PId long, parentId long, Mass double, atime double, snapnext int, parentGen int",
+                [(10 + g, 1, float(g), 0.1, 2, g) for g in (4, 3, 2)] + [(9, 1, 1.0, 0.2, 3, 1)])
+    tracked = rows("PId long", [(9,)])
+    assert sorted(r.gen for r in split_ancestors(tracked, many).collect()) == [1, 2, 3, 4]
+    assert sorted(r.gen for r in split_ancestors(tracked, many, per_snapshot=True).collect()) == [1, 4]
 
 
 def test_split_table_places_events_on_the_grid(rows):
