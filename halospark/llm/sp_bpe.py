@@ -15,7 +15,9 @@ are encoded alike; other columns pass through.
 from __future__ import annotations
 
 import base64
+import functools
 import hashlib
+import re
 import struct
 from collections.abc import Iterator
 
@@ -26,10 +28,10 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import pieces
+from .common import as_list, pieces
 
-#: Pre-tokens whose ids a task remembers before it starts anew.
-REMEMBERED = 200_000
+#: Words whose ids a worker remembers before it starts anew (about 200 bytes each); bytes of text encoded at once.
+REMEMBERED, PIECE_BYTES = 1_000_000, 4 << 20
 UNKNOWN = "<unknown>"
 
 
@@ -83,52 +85,73 @@ def serialise(ranks: dict[bytes, int]) -> bytes:
     return bytes(model)
 
 
+#: A space between two characters that are not white space: where a text may be cut before it is matched.
+_LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
+#: Without these and without spaces side by side, at a line's or the text's end, every space is a lone one.
+_OTHER_SPACE = re.compile(r"[^\S \n]")
+
+
+def _words(text: str) -> list[str]:
+    """The text cut before its lone spaces."""
+    if _OTHER_SPACE.search(text) or "  " in text or " \n" in text or "\n " in text or text[0] == " " or text[-1] == " ":
+        words = _LONE_SPACE.split(text)
+    else:
+        words = text.split(" ")
+    return [words[0], *[" " + w for w in words[1:]]]
+
+
 class Codec:
-    """Encoder and decoder of one task."""
+    """Encoder and decoder of one worker.
+
+    The pattern must begin a new match at every single space between words, as those of byte-level vocabularies do:
+    then words can be matched and encoded each by itself, with the space before it, and remembered.
+    """
 
     def __init__(self, model: bytes, pattern: str):
         self.sp = sentencepiece.SentencePieceProcessor(model_proto=model)
-        self.cut = regex.compile(pattern).findall
+        self.match = regex.compile(pattern).findall
         self.chars = byte_chars()
-        self.latin = {b: c for b, c in enumerate(self.chars)}
+        self.latin = dict(enumerate(self.chars))
         byte_of = {c: b for b, c in enumerate(self.chars)}
         n = self.sp.get_piece_size() - 1
         names = [self.sp.id_to_piece(i) for i in range(n)]
         self.bytes_of = [bytes(byte_of[c] for c in name) for name in names]
-        self.whole = {name: struct.pack("<I", i) for i, name in enumerate(names)}
+        self.entry = {b: struct.pack("<I", i) for i, b in enumerate(self.bytes_of)}
         self.known: dict[str, bytes] = {}
 
-    def _encode_one(self, token: str) -> bytes:
-        mapped = token.encode().decode("latin-1").translate(self.latin)
-        ids = self.whole.get(mapped)
-        if ids is None:
-            ids = np.asarray(self.sp.encode(mapped), "<u4").tobytes()
-        return ids
-
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        tokens, known = self.cut(text), self.known
-        for token in {*tokens} - known.keys():
-            known[token] = self._encode_one(token)
-        ids = b"".join(map(known.__getitem__, tokens))
-        if len(known) > REMEMBERED:
-            known.clear()
-        return ids
+    def _learn(self, words: set[str]) -> None:
+        """Remember the ids of words; what is no entry of the vocabulary is merged by the model, all in one call."""
+        matches = {w: [m.encode() for m in self.match(w)] for w in words}
+        ids = {m: self.entry.get(m) for found in matches.values() for m in found}
+        rest = [m for m, known in ids.items() if known is None]
+        for m, merged in zip(rest, self.sp.encode([m.decode("latin-1").translate(self.latin) for m in rest])):
+            ids[m] = struct.pack(f"<{len(merged)}I", *merged)
+        for w, found in matches.items():
+            self.known[w] = b"".join([ids[m] for m in found])
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        cut = [_words(t) if t else [] for t in texts]
+        new = {w for words in cut for w in words}.difference(self.known)
+        if len(self.known) + len(new) > REMEMBERED:
+            self.known.clear()
+            new = {w for words in cut for w in words}
+        self._learn(new)
+        return [b"".join(map(self.known.__getitem__, words)) for words in cut]
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-def _coder(docs: DataFrame, model: bytes, pattern: str):
-    model_there = docs.sparkSession.sparkContext.broadcast(model)
-    held: dict[str, Codec] = {}
+@functools.lru_cache(maxsize=2)
+def _codec(model: bytes, pattern: str) -> Codec:
+    """One codec per worker process: tasks that follow each other share what it remembers."""
+    return Codec(model, pattern)
 
-    def codec() -> Codec:
-        if not held:
-            held["codec"] = Codec(model_there.value, pattern)
-        return held["codec"]
 
-    return codec
+def _coder(docs: DataFrame, model: bytes, pattern: str):
+    model_there = docs.sparkSession.sparkContext.broadcast(model)
+    return lambda: _codec(model_there.value, pattern)
 
 
 def encode(docs: DataFrame, model: bytes, pattern: str, text: str = "text", into: str = "ids") -> DataFrame:
@@ -137,8 +160,8 @@ def encode(docs: DataFrame, model: bytes, pattern: str, text: str = "text", into
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch, text):
-                ids = [codec().encode(t or "") for t in part.column(text).to_pylist()]
+            for part in pieces(batch, text, PIECE_BYTES):
+                ids = codec().encode_all(as_list(part.column(text)))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.binary())], names=[*part.schema.names, into])
 
     return docs.mapInArrow(task, T.StructType([*docs.schema.fields, T.StructField(into, T.BinaryType())]))
@@ -167,10 +190,9 @@ def round_trip(docs: DataFrame, model: bytes, pattern: str) -> DataFrame:
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch, "text"):
+            for part in pieces(batch, "text", PIECE_BYTES):
                 counts, ids_digest, text_digest = [], [], []
-                for t in part.column("text").to_pylist():
-                    ids = codec().encode(t or "")
+                for ids in codec().encode_all(as_list(part.column("text"))):
                     counts.append(len(ids) // 4)
                     ids_digest.append(hashlib.sha256(ids).hexdigest())
                     text_digest.append(hashlib.sha256(codec().decode(ids)).hexdigest())
