@@ -134,6 +134,9 @@ def _block_best(k: int):
         if queries.num_rows and block.num_rows:
             q, v = _matrix(queries.column("vector")), _matrix(block.column("vector"))
             q_id, v_id = queries.column("vec_id").to_numpy(), block.column("vec_id").to_numpy()
+            # equal rows count once
+            once = list({(i, row.tobytes()): k for k, (i, row) in enumerate(zip(v_id.tolist(), v))}.values())
+            v, v_id = v[once], v_id[once]
             unit_v = _unit(v)
             for first in range(0, len(q), 256):
                 near = _unit(q[first : first + 256]) @ unit_v.T
