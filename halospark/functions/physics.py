@@ -65,6 +65,11 @@ def log_nh(log_overdensity: Column) -> Column:
     return F.log10(F.pow(F.lit(10.0), log_overdensity) * shift)
 
 
+def log_nh_of_density(rho: Column) -> Column:
+    """log10 of the hydrogen number density that the ion tables are laid out in, from a physical density in g/cm^3."""
+    return log10_or_null(rho.cast("double") / C.ION_HYDROGEN_MASS)
+
+
 def rho_thresh(z: Column, om: float = C.OMEGA_M, ol: float = C.OMEGA_L) -> Column:
     """Density threshold that separates bound from diffuse gas at redshift z."""
     matter = om * F.pow(1 + z, F.lit(3.0))

@@ -7,6 +7,7 @@ All are plain ``groupBy().agg()`` with map-side partial aggregation, so a hot ha
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from math import log10
 
@@ -150,6 +151,16 @@ def gsmf(galaxies: DataFrame, box: float, h: float = C.HUBBLE, width: float = 0.
     )
 
 
+def central_pairs(galaxies: DataFrame, halos: DataFrame, hosts: DataFrame) -> DataFrame:
+    """Galaxies joined with their halo's masses, central ones only: those whose halo is its own host.
+
+    Galaxies and halos share their ids.
+    """
+    key = ["snapnum", "haloId"]
+    central = hosts.where("hostId = haloId").select(*key)
+    return galaxies.withColumnRenamed("galId", "haloId").join(halos, key).join(central, key, "left_semi")
+
+
 def smhm(pairs: DataFrame, width: float = 0.2, halo_mass: str = "logMsub", star_mass: str = "logMstar") -> DataFrame:
     """Stellar-halo mass relation of centrals: median and 16/84 per cent of log(M*/Mh) per halo mass bin."""
     key = [c for c in ("snapnum",) if c in pairs.columns]
@@ -160,6 +171,22 @@ def smhm(pairs: DataFrame, width: float = 0.2, halo_mass: str = "logMsub", star_
     return found.select(*key, ((F.col("bin") + 0.5) * width).alias("logMh"), "median", "p16", "p84")
 
 
+def for_redshifts(
+    statistic: Callable[[DataFrame], DataFrame], table: DataFrame, grid: DataFrame, redshifts: list[float]
+) -> DataFrame:
+    """A statistic keyed by snapnum for a list of redshifts at once: each stands for the snapshot nearest to it.
+
+    Rows carry ``zred`` as asked for; of two equally near snapshots the later counts.
+    """
+    nearest = [
+        F.struct(F.lit(float(z)).alias("zred"), F.max_by("snapnum", F.struct(-F.abs(F.col("zred") - z), "snapnum")).alias("snapnum"))
+        for z in redshifts
+    ]
+    wanted = grid.agg(F.array(*nearest).alias("w")).select(F.inline("w"))
+    chosen = table.join(wanted.select("snapnum").distinct(), "snapnum", "left_semi")
+    return statistic(chosen).join(wanted, "snapnum")
+
+
 def mzr(properties: DataFrame, width: float | None = None) -> DataFrame:
     """Mass-metallicity relation with [O/H]; with ``width`` the median per stellar mass bin."""
     key = [c for c in ("snapnum",) if c in properties.columns]

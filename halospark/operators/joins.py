@@ -190,6 +190,15 @@ def blend_ion_tables(low: DataFrame, high: DataFrame, z: float, z_low: float, z_
     )
 
 
+def ion_table_at(tables: DataFrame, z: float) -> DataFrame:
+    """Ion table at redshift z from tables at several (zred, ion, ih, it, log_frac): linear in z between the two that
+    bracket it, the nearest one outside their range."""
+    below, above = F.max(F.when(F.col("zred") <= z, F.col("zred"))), F.min(F.when(F.col("zred") >= z, F.col("zred")))
+    edges = tables.agg(F.coalesce(below, F.min("zred")).alias("low"), F.coalesce(above, F.max("zred")).alias("high")).first()
+    low, high = (tables.where(F.col("zred") == v).drop("zred") for v in (edges.low, edges.high))
+    return low if edges.low == edges.high else blend_ion_tables(low, high, z, edges.low, edges.high)
+
+
 def ion_corners(table: DataFrame) -> DataFrame:
     """(ih, it, ion) -> the four corner values of the cell that starts at this grid point."""
     key = ["ion", "ih", "it"]

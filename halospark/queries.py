@@ -464,6 +464,22 @@ def ion_masses(fx):
     )
 
 
+@query("""SELECT ion, ih, it, round(0.75e0 * log_frac + 0.25e0 * (log_frac * 1.5e0 - 1), 9) AS log_frac FROM fx_iontab""")
+def ion_table_at(fx):
+    tables = [
+        fx.iontab.withColumns({"zred": F.lit(z), "log_frac": F.col("log_frac") * slope - shift})
+        for z, slope, shift in ((0.0, 1.0, 0.0), (2.0, 1.5, 1.0), (4.0, 2.0, 2.0))
+    ]
+    stacked = tables[0].unionByName(tables[1]).unionByName(tables[2])
+    return rounded(joins.ion_table_at(stacked, 0.5), "log_frac", digits=9)
+
+
+@query("SELECT snapnum, PId, round(log10(10.0e0 ** logRho / 1.673e-24), 6) AS lognH FROM fx_points")
+def log_nh_of_density(fx):
+    nh = physics.log_nh_of_density(F.pow(F.lit(10.0), F.col("logRho")))
+    return rounded(fx.points.select("snapnum", "PId", nh.alias("lognH")), "lognH")
+
+
 _CELL = "trunc((logRho + 1.5) / 8.5 * 64) AS gx, trunc((logT - 3.0) / 5.0 * 64) AS gy"
 
 
@@ -599,6 +615,25 @@ def smhm(fx):
     return rounded(aggregates.smhm(fx.galaxies), "logMh", "median", "p16", "p84")
 
 
+@query("""SELECT snapnum, round((floor(logMsub / 0.2) + 0.5) * 0.2, 6) AS logMh, round(quantile_cont(logMstar - logMsub, 0.5), 6) AS median,
+    round(quantile_cont(logMstar - logMsub, 0.16), 6) AS p16, round(quantile_cont(logMstar - logMsub, 0.84), 6) AS p84
+    FROM q_snaplog g JOIN fx_log_halos h ON h.snapnum = g.snapnum AND h.haloId = g.galId
+    JOIN fx_hosts o ON o.snapnum = g.snapnum AND o.haloId = g.galId AND o.hostId = o.haloId
+    WHERE logMstar IS NOT NULL GROUP BY g.snapnum, floor(logMsub / 0.2)""".replace("SELECT snapnum, round", "SELECT g.snapnum, round"))
+def smhm_centrals(fx):
+    pairs = aggregates.central_pairs(_snaplog(fx).select("snapnum", "galId", "logMstar"), fx.log_halos, fx.hosts)
+    return rounded(aggregates.smhm(pairs), "logMh", "median", "p16", "p84")
+
+
+@query("""SELECT zred, snapnum, n, round((b + 0.5) * 0.2, 6) AS logM FROM (SELECT w.zred, g.snapnum, floor(g.logMstar / 0.2) AS b, count(*) AS n
+    FROM (SELECT z.zred, arg_max(t.snapnum, (-abs(t.zred - z.zred), t.snapnum)) AS snapnum
+        FROM (VALUES (0.0e0), (1.1e0), (3.0e0)) z(zred), fx_timegrid t GROUP BY z.zred) w
+    JOIN q_snaplog g ON g.snapnum = w.snapnum WHERE g.logMstar IS NOT NULL GROUP BY ALL)""")
+def gsmf_at_redshifts(fx):
+    found = aggregates.for_redshifts(lambda g: aggregates.gsmf(g, 25000.0), _snaplog(fx), fx.timegrid, [0.0, 1.1, 3.0])
+    return rounded(found.select("zred", "snapnum", "n", "logM"), "logM")
+
+
 _CTES["q_props"] = """SELECT snapnum, galId, logMstar, Zgal FROM q_snaplog JOIN (
     SELECT snapnum, galId, CASE WHEN sum(Sfr) <> 0 THEN sum(Sfr * Zmet) / sum(Sfr) END AS Zgal FROM fx_particles GROUP BY snapnum, galId) USING (snapnum, galId)"""
 
