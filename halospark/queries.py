@@ -16,7 +16,7 @@ from .functions import cosmology, physics, units
 from .operators import aggregates, grids, joins, ordered, select
 from .operators.lineage import new_path
 from .plans import galaxies, history, progenitors, sightlines, splits, winds
-from .sources import catalogues
+from .sources import catalogues, lake, schemas, store, text
 
 Query = Callable[[Fixtures], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -1036,3 +1036,71 @@ def galaxy_relations(fx):
         (VALUES ('x+', 1, 0), ('x-', -1, 0), ('y+', 0, 1), ('y-', 0, -1)) d(dir, dx, dy), range(10, 300, 40) b) d, (SELECT d.range) b""")
 def sightline_list(fx):
     return rounded(sightlines.sightlines(fx.galaxies, 12, 75, 25000.0), "x", "y", "z")
+
+
+# == sources: domain tables landed in the shared folder and read back through the readers ==================
+def _landed(fx: Fixtures, df: DataFrame, fmt: str, *by: str, **options) -> str:
+    path = new_path(fx.particles.sparkSession)
+    df.write.format(fmt).options(**options).partitionBy(*by).save(path)
+    return path
+
+
+@query("""SELECT PId, parentId, round(CAST(CAST(atime AS FLOAT) AS DOUBLE), 6) AS atime, Mass FROM fx_split""")
+def read_split_log(fx):
+    path = _landed(fx, fx.split.select("PId", "parentId", "atime", "Mass"), "csv")
+    return rounded(text.read_split(fx.particles.sparkSession, path).withColumn("atime", F.col("atime").cast("double")), "atime")
+
+
+@query("SELECT snapnum, round(a, 9) AS a, round(zred, 9) AS zred FROM fx_timegrid")
+def read_timegrid(fx):
+    path = _landed(fx, fx.timegrid.select("snapnum", "a", "zred"), "csv", header=True, sep=" ")
+    return rounded(text.read_timegrid(fx.particles.sparkSession, path), "a", "zred", digits=9)
+
+
+@query("SELECT round(a, 9) AS a, round(1 - a, 9) AS z, round(t, 9) AS t FROM fx_tcosmic")
+def read_tcosmic(fx):
+    knots = fx.tcosmic.select("a", (1 - F.col("a")).alias("z"), "t")
+    path = _landed(fx, knots, "csv", header=True, sep=" ")
+    return rounded(text.read_tcosmic(fx.particles.sparkSession, path), "a", "z", "t", digits=9)
+
+
+@query("SELECT snapnum, PId, x, y, Mass FROM fx_points")
+def lake_particles(fx):
+    rows = fx.points.select("snapnum", F.lit(0).alias("ptype"), F.col("PId").alias("idx"), "PId", "Mass", F.struct("x", "y", "z").alias("Pos"))
+    path = _landed(fx, rows, "parquet", "ptype", "snapnum")
+    return lake.particles(fx.particles.sparkSession, path, "gas", ["PId", "x", "y", "Mass"]).drop("idx")
+
+
+@query(f"SELECT snapnum, PId, Mass FROM fx_points WHERE snapnum IN ({LAST_SNAP}, 0)")
+def lake_snapshots(fx):
+    rows = fx.points.select("snapnum", F.lit(0).alias("ptype"), F.col("PId").alias("idx"), "PId", "Mass")
+    path = _landed(fx, rows, "parquet", "ptype", "snapnum")
+    return lake.particles(fx.particles.sparkSession, path, "gas", ["PId", "Mass"], [LAST_SNAP, 0]).drop("idx")
+
+
+@query("""SELECT snapnum, ptype, PId, CASE WHEN ptype = 0 THEN Mass ELSE 10.0 + snapnum END AS Mass FROM q_typed""")
+def header_masses(fx):
+    heads = fx.timegrid.select("snapnum", F.array(F.lit(0.0), *[F.lit(0.0)] * 3, 10.0 + F.col("snapnum"), F.lit(0.0)).alias("mass_table"))
+    return lake.with_mass(_typed(fx), heads).select("snapnum", "ptype", "PId", "Mass")
+
+
+@query("SELECT snapnum, haloId, hostId FROM fx_hosts")
+def stored_csv(fx):
+    spark, path, schema = fx.particles.sparkSession, new_path(fx.particles.sparkSession), schemas.TABLES["hosttable"]
+    store.save(progenitors.host_table(fx.hosts), path, "csv", schema, sort_by=["snapnum", "haloId"])
+    return store.load(spark, path, "csv", schema)
+
+
+@query("""SELECT PhEWKey, count(*) AS records, CAST(sum(CAST(round(Mass * 100) AS BIGINT)) AS BIGINT) AS cents FROM fx_tracks GROUP BY PhEWKey""")
+def stored_tracks(fx):
+    spark, path = fx.particles.sparkSession, new_path(fx.particles.sparkSession)
+    store.write_tracks(winds.build_tracks(fx.tracks, segment=F.month("atime")), path)
+    cents = F.aggregate(F.col("track.Mass"), F.lit(0).cast("long"), lambda s, m: s + F.round(m * 100).cast("long"))
+    return spark.read.parquet(path).groupBy("PhEWKey").agg(F.max("records").alias("records"), F.sum(cents).alias("cents"))
+
+
+@query("""SELECT t.PhEWKey, count(*) AS records, max(l.Mass) AS Minit FROM fx_tracks t JOIN (SELECT * FROM fx_launch WHERE atime > 0.2 AND atime < 0.6) l
+    ON l.PhEWKey = t.PhEWKey GROUP BY t.PhEWKey""")
+def tracks_of_launches(fx):
+    chosen = fx.launch.where("atime > 0.2 and atime < 0.6").select("PhEWKey", F.col("Mass").alias("Minit"))
+    return winds.build_tracks(fx.tracks, chosen, first=("Minit",)).select("PhEWKey", "records", "Minit")
