@@ -60,7 +60,8 @@ def cut_lineage(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and continue from the written table."""
     spark = df.sparkSession
     path = new_path(spark)
-    writer = df.write if partition_by is None else df.write.partitionBy(partition_by)
+    # files by the size of a partition, not one for every task and value
+    writer = df.write if partition_by is None else df.hint("rebalance", partition_by).write.partitionBy(partition_by)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -115,9 +115,11 @@ def star_table(stars: DataFrame, main: DataFrame) -> DataFrame:
     ever = so_far.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     inside = F.when(F.col("galId") != 0, F.col("galId"))
     lines = main.select("snapnum", "galId", "mainId")
+    # stars outside galaxies, which may be half of them under one id, have nothing to be joined with
+    held = join_skewed(stars.where("galId <> 0"), lines, ["snapnum", "galId"], "left", ["PId"])
+    free = stars.where("galId = 0 or galId is null").withColumn("mainId", F.lit(None).cast(lines.schema["mainId"].dataType))
     return (
-        # about half of the stars may share galId 0
-        join_skewed(stars, lines, ["snapnum", "galId"], "left", ["PId"])
+        held.unionByName(free)
         .withColumn("mainId", F.last("mainId", ignorenulls=True).over(so_far))
         .withColumn("initId", F.first(inside, ignorenulls=True).over(ever))
     )
