@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from halospark.operators.lineage import new_path
 
+# What a batch took goes back to the system when it is done with, instead of staying with the worker for its life.
+pa.set_memory_pool(pa.system_memory_pool())
+
 #: White space is these six ASCII characters only; letters are folded from A-Z to a-z only.
 SPACES = " \t\n\x0b\x0c\r"
 SPACE_RUN = r"[\x20\x09-\x0D]+"
@@ -45,7 +48,7 @@ def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def pieces(batch: pa.RecordBatch, column: str, max_bytes: int = 16 << 20):
+def pieces(batch: pa.RecordBatch, column: str, max_bytes: int = 8 << 20):
     """Slices of a batch whose ``column`` holds at most ``max_bytes`` (or one row): bounds a task's memory."""
     size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     end = np.cumsum(size, dtype=np.int64)
@@ -57,6 +60,11 @@ def pieces(batch: pa.RecordBatch, column: str, max_bytes: int = 16 << 20):
         start = stop
 
 
+def as_list(column: pa.Array) -> list:
+    """``to_pylist`` of a string column, several times faster."""
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
 def split_words(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
     """Number of words of each text, and all words in one flat array."""
     parts = pc.ascii_split_whitespace(pc.fill_null(texts, "").cast(pa.large_string()))

@@ -35,12 +35,14 @@ from pyspark.sql import functions as F
 from halospark.operators.lineage import cut_and_count, cut_lineage
 from halospark.operators.ordered import running_total
 
-from .common import packed, pieces, shuffle_parts, split_words
+from .common import as_list, packed, pieces, shuffle_parts, split_words
 
 #: Sets per block and children per node of a signature tree.
 BLOCK, FANOUT = 512, 8
 #: The sketch has 2^SKETCH_BITS cells (of one byte when broadcast), whatever the input, and travels in SLICES parts.
 SKETCH_BITS, SLICES = 24, 64
+#: Bytes of text that a task turns into sets at once.
+PIECE_BYTES = 4 << 20
 #: Node pairs whose bitmaps are compared at once, in bytes.
 PAIR_BYTES = 16 << 20
 #: Sum of bytes of the sets that one small-group task holds.
@@ -66,7 +68,7 @@ def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
 
     counts, flat = split_words(pc.ascii_lower(texts))
     coded = flat.dictionary_encode()
-    own = np.array([xxhash.xxh3_64_intdigest(w) for w in coded.dictionary.to_pylist()] or [0], np.uint64)
+    own = np.array([xxhash.xxh3_64_intdigest(w) for w in as_list(coded.dictionary)] or [0], np.uint64)
     word = own[coded.indices.to_numpy()] if len(flat) else own[:0]
     last = np.cumsum(counts)
     sets, empty = [], np.zeros(0, np.uint64)
@@ -280,7 +282,7 @@ def described(docs: DataFrame, width: int) -> DataFrame:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(1 << SKETCH_BITS, np.uint8)
         for batch in batches:
-            for part in pieces(batch, "text"):
+            for part in pieces(batch, "text", PIECE_BYTES):
                 sets = shingle_sets(part.column("text").fill_null(""), width)
                 hashes = np.array([set_hash(s) for s in sets], np.int64).reshape(-1, 2)
                 cell, n = np.unique(cells(np.concatenate(sets)), return_counts=True)
@@ -329,8 +331,8 @@ def packed_keys(docs: DataFrame, width: int, percent: int, rarity: bytes, bucket
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = np.frombuffer(sent.value, np.uint8)
         for batch in batches:
-            for part in pieces(batch, "text"):
-                folded: set[tuple[int, int]] = set()
+            folded: set[tuple[int, int]] = set()
+            for part in pieces(batch, "text", PIECE_BYTES):
                 keys, owner, sizes = [], [], []
                 for doc, s in zip(part.column("doc_id").to_pylist(), shingle_sets(part.column("text").fill_null(""), width)):
                     h = set_hash(s)
@@ -422,7 +424,7 @@ def _with_sets(rows: DataFrame, width: int) -> DataFrame:
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch, "text"):
+            for part in pieces(batch, "text", PIECE_BYTES):
                 sets = [packed(s) for s in shingle_sets(part.column("text").fill_null(""), width)]
                 place = [part.column("places"), part.column("node")]
                 yield pa.RecordBatch.from_arrays([*place, pa.array(sets, pa.binary())], names=["places", "node", "shingles"])
