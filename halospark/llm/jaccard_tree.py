@@ -482,7 +482,8 @@ def linked(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
         .agg(F.min("component").alias("component"), F.min("n_shingles").alias("n_low"), F.max("n_shingles").alias("n"))
     )
     places = placements(cut_lineage(member), percent)
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(places, "node")
+    # the places grow with the input: never broadcast, whatever a small input's size suggests
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(places.hint("merge"), "node")
     tasks = _with_sets(texts, width).groupBy("bundle", "left_block", "right_block", F.when(F.col("bundle") < 0, F.col("component")).alias("own"))
     links = tasks.applyInArrow(_join_task(percent), "a bigint, b bigint")
     classes = components(cut_lineage(links))
@@ -495,4 +496,5 @@ def linked(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The document with the smallest doc_id of each class, and those without doc_id, with their own columns."""
     lost = linked(docs, width, percent).where("component_id <> doc_id").select(F.col("doc_id").alias("_lost")).distinct()
-    return docs.join(lost, F.col("doc_id") == F.col("_lost"), "left_anti")
+    # the lost documents grow with the input: never broadcast
+    return docs.join(lost.hint("merge"), F.col("doc_id") == F.col("_lost"), "left_anti")
