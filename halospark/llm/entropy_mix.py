@@ -188,7 +188,7 @@ def mix(docs: DataFrame, **options) -> DataFrame:
         F.sum("copies").cast("int").alias("_mix_n"), F.count("*").cast("int").alias("_mix_rows")
     )
     marked = docs.withColumn("_mix_row", F.xxhash64("doc_id", "source", "text")).join(
-        taken.where("_mix_n > 0"), F.col("_mix_row") == F.col("_mix_version")
+        taken.where("_mix_n > 0").hint("merge"), F.col("_mix_row") == F.col("_mix_version")
     )
     # rows repeated in the input share their copies: the first ones take one more where they do not divide evenly
     row = F.row_number().over(Window.partitionBy("_mix_row").orderBy("_mix_row"))
