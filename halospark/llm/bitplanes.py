@@ -8,8 +8,9 @@ the end names the place of every block and plane; the ids before a file are coun
     chunk = place (u64), number of ids (u32), number of planes (u32), compressed plane lengths (u32 * 32)
     footer = number of chunks (u64), "BPLN"
 
-Files are written in ascending document order: the range partitioning is Spark's, by doc_id.  A file's name carries a
-fresh id for each attempt and only files that the manifest names count.
+Files are written in ascending document order: quantiles of doc_id cut the documents into as many ranges as
+spark.sql.shuffle.partitions says, each one partition and one file.  A file's name carries a fresh id for each attempt
+and only files that the manifest names count.
 
 Cases: a NULL or empty text is its end id alone; rows repeated under one doc_id follow each other, ordered by ids;
 a NULL doc_id comes first; a table without rows has no files; other columns are ignored.
@@ -17,6 +18,9 @@ a NULL doc_id comes first; a table without rows has no files; other columns are
 
 from __future__ import annotations
 
+import functools
+import json
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -24,18 +28,17 @@ from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import pyarrow.fs
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from halospark.operators.lineage import cut_lineage
-
-from .common import packed, pieces, shared_path, split_words, spread
+from .common import as_list, packed, pieces, shared_path, shuffle_parts, split_words, spread
 
 BLOCK = 1 << 16
 LEVEL = 3
+#: Words whose ids a worker remembers before it starts anew (200 bytes each), and bytes of text encoded at once.
+REMEMBERED, PIECE_BYTES = 700_000, 4 << 20
 MAGIC = b"BPLN"
 CHUNK = np.dtype([("place", "<u8"), ("ids", "<u4"), ("planes", "<u4"), ("lengths", "<u4", 32)])
 
@@ -121,77 +124,146 @@ class PlaneReader:
             start, n, k = start + len(part), n - len(part), k + 1
 
 
-def tokenise(docs: DataFrame, tokenizer_json: str, end_id: int) -> DataFrame:
-    """(doc_id, ids binary): the tokenizers library's ids of every text, little-endian u32, ``end_id`` appended.
+#: Letters that no normaliser changes but for their case, and one mark at the end that is a token part of its own.
+_MARKS = ".,:;!?"
+_PLAIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+[.,:;!?]?")
+
+
+class WordCoder:
+    """The tokenizers library's ids of whole texts, word by word; remembers words it has met.
 
-    The tokenizer must drop white space and never join across it (word-level vocabularies with word ends): then each
-    different word of a batch is encoded once.  The tokenizer's definition (a file of under 2 MB) is broadcast.
+    The tokenizer must drop white space and never join across it (word-level vocabularies with word ends).
     """
-    sent = docs.sparkSession.sparkContext.broadcast(tokenizer_json)
-    kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def __init__(self, definition: str):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_str(sent.value)
+        self.tokenizer = Tokenizer.from_str(definition)
+        self.known: dict[str, bytes] = {}
+        suffix = json.loads(definition)["model"].get("end_of_word_suffix")
+        self.ends = None
+        if suffix:
+            vocabulary = self.tokenizer.get_vocab()
+            self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+
+    def _learn(self, words: list[str]) -> None:
+        """Plain words are encoded many to a call, side by side; the tokens that end a word tell where each ends."""
+        plain = [w for w in words if _PLAIN.fullmatch(w)] if self.ends is not None else []
+        for k in range(0, len(plain), 512):
+            some = plain[k : k + 512]
+            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            parts = np.cumsum([2 if w[-1] in _MARKS else 1 for w in some])
+            stops = (np.flatnonzero(self.ends[ids]) + 1)[parts - 1]
+            data = ids.tobytes()
+            self.known.update((w, data[4 * i : 4 * j]) for w, i, j in zip(some, [0, *stops[:-1].tolist()], stops.tolist()))
+        other = [w for w in words if w not in self.known]
+        for k in range(0, len(other), 512):
+            some = other[k : k + 512]
+            for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
+                self.known[w] = np.array(e.ids, "<u4").tobytes()
+
+    def encode(self, texts: pa.Array, end_id: int) -> list[bytes]:
+        """Little-endian u32 ids of each text, ``end_id`` appended."""
+        counts, flat = split_words(texts)
+        coded = flat.dictionary_encode()
+        names = as_list(coded.dictionary)
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        self._learn([w for w in names if w not in self.known])
+        own = [self.known[w] for w in names]
+        size = np.array([*map(len, own)], np.int64) // 4
+        place, all_ids = np.cumsum(size) - size, np.frombuffer(b"".join(own), "<u4")
+        word = coded.indices.to_numpy()
+        n = size[word]
+        stream = all_ids[np.repeat(place[word], n) + spread(n)]
+        last, reach = np.cumsum(counts), np.concatenate([[0], np.cumsum(n)])
+        tail = struct.pack("<I", end_id)
+        return [packed(stream[a:b]) + tail for a, b in zip(reach[last - counts].tolist(), reach[last].tolist())]
+
+
+@functools.lru_cache(maxsize=2)
+def _coder(definition: str) -> WordCoder:
+    """One coder per worker process: tasks that follow each other share what it remembers."""
+    return WordCoder(definition)
+
+
+def shrink(ids: bytes) -> bytes:
+    """u32 ids for the way between tasks: 16 bits where they fit, compressed."""
+    wide = np.frombuffer(ids, "<u4")
+    small = int(wide.max(initial=0)) < 1 << 16
+    return (b"2" if small else b"4") + zstandard.compress(wide.astype("<u2").tobytes() if small else ids, 1)
+
+
+def grow(data: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(data[1:]), "<u2" if data[:1] == b"2" else "<u4").astype("<u4")
+
+
+def range_bounds(docs: DataFrame, parts: int) -> np.ndarray:
+    """Ids that cut the documents into ``parts`` ranges of about as many each; reads the ids only."""
+    shares = [k / parts for k in range(1, parts)]
+    found = docs.agg(F.percentile_approx("doc_id", shares, 100 * parts).alias("b")).first().b if shares else None
+    return np.array(found or [], np.int64)
+
+
+def tokenise(docs: DataFrame, tokenizer_json: str, end_id: int, bounds: np.ndarray) -> DataFrame:
+    """(part, doc_id, ids) of every text: its range, and its ids shrunk.
+
+    The tokenizer's definition (a file of under 2 MB) is broadcast.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(tokenizer_json)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = _coder(sent.value)
         for batch in batches:
-            for part in pieces(batch, "text"):
-                counts, flat = split_words(part.column("text"))
-                coded = flat.dictionary_encode()
-                own = [np.asarray(e.ids, "<u4") for e in tokenizer.encode_batch(coded.dictionary.to_pylist(), add_special_tokens=False)]
-                size = np.array([len(x) for x in own] or [0], np.int64)
-                place = np.cumsum(size) - size
-                all_ids = np.concatenate(own) if own else np.zeros(0, "<u4")
-                word = coded.indices.to_numpy()
-                n = size[word] if len(word) else np.zeros(0, np.int64)
-                stream = all_ids[np.repeat(place[word], n) + spread(n)] if len(word) else all_ids
-                last = np.cumsum(counts)
-                reach = np.concatenate([[0], np.cumsum(n)])
-                begin, end = reach[last - counts], reach[last]
-                tail = np.array([end_id], "<u4").tobytes()
-                ids = [packed(stream[a:b]) + tail for a, b in zip(begin, end)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
-
-    return docs.select("doc_id", "text").mapInArrow(task, f"doc_id {kind}, ids binary")
+            for piece in pieces(batch, "text", PIECE_BYTES):
+                doc_id = piece.column("doc_id")
+                ids = [shrink(x) for x in coder.encode(piece.column("text"), end_id)]
+                # without an id: before all others
+                known = np.where(doc_id.is_valid().to_numpy(zero_copy_only=False), doc_id.fill_null(0).to_numpy(), np.iinfo(np.int64).min)
+                part = np.searchsorted(bounds, known, side="right").astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(part), doc_id, pa.array(ids, pa.binary())], names=["part", "doc_id", "ids"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(task, "part int, doc_id bigint, ids binary")
 
 
 MANIFEST = "file string, first_part int, doc_ids binary, has_id binary, lengths binary, n_ids bigint"
 
 
-def write_planes(tokens: DataFrame, folder: str) -> DataFrame:
-    """Write (doc_id, ids) in ascending doc_id order; the manifest, one row per file, also a table in ``folder``.
+def write_planes(tokens: DataFrame, folder: str, parts: int) -> DataFrame:
+    """Write (part, doc_id, ids) in ascending doc_id order; the manifest, one row per file, also a table in ``folder``.
 
-    ``tokens`` should be a written table: range partitioning reads it twice.
+    Every range of documents is one partition and one file, in the order of the ranges.
     """
     spark = tokens.sparkSession
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
         fs, base = pyarrow.fs.FileSystem.from_uri(folder)
-        file, writer, doc_ids, has_id, lengths = f"{uuid4().hex}.planes", None, [], [], []
+        file, writer, part, doc_ids, has_id, lengths = f"{uuid4().hex}.planes", None, 0, [], [], []
         for batch in batches:
-            if writer is None:
+            if writer is None and batch.num_rows:
                 fs.create_dir(base, recursive=True)
                 writer = PlaneWriter(fs.open_output_stream(f"{base}/{file}", compression=None))
-            for ids in batch.column("ids"):
-                writer.add(np.frombuffer(ids.as_buffer(), "<u4"))
-            lengths.append(pc.binary_length(batch.column("ids")).to_numpy(zero_copy_only=False).astype("<i8") // 4)
-            doc_ids.append(pc.fill_null(batch.column("doc_id"), 0).to_numpy(zero_copy_only=False).astype("<i8"))
+                part = batch.column("part")[0].as_py()
+            for data in batch.column("ids"):
+                ids = grow(data.as_py())
+                writer.add(ids)
+                lengths.append(len(ids))
+            doc_ids.append(batch.column("doc_id").fill_null(0).to_numpy().astype("<i8"))
             has_id.append(batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False))
         if writer is not None:
             writer.close()
-            n = np.concatenate(lengths)
-            row = [file, TaskContext.get().partitionId(), packed(np.concatenate(doc_ids)), packed(np.concatenate(has_id)), packed(n), int(n.sum())]
+            n = np.array(lengths, "<i8")
+            row = [file, part, packed(np.concatenate(doc_ids)), packed(np.concatenate(has_id)), packed(n), int(n.sum())]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([v], t) for v, t in zip(row, (pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64()))],
                 names=["file", "first_part", "doc_ids", "has_id", "lengths", "n_ids"],
             )
 
-    ordered = tokens.select(F.col("doc_id").cast("long"), "ids").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids")
+    ordered = tokens.repartitionById(parts, "part").sortWithinPartitions("doc_id", "ids")
     ordered.mapInArrow(task, MANIFEST).write.parquet(f"{folder}/manifest")
     return spark.read.parquet(f"{folder}/manifest")
 
@@ -237,5 +309,6 @@ def read_planes(manifest: DataFrame, folder: str) -> DataFrame:
 def store_tokens(docs: DataFrame, tokenizer_json: str, end_id: int) -> DataFrame:
     """Tokenise, write the token files into the shared folder, and read every document back from them."""
     folder = shared_path(docs.sparkSession)
-    manifest = write_planes(cut_lineage(tokenise(docs, tokenizer_json, end_id)), folder)
+    parts = shuffle_parts(docs.sparkSession)
+    manifest = write_planes(tokenise(docs, tokenizer_json, end_id, range_bounds(docs, parts)), folder, parts)
     return read_planes(manifest, folder)
