@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from halospark.operators.lineage import cut_lineage
 
-from .common import packed, pieces, shuffle_parts, split_words
+from .common import as_list, packed, pieces, shuffle_parts, split_words
 from .jaccard_tree import scramble
 
 END, START = np.uint64(1), np.uint64(2)
@@ -111,7 +111,7 @@ class Tokens:
         texts = part.column("text").fill_null("")
         counts, flat = split_words(pc.ascii_lower(texts))
         coded = flat.dictionary_encode()
-        names = coded.dictionary.to_pylist()
+        names = as_list(coded.dictionary)
         self.hash = np.array([*map(xxhash.xxh3_64_intdigest, names), int(END), int(START)], np.uint64)
         end, start = len(names), len(names) + 1
         of = np.repeat(np.arange(len(counts)), counts)
@@ -126,7 +126,7 @@ class Tokens:
             self.previous[1:][self.word[:-1] == end] = start
         self.doc_id = part.column("doc_id")
         self.held = np.array([is_held_out(d) for d in self.doc_id.to_pylist()], bool)
-        self.version = np.array([xxhash.xxh3_64_intdigest(t.as_buffer() or b"") for t in texts], np.uint64)
+        self.version = np.array([xxhash.xxh32_intdigest(t.as_buffer() or b"") for t in texts], np.uint64)
 
 
 def word_bucket(h: np.ndarray, buckets: int) -> np.ndarray:
@@ -198,8 +198,9 @@ def heavy_words(table: DataFrame, least: float) -> dict[int, int]:
 
 
 # -- 2. bigrams by bucket of contexts -------------------------------------------------------------------------------
-BIGRAMS = """bucket int, contexts binary, context_types binary, words binary, occurrences binary, docs binary,
-    ids binary, has_id binary, versions binary, held binary"""
+#: Words of a row: its distinct ones, and for every type which of them (16 bits where they suffice).
+BIGRAMS = """bucket int, contexts binary, context_types binary, words binary, which binary, occurrences binary,
+    docs binary, ids binary, has_id binary, versions binary, held binary"""
 _BIGRAM_NAMES = [x.split()[0] for x in BIGRAMS.split(",")]
 
 
@@ -228,13 +229,15 @@ def bigram_rows(docs: DataFrame, buckets: int, heavy: dict[int, int], least: flo
                 order, cuts = cut_by(bucket, buckets)
                 h, w, n, begin = h[order], w[order], n[order], first[order]
                 ids = packed(t.doc_id.fill_null(0).to_numpy().astype("<i8"))
-                known = [ids, packed(t.doc_id.is_valid().to_numpy(zero_copy_only=False)), packed(t.version), packed(t.held)]
+                known = [ids, packed(t.doc_id.is_valid().to_numpy(zero_copy_only=False)), packed(t.version.astype("<u4")), packed(t.held)]
                 for b, s, e in cuts:
                     new = np.flatnonzero(np.concatenate([[True], h[s + 1 : e] != h[s : e - 1]]))
                     total = int(n[s:e].sum())
                     where = np.repeat(begin[s:e] - np.concatenate([[0], np.cumsum(n[s:e])[:-1]]), n[s:e]) + np.arange(total)
-                    row = (b, packed(h[s:e][new]), packed(np.diff(np.append(new, e - s)).astype("<u4")), packed(w[s:e]), packed(n[s:e].astype("<u4")), packed(doc[where]), *known)
-                    yield _rows(_BIGRAM_NAMES, [pa.int32(), *[pa.binary()] * 9], [row])
+                    words, which = np.unique(w[s:e], return_inverse=True)
+                    which = which.astype("<u2" if len(words) <= 1 << 16 else "<u4")
+                    row = (b, packed(h[s:e][new]), packed(np.diff(np.append(new, e - s)).astype("<u4")), packed(words), packed(which), packed(n[s:e].astype("<u4")), packed(doc[where]), *known)
+                    yield _rows(_BIGRAM_NAMES, [pa.int32(), *[pa.binary()] * 10], [row])
 
     return docs.mapInArrow(task, BIGRAMS).repartition(buckets, "bucket")
 
@@ -249,12 +252,13 @@ class Bucket:
         for r in rows.to_batches():
             for row in r.to_pylist():
                 h.append(np.repeat(np.frombuffer(row["contexts"], "<u8"), np.frombuffer(row["context_types"], "<u4")))
-                w.append(np.frombuffer(row["words"], "<u8"))
+                words = np.frombuffer(row["words"], "<u8")
+                w.append(words[np.frombuffer(row["which"], "<u2" if len(words) <= 1 << 16 else "<u4")])
                 size.append(np.frombuffer(row["occurrences"], "<u4"))
                 doc.append(np.frombuffer(row["docs"], "<u2").astype(np.int64) + base)
                 ids.append(np.frombuffer(row["ids"], "<i8"))
                 has_id.append(np.frombuffer(row["has_id"], bool))
-                versions.append(np.frombuffer(row["versions"], "<u8"))
+                versions.append(np.frombuffer(row["versions"], "<u4").astype(np.uint64))
                 held.append(np.frombuffer(row["held"], bool))
                 base += len(ids[-1])
         h, w, size = np.concatenate(h), np.concatenate(w), np.concatenate(size)
@@ -343,11 +347,11 @@ def _evaluate(buckets: int, unigrams: Unigrams, heavy: np.ndarray):
         value -= np.where(seen & ~hot, np.log10(np.maximum(denominators(sums), 1))[ctx], 0.0)
         wait = (seen & hot) | (~seen & (hot | (sums[ctx, 0] > 0)))
         of = b.type
-        per_token = [np.ones(len(of)), (word_count[b.word] > 0)[of], np.log10(word_count[b.word] + 1.0)[of], value[of], (b.w == END)[of]]
+        per_type = [np.ones(len(c)), word_count[b.word] > 0, np.log10(word_count[b.word] + 1.0), value, b.w == END]
         docs = len(b.ids)
         out_sums = np.zeros((docs, N_SUMS))
-        for k, x in enumerate(per_token):
-            out_sums[:, k] = np.bincount(b.doc, x, minlength=docs)
+        for k, x in enumerate(per_type):
+            out_sums[:, k] = np.bincount(b.doc, x[of], minlength=docs)
         for r in range(1, LARGEST + 1):
             out_sums[:, 4 + r] = np.bincount(b.doc[(c == r)[of]], minlength=docs)
         used = out_sums[:, 0] > 0
@@ -455,7 +459,8 @@ def score(docs: DataFrame) -> DataFrame:
     heavy = np.array(sorted(heavy_count), np.uint64)
 
     rows = bigram_rows(docs, buckets, heavy_count, least)
-    asked = rows.select("bucket", "words").groupBy("bucket").applyInArrow(_ask(buckets), "word_bucket int, asker int, words binary")
+    # both uses take all columns of the rows: one shuffle serves the two
+    asked = rows.groupBy("bucket").applyInArrow(_ask(buckets), "word_bucket int, asker int, words binary")
     answers = (
         asked.groupBy("word_bucket")
         .cogroup(table.select(F.col("bucket").alias("word_bucket"), "words", "counts").groupBy("word_bucket"))
