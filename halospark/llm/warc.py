@@ -26,7 +26,7 @@ import pyarrow.fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, shared_path
+from .common import pieces, shared_path, shuffle_parts
 
 INDEX = """file string, start bigint, length bigint, page_id bigint, url string, payload_digest string,
     payload_bytes bigint, record_type string, refers_to bigint"""
@@ -177,7 +177,9 @@ def read_records(index: DataFrame, folder: str, payload: bool = False) -> DataFr
                         own = own[n:]
                         yield _batch(out, names, types)
 
-    chosen = index.select("file", "start", "length").repartitionByRange("file", "start").sortWithinPartitions("file", "start")
+    # a fixed number of parts: the rows are small, but each stands for a record to be read
+    parts = shuffle_parts(index.sparkSession)
+    chosen = index.select("file", "start", "length").repartitionByRange(parts, "file", "start").sortWithinPartitions("file", "start")
     return chosen.mapInArrow(task, READ + (", payload binary" if payload else ""))
 
 
