@@ -34,15 +34,49 @@ TREES, DEPTH, SEED = 20, 6, 7
 #: Words that stand next to or inside a secret's assignment.
 HINTS = "(?i)(pass|pwd|secret|token|key|auth|bearer|credential|aws|private)"
 
-#: Known formats, for labelling findings (true: a secret of that format).
+#: Names whose value is a secret, and what joins a name to its value.
+NAMES = (
+    r"(?:pass|passw(?:or)?d|passphrase|pwd|secret|token|pat|credentials?|auth|authorization|bearer"
+    r"|(?:api|access|secret|private|auth|account|encryption|signing|client|master|storage)[_.\- ]?(?:key|token|secret)(?:[_.\-]?id)?)"
+)
+JOINED = r"""["'`]?\s{0,3}(?::=|=>|->|==|[=:>])\s{0,3}["'`]?(?:(?:Bearer|Basic|Token)\s+)?"""
+PLACEHOLDER = r"(?:[$%{<\[(]|[x*.#]{6}|0{6}|your|change_?me|placeholder|redacted|dummy|none|null|undefined|process\.env|os\.environ|getenv)"
+
+#: Known formats that need no company, wherever they stand in a candidate.
 KNOWN_FORMATS = (
-    r"AKIA[0-9A-Z]{16}",
+    r"(?:AKIA|ASIA)[0-9A-Z]{16}",
     r"gh[pousr]_[A-Za-z0-9]{36}",
-    r"(?i)(password|passwd|pwd|secret|token|api_?key)=[A-Za-z0-9+/_\-]{8,}",
-    r"[0-9a-f]{40}",
+    r"github_pat_[A-Za-z0-9_]{22,}",
+    r"glpat-[A-Za-z0-9_\-]{20,}",
+    r"xox[abeoprs]-[A-Za-z0-9\-]{10,}",
+    r"AIza[A-Za-z0-9_\-]{35}",
+    r"ya29\.[A-Za-z0-9_\-]{20,}",
+    r"[sr]k_(?:live|test)_[A-Za-z0-9]{16,}",
+    r"sk-(?:[a-z]+-)*(?=[A-Za-z_\-]*[0-9])[A-Za-z0-9_]{20,}",
+    r"hf_[A-Za-z0-9]{30,}",
+    r"npm_[A-Za-z0-9]{36}",
+    r"pypi-[A-Za-z0-9_\-]{50,}",
+    r"do[opr]_v1_[0-9a-f]{64}",
+    r"shp(?:at|ca|pa|ss)_[0-9a-fA-F]{32}",
+    r"SG\.[A-Za-z0-9_\-]{16,}\.[A-Za-z0-9_\-]{16,}",
+    r"SK[0-9a-f]{32}",
+    r"eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}",
+)
+FORMAT = r"(?<![A-Za-z0-9])(?:" + "|".join(KNOWN_FORMATS) + r")(?![A-Za-z0-9])|PRIVATE KEY(?: BLOCK)?-----|^[^\s/:@]+:[^\s/@]+@$"
+
+#: A value behind the name of a secret: any behind a bare =, else one with a digit or with letters of both cases.
+ASSIGNED = (
+    rf"(?i:{NAMES}(?:=(?!{PLACEHOLDER})|{JOINED}(?!{PLACEHOLDER})(?=\S*[0-9]|\S*(?-i:[a-z]\S*[A-Z]))))"
+    r"""[^\s"'`<>]{8,}|(?i:"""
+    + NAMES
+    + r""")["'`]?\s{0,3}[=:]\s{0,3}["'](?=[^"']*[0-9])[^"']{8,}["']"""
 )
+#: Opaque strings that are a secret only in company: a name of a secret just before them, and no word for a digest.
+OPAQUE = r"^(?=[^0-9]*[0-9])[A-Za-z0-9+/_\-]{16,}={0,2}$"
+NAMED = rf"(?i){NAMES}[^\p{{L}}\p{{N}}]*(?:is|was)?[^\p{{L}}\p{{N}}]*$"
+DIGEST = r"(?i)(?:commit|\bsha|sha-?[0-9]|md5|checksum|digest|hash(?!i)|\brev|revision|etag|integrity|blob|\btree\b|\bparent\b|merge|fingerprint|uuid|guid|public|cache)"
 
-FEATURES = ("length", "runs", "digits", "uppers", "vowel_turns", "different", "coverage", "path", "hint_before", "hint_inside", "quoted", "words_around")
+FEATURES = ("length", "runs", "digits", "uppers", "vowel_turns", "different", "coverage", "path", "hint_before", "hint_inside", "quoted", "words_around", "assigned", "digest", "hex", "symbols")
 
 
 def candidates(docs: DataFrame, path: str = "source") -> DataFrame:
@@ -102,13 +136,27 @@ def with_features(found: DataFrame, words: list[str]) -> DataFrame:
         "hint_inside": F.regexp_like(c, F.lit(HINTS)).cast("int"),
         "quoted": F.regexp_like("before", F.lit("[\"'`]$")).cast("int"),
         "words_around": F.size(F.filter(F.split(F.lower(F.concat_ws(" ", "before", "after")), r"[^\p{L}]+"), lambda w: w.isin(words))) if words else F.lit(0),
+        "assigned": F.regexp_like(F.concat(F.coalesce("before", F.lit("")), c), F.lit(rf"(?i){NAMES}{JOINED}\S")).cast("int"),
+        "digest": F.regexp_like(F.concat_ws(" ", "before", F.regexp_extract(c, r"^([\w./\-]*)[\"'`]?\s{0,3}[=:>]", 1), "after"), F.lit(DIGEST)).cast("int"),
+        "hex": F.regexp_like(c, F.lit(r"(^|[^A-Za-z0-9])[0-9a-f]{32,}$")).cast("int"),
+        "symbols": _length_without(c, r"[^A-Za-z0-9]+") / n,
     }
     return found.withColumns({name: value[name].cast("double") for name in FEATURES})
 
 
-def known_format(candidate: Column) -> Column:
-    """1.0 where a candidate has a known secret format, else 0.0: labels for findings that nobody has reviewed."""
-    return F.regexp_like(candidate, F.lit("^(" + "|".join(KNOWN_FORMATS) + ")$")).cast("double")
+def known_format(candidate: Column, before: Column | None = None, after: Column | None = None) -> Column:
+    """1.0 where a candidate with its neighbouring words has the form of a secret, else 0.0: labels for findings that
+    nobody has reviewed.
+
+    A known format counts anywhere in the candidate; a value behind the name of a secret, and an opaque string behind
+    such a name, count unless a word for a digest (commit, checksum, ...) stands with them.
+    """
+    around = F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in (before, after) if c is not None])
+    name = F.regexp_extract(candidate, r"^([\w./\-]*)[\"'`]?\s{0,3}[=:>]", 1)
+    named = F.regexp_like(F.coalesce(before, F.lit("")), F.lit(NAMED)) if before is not None else F.lit(False)
+    in_company = F.regexp_like(candidate, F.lit(ASSIGNED)) | (F.regexp_like(candidate, F.lit(OPAQUE)) & named)
+    digest = F.regexp_like(F.concat_ws(" ", name, around), F.lit(DIGEST))
+    return (F.regexp_like(candidate, F.lit(FORMAT)) | (in_company & ~digest)).cast("double")
 
 
 def fit(labelled: DataFrame):
@@ -130,12 +178,12 @@ def fit(labelled: DataFrame):
 def scan(docs: DataFrame, path: str = "source", labels: DataFrame | None = None, threshold: float = 0.5) -> DataFrame:
     """Every finding: doc_id, nth, candidate, label, score, is_secret.
 
-    ``labels``: reviewed findings (candidate, label); by default findings are labelled by :data:`KNOWN_FORMATS`.
+    ``labels``: reviewed findings (candidate, label); by default findings are labelled by :func:`known_format`.
     """
     found = cut_lineage(candidates(docs, path))
     featured = with_features(found, dictionary(found))
     if labels is None:
-        labelled = featured.withColumn("label", known_format(F.col("candidate")))
+        labelled = featured.withColumn("label", known_format(F.col("candidate"), F.col("before"), F.col("after")))
     else:
         reviewed = labels.groupBy("candidate").agg(F.max("label").cast("double").alias("label"))
         labelled = featured.join(reviewed, "candidate", "left")
