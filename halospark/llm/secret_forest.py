@@ -1,22 +1,26 @@
 """Secret scan: find long opaque strings, then let a random forest remove the false positives.
 
-A candidate is a run of at least MIN_CHARS key characters.  Documents are scanned once by a regular expression; those
-with candidates are cut at them, so the words before and after are at hand without exploding any text.  A forest,
+A candidate is a run of at least MIN_CHARS key characters, a value of 8 or more characters behind a name that tells of a
+secret, a token of dotted parts, an armoured private key, or the user:password of a URL.  Documents are scanned once by a
+regular expression; those with candidates are cut at them, so the words before and after are at hand.  A forest,
 trained on labelled findings, scores each candidate by its length, its character transitions, how much of it dictionary
 words cover, the path it was found under, and the words around it.  Only built-in functions and Spark's own forest run.
 
-The dictionary is counted over the neighbouring words of all candidates.  The forest is fitted on at most about
+The dictionary is counted over all documents: every word that a share of MIN_SHARE of them holds.  The forest is fitted on at most about
 TRAIN_ROWS labelled findings of each class (drawn by a hash of the candidate, the rate worked out from all counts);
 everything else covers all documents.
 
 Cases: a NULL or empty text has no candidates; a NULL path is a path of its own; a candidate at the very start or end
 of a text has an empty neighbour; the same candidate found again is scored each time; rows repeated are scanned alike;
+a bare run that touches a letter outside ASCII is part of a word and no candidate, a value behind a name may hold any;
 without labelled findings of both kinds there is nothing to learn from and the label itself is the score; an empty
 table has no findings; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
@@ -27,8 +31,9 @@ from halospark.operators.lineage import cut_lineage
 
 MIN_CHARS = 16
 KEY_CHARS = r"A-Za-z0-9_+/=\-"
-CANDIDATE = rf"(?<![\p{{L}}\p{{N}}_+/=\-])[{KEY_CHARS}]{{{MIN_CHARS},}}+(?!\p{{L}})"
-TRAIN_ROWS, DICTIONARY_WORDS, PATHS, NEIGHBOUR_CHARS = 10_000, 150, 16, 64
+LONG_RUN = rf"(?<![\p{{L}}\p{{N}}_+/=\-])[{KEY_CHARS}]{{{MIN_CHARS},}}+(?!\p{{L}})"
+TRAIN_ROWS, PATHS, NEIGHBOUR_CHARS = 10_000, 16, 64
+MIN_SHARE, MIN_DOCS = 0.001, 2
 TREES, DEPTH, SEED = 20, 6, 7
 
 #: Words that stand next to or inside a secret's assignment.
@@ -76,6 +81,24 @@ OPAQUE = r"^(?=[^0-9]*[0-9])[A-Za-z0-9+/_\-]{16,}={0,2}$"
 NAMED = rf"(?i){NAMES}[^\p{{L}}\p{{N}}]*(?:is|was)?[^\p{{L}}\p{{N}}]*$"
 DIGEST = r"(?i)(?:commit|\bsha|sha-?[0-9]|md5|checksum|digest|hash(?!i)|\brev|revision|etag|integrity|blob|\btree\b|\bparent\b|merge|fingerprint|uuid|guid|public|cache)"
 
+#: A name that tells of a secret, a separator, and a value of 8 or more characters, quoted (spaces included) or bare.
+#: A bare value ends at the next parameter (&name=, ;name=); the name is tried only where a separator follows it.
+_NAME_END = r"""["'`]?\s{0,3}(?::=|=>|->|==|[=:>])\s{0,3}"""
+BY_NAME = (
+    rf"(?<![\p{{L}}\p{{N}}_+/])-{{0,2}}(?=[\w./\-]{{1,128}}+{_NAME_END}\S)"
+    r"(?=[\w./\-]{0,128}?(?i:pass|pwd|pw\b|secret|token|key|auth|bearer|cred|private|api|\bpat\b|_pat\b|session|cookie|signature|\bpin\b))"
+    rf"[\w./\-]{{1,128}}+{_NAME_END}"
+    r"""(?:"[^"\r\n]{8,512}+"|'[^'\r\n]{8,512}+'|["'`]?(?:(?i:Bearer|Basic|Token)\s{1,3})?(?=[^\s"'`<>]{8})"""
+    r"""[^\s"'`<>&;]++(?:[&;]++(?![\w.\-]{1,64}=)[^\s"'`<>&;]*+)*+)"""
+)
+#: Tokens of three parts (JWTs among them), private keys in armour, and user:password in front of a host.
+DOTTED = r"(?<![\p{L}\p{N}_+/=.\-])(?:eyJ[A-Za-z0-9_\-]{8,}+\.[A-Za-z0-9_\-]{8,}+(?:\.[A-Za-z0-9_\-]*+)?|[A-Za-z0-9_\-]{2,}+\.[A-Za-z0-9_\-]{6,}+\.[A-Za-z0-9_\-]{16,}+)(?!\p{L})"
+ARMOUR = r"-----BEGIN [A-Z ]{0,32}?PRIVATE KEY(?: BLOCK)?-----[^\-]*+"
+IN_URL = r"(?<=://)[^\s/:@\"'<>]{1,128}+:[^\s/@\"'<>]{3,128}+@"
+CANDIDATE = "|".join((ARMOUR, IN_URL, DOTTED, BY_NAME, LONG_RUN))
+#: Closing marks that a bare value may bring along.
+CLOSING = ".,;:)]}"
+
 FEATURES = ("length", "runs", "digits", "uppers", "vowel_turns", "different", "coverage", "path", "hint_before", "hint_inside", "quoted", "words_around", "assigned", "digest", "hex", "symbols")
 
 
@@ -88,7 +111,7 @@ def candidates(docs: DataFrame, path: str = "source") -> DataFrame:
     around = F.transform(
         "found",
         lambda c, i: F.struct(
-            c.alias("candidate"),
+            F.rtrim(c, F.lit(CLOSING)).alias("candidate"),
             F.right(F.get(F.col("gaps"), i), F.lit(NEIGHBOUR_CHARS)).alias("left"),
             F.left(F.get(F.col("gaps"), i + 1), F.lit(NEIGHBOUR_CHARS)).alias("right"),
         ),
@@ -104,12 +127,35 @@ def candidates(docs: DataFrame, path: str = "source") -> DataFrame:
     )
 
 
-def dictionary(found: DataFrame) -> list[str]:
-    """The most frequent words of 3 to 12 letters around the candidates: a list of fixed length."""
-    around = F.split(F.concat_ws(" ", "before", "after"), r"[^\p{L}]+")
-    word = found.select(F.explode(around).alias("w")).select(F.lower("w").alias("w")).where(F.length("w").between(3, 12))
-    top = word.groupBy("w").count().orderBy(F.desc("count"), "w").limit(DICTIONARY_WORDS)
-    return [r.w for r in top.collect()]
+def dictionary(df: DataFrame) -> list[str]:
+    """The words of 3 to 12 letters in at least MIN_SHARE of all documents (and in MIN_DOCS), by partial aggregates.
+
+    The share bounds their number, whatever the size of the corpus.  ``df`` holds texts, or findings: then the words
+    before and after each are its document.
+    """
+    text = F.col("text") if "text" in df.columns else F.concat_ws(" ", "before", "after")
+    once = F.array_distinct(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}]+"))
+    in_docs = df.select(F.explode(once).alias("w")).where(F.length("w").between(3, 12)).groupBy("w").count()
+    least = max(MIN_DOCS, math.ceil(MIN_SHARE * df.count()))
+    return sorted(r.w for r in in_docs.where(F.col("count") >= least).collect())
+
+
+def _trie(words: list[str]) -> str:
+    """A pattern for the longest of many words at a place, in one step for each letter."""
+    root: dict = {}
+    for w in words:
+        at = root
+        for letter in w:
+            at = at.setdefault(letter, {})
+        at[""] = {}
+
+    def pattern(at: dict) -> str:
+        rest = [letter + pattern(below) for letter, below in sorted(at.items()) if letter]
+        if not rest:
+            return ""
+        return f"(?:{'|'.join(rest)})" + ("?" if "" in at else "")
+
+    return pattern(root)
 
 
 def _length_without(text: Column, pattern: str) -> Column:
@@ -121,8 +167,7 @@ def with_features(found: DataFrame, words: list[str]) -> DataFrame:
     small = F.lower(c)
     runs = F.length(F.regexp_replace(c, r"[a-z]+|[A-Z]+|[0-9]+|[^A-Za-z0-9]+", "x"))
     turns = F.length(F.regexp_replace(F.regexp_replace(small, r"[^a-z]+", ""), r"[aeiou]+|[^aeiou]+", "x"))
-    longest_first = sorted(words, key=lambda w: (-len(w), w))
-    covered = _length_without(small, "|".join(longest_first)) if words else F.lit(0)
+    covered = _length_without(small, _trie(words)) if words else F.lit(0)
     value = {
         "length": n,
         "runs": runs / n,
@@ -181,7 +226,7 @@ def scan(docs: DataFrame, path: str = "source", labels: DataFrame | None = None,
     ``labels``: reviewed findings (candidate, label); by default findings are labelled by :func:`known_format`.
     """
     found = cut_lineage(candidates(docs, path))
-    featured = with_features(found, dictionary(found))
+    featured = with_features(found, dictionary(docs))
     if labels is None:
         labelled = featured.withColumn("label", known_format(F.col("candidate"), F.col("before"), F.col("after")))
     else:

@@ -195,3 +195,49 @@ def precision_and_recall(rows, kinds, n=40, seed=11):
 def test_secrets_with_a_name_are_found_and_digests_are_not(rows):
     precision, recall = precision_and_recall(rows, LONG_KINDS)
     assert precision >= 0.95 and recall >= 0.95, (precision, recall)
+
+
+SHORT_KINDS = [
+    (True, lambda s: f"pwd={s(LOWER_36, 7)}7"),
+    (True, lambda s: f"token={s(MIXED, 7)}3"),
+    (True, lambda s: f"secret={s('0123456789', 8)}"),
+    (True, lambda s: f"password: {s(MIXED, 6)}2!{s(MIXED, 3)}.{s(MIXED, 2)}@x"),
+    (True, lambda s: f'"db_password": "{s(MIXED, 5)} ü4{s(MIXED, 4)}"'),
+    (True, lambda s: f"eyJ{s(MIXED, 20)}.eyJ{s(MIXED, 40)}.{s(MIXED, 30)}"),
+    (False, lambda s: "house.under.the-river-with-and"),
+    (False, lambda s: f"commit {s(HEX, 40)}"),
+    (False, lambda s: "password: ********"),
+    (False, lambda s: f"cache_key={s('0123456789', 9)}"),
+    (False, lambda s: "token: underthehouse"),
+]
+
+
+def test_short_and_dotted_secrets_are_found(rows):
+    precision, recall = precision_and_recall(rows, SHORT_KINDS)
+    assert precision >= 0.95 and recall >= 0.95, (precision, recall)
+
+
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        ("a pwd=abcd1234 b", ["pwd=abcd1234"]),
+        ("token=Zx81kQ9p&page=2", ["token=Zx81kQ9p"]),
+        ("password: hunter2!Secr3t.", ["password: hunter2!Secr3t"]),
+        ("--password=hunter2!Secr3t", ["--password=hunter2!Secr3t"]),
+        ("secret=12345678", ["secret=12345678"]),
+        ("password: grün1234&x", ["password: grün1234&x"]),
+        ("see eyJhbGciOiJIUzI1.eyJzdWIiOiIx.c2lnbmF0dXJl here", ["eyJhbGciOiJIUzI1.eyJzdWIiOiIx.c2lnbmF0dXJl"]),
+        ("postgres://bob:s3cr3t!@db/x", ["bob:s3cr3t!@"]),
+        ("note: something longer, page=12345678", []),
+    ],
+)
+def test_candidates_by_name(rows, text, want):
+    got = secret_forest.candidates(rows("doc_id long, text string, source string", [(1, text, "s")])).collect()
+    assert [r.candidate for r in got] == want
+
+
+def test_dictionary_counts_all_documents(rows):
+    # more words than any fixed list, none of them near a candidate
+    texts = [" ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300)) for _ in range(3)] + ["once"]
+    words = secret_forest.dictionary(rows("text string", [(x,) for x in texts]))
+    assert len(words) == 300 and "once" not in words
