@@ -123,6 +123,19 @@ def wind_mass_partition(history: DataFrame, subset: DataFrame) -> DataFrame:
 
 
 # -- nested tracks ----------------------------------------------------------------------------------------
+#: Records of one key from which its track is cut by finer units of time.
+DENSE = 100_000
+
+
+def _unit_of_time(df: DataFrame, time: str) -> Column:
+    """The unit's number for each record; ``_n`` has the records of a dense key."""
+    if dict(df.dtypes)[time].startswith(("timestamp", "date")):
+        seconds = F.unix_timestamp(F.col(time).cast("timestamp"))
+        length = F.when(F.col("_n") > 24 * DENSE, 1).when(F.col("_n") > DENSE, 3600).otherwise(86400)
+        return F.floor(seconds / length)
+    return F.when(F.col("_n") > DENSE, F.floor(F.col(time) * 1000)).otherwise(0).cast("long")
+
+
 def build_tracks(
     records: DataFrame,
     launches: DataFrame | None = None,
@@ -135,16 +148,22 @@ def build_tracks(
     """One row per wind particle: ``track`` = struct of arrays in time order, ``records`` = their number.
 
     ``launches`` (with ``key``) restricts and extends the records.  The head fields ``first`` are those of the first
-    record of the whole track, ``records`` is its total.  A row must stay bounded: where one particle may have very
-    many records, ``segment`` names a unit of time (a non-decreasing whole-number function of ``time``), and the track
-    has a row for each of its units.
+    record of the whole track, ``records`` is its total.  A row must stay bounded: the track has a row for each unit of
+    time.  By default the unit is the day of a timestamp, an hour or a second where a key has more than DENSE or
+    24 * DENSE records; other times are one unit, or thousandths where a key is dense.  ``segment`` names another unit
+    (a non-decreasing whole-number function of ``time``).
     """
-    unit = F.lit(0) if segment is None else segment.cast("int")
     if launches is not None:
         records = records.join(launches, key)
     present = [c for c in fields if c in records.columns]
     heads = [c for c in first if c in records.columns]
-    placed = records.select(key, time, *present, *heads).withColumn("segment", unit)
+    placed = records.select(key, time, *present, *heads)
+    if segment is None:
+        # the dense keys: at most one for every DENSE records of the table
+        dense = placed.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > DENSE)
+        placed = placed.join(F.broadcast(dense), key, "left").withColumn("segment", _unit_of_time(placed, time)).drop("_n")
+    else:
+        placed = placed.withColumn("segment", segment.cast("int"))
     whole = placed.groupBy(key).agg(
         *[F.min_by(c, F.struct(time, *present)).alias(c) for c in heads], F.count("*").alias("records")
     )

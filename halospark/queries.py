@@ -966,10 +966,20 @@ def star_history(fx):
         FROM fx_tracks) GROUP BY PhEWKey, segment""")
 def wind_tracks(fx):
     records = fx.tracks.withColumn("Minit", F.col("Mass"))
-    tracks = winds.build_tracks(records, first=("Minit",), segment=F.month("atime") - 1)
+    tracks = winds.build_tracks(records, first=("Minit",))
     cents = F.transform("track.Mass", lambda m: F.round(m * 100).cast("long").cast("string"))
-    return tracks.select(
-        "PhEWKey", "segment", "records", F.concat_ws(",", cents).alias("masses"), F.col("Minit").alias("first_mass")
+    # only the text of each unit meets the others of its month
+    text = tracks.select(
+        "PhEWKey",
+        (F.month(F.col("track.atime")[0]) - 1).alias("segment"),
+        "records",
+        F.struct(F.col("track.atime")[0].alias("start"), F.concat_ws(",", cents).alias("masses")).alias("part"),
+        F.col("Minit").alias("first_mass"),
+    )
+    return text.groupBy("PhEWKey", "segment").agg(
+        F.max("records").alias("records"),
+        F.concat_ws(",", F.sort_array(F.collect_list("part"))["masses"]).alias("masses"),
+        F.max("first_mass").alias("first_mass"),
     )
 
 
@@ -1094,7 +1104,7 @@ def stored_csv(fx):
 @query("""SELECT PhEWKey, count(*) AS records, CAST(sum(CAST(round(Mass * 100) AS BIGINT)) AS BIGINT) AS cents FROM fx_tracks GROUP BY PhEWKey""")
 def stored_tracks(fx):
     spark, path = fx.particles.sparkSession, new_path(fx.particles.sparkSession)
-    store.write_tracks(winds.build_tracks(fx.tracks, segment=F.month("atime")), path)
+    store.write_tracks(winds.build_tracks(fx.tracks), path)
     cents = F.aggregate(F.col("track.Mass"), F.lit(0).cast("long"), lambda s, m: s + F.round(m * 100).cast("long"))
     return spark.read.parquet(path).groupBy("PhEWKey").agg(F.max("records").alias("records"), F.sum(cents).alias("cents"))
 
@@ -1103,4 +1113,5 @@ def stored_tracks(fx):
     ON l.PhEWKey = t.PhEWKey GROUP BY t.PhEWKey""")
 def tracks_of_launches(fx):
     chosen = fx.launch.where("atime > 0.2 and atime < 0.6").select("PhEWKey", F.col("Mass").alias("Minit"))
-    return winds.build_tracks(fx.tracks, chosen, first=("Minit",)).select("PhEWKey", "records", "Minit")
+    tracks = winds.build_tracks(fx.tracks, chosen, first=("Minit",))
+    return tracks.groupBy("PhEWKey").agg(F.sum(F.size("track.Mass")).alias("records"), F.max("Minit").alias("Minit"))

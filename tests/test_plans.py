@@ -182,3 +182,15 @@ def test_recent_accretion(rows):
     gas = rows("PId long, snapnum int, galId int", [(1, 1, 5), (2, 1, 5), (1, 0, 5), (2, 0, 4)])
     assert [r.PId for r in history.recent_accretion(gas, 5, 1).collect()] == [2]
     assert history.star_history(gas, 5, 1).agg(F.count("*")).collect()[0][0] == 4
+
+
+def test_tracks_are_cut_by_default(rows, monkeypatch):
+    monkeypatch.setattr(winds, "DENSE", 200)
+    start = 1_704_067_200
+    # key 1 has a record every 10 minutes, key 2 a few in three days
+    data = [(1, start + 600 * i, float(i)) for i in range(300)] + [(2, start + 86400 * i, float(i)) for i in range(3)]
+    records = rows("PhEWKey long, s long, Mass double", data).selectExpr("PhEWKey", "timestamp_seconds(s) AS atime", "Mass")
+    tracks = winds.build_tracks(records, fields=("Mass",), first=("Mass",)).orderBy("PhEWKey", "segment").collect()
+    assert [len(r.track.Mass) for r in tracks] == [6] * 50 + [1] * 3
+    assert [m for r in tracks for m in r.track.Mass] == [m for _, _, m in data]
+    assert {(r.PhEWKey, r.Mass, r.records) for r in tracks} == {(1, 0.0, 300), (2, 0.0, 3)}
