@@ -22,9 +22,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from halospark.operators.joins import join_skewed
 from halospark.operators.lineage import cut_lineage
 from halospark.operators.ordered import running_total
 
@@ -87,8 +88,30 @@ def usable(vectors: DataFrame) -> DataFrame:
     return df.where(F.size("embedding") == (top.length if top else 0))
 
 
-def ordered(points: DataFrame, query: Column) -> DataFrame:
-    """(curve, rank, n, vec_id, is_query, vector): every vector's rank (from 0) in each ordering of n vectors."""
+def folded(points: DataFrame, query: Column, k: int) -> tuple[DataFrame, DataFrame]:
+    """Distinct vectors (vec_id, nth, ids, is_query, embedding), and the query rows (query_id, vec_id, nth) they stand for.
+
+    ``ids`` are the ``k`` + 1 smallest vec_ids with that vector, ``vec_id`` the first of them; ``nth`` tells vectors of
+    one vec_id apart.
+    """
+    once = cut_lineage(points.withColumn("is_query", F.coalesce(query, F.lit(False))).groupBy("vec_id", "embedding").agg(F.max("is_query").alias("is_query")))
+    # row_number with a bound is cut down in every task before the shuffle, so a large group sends k + 1 rows from each
+    same = Window.partitionBy("embedding").orderBy("vec_id")
+    least = once.select("vec_id", "embedding").withColumn("_n", F.row_number().over(same)).where(F.col("_n") <= k + 1)
+    ids = least.groupBy("embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
+    asked = once.where("is_query").groupBy("embedding").agg(F.lit(True).alias("is_query"))
+    groups = ids.join(asked, "embedding", "left").select(
+        F.col("ids")[0].alias("vec_id"), "ids", F.coalesce("is_query", F.lit(False)).alias("is_query"), "embedding"
+    )
+    groups = cut_lineage(groups.withColumn("nth", F.row_number().over(Window.partitionBy("vec_id").orderBy("embedding"))))
+    members = once.where("is_query").select(F.col("vec_id").alias("query_id"), "embedding")
+    # the many query rows of one vector are spread over parts of their own
+    members = join_skewed(members, groups.where("is_query").select("embedding", "vec_id", "nth"), ["embedding"], salt_on=["query_id"])
+    return groups, cut_lineage(members.select("query_id", "vec_id", "nth"))
+
+
+def ordered(points: DataFrame) -> DataFrame:
+    """(curve, rank, n, vec_id, nth, is_query, vector): every distinct vector's rank (from 0) in each ordering of n."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         orderings: list[Ordering] = []
@@ -103,12 +126,14 @@ def ordered(points: DataFrame, query: Column) -> DataFrame:
             packed = pa.array([row.tobytes() for row in v], pa.binary())
             for c, o in enumerate(orderings):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(v), c, np.int32)), pa.array(o.keys(unit)), batch.column("vec_id"), batch.column("is_query"), packed],
-                    names=["curve", "place", "vec_id", "is_query", "vector"],
+                    [pa.array(np.full(len(v), c, np.int32)), pa.array(o.keys(unit)), batch.column("vec_id"), batch.column("nth"), batch.column("is_query"), packed],
+                    names=["curve", "place", "vec_id", "nth", "is_query", "vector"],
                 )
 
-    keyed = points.withColumn("is_query", query).mapInArrow(task, "curve int, place bigint, vec_id bigint, is_query boolean, vector binary")
-    ranked = running_total(keyed, ["curve"], [F.col("place"), F.col("vec_id")], F.lit(1), "rank", "n")
+    keyed = points.select("vec_id", "nth", "is_query", "embedding").mapInArrow(
+        task, "curve int, place bigint, vec_id bigint, nth int, is_query boolean, vector binary"
+    )
+    ranked = running_total(keyed, ["curve"], [F.col("place"), F.col("vec_id"), F.col("nth")], F.lit(1), "rank", "n")
     return ranked.withColumn("rank", F.col("rank") - 1).drop("place")
 
 
@@ -130,46 +155,60 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
 
 def _block_best(k: int):
     def task(queries: pa.Table, block: pa.Table) -> pa.Table:
-        out: list[tuple[int, int, float]] = []
+        out: list[tuple[int, int, int, int, float]] = []
         if queries.num_rows and block.num_rows:
             q, v = _matrix(queries.column("vector")), _matrix(block.column("vector"))
-            q_id, v_id = queries.column("vec_id").to_numpy(), block.column("vec_id").to_numpy()
-            # equal rows count once
-            once = list({(i, row.tobytes()): k for k, (i, row) in enumerate(zip(v_id.tolist(), v))}.values())
-            v, v_id = v[once], v_id[once]
+            q_id, q_nth = queries.column("vec_id").to_pylist(), queries.column("nth").to_pylist()
+            v_id, v_nth = block.column("vec_id").to_numpy(), block.column("nth").to_numpy()
             unit_v = _unit(v)
             for first in range(0, len(q), 256):
                 near = _unit(q[first : first + 256]) @ unit_v.T
-                near[q_id[first : first + 256, None] == v_id[None, :]] = -np.inf
-                for i, row in enumerate(near):
+                for i, row in enumerate(near, first):
                     bound = np.partition(row, -k)[-k] if len(row) > k else -np.inf
-                    hit = np.flatnonzero((row >= bound - 1e-9) & (row > -np.inf))
-                    exact = cosines(np.broadcast_to(q[first + i], (len(hit), q.shape[1])), v[hit])
-                    for j in np.lexsort((v_id[hit], -exact))[:k]:
-                        out.append((int(q_id[first + i]), int(v_id[hit[j]]), float(exact[j])))
-        a, b, c = zip(*out) if out else ((), (), ())
-        return pa.table({"query_id": pa.array(a, pa.int64()), "vec_id": pa.array(b, pa.int64()), "score": pa.array(c, pa.float64())})
+                    hit = np.flatnonzero(row >= bound - 1e-9)
+                    exact = cosines(np.broadcast_to(q[i], (len(hit), q.shape[1])), v[hit])
+                    for j in np.lexsort((v_nth[hit], v_id[hit], -exact))[:k]:
+                        out.append((q_id[i], q_nth[i], int(v_id[hit[j]]), int(v_nth[hit[j]]), float(exact[j])))
+        kinds = {"q_vec": pa.int64(), "q_nth": pa.int32(), "vec_id": pa.int64(), "nth": pa.int32(), "score": pa.float64()}
+        columns = zip(*out) if out else [()] * len(kinds)
+        return pa.table({name: pa.array(c, kind) for (name, kind), c in zip(kinds.items(), columns)})
 
     return task
 
 
 def nearest(vectors: DataFrame, query: Column, k: int = 5, window: float = WINDOW) -> DataFrame:
-    """(query_id, rank, vec_id, score): the ``k`` nearest by cosine that the windows of each query row hold."""
-    places = cut_lineage(ordered(usable(vectors), query).withColumn("block", F.floor(F.col("rank") / BLOCK)))
+    """(query_id, rank, vec_id, score): the ``k`` nearest by cosine that the windows of each query row hold.
+
+    Equal vectors share one place, so windows and blocks count distinct vectors; their ids come back after the rerank.
+    """
+    groups, members = folded(usable(vectors), query, k)
+    # besides the k wanted, a query meets every vector under its own vec_id
+    own = groups.select(F.explode("ids").alias("id"), "vec_id").join(members.select(F.col("query_id").alias("id")).distinct(), "id")
+    most = own.groupBy("id").count().agg(F.max("count")).first()[0] or 1
+    places = cut_lineage(ordered(groups).withColumn("block", F.floor(F.col("rank") / BLOCK)))
     reach = F.ceil(F.col("n") * (window / 2))
     # a window that would pass an end of the ordering is moved inside, so that all are equally wide
     start = F.greatest(F.lit(0), F.least(F.col("rank") - reach, F.col("n") - 1 - 2 * reach))
     stop = F.least(F.col("n") - 1, F.greatest(F.col("rank") + reach, 2 * reach))
     probes = places.where("is_query").select(
-        "curve", F.explode(F.sequence(F.floor(start / BLOCK), F.floor(stop / BLOCK))).alias("block"), "vec_id", "vector"
+        "curve", F.explode(F.sequence(F.floor(start / BLOCK), F.floor(stop / BLOCK))).alias("block"), "vec_id", "nth", "vector"
     )
     met = (
         probes.groupBy("curve", "block")
-        .cogroup(places.select("curve", "block", "vec_id", "vector").groupBy("curve", "block"))
-        .applyInArrow(_block_best(k), "query_id bigint, vec_id bigint, score double")
+        .cogroup(places.select("curve", "block", "vec_id", "nth", "vector").groupBy("curve", "block"))
+        .applyInArrow(_block_best(k + most), "q_vec bigint, q_nth int, vec_id bigint, nth int, score double")
+    )
+    order = F.struct((-F.col("score")).alias("far"), F.col("vec_id"), F.col("nth"), F.col("score"))
+    best = met.groupBy("q_vec", "q_nth").agg(F.slice(F.sort_array(F.collect_set(order)), 1, k + most).alias("best"))
+    each = best.select("q_vec", "q_nth", F.explode("best").alias("b")).select("q_vec", "q_nth", "b.vec_id", "b.nth", "b.score")
+    # the ids of a large group go to many queries
+    given = join_skewed(each, groups.select("vec_id", "nth", "ids"), ["vec_id", "nth"], salt_on=["q_vec", "q_nth"])
+    found = F.flatten(F.collect_list(F.transform("ids", lambda i: F.struct((-F.col("score")).alias("far"), i.alias("vec_id"), F.col("score").alias("score")))))
+    lists = given.groupBy("q_vec", "q_nth").agg(F.sort_array(found).alias("found"))
+    lists = lists.select(F.col("q_vec").alias("vec_id"), F.col("q_nth").alias("nth"), "found")
+    mine = join_skewed(members, lists, ["vec_id", "nth"], salt_on=["query_id"]).select(
+        "query_id", F.slice(F.filter("found", lambda f: f["vec_id"] != F.col("query_id")), 1, k).alias("best")
     )
-    order = F.struct((-F.col("score")).alias("far"), F.col("vec_id"), F.col("score"))
-    best = met.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_set(order)), 1, k).alias("best"))
-    return best.select("query_id", F.posexplode("best").alias("rank", "b")).select(
+    return mine.select("query_id", F.posexplode("best").alias("rank", "b")).select(
         "query_id", (F.col("rank") + 1).alias("rank"), "b.vec_id", "b.score"
     )

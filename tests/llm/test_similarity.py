@@ -278,6 +278,20 @@ def test_nearest_cases(rows):
     assert curve_ann.nearest(df.limit(0), F.col("vec_id") == 0).count() == 0
 
 
+def test_nearest_with_a_third_of_all_rows_equal(rows, monkeypatch):
+    monkeypatch.setattr(curve_ann, "BLOCK", 32)
+    rng = np.random.default_rng(8)
+    centres = rng.standard_normal((40, 16))
+    data = [(i, (centres[0] if i % 3 == 0 else centres[i % 40] + 0.05 * rng.standard_normal(16)).tolist()) for i in range(2400)]
+    got = curve_ann.nearest(rows("vec_id long, embedding array<double>", data), F.col("vec_id") % 20 == 0, k=5, window=0.1).collect()
+    want = plain_nearest(data, lambda q: q % 20 == 0, 5)
+    by_query = defaultdict(list)
+    for r in sorted(got, key=lambda r: r["rank"]):
+        by_query[r.query_id].append(r.vec_id)
+    assert len(got) == 5 * 120 and all(by_query[q] == want[q] for q in want if q % 3 == 0)
+    assert sum(r.vec_id in want[r.query_id] for r in got) >= 0.9 * len(got)
+
+
 def test_hilbert_neighbours_are_next_to_each_other():
     side = np.arange(8)
     cells = np.stack(np.meshgrid(side, side, side), axis=-1).reshape(-1, 3)
