@@ -8,8 +8,22 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitplanes, curve_ann, entropy_mix, jaccard_tree, katz, line_dedup, quality, secret_forest, sp_bpe, warc
-from .common import LOWER, UPPER, table
+from . import (
+    bitplanes,
+    curve_ann,
+    entropy_mix,
+    four_russians,
+    jaccard_tree,
+    katz,
+    line_dedup,
+    periodic_runs,
+    quality,
+    secret_forest,
+    simhash_variants,
+    sp_bpe,
+    warc,
+)
+from .common import LOWER, UPPER, table, words
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -143,3 +157,57 @@ def op9_byte_bpe(spark, sf_dir):
 @query()
 def op10_secret_forest(spark, sf_dir):
     return secret_forest.scan(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op11_simhash_variants(spark, sf_dir):
+    df = simhash_variants.linked(table(spark, sf_dir, "documents"), width=3)
+    return df.select("doc_id", simhash_variants.as_hex("fingerprint").alias("fingerprint"), "component_id")
+
+
+@query(
+    """WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+        list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q FROM embeddings
+      WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+    s AS (SELECT a.vec_id AS anchor_id, c.vec_id AS vec_id, a.label = c.label AS same,
+        CAST(list_inner_product(a.q, c.q) AS BIGINT) AS score FROM v a JOIN v c ON a.vec_id % 50 = 0 AND a.vec_id <> c.vec_id),
+    p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+    n AS (SELECT p.anchor_id, positive_id, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id) AS rank,
+        vec_id AS negative_id, positive_score, score AS negative_score
+      FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score)
+    SELECT anchor_id, positive_id, CAST(rank AS INT) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3"""
+)
+def op12_hard_negatives(spark, sf_dir):
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    found = four_russians.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, moved)
+    return found.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
+
+
+def with_planted_periods(docs: DataFrame) -> DataFrame:
+    """``documents`` with every tenth text, by a hash of doc_id, made periodic from some word on."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    w, g = words(F.col("text")), F.floor(h / 10)
+    n = F.size(w)
+    first = g % n
+    period = 1 + F.floor((n - first) / (3 + g % 8))
+    repeated = F.transform(w, lambda x, i: F.when(i < first, x).otherwise(F.get(w, (first + (i - first) % period).cast("int"))))
+    return docs.select("doc_id", F.when((h % 10 == 0) & (n > 0), F.array_join(repeated, " ")).otherwise(F.col("text")).alias("text"))
+
+
+@query()
+def op13_periodic_runs(spark, sf_dir):
+    done = periodic_runs.collapse(with_planted_periods(table(spark, sf_dir, "documents")))
+    best = periodic_runs.longest(F.col("runs"))
+    line = lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n"))
+    return done.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        best["start"].alias("start"),
+        best["length"].alias("length"),
+        best["period"].alias("period"),
+        F.floor(1000 * best["length"] / best["period"]).cast("long").alias("exponent_milli"),
+        F.sha2(F.encode(F.array_join(F.transform("runs", line), ""), "UTF-8"), 256).alias("runs_sha256"),
+        F.sha2(F.encode("collapsed", "UTF-8"), 256).alias("collapsed_sha256"),
+    )
