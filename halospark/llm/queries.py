@@ -192,8 +192,10 @@ def with_planted_periods(docs: DataFrame) -> DataFrame:
     n = F.size(w)
     first = g % n
     period = 1 + F.floor((n - first) / (3 + g % 8))
-    repeated = F.transform(w, lambda x, i: F.when(i < first, x).otherwise(F.get(w, (first + (i - first) % period).cast("int"))))
-    return docs.select("doc_id", F.when((h % 10 == 0) & (n > 0), F.array_join(repeated, " ")).otherwise(F.col("text")).alias("text"))
+    times = F.ceil((n - first) / period)
+    tail = F.flatten(F.array_repeat(F.slice(w, (first + 1).cast("int"), period.cast("int")), times.cast("int")))
+    planted = F.concat(F.slice(w, F.lit(1), first.cast("int")), F.slice(tail, F.lit(1), (n - first).cast("int")))
+    return docs.select("doc_id", F.when((h % 10 == 0) & (n > 0), F.array_join(planted, " ")).otherwise(F.col("text")).alias("text"))
 
 
 @query()
