@@ -2,7 +2,7 @@
 
 A file holds the ids of one range of documents, in order.  Every block of BLOCK ids becomes one plane of bits per bit
 of its largest id (the planes above are all zero and left out), and each plane is a zstandard frame.  A chunk index at
-the end names the place of every block and plane; the ids before a file are counted in a manifest, one row per file.
+the end names the place of every block and plane; a manifest counts the ids before each file and lists its documents.
 
     file  = "BPLN" plane*  chunks  footer
     chunk = place (u64), number of ids (u32), number of planes (u32), compressed plane lengths (u32 * 32)
@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import functools
 import json
-import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -28,12 +27,13 @@ from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_list, packed, pieces, shared_path, shuffle_parts, split_words, spread
+from .common import as_list, packed, pieces, shared_path, shuffle_parts, split_words
 
 BLOCK = 1 << 16
 LEVEL = 3
@@ -124,15 +124,25 @@ class PlaneReader:
             start, n, k = start + len(part), n - len(part), k + 1
 
 
-#: Letters that no normaliser changes but for their case, and one mark at the end that is a token part of its own.
-_MARKS = ".,:;!?"
-_PLAIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+[.,:;!?]?")
+#: Letters that no normaliser changes but for their case; marks (without the apostrophe) that are a token part of their own.
+_LETTERS = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+"
+_MARK = r"!-&(-/:-@\[-`{-~"
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+def joined_stretches(values: np.ndarray, size: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches of ``values`` (one after the other, of ``size``) that ``code`` names, and where each one ends."""
+    n = size[code]
+    ends = np.cumsum(n)
+    first = (np.cumsum(size) - size)[code] - ends + n
+    return values[np.arange(len(n) and ends[-1]) + np.repeat(first, n)], ends
 
 
 class WordCoder:
     """The tokenizers library's ids of whole texts, word by word; remembers words it has met.
 
-    The tokenizer must drop white space and never join across it (word-level vocabularies with word ends).
+    The tokenizer must drop white space and never join across it (word-level vocabularies with word ends).  Where it has
+    word ends, letters and the marks after them are looked up apart, and in lower case where it folds case itself.
     """
 
     def __init__(self, definition: str):
@@ -143,46 +153,60 @@ class WordCoder:
 
         self.tokenizer = Tokenizer.from_str(definition)
         self.known: dict[str, bytes] = {}
-        suffix = json.loads(definition)["model"].get("end_of_word_suffix")
+        parsed = json.loads(definition)
+        normalizer = parsed.get("normalizer") or {}
+        self.folds = "Lowercase" in [x["type"] for x in normalizer.get("normalizers", [normalizer]) if x]
+        suffix = parsed["model"].get("end_of_word_suffix")
         self.ends = None
         if suffix:
             vocabulary = self.tokenizer.get_vocab()
             self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
             self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
 
-    def _learn(self, words: list[str]) -> None:
-        """Plain words are encoded many to a call, side by side; the tokens that end a word tell where each ends."""
-        plain = [w for w in words if _PLAIN.fullmatch(w)] if self.ends is not None else []
+    def _learn(self, plain: list[str], other: list[str]) -> None:
+        """Plain parts are encoded many to a call, side by side; the tokens that end a word tell where each ends."""
         for k in range(0, len(plain), 512):
             some = plain[k : k + 512]
             ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
-            parts = np.cumsum([2 if w[-1] in _MARKS else 1 for w in some])
-            stops = (np.flatnonzero(self.ends[ids]) + 1)[parts - 1]
-            data = ids.tobytes()
-            self.known.update((w, data[4 * i : 4 * j]) for w, i, j in zip(some, [0, *stops[:-1].tolist()], stops.tolist()))
-        other = [w for w in words if w not in self.known]
+            data, stops = ids.tobytes(), ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
+            self.known.update(zip(some, [data[i:j] for i, j in zip([0, *stops], stops)]))
         for k in range(0, len(other), 512):
             some = other[k : k + 512]
             for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
                 self.known[w] = np.array(e.ids, "<u4").tobytes()
 
-    def encode(self, texts: pa.Array, end_id: int) -> list[bytes]:
-        """Little-endian u32 ids of each text, ``end_id`` appended."""
-        counts, flat = split_words(texts)
-        coded = flat.dictionary_encode()
-        names = as_list(coded.dictionary)
+    def ids_of(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words one after the other, and how many each has."""
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        self._learn([w for w in names if w not in self.known])
-        own = [self.known[w] for w in names]
+        key, tail = words, pa.nulls(len(words), words.type).fill_null("")
+        if self.ends is not None:
+            stem = pc.utf8_rtrim(words, MARKS)
+            plain = pc.match_substring_regex(stem, f"^{_LETTERS}$")
+            key = pc.if_else(plain, pc.utf8_lower(stem) if self.folds else stem, words)
+            tail = pc.replace_substring_regex(pc.if_else(plain, words, ""), f"^{_LETTERS}", "")
+        key, tail = key.dictionary_encode(), tail.dictionary_encode()
+        names = as_list(key.dictionary) + as_list(tail.dictionary)
+        new = [w for w in dict.fromkeys(names) if w and w not in self.known]
+        one_part = f"^({_LETTERS}|[{_MARK}]+)$" if self.ends is not None else "$^"
+        simple = pc.match_substring_regex(pa.array(new, pa.string()), one_part).to_pylist()
+        self._learn([w for w, s in zip(new, simple) if s], [w for w, s in zip(new, simple) if not s])
+        own = [self.known[w] if w else b"" for w in names]
         size = np.array([*map(len, own)], np.int64) // 4
-        place, all_ids = np.cumsum(size) - size, np.frombuffer(b"".join(own), "<u4")
-        word = coded.indices.to_numpy()
-        n = size[word]
-        stream = all_ids[np.repeat(place[word], n) + spread(n)]
-        last, reach = np.cumsum(counts), np.concatenate([[0], np.cumsum(n)])
-        tail = struct.pack("<I", end_id)
-        return [packed(stream[a:b]) + tail for a, b in zip(reach[last - counts].tolist(), reach[last].tolist())]
+        code = np.empty(2 * len(words), np.int64)
+        code[0::2], code[1::2] = key.indices.to_numpy(), tail.indices.to_numpy() + len(key.dictionary)
+        ids, ends = joined_stretches(np.frombuffer(b"".join(own), "<u4"), size, code)
+        return ids, np.diff(ends[1::2], prepend=0)
+
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other, ``end_id`` after each, and where each begins (and the last ends)."""
+        counts, flat = split_words(texts)
+        coded = flat.dictionary_encode()
+        ids, size = self.ids_of(coded.dictionary)
+        word = np.full(len(flat) + len(counts), len(size), np.int32)
+        word[np.arange(len(flat)) + np.repeat(np.arange(len(counts)), counts)] = coded.indices.to_numpy()
+        stream, ends = joined_stretches(np.append(ids, np.uint32(end_id)), np.append(size, 1), word)
+        return stream, np.concatenate([[0], ends[np.cumsum(counts + 1) - 1]])
 
 
 @functools.lru_cache(maxsize=2)
@@ -191,15 +215,11 @@ def _coder(definition: str) -> WordCoder:
     return WordCoder(definition)
 
 
-def shrink(ids: bytes) -> bytes:
-    """u32 ids for the way between tasks: 16 bits where they fit, compressed."""
-    wide = np.frombuffer(ids, "<u4")
-    small = int(wide.max(initial=0)) < 1 << 16
-    return (b"2" if small else b"4") + zstandard.compress(wide.astype("<u2").tobytes() if small else ids, 1)
-
-
-def grow(data: bytes) -> np.ndarray:
-    return np.frombuffer(zstandard.decompress(data[1:]), "<u2" if data[:1] == b"2" else "<u4").astype("<u4")
+def id_type(definition: str, end_id: int) -> str:
+    """What an id takes on its way between tasks: 16 bits where all of the vocabulary fit."""
+    parsed = json.loads(definition)
+    added = [t["id"] for t in parsed.get("added_tokens") or []]
+    return "<u2" if max([end_id, *parsed["model"]["vocab"].values(), *added]) < 1 << 16 else "<u4"
 
 
 def range_bounds(docs: DataFrame, parts: int) -> np.ndarray:
@@ -210,58 +230,74 @@ def range_bounds(docs: DataFrame, parts: int) -> np.ndarray:
 
 
 def tokenise(docs: DataFrame, tokenizer_json: str, end_id: int, bounds: np.ndarray) -> DataFrame:
-    """(part, doc_id, ids) of every text: its range, and its ids shrunk.
+    """(part, doc_id, ids) of every text: its range, and its ids in the type of :func:`id_type`.
 
     The tokenizer's definition (a file of under 2 MB) is broadcast.
     """
     sent = docs.sparkSession.sparkContext.broadcast(tokenizer_json)
+    kind = id_type(tokenizer_json, end_id)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(sent.value)
         for batch in batches:
             for piece in pieces(batch, "text", PIECE_BYTES):
                 doc_id = piece.column("doc_id")
-                ids = [shrink(x) for x in coder.encode(piece.column("text"), end_id)]
+                stream, starts = coder.encode(piece.column("text"), end_id)
+                data = stream.astype(kind)
+                offsets = (starts * data.itemsize).astype("<i8")
+                buffers = [None, pa.py_buffer(offsets), pa.py_buffer(data)]
+                ids = pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, buffers).cast(pa.binary())
                 # without an id: before all others
                 known = np.where(doc_id.is_valid().to_numpy(zero_copy_only=False), doc_id.fill_null(0).to_numpy(), np.iinfo(np.int64).min)
                 part = np.searchsorted(bounds, known, side="right").astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(part), doc_id, pa.array(ids, pa.binary())], names=["part", "doc_id", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(part), doc_id, ids], names=["part", "doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(task, "part int, doc_id bigint, ids binary")
 
 
-MANIFEST = "file string, first_part int, doc_ids binary, has_id binary, lengths binary, n_ids bigint"
+MANIFEST = "file string, first_part int, begin bigint, doc_ids binary, has_id binary, lengths binary, n_ids bigint"
+_MANIFEST_TYPES = (pa.string(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64())
+#: Documents of a manifest row: a file of more has several rows.
+ROW_DOCS = 1 << 18
 
 
-def write_planes(tokens: DataFrame, folder: str, parts: int) -> DataFrame:
-    """Write (part, doc_id, ids) in ascending doc_id order; the manifest, one row per file, also a table in ``folder``.
+def write_planes(tokens: DataFrame, folder: str, parts: int, kind: str) -> DataFrame:
+    """Write (part, doc_id, ids) in ascending doc_id order; the manifest of all files, also a table in ``folder``.
 
     Every range of documents is one partition and one file, in the order of the ranges.
     """
     spark = tokens.sparkSession
+    names = [x.split()[0] for x in MANIFEST.split(", ")]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = pyarrow.fs.FileSystem.from_uri(folder)
-        file, writer, part, doc_ids, has_id, lengths = f"{uuid4().hex}.planes", None, 0, [], [], []
+        file, writer, part, begin, waiting = f"{uuid4().hex}.planes", None, 0, 0, []
+
+        def row() -> pa.RecordBatch:
+            doc_ids, has_id, lengths = (np.concatenate(x) for x in zip(*waiting))
+            values = [file, part, begin, packed(doc_ids), packed(has_id), packed(lengths), int(lengths.sum())]
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, _MANIFEST_TYPES)], names=names)
+
         for batch in batches:
-            if writer is None and batch.num_rows:
+            if not batch.num_rows:
+                continue
+            if writer is None:
                 fs.create_dir(base, recursive=True)
                 writer = PlaneWriter(fs.open_output_stream(f"{base}/{file}", compression=None))
                 part = batch.column("part")[0].as_py()
-            for data in batch.column("ids"):
-                ids = grow(data.as_py())
-                writer.add(ids)
-                lengths.append(len(ids))
-            doc_ids.append(batch.column("doc_id").fill_null(0).to_numpy().astype("<i8"))
-            has_id.append(batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False))
+            column, doc_id = batch.column("ids"), batch.column("doc_id")
+            for data in column:
+                writer.add(np.frombuffer(data.as_buffer(), kind))
+            lengths = pc.binary_length(column).to_numpy().astype("<i8") // np.dtype(kind).itemsize
+            waiting.append((doc_id.fill_null(0).to_numpy().astype("<i8"), doc_id.is_valid().to_numpy(zero_copy_only=False), lengths))
+            if sum(len(x[0]) for x in waiting) >= ROW_DOCS:
+                yield row()
+                begin += sum(int(x[2].sum()) for x in waiting)
+                waiting = []
         if writer is not None:
             writer.close()
-            n = np.array(lengths, "<i8")
-            row = [file, part, packed(np.concatenate(doc_ids)), packed(np.concatenate(has_id)), packed(n), int(n.sum())]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([v], t) for v, t in zip(row, (pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64()))],
-                names=["file", "first_part", "doc_ids", "has_id", "lengths", "n_ids"],
-            )
+        if waiting:
+            yield row()
 
     ordered = tokens.repartitionById(parts, "part").sortWithinPartitions("doc_id", "ids")
     ordered.mapInArrow(task, MANIFEST).write.parquet(f"{folder}/manifest")
@@ -270,7 +306,7 @@ def write_planes(tokens: DataFrame, folder: str, parts: int) -> DataFrame:
 
 def with_starts(manifest: DataFrame) -> DataFrame:
     """``manifest`` with ``file_start``, the number of ids in the files before; the sums are one number per file."""
-    files = manifest.select("first_part", "n_ids").orderBy("first_part").collect()
+    files = manifest.groupBy("first_part").agg(F.sum("n_ids").alias("n_ids")).orderBy("first_part").collect()
     starts, total = [], 0
     for f in files:
         starts.append((f.first_part, total))
@@ -286,7 +322,7 @@ def read_planes(manifest: DataFrame, folder: str) -> DataFrame:
         for batch in batches:
             for f in batch.to_pylist():
                 lengths = np.frombuffer(f["lengths"], "<i8")
-                begin = np.cumsum(lengths) - lengths
+                begin = f["begin"] + np.cumsum(lengths) - lengths
                 sums = np.zeros(len(lengths), np.int64)
                 with fs.open_input_file(f"{base}/{f['file']}") as source:
                     reader = PlaneReader(source)
@@ -301,14 +337,15 @@ def read_planes(manifest: DataFrame, folder: str) -> DataFrame:
                     names=["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 
-    files = with_starts(manifest)
-    # One file is one task's work, as it was when written.
-    return files.repartition(max(1, files.count()), "file").mapInArrow(task, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    rows = with_starts(manifest)
+    # one file is one task's work, as it was when written
+    return rows.repartition(max(1, rows.count()), "file", "begin").mapInArrow(task, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def store_tokens(docs: DataFrame, tokenizer_json: str, end_id: int) -> DataFrame:
     """Tokenise, write the token files into the shared folder, and read every document back from them."""
     folder = shared_path(docs.sparkSession)
     parts = shuffle_parts(docs.sparkSession)
-    manifest = write_planes(tokenise(docs, tokenizer_json, end_id, range_bounds(docs, parts)), folder, parts)
+    tokens = tokenise(docs, tokenizer_json, end_id, range_bounds(docs, parts))
+    manifest = write_planes(tokens, folder, parts, id_type(tokenizer_json, end_id))
     return read_planes(manifest, folder)
