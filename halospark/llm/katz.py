@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from halospark.operators.lineage import cut_lineage
 
-from .common import as_list, packed, pieces, shuffle_parts, split_words
+from .common import as_list, give_back, packed, pieces, shuffle_parts, split_words
 from .jaccard_tree import scramble
 
 END, START = np.uint64(1), np.uint64(2)
@@ -45,6 +45,8 @@ END, START = np.uint64(1), np.uint64(2)
 LARGEST = 5
 #: Bytes of text that one piece of a task takes in; its arrays are about twenty times that.
 PIECE_BYTES = 12 << 20
+#: Rows of a piece: its documents are numbered in 16 bits.
+PIECE_ROWS = 1 << 16
 
 
 # -- arithmetic of the model -----------------------------------------------------------------------------------
@@ -104,6 +106,12 @@ def is_held_out(doc_id: int | None) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % 7 == 2
 
 
+def token_pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Pieces of a batch with at most PIECE_BYTES of text (or one row), and no more rows than 16 bits can number."""
+    for k in range(0, batch.num_rows, PIECE_ROWS):
+        yield from pieces(batch.slice(k, PIECE_ROWS), "text", PIECE_BYTES)
+
+
 class Tokens:
     """The tokens of a piece: word code and previous word's code of each, its document, hashes of the codes."""
 
@@ -114,10 +122,9 @@ class Tokens:
         names = as_list(coded.dictionary)
         self.hash = np.array([*map(xxhash.xxh3_64_intdigest, names), int(END), int(START)], np.uint64)
         end, start = len(names), len(names) + 1
-        of = np.repeat(np.arange(len(counts)), counts)
-        self.word = np.full(len(flat) + len(counts), end, np.int64)
-        self.word[np.arange(len(flat)) + of] = coded.indices.to_numpy()
-        self.doc = np.repeat(np.arange(len(counts)), counts + 1)
+        self.word = np.full(len(flat) + len(counts), end, np.int32)
+        self.word[np.arange(len(flat)) + np.repeat(np.arange(len(counts)), counts)] = coded.indices.to_numpy()
+        self.doc = np.repeat(np.arange(len(counts), dtype=np.uint16), counts + 1)
         self.previous = np.empty_like(self.word)
         self.previous[1:] = self.word[:-1]
         self.previous[self.previous == end] = start
@@ -162,7 +169,7 @@ def unigram_table(docs: DataFrame, buckets: int) -> DataFrame:
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch, "text", PIECE_BYTES):
+            for part in token_pieces(batch):
                 t = Tokens(part)
                 count = np.bincount(t.word[~t.held[t.doc]], minlength=len(t.hash))
                 some = np.flatnonzero(count)
@@ -212,11 +219,12 @@ def bigram_rows(docs: DataFrame, buckets: int, heavy: dict[int, int], least: flo
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch, "text", PIECE_BYTES):
+            for part in token_pieces(batch):
                 t = Tokens(part)
-                pair = t.previous * len(t.hash) + t.word
+                pair = t.previous.astype(np.int64) * len(t.hash) + t.word
                 order = np.argsort(pair, kind="stable")
                 pair, doc = pair[order], t.doc[order].astype("<u2")
+                del order
                 first = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]])) if len(pair) else np.zeros(0, np.int64)
                 n = np.diff(np.append(first, len(pair)))
                 h, w = t.hash[pair[first] // len(t.hash)], t.hash[pair[first] % len(t.hash)]
@@ -238,38 +246,39 @@ def bigram_rows(docs: DataFrame, buckets: int, heavy: dict[int, int], least: flo
                     which = which.astype("<u2" if len(words) <= 1 << 16 else "<u4")
                     row = (b, packed(h[s:e][new]), packed(np.diff(np.append(new, e - s)).astype("<u4")), packed(words), packed(which), packed(n[s:e].astype("<u4")), packed(doc[where]), *known)
                     yield _rows(_BIGRAM_NAMES, [pa.int32(), *[pa.binary()] * 10], [row])
+                give_back()
 
     return docs.mapInArrow(task, BIGRAMS).repartition(buckets, "bucket")
 
 
 class Bucket:
-    """The merged bigrams of a bucket, and its tokens."""
+    """The merged bigrams of a bucket, and the pieces whose tokens they are: a document belongs to one piece only."""
 
     def __init__(self, rows: pa.Table):
-        h, w, size = [], [], []
-        doc, ids, has_id, versions, held = [], [], [], [], []
-        base = 0
-        for r in rows.to_batches():
-            for row in r.to_pylist():
-                h.append(np.repeat(np.frombuffer(row["contexts"], "<u8"), np.frombuffer(row["context_types"], "<u4")))
-                words = np.frombuffer(row["words"], "<u8")
-                w.append(words[np.frombuffer(row["which"], "<u2" if len(words) <= 1 << 16 else "<u4")])
-                size.append(np.frombuffer(row["occurrences"], "<u4"))
-                doc.append(np.frombuffer(row["docs"], "<u2").astype(np.int64) + base)
-                ids.append(np.frombuffer(row["ids"], "<i8"))
-                has_id.append(np.frombuffer(row["has_id"], bool))
-                versions.append(np.frombuffer(row["versions"], "<u4").astype(np.uint64))
-                held.append(np.frombuffer(row["held"], bool))
-                base += len(ids[-1])
-        h, w, size = np.concatenate(h), np.concatenate(w), np.concatenate(size)
-        self.doc = np.concatenate(doc)
-        self.ids, self.has_id, self.versions, self.held = map(np.concatenate, (ids, has_id, versions, held))
+        h, w, sizes = [], [], []
+        self.pieces: list[tuple] = []
+        column = {name: rows.column(name).combine_chunks() for name in _BIGRAM_NAMES[1:]}
+        for k in range(rows.num_rows):
+            buffer = {name: c[k].as_buffer() for name, c in column.items()}
+            h.append(np.repeat(np.frombuffer(buffer["contexts"], "<u8"), np.frombuffer(buffer["context_types"], "<u4")))
+            words = np.frombuffer(buffer["words"], "<u8")
+            w.append(words[np.frombuffer(buffer["which"], "<u2" if len(words) <= 1 << 16 else "<u4")])
+            sizes.append(np.frombuffer(buffer["occurrences"], "<u4"))
+            known = [np.frombuffer(buffer[c], kind) for c, kind in (("ids", "<i8"), ("has_id", bool), ("versions", "<u4"), ("held", bool))]
+            known[2] = known[2].astype(np.uint64)
+            self.pieces.append((np.frombuffer(buffer["docs"], "<u2"), sizes[-1], *known))
+        h, w = np.concatenate(h), np.concatenate(w)
         with np.errstate(over="ignore"):
             key = scramble(scramble(h) ^ (w * np.uint64(3)))
         _, first, at = np.unique(key, return_index=True, return_inverse=True)
-        self.type = np.repeat(at, size)
+        del key
         self.h, self.w = h[first], w[first]
-        self.count = np.bincount(self.type, ~self.held[self.doc], minlength=len(first)).astype(np.int64)
+        self.types = np.split(at.astype(np.int32), np.cumsum([len(x) for x in sizes])[:-1])
+        self.count = np.zeros(len(first), np.int64)
+        for types, (doc, size, *_, held) in zip(self.types, self.pieces):
+            trained = ~held[doc]
+            if len(size):
+                np.add.at(self.count, types, np.add.reduceat(trained, np.cumsum(size, dtype=np.int64) - size, dtype=np.int64))
         self.words, self.word = np.unique(self.w, return_inverse=True)
 
 
@@ -324,7 +333,7 @@ def _doc_parts(ids, has_id, versions, held, sums, buckets: int) -> list[tuple]:
 
 
 def _evaluate(buckets: int, unigrams: Unigrams, heavy: np.ndarray):
-    def task(rows: pa.Table, answers: pa.Table) -> pa.Table:
+    def evaluated(rows: pa.Table, answers: pa.Table) -> pa.Table:
         b = Bucket(rows)
         order, cuts = cut_by(word_bucket(b.words, buckets), buckets)
         told = {r["word_bucket"]: np.frombuffer(r["counts"], "<i8") for r in answers.to_pylist()}
@@ -346,33 +355,40 @@ def _evaluate(buckets: int, unigrams: Unigrams, heavy: np.ndarray):
         value = np.where(seen, np.log10(np.maximum(c, 1)), np.log10(p1))
         value -= np.where(seen & ~hot, np.log10(np.maximum(denominators(sums), 1))[ctx], 0.0)
         wait = (seen & hot) | (~seen & (hot | (sums[ctx, 0] > 0)))
-        of = b.type
         per_type = [np.ones(len(c)), word_count[b.word] > 0, np.log10(word_count[b.word] + 1.0), value, b.w == END]
-        docs = len(b.ids)
-        out_sums = np.zeros((docs, N_SUMS))
-        for k, x in enumerate(per_type):
-            out_sums[:, k] = np.bincount(b.doc, x[of], minlength=docs)
-        for r in range(1, LARGEST + 1):
-            out_sums[:, 4 + r] = np.bincount(b.doc[(c == r)[of]], minlength=docs)
-        used = out_sums[:, 0] > 0
-        out = _doc_parts(b.ids[used], b.has_id[used], b.versions[used], b.held[used], out_sums[used], buckets)
-        # the contexts that some token waits for, and those tokens: (context, document, seen, unseen)
-        wait = wait[of]
-        if wait.any():
-            pair = ctx[of[wait]] * docs + b.doc[wait]
+        per_type += [c == r for r in range(1, LARGEST + 1)]
+        documents, document_sums, waiting, base = [], [], [], 0
+        for types, (doc, size, *known) in zip(b.types, b.pieces):
+            docs, of = len(known[0]), np.repeat(types, size)
+            own = np.stack([np.bincount(doc, x[of], minlength=docs) for x in per_type], axis=1)
+            still = wait[of]
+            of, pair = of[still], ctx[of[still]] * docs + doc[still]
             names, at = np.unique(pair, return_inverse=True)
-            n_seen = np.bincount(at, seen[of[wait]], minlength=len(names))
-            n_unseen = np.bincount(at, ~seen[of[wait]], minlength=len(names))
-            used_ctx, row = np.unique(names // docs, return_inverse=True)
-            used_doc, column = np.unique(names % docs, return_inverse=True)
-            waiting = np.stack([row, column, n_seen, n_unseen], axis=1).astype("<u4")
-            out.append((1, 0, *(packed(x[used_doc]) for x in (b.ids, b.has_id, b.versions, b.held)), None, packed(contexts[used_ctx]), packed(sums[used_ctx]), packed(waiting), None))
+            n_seen, n_unseen = (np.bincount(at, x[of], minlength=len(names)) for x in (seen, ~seen))
+            waiting.append(np.stack([names // docs, names % docs + base, n_seen, n_unseen], axis=1).astype("<u4"))
+            documents.append(known)
+            document_sums.append(own)
+            base += docs
+        known, own = [np.concatenate(x) for x in zip(*documents)], np.concatenate(document_sums)
+        used = own[:, 0] > 0
+        out = _doc_parts(*(x[used] for x in known), own[used], buckets)
+        # the contexts that some token waits for, and those tokens: (context, document, seen, unseen)
+        waiting = np.concatenate(waiting)
+        if len(waiting):
+            used_ctx, waiting[:, 0] = np.unique(waiting[:, 0], return_inverse=True)
+            used_doc, waiting[:, 1] = np.unique(waiting[:, 1], return_inverse=True)
+            out.append((1, 0, *(packed(x[used_doc]) for x in known), None, packed(contexts[used_ctx]), packed(sums[used_ctx]), packed(waiting), None))
         if is_heavy.any():
             out.append((2, 0, None, None, None, None, None, packed(contexts[is_heavy]), packed(sums[is_heavy]), None, None))
         counts = np.bincount(np.minimum(c[seen], LARGEST + 2), minlength=LARGEST + 2)[: LARGEST + 2]
         out.append((3, 0, *[None] * 8, counts.tolist()))
         return _table(_EVALUATED_NAMES, _EVALUATED_TYPES, out)
 
+    def task(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        result = evaluated(rows, answers)
+        give_back()
+        return result
+
     return task
 
 
@@ -412,7 +428,7 @@ SCORES = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base
 def _add_up(d: np.ndarray, base_total: float):
     """Scores of the documents of a bucket; ``base_total`` is the denominator of the base, N + V + 1."""
 
-    def task(key: tuple, rows: pa.Table) -> pa.Table:
+    def added(rows: pa.Table) -> pa.Table:
         ids, versions = joined(rows.column("ids"), "<i8"), joined(rows.column("versions"), "<u8")
         has_id, held = joined(rows.column("has_id"), bool), joined(rows.column("held"), bool)
         sums = joined(rows.column("sums"), np.float64).reshape(len(ids), -1)
@@ -436,6 +452,11 @@ def _add_up(d: np.ndarray, base_total: float):
             }
         )
 
+    def task(key: tuple, rows: pa.Table) -> pa.Table:
+        result = added(rows)
+        give_back()
+        return result
+
     return task
 
 

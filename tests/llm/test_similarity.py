@@ -221,6 +221,18 @@ def test_katz_without_training_or_rows(rows):
     assert katz.score(rows("doc_id long, text string", [])).count() == 0
 
 
+def test_many_short_texts_in_one_batch(spark, rows):
+    """More rows in a batch than 16 bits can number: every one has its own score."""
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100000")
+    try:
+        docs = spark.range(0, 70_000, 1, 1).select(F.col("id").alias("doc_id"), F.concat(F.lit("a b"), F.col("id") % 7).alias("text"))
+        got = katz.score(docs).groupBy("n_tokens").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("ids")).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert [tuple(r) for r in got] == [(3, 70_000, 70_000)]
+
+
 def test_discounts_are_inside_the_unit_interval():
     for n in ([0] * 7, [0, 100, 40, 20, 10, 6, 4], [0, 5, 9, 1, 0, 0, 0], [0, 49663, 12919, 5197, 2729, 2383, 1067], [0, 1, 0, 0, 0, 0, 0]):
         d = katz.discounts(n)
