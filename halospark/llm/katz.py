@@ -44,7 +44,7 @@ END, START = np.uint64(1), np.uint64(2)
 #: Counts up to LARGEST are discounted.
 LARGEST = 5
 #: Bytes of text that one piece of a task takes in; its arrays are about twenty times that.
-PIECE_BYTES = 12 << 20
+PIECE_BYTES = 14 << 20
 #: Rows of a piece: its documents are numbered in 16 bits.
 PIECE_ROWS = 1 << 16
 
@@ -107,9 +107,14 @@ def is_held_out(doc_id: int | None) -> bool:
 
 
 def token_pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Pieces of a batch with at most PIECE_BYTES of text (or one row), and no more rows than 16 bits can number."""
+    """Pieces of a batch with about PIECE_BYTES of text at most (or one row), and no more rows than 16 bits can number.
+
+    The pieces of a batch are about equally large: what a piece sends by type costs most in a small one.
+    """
     for k in range(0, batch.num_rows, PIECE_ROWS):
-        yield from pieces(batch.slice(k, PIECE_ROWS), "text", PIECE_BYTES)
+        part = batch.slice(k, PIECE_ROWS)
+        size = pc.sum(pc.binary_length(part.column("text"))).as_py() or 0
+        yield from pieces(part, "text", -(-size // max(1, -(-size // PIECE_BYTES))) + (1 << 16))
 
 
 class Tokens:
@@ -224,10 +229,12 @@ def bigram_rows(docs: DataFrame, buckets: int, heavy: dict[int, int], least: flo
                 pair = t.previous.astype(np.int64) * len(t.hash) + t.word
                 order = np.argsort(pair, kind="stable")
                 pair, doc = pair[order], t.doc[order].astype("<u2")
-                del order
+                del order, t.word, t.previous, t.doc
                 first = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]])) if len(pair) else np.zeros(0, np.int64)
                 n = np.diff(np.append(first, len(pair)))
-                h, w = t.hash[pair[first] // len(t.hash)], t.hash[pair[first] % len(t.hash)]
+                pair = pair[first]
+                h, w = t.hash[pair // len(t.hash)], t.hash[pair % len(t.hash)]
+                del pair
                 bucket = scramble(h)
                 if len(heavy_h):
                     at = np.minimum(np.searchsorted(heavy_h, h), len(heavy_h) - 1)
@@ -236,8 +243,10 @@ def bigram_rows(docs: DataFrame, buckets: int, heavy: dict[int, int], least: flo
                 bucket = (bucket % np.uint64(buckets)).astype(np.int64)
                 order, cuts = cut_by(bucket, buckets)
                 h, w, n, begin = h[order], w[order], n[order], first[order]
-                ids = packed(t.doc_id.fill_null(0).to_numpy().astype("<i8"))
-                known = [ids, packed(t.doc_id.is_valid().to_numpy(zero_copy_only=False)), packed(t.version.astype("<u4")), packed(t.held)]
+                # ids as steps and flags as bits: every bucket gets them
+                ids = np.diff(t.doc_id.fill_null(0).to_numpy(), prepend=0).astype("<i8")
+                flags = [np.packbits(x) for x in (t.doc_id.is_valid().to_numpy(zero_copy_only=False), t.held)]
+                known = [packed(x) for x in (ids, flags[0], t.version.astype("<u4"), flags[1])]
                 for b, s, e in cuts:
                     new = np.flatnonzero(np.concatenate([[True], h[s + 1 : e] != h[s : e - 1]]))
                     total = int(n[s:e].sum())
@@ -264,9 +273,9 @@ class Bucket:
             words = np.frombuffer(buffer["words"], "<u8")
             w.append(words[np.frombuffer(buffer["which"], "<u2" if len(words) <= 1 << 16 else "<u4")])
             sizes.append(np.frombuffer(buffer["occurrences"], "<u4"))
-            known = [np.frombuffer(buffer[c], kind) for c, kind in (("ids", "<i8"), ("has_id", bool), ("versions", "<u4"), ("held", bool))]
-            known[2] = known[2].astype(np.uint64)
-            self.pieces.append((np.frombuffer(buffer["docs"], "<u2"), sizes[-1], *known))
+            ids, versions = np.cumsum(np.frombuffer(buffer["ids"], "<i8")), np.frombuffer(buffer["versions"], "<u4").astype(np.uint64)
+            has_id, held = (np.unpackbits(np.frombuffer(buffer[c], np.uint8), count=len(ids)).astype(bool) for c in ("has_id", "held"))
+            self.pieces.append((np.frombuffer(buffer["docs"], "<u2"), sizes[-1], ids, has_id, versions, held))
         h, w = np.concatenate(h), np.concatenate(w)
         with np.errstate(over="ignore"):
             key = scramble(scramble(h) ^ (w * np.uint64(3)))
