@@ -6,9 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
+from .lineage import cut_lineage
+from .ordered import with_row_number
 
 # parts a hot key of a skewed join is spread over
 SALTS = 16
+# rows of a node of a grid's tree
+FANOUT = 1024
 
 
 def join_skewed(
@@ -28,64 +32,113 @@ def join_skewed(
 
 
 # -- as-of on the time grid -------------------------------------------------------------------------------
-def _located(df: DataFrame, value: Column, grid: DataFrame, key: str | Column, payload: list[str]) -> DataFrame:
-    """``df`` with ``_near``: the grid rows in the value's cell of the axis, with the last before and the first after
-    it, in order; and ``_before``: how many grid rows lie before the first of ``_near``.
-
-    The axis from the first to the last grid value is cut into as many equal cells as there are grid rows, and values
-    and grid meet in an equi join on the cell, which the optimizer broadcasts where the grid's true size allows.  No
-    grid is too large, and each value is compared with the few rows of its own cell only.
+class Knots:
+    """A grid of rows in the order of a number, as a tree whose nodes have at most FANOUT entries.
+
+    The top node, the only thing that ever goes to every event, is a constant array of at most FANOUT rows.  A grid that
+    fits is that node.  A larger one is numbered in ranges of the key, every FANOUT rows are a leaf, which also holds the
+    last row of the leaf before and the first of the leaf after it, and the first keys of the leaves are the level
+    above.  Events go down one equi join a level, so neither the size of a grid nor knots that crowd matter.
+    Rows with a NULL key are no knots.
     """
-    at = F.col(key) if isinstance(key, str) else key
-    rows = grid.select(F.struct(at.alias("k"), *payload).alias("_row")).where("_row.k is not null")
-    number = F.col("_row.k").cast("double")
-    axis = rows.agg(F.struct(F.min(number).alias("lo"), F.max(number).alias("hi"), F.count("*").alias("n"))).scalar()
-
-    def cell(x: Column) -> Column:
-        share = F.try_divide(x - F.col("_axis.lo"), F.col("_axis.hi") - F.col("_axis.lo"))
-        return F.when(x.isNull(), None).when(x < F.col("_axis.lo"), -1).when(x > F.col("_axis.hi"), F.col("_axis.n")).otherwise(
-            F.coalesce(F.least(F.floor(share * F.col("_axis.n")), F.col("_axis.n") - 1), F.lit(0))
-        ).cast("long")
-
-    filled = (
-        rows.withColumn("_axis", axis)
-        .withColumn("_cell", cell(number))
-        .groupBy("_cell")
-        .agg(F.sort_array(F.collect_list("_row")).alias("_rows"))
-    )
-    every = rows.agg(F.count("*").alias("n")).select(F.explode(F.sequence(F.lit(-1).cast("long"), F.col("n"))).alias("_cell"))
-    order = Window.orderBy("_cell")
-    earlier, later = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
-    own = F.coalesce(F.col("_rows"), F.array().cast(filled.schema["_rows"].dataType))
-    last = F.last(F.element_at("_rows", -1), ignorenulls=True).over(earlier)
-    following = F.first(F.element_at("_rows", 1), ignorenulls=True).over(later)
-    side = lambda x: F.when(x.isNull(), F.array().cast(filled.schema["_rows"].dataType)).otherwise(F.array(x))
-    upto = F.coalesce(F.sum(F.size("_rows")).over(earlier), F.lit(0))
-    cells = (
-        every.join(filled, "_cell", "left")
-        .withColumns({"_last": last, "_next": following, "_upto": upto, "_own": own})
-        .select(
-            "_cell",
-            F.concat(side(F.col("_last")), "_own", side(F.col("_next"))).alias("_near"),
-            (F.col("_upto") - F.col("_last").isNotNull().cast("int")).alias("_before"),
+
+    def __init__(self, grid: DataFrame, key: str | Column, payload: tuple[str, ...] = ()):
+        at = F.col(key) if isinstance(key, str) else key
+        rows = grid.select(at.alias("k"), *payload).where("k is not null")
+        self.columns = rows.columns
+        top = rows.orderBy(*rows.columns).limit(FANOUT + 1).collect()
+        self.levels: list[DataFrame] = []
+        if len(top) > FANOUT:
+            top = self._grow(rows)
+            rows = self.levels[-1].select("k", "child")
+        self.top, self.n_top = _array_of(rows, top), len(top)
+
+    def _grow(self, rows: DataFrame) -> list:
+        """Write the leaves and the levels between them and the top; the top's rows (first key and number of a node)."""
+        numbered = with_row_number(rows, [F.col(c) for c in rows.columns], "_n")
+        node, place = F.floor((F.col("_n") - 1) / FANOUT), (F.col("_n") - 1) % FANOUT
+        also = F.array_compact(F.array(node, F.when(place == 0, node - 1), F.when(place == FANOUT - 1, node + 1)))
+        leaves = numbered.withColumn("_first", place == 0).select("*", F.explode(also).alias("_node"), node.alias("_own"))
+        leaves = cut_lineage(
+            leaves.where("_node >= 0")
+            .groupBy("_node")
+            .agg(
+                F.sort_array(F.collect_list(F.struct(*rows.columns))).alias("_near"),
+                (F.min("_n") - 1).alias("_before"),
+                F.min(F.when(F.col("_own") == F.col("_node"), F.col("k"))).alias("k"),
+            )
+            # past the last leaf there is only the row that would be its neighbour
+            .where("k is not null")
         )
-    )
-    placed = df.withColumn("_axis", axis).withColumn("_cell", cell(value.cast("double"))).drop("_axis")
-    return placed.join(cells, "_cell", "left").drop("_cell")
+        self.leaves = leaves.drop("k")
+        level = leaves.select("k", F.col("_node").alias("child"))
+        while True:
+            self.levels.append(level)
+            top = level.orderBy("child").limit(FANOUT + 1).collect()
+            if len(top) <= FANOUT:
+                return top
+            node = F.floor(F.col("child") / FANOUT)
+            grown = level.groupBy(node.alias("_node")).agg(F.sort_array(F.collect_list(F.struct("k", "child"))).alias("_near"))
+            self.levels[-1] = cut_lineage(grown)
+            level = self.levels[-1].select(F.col("_near")[0]["k"].alias("k"), F.col("_node").alias("child"))
+
+    def locate(self, df: DataFrame, value: Column) -> DataFrame:
+        """``df`` with ``_near``: knots in order, the last one at or before the value and the first after it among them;
+        ``_upto``: how many of ``_near`` lie at or before the value; ``_rank``: how many knots of the whole grid do."""
+        found = df.withColumn("_value", value).withColumn("_near", self.top)
+        if self.levels:
+            for table in [*reversed(self.levels[:-1]), self.leaves]:
+                # before the first knot: the first node
+                child = F.when(F.col("_value").isNotNull(), F.get("_near", F.greatest(_count_upto(), F.lit(1)) - 1)["child"])
+                found = found.withColumn("_node", child).drop("_near").join(table, "_node", "left").drop("_node")
+            rank = F.coalesce("_before", F.lit(0)) + F.coalesce("_upto", F.lit(0))
+            return found.withColumn("_upto", _count_upto()).withColumn("_rank", rank).drop("_before", "_value")
+        return found.withColumn("_upto", _count_upto(self.n_top)).withColumn("_rank", F.col("_upto")).drop("_value")
+
+
+def _array_of(rows: DataFrame, values: list) -> Column:
+    """Collected rows as a constant array of structs."""
+    types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+
+    def literal(name: str, v: object) -> str:
+        text = "NULL" if v is None else "'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'"
+        return f"'{name}', CAST({text} AS {types[name]})"
+
+    structs = [f"named_struct({', '.join(literal(n, v) for n, v in zip(types, row))})" for row in values]
+    of = ", ".join(f"`{n}`: {t}" for n, t in types.items())
+    return F.expr(f"array({', '.join(structs)})").cast(f"array<struct<{of}>>")
+
+
+def _count_upto(n: int = FANOUT + 2) -> Column:
+    """How many of the ordered ``_near`` (at most ``n``) have a key at or before ``_value``: bisection by halving steps."""
+    steps = [1 << b for b in reversed(range(n.bit_length()))]
+
+    def step(found: Column, by: Column) -> Column:
+        return F.when(F.get("_near", found + by - 1)["k"] <= F.col("_value"), found + by).otherwise(found)
+
+    return F.aggregate(F.array(*[F.lit(x) for x in steps]), F.lit(0), step) if steps else F.lit(0)
+
+
+def with_snaps(
+    df: DataFrame, time: str, grid: DataFrame | Knots, after: str | None = None, before: str | None = None, a: str = "a"
+) -> DataFrame:
+    """Indexes of the first snapshot strictly after an event (the number of grid times at or before it) and of the last
+    one at or before it (-1: there is none), under the names given.  An event without a time has none before it."""
+    knots = grid if isinstance(grid, Knots) else Knots(grid, a)
+    found = knots.locate(df, F.col(time))
+    rank = F.coalesce("_rank", F.lit(0))
+    out = {name: c.cast("int") for name, c in ((after, rank), (before, rank - 1)) if name}
+    return found.select(*[c for c in df.columns if c not in out], *[c.alias(name) for name, c in out.items()])
 
 
-def with_snap_after(df: DataFrame, time: str, grid: DataFrame, out: str, a: str = "a") -> DataFrame:
+def with_snap_after(df: DataFrame, time: str, grid: DataFrame | Knots, out: str, a: str = "a") -> DataFrame:
     """Index of the first snapshot strictly after an event (= number of grid times <= the event time)."""
-    t = F.col(time)
-    upto = F.col("_before") + F.size(F.filter("_near", lambda g: g["k"] <= t))
-    # never NULL: an event without a time, and an empty grid, have no snapshot before them
-    found = _located(df, t, grid, a, []).withColumn(out, F.coalesce(upto, F.lit(0)).cast("int"))
-    return found.select(*[c for c in df.columns if c != out], out)
+    return with_snaps(df, time, grid, after=out, a=a)
 
 
-def with_snap_before(df: DataFrame, time: str, grid: DataFrame, out: str, a: str = "a") -> DataFrame:
+def with_snap_before(df: DataFrame, time: str, grid: DataFrame | Knots, out: str, a: str = "a") -> DataFrame:
     """Index of the last snapshot at or before an event; -1 when there is none."""
-    return with_snap_after(df, time, grid, out, a).withColumn(out, F.col(out) - 1)
+    return with_snaps(df, time, grid, before=out, a=a)
 
 
 def asof_join(
@@ -151,15 +204,14 @@ def asof_join(
 
 # -- interpolation ----------------------------------------------------------------------------------------
 def interpolate(df: DataFrame, x: str, knots: DataFrame, kx: str, ky: str, out: str) -> DataFrame:
-    """Piecewise linear interpolation in a bounded table of knots; NULL outside its range."""
-    v = F.col(x).cast("double")
+    """Piecewise linear interpolation in a table of knots of any size; NULL outside its range."""
     sides = knots.select(F.col(kx).cast("double").alias("k"), F.col(ky).cast("double").alias("y"))
-    found = _located(df, v, sides, "k", ["y"]).withColumn("_i", F.size(F.filter("_near", lambda k: k["k"] <= v)))
-    # _i knots of the cell's lie at or below v: the segment starts at the last of them
-    lo, hi = F.get("_near", F.col("_i") - 1), F.get("_near", F.col("_i"))
+    found = Knots(sides, "k", ("y",)).locate(df.withColumn("_x", F.col(x).cast("double")), F.col("_x"))
+    # the segment starts at the last knot at or below the value
+    v, lo, hi = F.col("_x"), F.get("_near", F.col("_upto") - 1), F.get("_near", F.col("_upto"))
     inner = lo["y"] + F.try_divide((v - lo["k"]) * (hi["y"] - lo["y"]), hi["k"] - lo["k"])
     # the last knot belongs to the range: there its own value counts
-    value = F.when(F.col("_i") > 0, F.when(v == lo["k"], lo["y"]).when(hi.isNotNull(), inner))
+    value = F.when(F.col("_upto") > 0, F.when(v == lo["k"], lo["y"]).when(hi.isNotNull(), inner))
     return found.withColumn(out, value).select(*[c for c in df.columns if c != out], out)
 
 

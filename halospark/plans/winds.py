@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
-from ..operators.joins import join_skewed, with_snap_after, with_snap_before
+from ..operators.joins import Knots, join_skewed, with_snap_after, with_snap_before
 from ..operators.ordered import with_diff
 from .progenitors import distinct_halos, halo_relations
 
@@ -20,8 +20,9 @@ def wind_lifecycle(
     ``snaplast`` the first one after the rejoin (``n_snaps`` when it never rejoined).  Launches before the first
     snapshot have no birth snapshot and drop out.
     """
+    times = Knots(grid, "a")
     born = (
-        with_snap_before(launches.select("PhEWKey", "PId", "Mass", "atime"), "atime", grid, "snapfirst")
+        with_snap_before(launches.select("PhEWKey", "PId", "Mass", "atime"), "atime", times, "snapfirst")
         .where("snapfirst >= 0")
         .select("PhEWKey", "PId", "snapfirst", F.col("Mass").alias("minit"))
     )
@@ -30,7 +31,7 @@ def wind_lifecycle(
     at_birth = particles.select(
         F.col("snapnum").alias("snapfirst"), "PId", F.col("haloId").alias("birthId")
     ).join(sites, ["snapfirst", "PId"], "left_semi")
-    ended = with_snap_after(rejoins.select("PhEWKey", "Mass", "atime"), "atime", grid, "snaplast").select(
+    ended = with_snap_after(rejoins.select("PhEWKey", "Mass", "atime"), "atime", times, "snaplast").select(
         "PhEWKey", "snaplast", F.col("Mass").alias("mlast")
     )
     return (

@@ -392,8 +392,7 @@ def stride_sample(fx):
 @query("""SELECT PhEWKey, CAST((SELECT count(*) FROM fx_timegrid g WHERE g.a <= l.atime) AS INT) AS snapnext,
     CAST((SELECT count(*) FROM fx_timegrid g WHERE g.a <= l.atime) - 1 AS INT) AS snapfirst FROM fx_launch l""")
 def snap_asof(fx):
-    df = joins.with_snap_after(fx.launch, "atime", fx.timegrid, "snapnext")
-    return joins.with_snap_before(df, "atime", fx.timegrid, "snapfirst").select("PhEWKey", "snapnext", "snapfirst")
+    return joins.with_snaps(fx.launch, "atime", fx.timegrid, after="snapnext", before="snapfirst").select("PhEWKey", "snapnext", "snapfirst")
 
 
 @query("""SELECT l.PhEWKey, strftime(l.atime, '%Y-%m-%d %H:%M:%S.%f') AS atime, l.Mass, r.Mass AS before_mass FROM (SELECT * FROM fx_tracks WHERE tag = 'purchase') l

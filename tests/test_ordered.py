@@ -113,6 +113,35 @@ def test_grids_and_knots_of_any_size(spark):
     assert [r.y for r in joins.interpolate(df, "t", knots, "a", "y", "y").orderBy("t").collect()] == [2.0, 9999.0, None]
 
 
+def test_crowded_and_repeated_knots_in_a_deep_tree(spark, monkeypatch):
+    """A tree of several levels over knots that crowd and repeat, against bisection; a third of the events are equal."""
+    monkeypatch.setattr(joins, "FANOUT", 4)
+    rng = np.random.default_rng(3)
+    for n in (4, 5, 16, 17, 64, 333):
+        k = np.sort(np.concatenate([rng.random(n // 2) * 1e-9, np.repeat(rng.random(max(1, n // 8)), 2), rng.random(n) * 1e3]))[:n]
+        t = np.concatenate([rng.choice(k, 40), rng.random(40) * 1e-9, rng.random(20) * 1e3, [-1.0, 2e3], np.full(50, k[n // 2])])
+        grid = spark.createDataFrame([(float(x), i) for i, x in enumerate(k)], "a double, y long").repartition(3)
+        df = spark.createDataFrame([(i, float(x)) for i, x in enumerate(t)], "id long, t double")
+        tree = joins.Knots(grid, "a")
+        assert (len(tree.levels) > 1) == (n > 16)
+        got = joins.with_snaps(df, "t", tree, after="s", before="f").orderBy("id").collect()
+        assert [r.s for r in got] == np.searchsorted(k, t, side="right").tolist()
+        assert all(r.f == r.s - 1 for r in got)
+        distinct = np.unique(k)
+        knots = spark.createDataFrame([(float(x), float(x) * 3) for x in distinct], "a double, y double")
+        y = [r.o for r in joins.interpolate(df, "t", knots, "a", "y", "o").orderBy("id").collect()]
+        inside = (t >= distinct[0]) & (t <= distinct[-1])
+        assert [v is not None for v in y] == inside.tolist()
+        assert np.allclose([v for v in y if v is not None], t[inside] * 3, rtol=1e-9)
+
+
+def test_asof_plans_have_no_single_task_window(spark):
+    grid = spark.range(20).select(F.col("id").cast("double").alias("a"))
+    df = spark.range(100).select(F.col("id").cast("double").alias("t"))
+    plan = joins.with_snaps(df, "t", grid, after="s", before="f")._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Exchange" not in plan and "Join" not in plan
+
+
 def test_redshift_plan(spark):
     schema = "name string, zlo double, zhi double"
     plan = spark.createDataFrame([("b", 0.6, 0.8), ("c", -0.05, 0.05)], schema)
