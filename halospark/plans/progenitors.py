@@ -9,7 +9,9 @@ from ..functions import constants as C
 from ..functions.physics import halo_box, relation
 from ..operators.aggregates import distinct_halos, main_progenitor
 from ..operators.joins import join_skewed
+from ..operators.lineage import cut_lineage
 from ..operators.select import particles_in_box, particles_of_halo
+from ..sources.cells import Cells
 from ..sources.store import materialize
 
 __all__ = [
@@ -19,6 +21,7 @@ __all__ = [
     "halo_relations",
     "host_table",
     "progenitor_boxes",
+    "progenitor_cubes",
     "progenitor_table",
 ]
 
@@ -96,19 +99,27 @@ def with_relation(df: DataFrame, target: int, progenitors: DataFrame, hosts: Dat
     )
 
 
-def progenitor_boxes(
-    progenitors: DataFrame, particles: DataFrame, halos: DataFrame, halo_id: int, rlim: float
-) -> DataFrame:
-    """Particles in the cube around the progenitor of one halo, for every snapshot that has one."""
+def progenitor_cubes(progenitors: DataFrame, halos: DataFrame, halo_id: int, rlim: float) -> DataFrame:
+    """(snapnum, progId, xlo, xhi, ...): the cube around the progenitor of one halo, for every snapshot that has one."""
     line = progenitors.where((F.col("haloId") == halo_id) & (F.col("progId") != 0)).select("snapnum", "progId")
     centres = halos.select("snapnum", F.col("haloId").alias("progId"), "Rvir", "x", "y", "z")
     edges = [f"{c}{side}" for c in "xyz" for side in ("lo", "hi")]
+    boxes = halo_box(line.join(centres, ["snapnum", "progId"]), rlim)
+    return boxes.groupBy("snapnum").agg(*[F.first(c).alias(c) for c in ("progId", *edges)])
+
+
+def progenitor_boxes(
+    progenitors: DataFrame, particles: DataFrame | Cells, halos: DataFrame, halo_id: int, rlim: float
+) -> DataFrame:
+    """Particles in the cube around the progenitor of one halo, for every snapshot that has one.
+
+    Of particles stored by place only the files around the cubes are read.
+    """
+    limits = progenitor_cubes(progenitors, halos, halo_id, rlim)
+    if isinstance(particles, Cells):
+        return particles.in_cubes(cut_lineage(limits))
+    edges = [f"{c}{side}" for c in "xyz" for side in ("lo", "hi")]
     # one row per snapshot, so at most a time grid's worth of rows is broadcast
-    limits = (
-        halo_box(line.join(centres, ["snapnum", "progId"]), rlim)
-        .groupBy("snapnum")
-        .agg(*[F.first(c).alias(c) for c in ("progId", *edges)])
-    )
     boxed = particles.join(F.broadcast(limits), "snapnum")
     for c in "xyz":
         boxed = boxed.where((F.col(c) > F.col(f"{c}lo")) & (F.col(c) < F.col(f"{c}hi")))
@@ -116,7 +127,7 @@ def progenitor_boxes(
 
 
 def halo_extract(
-    particles: DataFrame,
+    particles: DataFrame | Cells,
     halos: DataFrame,
     halo_id: int,
     snapnum: int,
@@ -125,13 +136,25 @@ def halo_extract(
     rlim: float = 1.2,
     overwrite: bool = False,
 ) -> DataFrame:
-    """Stored gas of one halo for drawing: the cube around it (``box``) or its members; reused when present."""
+    """Stored gas of one halo for drawing: the cube around it (``box``) or its members; reused when present.
+
+    Of particles stored by place only the files that can hold some are read.
+    """
     cols = ["x", "y", "z", "Mc", "Sfr", "logT"]
 
     def build() -> DataFrame:
+        if isinstance(particles, Cells) and box:
+            centre = halos.where((F.col("snapnum") == snapnum) & (F.col("haloId") == halo_id))
+            limits = halo_box(centre, rlim).select(*[f"{c}{side}" for c in "xyz" for side in ("lo", "hi")]).first()
+            if limits is None:
+                raise ValueError(f"no halo {halo_id} at snapshot {snapnum}")
+            return particles.in_cube(snapnum, limits.asDict()).select(*cols)
+        if isinstance(particles, Cells):
+            return particles.of_halo(snapnum, halo_id).select(*cols)
         if box:
             return particles_in_box(particles, halos, snapnum, halo_id, rlim).select(*cols)
         return particles_of_halo(particles, snapnum, halo_id, cols)
 
     params = {"snapnum": snapnum, "haloId": halo_id, "rlim": rlim if box else None}
-    return materialize(particles.sparkSession, base, "box" if box else "halo", params, build, overwrite)
+    spark = particles.spark if isinstance(particles, Cells) else particles.sparkSession
+    return materialize(spark, base, "box" if box else "halo", params, build, overwrite)

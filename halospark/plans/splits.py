@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..operators.joins import with_snap_after
 from ..operators.lineage import cut_and_count, cut_lineage
 
-# parents climbed between two written rounds
+# parents climbed in the first round
 LEVELS_PER_ROUND = 3
 ANCESTOR_COLUMNS = ("PId", "parentId", "Mass", "snapnext", "parentGen", "gen")
 
@@ -47,13 +47,55 @@ def split_table(split: DataFrame, grid: DataFrame) -> DataFrame:
     return with_parent_gen(placed).select("PId", "parentId", "Mass", "atime", "snapnext", "parentGen")
 
 
+def _climbed(rows: DataFrame, jumps: DataFrame) -> DataFrame:
+    """The events that a jump leads to from each of ``rows``: generations add up along the way."""
+    below = rows.select(
+        F.col("PId").alias("_tracked"), F.col("parentId").alias("_via"), (F.col("gen") - F.col("parentGen")).alias("_gained")
+    )
+    return below.join(jumps, "_via").select(
+        F.col("_tracked").alias("PId"), "parentId", "Mass", "snapnext", "parentGen", (F.col("_gained") + F.col("_add")).alias("gen")
+    )
+
+
+def _lines_of_parents(level: DataFrame, births: DataFrame, n_births: int) -> DataFrame:
+    """``level`` and all events above it, by pointer doubling.
+
+    The first round climbs LEVELS_PER_ROUND parents, which is as far as most lines go.  Where some go on, the log is
+    joined with itself: after k joins each particle knows its events 2^k steps up and the generations on the way, and
+    the lines found so far, shifted by that much, are as many steps more.  So a line of n parents takes about log2(n)
+    written rounds.
+    """
+    jumps = births.select(F.col("PId").alias("_via"), "parentId", "Mass", "snapnext", "parentGen", (F.col("own") + 1).alias("_add"))
+    levels = [level]
+    for _ in range(LEVELS_PER_ROUND):
+        levels.append(_climbed(levels[-1], jumps))
+    steps = [rows.withColumn("_step", F.lit(k)) for k, rows in enumerate(levels)]
+    top = F.col("_step") == LEVELS_PER_ROUND
+    written, unfinished = cut_and_count(reduce(DataFrame.unionByName, steps), top)
+    found = [written.where(~top).drop("_step")]
+    lines, far = [written.where(top).drop("_step")], 1
+    left = unfinished
+    while left:
+        # events one more jump of this length up, for all that the lines have
+        more, left = cut_and_count(_climbed(reduce(DataFrame.unionByName, lines), jumps), F.lit(True))
+        lines.append(more)
+        far *= 2
+        if far > n_births and left:
+            raise RuntimeError("the split log is cyclic: a line of parents is longer than the log")
+        if left:
+            above = jumps.select("_via", F.col("parentId").alias("_next"), (F.col("_add") - F.col("parentGen")).alias("_gained"))
+            second = jumps.select(F.col("_via").alias("_next"), "parentId", "Mass", "snapnext", "parentGen", "_add")
+            twice = above.join(second, "_next").withColumn("_add", F.col("_gained") + F.col("_add")).select(*jumps.columns)
+            jumps, left = cut_and_count(twice, F.lit(True))
+    return reduce(DataFrame.unionByName, found + lines)
+
+
 def split_ancestors(ids: DataFrame, splits: DataFrame, per_snapshot: bool = False) -> DataFrame:
     """All split events on the way from the tracked particles back to their oldest ancestors.
 
     One row per (tracked PId, event): ``parentId`` stands in for PId before ``snapnext`` with generation ``gen``.
-    A round climbs a few parents for all particles at once (the levels share one shuffle of the log, or none when
-    the particles are few) and is written out; rounds go on until no parent is left.  A line of parents with more
-    steps than the log has splits is a cycle, an error.
+    Rounds are written out and double the reach; they end where no parent is left.  A line of parents with more steps
+    than the log has splits is a cycle, an error.
 
     Splits that an ancestor went through before give rows too, every one of them.  Of those between two snapshots a
     history can see the one of highest generation only: ``per_snapshot=True`` keeps just these, reduced before they
@@ -69,38 +111,8 @@ def split_ancestors(ids: DataFrame, splits: DataFrame, per_snapshot: bool = Fals
         events.join(own, "PId", "left").withColumn("own", F.coalesce(F.col("own"), F.lit(0))), F.lit(True)
     )
     events = births.drop("own")
-
-    def climb(rows: DataFrame) -> DataFrame:
-        below = rows.select(
-            F.col("PId").alias("_tracked"),
-            F.col("parentId").alias("_via"),
-            (F.col("gen") - F.col("parentGen")).alias("_gained"),
-        )
-        return births.join(below, F.col("PId") == F.col("_via")).select(
-            F.col("_tracked").alias("PId"),
-            "parentId",
-            "Mass",
-            "snapnext",
-            "parentGen",
-            (F.col("_gained") + F.col("own") + 1).alias("gen"),
-        )
-
-    level = births.join(ids, "PId", "left_semi").withColumn("gen", F.col("own") + 1).select(*ANCESTOR_COLUMNS)
-    climbed = []
-    while True:
-        levels = []
-        for step in range(LEVELS_PER_ROUND):
-            levels.append(level.withColumn("_step", F.lit(step)))
-            level = climb(level)
-        top = F.col("_step") == LEVELS_PER_ROUND - 1
-        written, unfinished = cut_and_count(reduce(DataFrame.unionByName, levels), top)
-        climbed.append(written.drop("_step"))
-        if unfinished == 0:
-            break
-        if len(climbed) * LEVELS_PER_ROUND > n_births:
-            raise RuntimeError("the split log is cyclic: a line of parents is longer than the log")
-        level = climb(written.where(top).drop("_step"))
-    lineage = reduce(DataFrame.unionByName, climbed)
+    seeds = births.join(ids, "PId", "left_semi").withColumn("gen", F.col("own") + 1).select(*ANCESTOR_COLUMNS)
+    lineage = _lines_of_parents(seeds, births, n_births)
 
     # splits of an ancestor before the one that made the descendant: same parent, higher count from the end
     own_splits = events.select(

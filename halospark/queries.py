@@ -16,7 +16,7 @@ from .functions import cosmology, physics, units
 from .operators import aggregates, grids, joins, ordered, select
 from .operators.lineage import new_path
 from .plans import galaxies, history, progenitors, sightlines, splits, winds
-from .sources import catalogues, lake, schemas, store, text
+from .sources import catalogues, cells, lake, schemas, store, text
 
 Query = Callable[[Fixtures], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -1080,6 +1080,38 @@ def lake_particles(fx):
     return lake.particles(fx.particles.sparkSession, path, "gas", ["PId", "x", "y", "Mass"]).drop("idx")
 
 
+def _by_place(fx):
+    cols = ["snapnum", "PId", "haloId", "x", "y", "z", "Mass", "Mc", "Sfr", "logT"]
+    return cells.build_cells(fx.points.select(*cols), new_path(fx.particles.sparkSession), 0.0, 22000.0, rows_per_file=2000)
+
+
+@query(f"""SELECT p.PId, p.x, p.y, p.z, p.Mass FROM fx_points p, (SELECT * FROM fx_halos WHERE snapnum = {LAST_SNAP} AND haloId = {TARGET}) h
+    WHERE p.snapnum = {LAST_SNAP} AND p.x > h.x - 2.5 * h.Rvir AND p.x < h.x + 2.5 * h.Rvir AND p.y > h.y - 2.5 * h.Rvir
+    AND p.y < h.y + 2.5 * h.Rvir AND p.z > h.z - 2.5 * h.Rvir AND p.z < h.z + 2.5 * h.Rvir""")
+def stored_cube(fx):
+    limits = physics.halo_box(fx.halos.where(f"snapnum = {LAST_SNAP} AND haloId = {TARGET}"), 2.5).first().asDict()
+    return _by_place(fx).in_cube(LAST_SNAP, limits).select("PId", "x", "y", "z", "Mass")
+
+
+@query(f"""SELECT p.PId, p.snapnum, l.progId, p.x, p.y, p.z FROM fx_points p JOIN q_prog l ON l.snapnum = p.snapnum AND l.haloId = {TARGET} AND l.progId <> 0
+    JOIN fx_halos h ON h.snapnum = l.snapnum AND h.haloId = l.progId
+    WHERE abs(p.x - h.x) < 2 * h.Rvir AND abs(p.y - h.y) < 2 * h.Rvir AND abs(p.z - h.z) < 2 * h.Rvir""")
+def stored_progenitor_cubes(fx):
+    found = progenitors.progenitor_boxes(_prog(fx), _by_place(fx), fx.halos, TARGET, 2.0)
+    return found.select("PId", "snapnum", "progId", "x", "y", "z")
+
+
+@query(f"""SELECT 'box' AS kind, p.x, p.y, p.z, Mc, Sfr, logT FROM fx_points p, (SELECT * FROM fx_halos WHERE snapnum = {LAST_SNAP} AND haloId = {TARGET}) h
+    WHERE p.snapnum = {LAST_SNAP} AND p.x > h.x - 1.2 * h.Rvir AND p.x < h.x + 1.2 * h.Rvir AND p.y > h.y - 1.2 * h.Rvir
+    AND p.y < h.y + 1.2 * h.Rvir AND p.z > h.z - 1.2 * h.Rvir AND p.z < h.z + 1.2 * h.Rvir
+    UNION ALL SELECT 'halo', x, y, z, Mc, Sfr, logT FROM fx_points WHERE snapnum = {LAST_SNAP} AND haloId = {TARGET}""")
+def stored_halo_extract(fx):
+    """The cube around a halo and its members, extracted from particles stored by place and kept."""
+    gas, base = _by_place(fx), new_path(fx.particles.sparkSession)
+    both = [progenitors.halo_extract(gas, fx.halos, TARGET, LAST_SNAP, base, box=box).withColumn("kind", F.lit(kind)) for kind, box in (("box", True), ("halo", False))]
+    return both[0].unionByName(both[1])
+
+
 @query(f"SELECT snapnum, PId, Mass FROM fx_points WHERE snapnum IN ({LAST_SNAP}, 0)")
 def lake_snapshots(fx):
     rows = fx.points.select("snapnum", F.lit(0).alias("ptype"), F.col("PId").alias("idx"), "PId", "Mass")

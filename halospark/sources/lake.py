@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions.physics import metal, with_logT
 from ..operators.joins import attach_group_ids
+from ..operators.ordered import running_total
 from . import schemas
 
 _KEYS = ("ptype", "snapnum", "idx")
@@ -181,24 +182,20 @@ def n_snaps(lake: DataFrame) -> int:
 
 
 def particles_multipart(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """One snapshot in part files ``name.K.parquet``: all rows with ``idx`` counting through the parts in order."""
+    """One snapshot in part files ``name.K.parquet``: all rows with ``idx`` counting through the parts in order.
+
+    The rows of the parts are counted and summed up in ranges of their numbers; rows meet the sums under the part's number,
+    eight bytes, which Spark sends to the rows where the number of parts allows it.  Two files of one number are an error.
+    """
     paths = [paths] if isinstance(paths, str) else paths
-    rows = spark.read.parquet(*paths).select(
-        "*",
-        F.col("_metadata.file_path").alias("_file"),
-        F.col("_metadata.row_index").alias("_row"),
-    )
-    part = F.regexp_extract("_file", r"\.(\d+)(?:\.[^./]*)?$", 1).cast("int")
-    before = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    # one row per part file
-    offsets = (
-        rows.groupBy("_file")
-        .agg(F.count("*").alias("_n"))
-        .withColumn("_part", part)
-        .withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-        .select("_file", "_offset")
-    )
-    # the driver has listed these files to plan the scan: one short row each is safe to broadcast
-    return rows.join(F.broadcast(offsets), "_file").withColumn("idx", F.col("_offset") + F.col("_row")).drop(
-        "_file", "_row", "_offset"
+    part = F.regexp_extract(F.col("_metadata.file_name"), r"\.(\d+)(?:\.[^./]*)?$", 1).cast("long")
+    files = spark.read.parquet(*paths)
+    rows = files.select("*", part.alias("_part"), F.col("_metadata.row_index").alias("_row"))
+    # from the files' footers: no column is read
+    counts = files.select(part.alias("_part"), F.xxhash64(F.col("_metadata.file_path")).alias("_file")).groupBy("_part").agg(
+        F.count("*").alias("_n"), F.min("_file").alias("_file"), F.max("_file").alias("_other")
     )
+    one = F.when(F.col("_file") == F.col("_other"), F.col("_n")).otherwise(F.raise_error(F.lit("two files have one part number")))
+    through = running_total(counts.select("_part", one.alias("_n")), [], [F.col("_part")], F.col("_n"), "_through")
+    offsets = through.select("_part", (F.col("_through") - F.col("_n")).alias("_offset"))
+    return rows.join(offsets, "_part").withColumn("idx", F.col("_offset") + F.col("_row")).drop("_part", "_row", "_offset")

@@ -12,12 +12,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.physics import log10_or_null
-from ..operators.ordered import with_row_number
 from . import schemas
 
 _SPACES = r"\s+"
 
 
+# input splits whose counts, about forty bytes each, are sent to every executor
+MOST_SENT_SPLITS = 1_000_000
+
+
 def _lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Lines that are not blank, with the file and the input split they come from."""
     return spark.read.text(path).where(F.trim("value") != "").select(
@@ -27,27 +30,51 @@ def _lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     )
 
 
-def with_line_numbers(lines: DataFrame) -> DataFrame:
-    """Add ``_line`` (0-based, per file) and ``_lines`` (their number).  Only per-split counts are shuffled."""
-    tagged = lines.withColumn("_id", F.monotonically_increasing_id())
-    before = Window.partitionBy("_file").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
-    splits = (
-        tagged.groupBy("_file", "_start")
-        .agg(F.min("_id").alias("_base"), F.count("*").alias("_n"))
-        .select(
-            "_file",
-            "_start",
-            (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_base")).alias("_shift"),
-            F.sum("_n").over(Window.partitionBy("_file")).alias("_lines"),
-        )
+def _most_splits(lines: DataFrame) -> int:
+    """No scan of these files has more input splits: one for each file, and one for each full split of the bytes."""
+    spark = lines.sparkSession
+    as_bytes = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+    longest, least = (as_bytes(spark.conf.get(f"spark.sql.files.{c}")) for c in ("maxPartitionBytes", "openCostInBytes"))
+    size = int(str(lines._jdf.queryExecution().analyzed().stats().sizeInBytes()))
+    split = min(longest, max(least, size // max(1, spark.sparkContext.defaultParallelism)))
+    return len(lines._jdf.inputFiles()) + size // max(1, split)
+
+
+def _split_table(tagged: DataFrame) -> DataFrame:
+    """(_key, _start, _shift, _lines) of rows with a running ``_id``: what to add to ``_id`` for a place in the file."""
+    counts = tagged.groupBy("_key", "_start").agg(
+        F.min("_id").alias("_base"), F.count("*").alias("_n"), F.min("_check").alias("_name"), F.max("_check").alias("_other")
     )
-    return (
-        tagged.join(splits, ["_file", "_start"])
-        .withColumn("_line", F.col("_id") + F.col("_shift"))
-        .drop("_id", "_shift", "_start")
+    own = Window.partitionBy("_key")
+    before = own.orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
+    one_file = F.min("_name").over(own) == F.max("_other").over(own)
+    base = F.when(one_file, F.col("_base")).otherwise(F.raise_error(F.lit("two file names have one hash")))
+    return counts.select(
+        "_key", "_start", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - base).alias("_shift"), F.sum("_n").over(own).alias("_lines")
     )
 
 
+def _numbered(rows: DataFrame, lines: DataFrame) -> DataFrame:
+    """Rows (_file, _start, ...) in the order of their files with ``_line``, their place in their file, and ``_lines``.
+
+    A task numbers the rows of its input splits; what came before a split is looked up in a table of one row for each
+    split, under a hash of the file's name and the split's start.  That table alone is shuffled.  It is sent to the
+    executors where the number of splits, which is known from the files, allows it, so that the text itself stays where
+    it was read; beyond MOST_SENT_SPLITS the two meet in a join of Spark's choice.
+    """
+    tagged = rows.withColumns({"_id": F.monotonically_increasing_id(), "_key": F.xxhash64("_file"), "_check": F.hash("_file")})
+    splits = _split_table(tagged)
+    if _most_splits(lines) <= MOST_SENT_SPLITS:
+        splits = F.broadcast(splits)
+    found = tagged.join(splits, ["_key", "_start"]).withColumn("_line", F.col("_id") + F.col("_shift"))
+    return found.drop("_id", "_shift", "_start", "_key", "_check")
+
+
+def with_line_numbers(lines: DataFrame) -> DataFrame:
+    """Add ``_line`` (0-based, per file) and ``_lines`` (their number)."""
+    return _numbered(lines, lines)
+
+
 def _typed(lines: DataFrame, schema: T.StructType, sep: str, keep: list[str]) -> DataFrame:
     """Split the lines and cast; a bad or missing field is NULL."""
     parts = F.split(F.trim("value"), sep)
@@ -146,11 +173,19 @@ def rows_upto(ptype: int, n_gas: int, n_dark: int, n_star: int) -> int:
     return {0: n_gas, 1: n_gas + n_dark, 4: n_gas + n_dark + n_star}[ptype]
 
 
-def read_fof(spark: SparkSession, path: str) -> DataFrame:
-    """Friends-of-friends groups with a galaxy (``Mgal >= 0``), renumbered 0.. in file order."""
-    rows = read_catalogue(spark, path, schemas.FOF, skip=1, keep_line="_at").where("Mgal >= 0")
-    numbered = with_row_number(rows, [F.col("_at")], "_rn")
-    return numbered.select((F.col("_rn") - 1).alias("gid"), "Mgal", "Mstar", "Mfof", "x", "y", "z")
+def read_fof(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Friends-of-friends groups with a galaxy (``Mgal >= 0``), renumbered 0.. in the order of each file.
+
+    The groups are numbered as they are read, after the filter; a header line that looks like one of them is taken off.
+    """
+    lines = _lines(spark, path)
+    rows = _typed(lines, schemas.FOF, _SPACES, ["_file", "_start"])
+    numbered = _numbered(rows.where("Mgal >= 0"), lines)
+    # one row for each file: whether its first line was numbered too
+    first = rows.where("_start = 0").withColumn("_id", F.monotonically_increasing_id())
+    first = first.groupBy("_file").agg(F.coalesce(F.min_by("Mgal", "_id") >= 0, F.lit(False)).cast("int").alias("_header"))
+    groups = numbered.join(first, "_file").where("_line >= _header").withColumn("gid", F.col("_line") - F.col("_header"))
+    return _of_snapshot(groups.select("gid", "Mgal", "Mstar", "Mfof", "x", "y", "z", "_file"))
 
 
 def read_timegrid(spark: SparkSession, path: str) -> DataFrame:

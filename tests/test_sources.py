@@ -67,6 +67,41 @@ def test_fof_keeps_file_order(spark, tmp_path, small_splits):
     assert [r.Mgal for r in got] == [float(i) for i in range(600) if i % 3]
 
 
+def test_fof_numbers_every_file_on_its_own(spark, tmp_path, small_splits):
+    (tmp_path / "m").mkdir()
+    for snap, header in ((7, "#head"), (8, "0 0 1 2 5 0 .1 .2 .3")):
+        lines = [f"0 {i} 9.5 2 {-1 if i % (snap - 4) == 0 else i} 0 .1 .2 .3" for i in range(500)]
+        (tmp_path / "m" / f"fof_{snap:03d}.txt").write_text("\n".join([header, *lines]) + "\n")
+    got = text.read_fof(spark, str(tmp_path / "m" / "fof_*"))
+    for snap in (7, 8):
+        rows = got.where(F.col("snapnum") == snap).orderBy("gid").collect()
+        assert [(r.gid, r.Mgal) for r in rows] == list(enumerate(float(i) for i in range(500) if i % (snap - 4)))
+
+
+def test_the_text_is_not_shuffled(spark, tmp_path, monkeypatch):
+    (tmp_path / "m").mkdir()
+    (tmp_path / "m" / "g_004.grp").write_text("head\n" + "\n".join(map(str, range(100))) + "\n")
+    path = str(tmp_path / "m" / "g_*")
+
+    def plan():
+        found = text.read_grp(spark, path)
+        assert [r.galId for r in found.orderBy("idx").collect()] == list(range(100))
+        return found._jdf.queryExecution().executedPlan().toString()
+
+    sent = plan()
+    assert "BroadcastHashJoin" in sent
+    # what is dealt by key are the counts: no exchange has the lines below it but the one that sums them up
+    for part in sent.split("Exchange hashpartitioning")[1:]:
+        assert "HashAggregate" in part.split("Scan text")[0]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    monkeypatch.setattr(text, "MOST_SENT_SPLITS", 0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "SortMergeJoin" in plan()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_logs_skip_the_header_of_file_zero_only(spark, tmp_path):
     (tmp_path / "split.0").write_text("PId,parentId,atime,Mass\n1,2,0.5,3.5\n")
     (tmp_path / "split.1").write_text("4,5,0.6,7.5\n6,7,0.7,8.5\n")
@@ -152,6 +187,10 @@ def test_multipart_positions(spark, tmp_path):
         start += n
     df = lake.particles_multipart(spark, str(tmp_path / "snap.*.parquet"))
     assert df.count() == 100 and df.where("idx <> v").count() == 0
+    (tmp_path / "again").mkdir()
+    (tmp_path / "again" / "snap.2.parquet").write_bytes((tmp_path / "snap.2.parquet").read_bytes())
+    with pytest.raises(Exception, match="one part number"):
+        lake.particles_multipart(spark, [str(tmp_path / "snap.2.parquet"), str(tmp_path / "again" / "snap.2.parquet")]).collect()
 
 
 def test_headers_defaults_and_constant_mass(spark, tmp_path):

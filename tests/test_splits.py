@@ -2,8 +2,11 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from halospark.operators.lineage import checkpoint_dir
 from halospark.plans.history import gas_history
+from halospark.plans import splits
 from halospark.plans.splits import ancestor_spans, split_ancestors, split_table, with_parent_gen, with_split_gain
 
 # PId, parentId, snapnext: 3 and 4 come from 12, 12 from 15; 3 split twice and 4 once on their own
@@ -101,6 +104,28 @@ def test_random_logs_against_a_walk(rows):
                 assert (hit[0] if hit else (0, t)) == _walk(events, t, snap)
 
 
+def test_a_long_line_of_parents_takes_few_rounds(rows, monkeypatch):
+    """10 000 parents above one particle, 40 above another, none above a third: as many rows, in 15 rounds at most."""
+    rounds = []
+    real = splits._climbed
+    monkeypatch.setattr(splits, "_climbed", lambda *a: rounds.append(1) or real(*a))
+    n = 10_000
+    log = [(k, k + 1, 8.0, n - k, 1 + k % 2) for k in range(n)] + [(20_000 + k, 20_001 + k, 4.0, 40 - k, 1) for k in range(40)]
+    schema = "PId long, parentId long, Mass double, snapnext int, parentGen int"
+    ids = rows("PId long", [(0,), (20_000,), (30_000,)])
+    got = split_ancestors(ids, rows(schema, log)).where("parentId <> PId")
+    lines = {r.PId: (r.n, r.top, r.low, r.high) for r in got.groupBy("PId").agg(
+        F.count_distinct("parentId").alias("n"), F.max("parentId").alias("top"), F.min("gen").alias("low"), F.max("gen").alias("high")).collect()}
+    # own splits of k: those of its one child; generations add own + 1 - parentGen of the step below
+    gen, low, high = 0, None, 0
+    for k in range(n):
+        own = 1 + (k - 1) % 2 if k else 0
+        gen = own + 1 if k == 0 else gen - (1 + (k - 1) % 2) + own + 1
+        low, high = min(gen, low or gen), max(gen, high)
+    assert lines == {0: (n, n, low, high), 20_000: (40, 20_040, 1, 40)}
+    assert len(rounds) - splits.LEVELS_PER_ROUND + 1 <= 15
+
+
 def test_cyclic_log_is_an_error(rows):
     import pytest
 
