@@ -79,9 +79,9 @@ def _lines_of_parents(level: DataFrame, births: DataFrame, n_births: int) -> Dat
         # events one more jump of this length up, for all that the lines have
         more, left = cut_and_count(_climbed(reduce(DataFrame.unionByName, lines), jumps), F.lit(True))
         lines.append(more)
-        far *= 2
-        if far > n_births and left:
+        if left and far >= n_births:
             raise RuntimeError("the split log is cyclic: a line of parents is longer than the log")
+        far *= 2
         if left:
             above = jumps.select("_via", F.col("parentId").alias("_next"), (F.col("_add") - F.col("parentGen")).alias("_gained"))
             second = jumps.select(F.col("_via").alias("_next"), "parentId", "Mass", "snapnext", "parentGen", "_add")
