@@ -21,6 +21,20 @@ SPACE_RUN = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def free_prefix(docs: DataFrame, wanted: str) -> str:
+    """``wanted``, longer by as many underscores as it takes that no column of the input begins with it."""
+    taken = [c.lower() for c in docs.columns]
+    while any(c.startswith(wanted) for c in taken):
+        wanted = f"_{wanted}"
+    return wanted
+
+
+def check_prefix(docs: DataFrame, into: str) -> None:
+    clash = [c for c in docs.columns if c.lower().startswith(into.lower())]
+    if clash:
+        raise ValueError(f"the input has columns {clash}: name another prefix than {into!r}")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from halospark.operators.lineage import cut_and_count, cut_lineage
 from halospark.operators.ordered import with_row_number
 
+from .common import free_prefix
+
 WEIGHTS = (5.0, 2.0, 1.0)
 CAP = 3
 #: Documents that one task rounds together; relative error of a target at which Newton's iteration stops.
@@ -184,18 +186,19 @@ def copies(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = CAP
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with every row repeated as often as the mix takes it."""
-    taken = copies(docs, **options).groupBy(F.col("doc_id").alias("_mix_id"), F.col("version").alias("_mix_version")).agg(
-        F.sum("copies").cast("int").alias("_mix_n"), F.count("*").cast("int").alias("_mix_rows")
+    own = free_prefix(docs, "_mix")
+    taken = copies(docs, **options).groupBy(F.col("doc_id").alias(f"{own}_id"), F.col("version").alias(f"{own}_version")).agg(
+        F.sum("copies").cast("int").alias(f"{own}_n"), F.count("*").cast("int").alias(f"{own}_rows")
     )
-    marked = docs.withColumn("_mix_row", F.xxhash64("doc_id", "source", "text")).join(
-        taken.where("_mix_n > 0").hint("merge"), F.col("_mix_row") == F.col("_mix_version")
+    marked = docs.withColumn(f"{own}_row", F.xxhash64("doc_id", "source", "text")).join(
+        taken.where(f"{own}_n > 0").hint("merge"), F.col(f"{own}_row") == F.col(f"{own}_version")
     )
     # rows repeated in the input share their copies: the first ones take one more where they do not divide evenly
-    row = F.row_number().over(Window.partitionBy("_mix_row").orderBy("_mix_row"))
-    share = F.floor(F.col("_mix_n") / F.col("_mix_rows")) + (row <= F.col("_mix_n") % F.col("_mix_rows")).cast("int")
+    row = F.row_number().over(Window.partitionBy(f"{own}_row").orderBy(f"{own}_row"))
+    share = F.floor(F.col(f"{own}_n") / F.col(f"{own}_rows")) + (row <= F.col(f"{own}_n") % F.col(f"{own}_rows")).cast("int")
     return (
-        marked.withColumn("_mix_share", share.cast("int"))
-        .where("_mix_share > 0")
-        .withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_share"))))
+        marked.withColumn(f"{own}_share", share.cast("int"))
+        .where(f"{own}_share > 0")
+        .withColumn(f"{own}_copy", F.explode(F.sequence(F.lit(1), F.col(f"{own}_share"))))
         .select(*docs.columns)
     )

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from halospark.operators.lineage import cut_and_count, cut_lineage
 from halospark.operators.ordered import running_total
 
-from .common import as_list, packed, pieces, shuffle_parts, split_words
+from .common import as_list, free_prefix, packed, pieces, shuffle_parts, split_words
 
 #: Sets per block and children per node of a signature tree.
 BLOCK, FANOUT = 512, 8
@@ -120,8 +120,8 @@ def prefix(s: np.ndarray, rarity: np.ndarray, percent: int) -> np.ndarray:
 
 
 def size_level(n: int, percent: int) -> int:
-    """Sizes of similar sets are at most nine levels apart."""
-    return int(8 * math.log(n) / math.log(100 / percent))
+    """Sizes of similar sets are at most nine levels apart; with percent = 100 they are equal, and so a level each."""
+    return int(8 * math.log(n) / math.log(100 / percent)) if percent < 100 else min(10 * n, 65535)
 
 
 # -- forests -------------------------------------------------------------------------------------------------
@@ -495,6 +495,7 @@ def linked(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The document with the smallest doc_id of each class, and those without doc_id, with their own columns."""
-    lost = linked(docs, width, percent).where("component_id <> doc_id").select(F.col("doc_id").alias("_lost")).distinct()
+    gone = free_prefix(docs, "_lost")
+    lost = linked(docs, width, percent).where("component_id <> doc_id").select(F.col("doc_id").alias(gone)).distinct()
     # the lost documents grow with the input: never broadcast
-    return docs.join(lost.hint("merge"), F.col("doc_id") == F.col("_lost"), "left_anti")
+    return docs.join(lost.hint("merge"), F.col("doc_id") == F.col(gone), "left_anti")

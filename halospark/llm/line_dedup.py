@@ -1,8 +1,9 @@
 """Line deduplication: hash normalised lines, count documents per hash, drop the common ones, put the rest together.
 
 Only hashes travel: one 128-bit hash per distinct line of a document is counted (partial sums first, so a line that
-every document has is no hot key), and each document learns which of its line keys to drop.  The text itself is
-shuffled once, by document, when the kept lines are joined in their old order.
+every document has is no hot key), and each document learns which of its line keys to drop; keys that very many documents
+share are sent to the lines instead.  The text itself is shuffled once, by document, when the kept lines are joined in
+their old order.
 
 Cases: a NULL or empty text is one empty line; keys shorter than ``min_chars`` are never dropped; of the documents
 that hold a key the smallest doc_id keeps all its lines with it; a row with a NULL doc_id counts for nothing and
@@ -11,10 +12,15 @@ keeps nothing but drops what others share; rows repeated under one doc_id are on
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .common import fold, stripped
+from halospark.operators.lineage import cut_lineage
+
+from .common import check_prefix, fold, free_prefix, stripped
+
+#: Keys that are so common that they are kept out of the shuffle by hash: fewer than this, twenty-four bytes each.
+MOST_HOT = 1000
 
 
 def line_key(line: Column) -> Column:
@@ -26,7 +32,7 @@ def lines_of(text: Column) -> Column:
 
 
 def common_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2) -> tuple[DataFrame, DataFrame]:
-    """Line hashes by document (doc_id, version, pos, h1, h2), and the common hashes (h1, h2, keeper).
+    """Line hashes by document (doc_id, version, pos, h1, h2), and the common hashes (h1, h2, n_docs, keeper).
 
     ``version`` tells rows of one doc_id with different texts apart.
     """
@@ -36,13 +42,31 @@ def common_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2) -> tup
         "doc_id", "version", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("second"), "key").alias("h2")
     )
     held = hashed.groupBy("h1", "h2").agg(F.count_distinct("doc_id").alias("n_docs"), F.min("doc_id").alias("keeper"))
-    return hashed, held.where(F.col("n_docs") >= min_docs).select("h1", "h2", "keeper")
+    return hashed, held.where(F.col("n_docs") >= min_docs).select("h1", "h2", "n_docs", "keeper")
+
+
+def lost_lines(hashed: DataFrame, common: DataFrame) -> DataFrame:
+    """The line hashes that a document other than the keeper has in common with others.
+
+    The common hashes are written with the sum of their documents.  Those with more than a share of 1 / MOST_HOT of it, of
+    which there are fewer than MOST_HOT, go to all tasks, and the lines that have them are not shuffled by their hash.
+    """
+    seen = Observation()
+    written = cut_lineage(common.observe(seen, F.coalesce(F.sum("n_docs"), F.lit(0)).alias("n")))
+    often = F.col("n_docs") > seen.get["n"] / MOST_HOT
+    hot = written.where(often).select(F.col("h1").alias("hot1"), F.col("h2").alias("hot2"), F.col("keeper").alias("hot_keeper"))
+    marked = hashed.join(F.broadcast(hot), (F.col("h1") == F.col("hot1")) & (F.col("h2") == F.col("hot2")), "left")
+    # a keeper without doc_id belongs to no row: which keys are hot is told by the hash
+    is_hot = F.col("hot1").isNotNull()
+    others = marked.where(~is_hot).select(*hashed.columns).join(written.where(~often).drop("n_docs"), ["h1", "h2"])
+    lost = marked.where(is_hot).select(*hashed.columns, F.col("hot_keeper").alias("keeper")).unionByName(others)
+    return lost.where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2, into: str = "_lines") -> DataFrame:
     """``docs`` with columns ``into_text`` (kept lines), ``into_n`` (lines before) and ``into_dropped`` (lines lost)."""
-    hashed, common = common_lines(docs, min_chars, min_docs)
-    lost = hashed.join(common, ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
+    check_prefix(docs, into)
+    lost = lost_lines(*common_lines(docs, min_chars, min_docs))
     drop = lost.groupBy(F.col("doc_id").alias(f"{into}_id"), F.col("version").alias(f"{into}_version")).agg(
         F.collect_list("pos").alias(f"{into}_pos")
     )
@@ -65,9 +89,10 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2, into: s
 
 def replace_text(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with the kept lines as text; a NULL text stays NULL.  n_chars, where present, follows the text."""
-    df = dedup_lines(docs, **options)
-    text = F.when(F.col("text").isNotNull(), F.col("_lines_text"))
+    into = free_prefix(docs, "_lines")
+    df = dedup_lines(docs, **options, into=into)
+    text = F.when(F.col("text").isNotNull(), F.col(f"{into}_text"))
     changed = {"text": text}
     if "n_chars" in docs.columns:
-        changed["n_chars"] = F.when(F.col("_lines_dropped") == 0, F.col("n_chars")).otherwise(F.length("_lines_text")).cast(docs.schema["n_chars"].dataType)
+        changed["n_chars"] = F.when(F.col(f"{into}_dropped") == 0, F.col("n_chars")).otherwise(F.length(f"{into}_text")).cast(docs.schema["n_chars"].dataType)
     return df.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in docs.columns])

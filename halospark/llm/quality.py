@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, stripped, words
+from .common import SPACES, check_prefix, free_prefix, stripped, words
 
 WINDOW = 8
 
@@ -131,6 +131,7 @@ def base_failed(metric: dict[str, Column]) -> Column:
 
 def judged(docs: DataFrame, rules: tuple[Rule, ...] = RULES, into: str = "_quality") -> DataFrame:
     """``docs`` with ``into`` (the metrics) and ``into_failed``, ``into_kept``."""
+    check_prefix(docs, into)
     df = metrics(docs, into=into)
     m = {name: F.col(into)[name] for name in METRICS}
     df = df.withColumn(f"{into}_failed", base_failed(m))
@@ -139,4 +140,5 @@ def judged(docs: DataFrame, rules: tuple[Rule, ...] = RULES, into: str = "_quali
 
 def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The documents that pass, with their own columns."""
-    return judged(docs, rules).where("_quality_kept").select(*docs.columns)
+    into = free_prefix(docs, "_quality")
+    return judged(docs, rules, into=into).where(F.col(f"{into}_kept")).select(*docs.columns)

@@ -26,6 +26,8 @@ import pyarrow.fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from halospark.operators.joins import join_skewed
+
 from .common import pieces, shared_path, shuffle_parts
 
 INDEX = """file string, start bigint, length bigint, page_id bigint, url string, payload_digest string,
@@ -41,7 +43,8 @@ def response_ids(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     key = [F.sha1(F.encode("html", "UTF-8")).alias("sha"), F.octet_length("html").alias("n")]
     keeper = df.where(F.octet_length("html") >= min_bytes).groupBy(*key).agg(F.max("page_id").alias("response_id"), F.count("*").alias("rows"))
     shared = keeper.where("rows > 1").drop("rows")
-    return df.withColumns({"sha": key[0], "n": key[1]}).join(shared, ["sha", "n"], "left").drop("sha", "n")
+    # one payload may be that of a third of all pages: its pages are dealt over parts by their id
+    return join_skewed(df.withColumns({"sha": key[0], "n": key[1]}), shared, ["sha", "n"], "left", ["page_id"]).drop("sha", "n")
 
 
 def base32_sha1(payload: bytes) -> str:

@@ -13,7 +13,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from halospark.llm import bitplanes, line_dedup, quality, sp_bpe
+from halospark.llm import bitplanes, entropy_mix, jaccard_tree, line_dedup, quality, sp_bpe
 
 LONG = " ".join(f"w{i % 700} the" for i in range(20_000))
 TEXTS = [
@@ -112,8 +112,8 @@ def test_line_dedup_equals_plain(rows):
     docs = [(i, "\n".join(rng.choices(pool, k=rng.randrange(1, 9)))) for i in range(60)]
     docs += [(100, None), (101, ""), (None, pool[0] + "\nits own line here"), (None, None), (7, docs[7][1]), (8, "another version of eight")]
     docs += [(200, "\n".join(f"line {k} of a long text" for k in range(5000))), (201, "\n".join(f"line {k} of a long text" for k in range(0, 5000, 2)))]
-    df = rows("doc_id long, text string", docs).withColumn("_lines_n", F.lit("mine"))
-    got = line_dedup.dedup_lines(df.drop("_lines_n")).collect()
+    df = rows("doc_id long, text string", docs)
+    got = line_dedup.dedup_lines(df).collect()
     want = plain_dedup(docs)
     order = lambda x: (x[0] is None, x[0] or 0, x[1])
     assert sorted(((r.doc_id, r["_lines_text"], r["_lines_n"], r["_lines_dropped"]) for r in got), key=order) == sorted(want, key=order)
@@ -184,3 +184,43 @@ def test_token_files_equal_the_library(spark, rows):
         at += len(ids)
     assert [tuple(r) for r in got] == want
     assert bitplanes.store_tokens(df.limit(0), definition, end_id=2).count() == 0
+
+
+def test_columns_named_like_working_columns_pass_unchanged(rows):
+    """Every working name of the document stages as a column of the input."""
+    names = [f"_quality{x}" for x in ("", "_w", "_lines", "_h", "_win", "_ranked", "_starts", "_failed", "_kept")]
+    names += [f"_lines_{x}" for x in ("id", "version", "pos", "parts", "kept", "text", "n", "dropped")]
+    names += ["_lost", *(f"_mix_{x}" for x in ("id", "version", "n", "rows", "row", "share", "copy"))]
+    names += ["h1", "h2", "keeper", "n_docs", "hot1", "component", "node", "size", "target", "copies", "_MIX_N", "__lines"]
+    names = [n for k, n in enumerate(names) if n.lower() not in {m.lower() for m in names[:k]}]
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(300)] + ["the", "of", "and"] * 60
+    texts = [" ".join(rng.choice(words) for _ in range(60)) + "\na line that all documents share" for _ in range(30)]
+    docs = [(k, t, "en", "ab"[k % 2], len(t), *[f"mine {k}"] * len(names)) for k, t in enumerate([*texts, texts[0], texts[1] + " x"])]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names)
+    df = rows(schema, docs).repartition(3)
+    plain = df.select("doc_id", "text", "lang", "source", "n_chars")
+    for stage in (quality.keep_good, line_dedup.replace_text, jaccard_tree.one_of_each, entropy_mix.mix):
+        got, want = stage(df), stage(plain)
+        assert got.schema == df.schema
+        assert sorted(map(tuple, got.select(*plain.columns).collect())) == sorted(map(tuple, want.collect()))
+        for r in got.collect():
+            assert all(r[n] == f"mine {r.doc_id}" for n in names)
+    assert line_dedup.dedup_lines(plain, into="own").columns[-3:] == ["own_text", "own_n", "own_dropped"]
+    for clash in (quality.judged, line_dedup.dedup_lines):
+        with pytest.raises(ValueError, match="another prefix"):
+            clash(df)
+
+
+def test_line_in_a_third_of_all_rows(rows, monkeypatch):
+    """Hot keys are dropped like any other, also where the keeper has no doc_id."""
+    docs = [(k, "the common line of many\nown line number %d" % k) for k in range(600)]
+    docs += [(None, "the common line of many")] + [(1000 + k, f"pair line {k // 2:05d}\nx") for k in range(1200)]
+    df = rows("doc_id long, text string", docs).repartition(3)
+    want = {}
+    for most_hot in (1, 5, 10**9):
+        monkeypatch.setattr(line_dedup, "MOST_HOT", most_hot)
+        got = {r.doc_id: (r["_lines_text"], r["_lines_dropped"]) for r in line_dedup.dedup_lines(df).collect()}
+        want = want or got
+        assert got == want and len(got) == 1801
+    assert got[0][1] == 0 and got[599] == ("own line number 599", 1) and got[None] == ("", 1) and got[1001] == ("x", 1)
