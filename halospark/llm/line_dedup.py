@@ -56,11 +56,13 @@ def lost_lines(hashed: DataFrame, common: DataFrame) -> DataFrame:
     often = F.col("n_docs") > seen.get["n"] / MOST_HOT
     hot = written.where(often).select(F.col("h1").alias("hot1"), F.col("h2").alias("hot2"), F.col("keeper").alias("hot_keeper"))
     marked = hashed.join(F.broadcast(hot), (F.col("h1") == F.col("hot1")) & (F.col("h2") == F.col("hot2")), "left")
-    # a keeper without doc_id belongs to no row: which keys are hot is told by the hash
+    # lines with a hot key meet nothing more: they are dealt by document and place
     is_hot = F.col("hot1").isNotNull()
-    others = marked.where(~is_hot).select(*hashed.columns).join(written.where(~often).drop("n_docs"), ["h1", "h2"])
-    lost = marked.where(is_hot).select(*hashed.columns, F.col("hot_keeper").alias("keeper")).unionByName(others)
-    return lost.where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
+    placed = marked.withColumns({"h1": F.when(is_hot, F.xxhash64("doc_id", "pos")).otherwise(F.col("h1")), "cold": ~is_hot})
+    others = written.where(~often).select("h1", "h2", F.lit(True).alias("cold"), "keeper", F.lit(True).alias("met"))
+    met = placed.join(others, ["h1", "h2", "cold"], "left").where(~F.col("cold") | F.col("met"))
+    keeper = F.when(F.col("cold"), F.col("keeper")).otherwise(F.col("hot_keeper"))
+    return met.where(~F.col("doc_id").eqNullSafe(keeper))
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2, into: str = "_lines") -> DataFrame:
