@@ -44,7 +44,7 @@ END, START = np.uint64(1), np.uint64(2)
 #: Counts up to LARGEST are discounted.
 LARGEST = 5
 #: Bytes of text that one piece of a task takes in; its arrays are about twenty times that.
-PIECE_BYTES = 14 << 20
+PIECE_BYTES = 9 << 20
 #: Rows of a piece: its documents are numbered in 16 bits.
 PIECE_ROWS = 1 << 16
 
@@ -327,18 +327,38 @@ _EVALUATED_TYPES = [pa.int32(), pa.int32(), *[pa.binary()] * 8, pa.list_(pa.int6
 N_SUMS = 5 + LARGEST
 
 
+def _pack_sums(sums: np.ndarray) -> bytes:
+    """Rows of sums by column: the two scores as they are, counts in as many bytes as the largest needs."""
+    out = [len(sums).to_bytes(4, "little")]
+    for k in range(N_SUMS):
+        column = sums[:, k]
+        kind = "<f8" if k in (2, 3) else "u1" if column.max(initial=0) < 256 else "<u4"
+        out += [b"814"[("<f8", "u1", "<u4").index(kind)].to_bytes(), packed(column.astype(kind))]
+    return b"".join(out)
+
+
+def _unpack_sums(data: bytes) -> np.ndarray:
+    n, at = int.from_bytes(data[:4], "little"), 4
+    sums = np.empty((n, N_SUMS))
+    for k in range(N_SUMS):
+        kind = np.dtype({b"8": "<f8", b"1": "u1", b"4": "<u4"}[data[at : at + 1]])
+        sums[:, k] = np.frombuffer(data, kind, n, at + 1)
+        at += 1 + n * kind.itemsize
+    return sums
+
+
 def _doc_parts(ids, has_id, versions, held, sums, buckets: int) -> list[tuple]:
-    """kind 0 rows: equal documents added up, cut by bucket of documents."""
-    with np.errstate(over="ignore"):
-        name = scramble(ids.view(np.uint64) ^ scramble(versions + has_id))
-    _, first, at = np.unique(name, return_index=True, return_inverse=True)
-    merged = np.stack([np.bincount(at, sums[:, k], minlength=len(first)) for k in range(sums.shape[1])], axis=1)
-    order, cuts = cut_by(word_bucket(ids[first].view(np.uint64), buckets), buckets)
-    pick, merged = first[order], merged[order]
-    return [
-        (0, b, *(packed(x[pick[s:e]]) for x in (ids, has_id, versions, held)), packed(merged[s:e]), None, None, None, None)
-        for b, s, e in cuts
-    ]
+    """kind 0 rows: sums of documents, cut by bucket of documents, ids as steps."""
+    bucket = word_bucket(ids.view(np.uint64), buckets)
+    order = np.lexsort((ids, bucket))
+    ends = np.cumsum(np.bincount(bucket, minlength=buckets))
+    out = []
+    for b, (s, e) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist())):
+        if e > s:
+            pick = order[s:e]
+            own = [packed(np.diff(ids[pick], prepend=0)), packed(has_id[pick]), packed(versions[pick].astype("<u4")), packed(held[pick])]
+            out.append((0, b, *own, _pack_sums(sums[pick]), None, None, None, None))
+    return out
 
 
 def _evaluate(buckets: int, unigrams: Unigrams, heavy: np.ndarray):
@@ -438,9 +458,10 @@ def _add_up(d: np.ndarray, base_total: float):
     """Scores of the documents of a bucket; ``base_total`` is the denominator of the base, N + V + 1."""
 
     def added(rows: pa.Table) -> pa.Table:
-        ids, versions = joined(rows.column("ids"), "<i8"), joined(rows.column("versions"), "<u8")
+        ids = np.concatenate([np.cumsum(np.frombuffer(x.as_buffer(), "<i8")) for x in rows.column("ids")])
+        versions = joined(rows.column("versions"), "<u4").astype(np.uint64)
         has_id, held = joined(rows.column("has_id"), bool), joined(rows.column("held"), bool)
-        sums = joined(rows.column("sums"), np.float64).reshape(len(ids), -1)
+        sums = np.concatenate([_unpack_sums(x.as_py()) for x in rows.column("sums")])
         with np.errstate(over="ignore"):
             name = scramble(ids.view(np.uint64) ^ scramble(versions + has_id))
         _, first, at = np.unique(name, return_index=True, return_inverse=True)
