@@ -1036,13 +1036,16 @@ def galaxy_relations(fx):
 
 
 # == sight lines ===========================================================================================
-@query(f"""SELECT d.dir, CAST(b.range AS INT) AS b, rank, round(CASE WHEN xx < -0.5 THEN xx + 1 WHEN xx > 0.5 THEN xx - 1 ELSE xx END, 6) AS x,
+_CTES["q_sightlines"] = f"""SELECT d.dir, CAST(b.range AS INT) AS b, rank, round(CASE WHEN xx < -0.5 THEN xx + 1 WHEN xx > 0.5 THEN xx - 1 ELSE xx END, 6) AS x,
     round(CASE WHEN yy < -0.5 THEN yy + 1 WHEN yy > 0.5 THEN yy - 1 ELSE yy END, 6) AS y, round(z, 6) AS z, 2 AS axis,
     galId || '_' || CAST(logMsub AS VARCHAR)[1:5] || '_' || CAST(logMstar AS VARCHAR)[1:5] || '.' || dir || b.range || 'kpc' AS label
     FROM (SELECT c.*, d.*, b.range, c.x + d.dx * b.range / 25000.0e0 AS xx, c.y + d.dy * b.range / 25000.0e0 AS yy FROM (
         SELECT *, (rn - 1) // s AS rank FROM (SELECT *, row_number() OVER (ORDER BY galId) AS rn, greatest(1, count(*) OVER () // 75) AS s
             FROM (SELECT *, {_BIN} AS mbin FROM fx_galaxies) WHERE mbin = 12) WHERE (rn - 1) % s = 0 AND rn - 1 < 75 * s) c,
-        (VALUES ('x+', 1, 0), ('x-', -1, 0), ('y+', 0, 1), ('y-', 0, -1)) d(dir, dx, dy), range(10, 300, 40) b) d, (SELECT d.range) b""")
+        (VALUES ('x+', 1, 0), ('x-', -1, 0), ('y+', 0, 1), ('y-', 0, -1)) d(dir, dx, dy), range(10, 300, 40) b) d, (SELECT d.range) b"""
+
+
+@query("SELECT * FROM q_sightlines")
 def sightline_list(fx):
     return rounded(sightlines.sightlines(fx.galaxies, 12, 75, 25000.0), "x", "y", "z")
 
@@ -1146,3 +1149,7 @@ def tracks_of_launches(fx):
     chosen = fx.launch.where("atime > 0.2 and atime < 0.6").select("PhEWKey", F.col("Mass").alias("Minit"))
     tracks = winds.build_tracks(fx.tracks, chosen, first=("Minit",))
     return tracks.groupBy("PhEWKey").agg(F.sum(F.size("track.Mass")).alias("records"), F.max("Minit").alias("Minit"))
+
+
+# the queries of the sources register themselves
+from . import reader_queries  # noqa: E402, F401

@@ -111,14 +111,18 @@ def write_tracks(tracks: DataFrame, path: str, key: str = "PhEWKey", n: int | No
 
 
 def write_sightlines(lines: DataFrame, path: str) -> None:
-    """One text file per direction, lines by distance and target, in the fixed-width form of the simulator."""
+    """Text files by direction, lines by distance and target, in the fixed-width form of the simulator.
+
+    Lines are dealt by ranges of (direction, distance, target): a direction has as many files as its size asks for, and
+    their names follow the order of the lines.
+    """
 
     def number(c: str) -> Column:
         return F.format_string("% .6f", F.col(c))
 
     text = lines.withColumn("value", F.concat_ws(" ", number("x"), number("y"), number("z"), F.col("axis").cast("string"), "label"))
     (
-        text.repartition("dir")
+        text.repartitionByRange("dir", "b", "rank")
         .sortWithinPartitions("dir", "b", "rank")
         .select("value", "dir")
         .write.mode("overwrite")
