@@ -11,7 +11,7 @@ from ..functions import constants as C
 from ..operators import select
 from ..operators.lineage import cut_lineage
 from ..operators.ordered import with_diff
-from ..sources.store import materialize
+from ..sources.store import inputs_version, materialize
 from .progenitors import host_table, progenitor_table, with_relation
 from .splits import ancestor_spans, split_ancestors, split_table
 from .winds import wind_lifecycle, wind_mass_partition, wind_subset, wind_table, with_birth_tag
@@ -114,21 +114,32 @@ def permanent_tables(sim: Simulation, snapnum: int, halo_mass: bool = True) -> P
 def stored_tables(sim: Simulation, base: str, params: dict[str, object], snapnum: int, overwrite: bool = False) -> PermanentTables:
     """:func:`permanent_tables` kept below ``base``: what is there for these ``params`` is loaded, the rest is built.
 
-    ``params`` name the run that ``sim`` holds, so that tables of different runs never meet.
+    ``params`` name the run that ``sim`` holds, so that tables of different runs never meet.  A table also knows the files
+    that it was built from: where one of its inputs has changed it is built anew, and the others stay.
     """
     spark = sim.gas.sparkSession
-    fresh = permanent_tables(sim, snapnum, halo_mass=False)
+    halos = sim.halos.select("snapnum", "haloId")
+    versions: dict[int, str] = {}
 
-    def stored(name: str, own: dict[str, object], build) -> DataFrame:
-        return materialize(spark, base, name, {**params, **own}, build, overwrite)
+    def version(*inputs: DataFrame) -> str:
+        for df in inputs:
+            if id(df) not in versions:
+                versions[id(df)] = inputs_version(df)
+        return "".join(versions[id(df)][: max(8, 40 // len(inputs))] for df in inputs)
 
-    lifecycle = stored("lifecycle", {}, lambda: fresh.lifecycle)
+    def stored(name: str, own: dict[str, object], inputs: tuple[DataFrame, ...], build) -> DataFrame:
+        return materialize(spark, base, name, {**params, **own}, build, overwrite, inputs=version(*inputs))
+
+    launched = (sim.launches, sim.rejoins, sim.gas, sim.grid)
+    lifecycle = stored("lifecycle", {}, launched, lambda: wind_lifecycle(sim.launches, sim.rejoins, sim.gas, sim.grid, sim.n_snaps))
     return PermanentTables(
         lifecycle=lifecycle,
-        winds=stored("winds", {}, lambda: wind_table(sim.gas, lifecycle)),
-        hosts=stored("hosts", {}, lambda: fresh.hosts),
-        splits=stored("splits", {}, lambda: fresh.splits),
-        progenitors=stored("progenitors", {"snapnum": snapnum}, lambda: fresh.progenitors),
+        winds=stored("winds", {}, launched, lambda: wind_table(sim.gas, lifecycle)),
+        hosts=stored("hosts", {}, (sim.hosts,), lambda: host_table(sim.hosts)),
+        splits=stored("splits", {}, (sim.splits, sim.grid), lambda: split_table(sim.splits, sim.grid)),
+        progenitors=stored(
+            "progenitors", {"snapnum": snapnum}, (sim.dark, sim.halos, sim.hosts), lambda: progenitor_table(sim.dark, halos, sim.hosts, snapnum)
+        ),
     )
 
 

@@ -9,13 +9,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .fixtures import Fixtures
+from .fixtures import TARGET, Fixtures
 from .functions import constants as C
 from .operators import aggregates
 from .operators.lineage import new_path
-from .operators.ordered import running_total
+from .operators.ordered import running_total, with_diff
 from .plans import progenitors, sightlines
-from .queries import _CTES, _snaplog, no_null, query, rounded
+from .queries import _CTES, _history, _prog, _snaplog, no_null, query, rounded
 from .sources import lake, schemas, store, text
 
 _ATIME = "round(CAST(CAST(atime AS FLOAT) AS DOUBLE), 6) AS atime"
@@ -322,3 +322,14 @@ def stored_sightlines(fx):
     path = new_path(fx.particles.sparkSession)
     store.write_sightlines(sightlines.sightlines(fx.galaxies, 12, 75, 25000.0), path)
     return rounded(text.read_sightlines(fx.particles.sparkSession, path).select("x", "y", "z", "axis", "label"), "x", "y", "z")
+
+
+@query("SELECT * FROM q_gp")
+def history_with_added_columns(fx):
+    """Mgain and relation kept beside a stored history, each written on its own."""
+    spark, base, run, buckets = fx.particles.sparkSession, new_path(fx.particles.sparkSession), {"gal": TARGET}, (8, ["PId", "snapnum"])
+    store.materialize(spark, base, "gptable", run, lambda: _history(fx).drop("Mgain"), buckets=buckets)
+    gained = lambda rows: with_diff(rows, "PId", "snapnum", "Mass", "Mgain")
+    related = lambda rows: progenitors.with_relation(rows, TARGET, _prog(fx), fx.hosts)
+    store.add_column(spark, base, "gptable", run, "Mgain", gained, buckets)
+    return store.add_column(spark, base, "gptable", run, "relation", related, buckets)

@@ -330,3 +330,83 @@ def test_halo_extract_is_stored_once(spark, tmp_path):
     assert halo_extract(gas.limit(0), halos, 1, 0, base).count() == 1
     assert halo_extract(gas.limit(0), halos, 1, 0, base, overwrite=True).count() == 0
     assert [r.x for r in halo_extract(gas, halos, 2, 0, base, box=False).collect()] == [9.0]
+
+
+def _bytes(path):
+    return sum(f.stat().st_size for f in path.rglob("*.parquet"))
+
+
+def test_added_columns_are_kept_beside_the_rows(spark, tmp_path):
+    base, buckets = str(tmp_path), (4, ["PId", "snapnum"])
+    rows = spark.range(20_000).select((F.col("id") % 5000).alias("PId"), F.floor(F.col("id") / 5000).cast("int").alias("snapnum"), *[F.rand(k).alias(f"c{k}") for k in range(6)])
+    stored = store.materialize(spark, base, "pp", {"run": 1}, lambda: rows, buckets=buckets)
+    before, built = _bytes(tmp_path), []
+    tag = lambda df: built.append(1) or df.withColumn("birthTag", F.concat(F.lit("t"), F.col("PId") % 3))
+    got = store.add_column(spark, base, "pp", {"run": 1}, "birthTag", tag, buckets)
+    added = _bytes(tmp_path) - before
+    assert 0 < added < before / 4
+    again = store.add_column(spark, base, "pp", {"run": 1}, "birthTag", tag, buckets)
+    assert built == [1] and _bytes(tmp_path) == before + added
+    assert got.columns == [*stored.columns, "birthTag"] == again.columns
+    assert got.where("birthTag = concat('t', PId % 3)").count() == 20_000
+    second = store.add_column(spark, base, "pp", {"run": 1}, "twice", lambda df: df.withColumn("twice", F.col("c0") * 2), buckets)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = store.materialize(spark, base, "pp", {"run": 1}, lambda: 1 / 0, buckets=buckets)
+        text_ = plan._jdf.queryExecution().executedPlan().toString()
+        assert text_.count("SortMergeJoin") == 2 and "Exchange" not in text_
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.columns == second.columns == [*stored.columns, "birthTag", "twice"] and plan.where("twice = c0 * 2").count() == 20_000
+    # a session that knows nothing of the tables finds the same rows
+    for t in spark.catalog.listTables():
+        if t.name.startswith("stored_"):
+            spark.sql(f"DROP TABLE {t.name}")
+    assert store.materialize(spark, base, "pp", {"run": 1}, lambda: 1 / 0, buckets=buckets).where("twice = c0 * 2").count() == 20_000
+    fresh = store.materialize(spark, base, "pp", {"run": 1}, lambda: rows, overwrite=True, buckets=buckets)
+    assert "birthTag" not in fresh.columns
+    with pytest.raises(ValueError, match="several rows"):
+        store.add_column(spark, base, "pp", {"run": 1}, "bad", lambda df: df.withColumn("bad", F.lit(1)).union(df.withColumn("bad", F.lit(2))), buckets)
+
+
+def test_stored_tables_know_their_inputs(spark, tmp_path, monkeypatch):
+    """A new split log rebuilds the splits and nothing else; a new halo catalogue the progenitors only."""
+    from halospark.plans import history
+
+    def put(name, schema, data):
+        spark.createDataFrame(data, schema).coalesce(1).write.mode("overwrite").parquet(str(tmp_path / name))
+        return spark.read.parquet(str(tmp_path / name))
+
+    def sim():
+        return history.Simulation(**{n: spark.read.parquet(str(tmp_path / n)) for n in ("gas", "dark", "halos", "hosts", "grid", "splits", "launches", "rejoins")}, n_snaps=2)
+
+    particle = "PId long, snapnum int, haloId int, galId int, Mass double, Mc double, Sfr double"
+    put("gas", particle, [(1, s, 1, 1, 2.0, 0.0, 0.0) for s in (0, 1)] + [(2, 1, 1, 1, 2.0, 1.0, 0.0)])
+    put("dark", particle, [(9, s, 1, 1, 2.0, 0.0, 0.0) for s in (0, 1)])
+    put("halos", "snapnum int, haloId int, logMvir double, logMsub double", [(s, 1, 1.0, 1.0) for s in (0, 1)])
+    put("hosts", "snapnum int, haloId int, hostId int", [(s, 1, 1) for s in (0, 1)])
+    put("grid", "snapnum int, a double, zred double", [(0, 0.5, 1.0), (1, 1.0, 0.0)])
+    split = "PId long, parentId long, atime double, Mass double"
+    put("splits", split, [(2, 1, 0.6, 1.0)])
+    put("launches", "PhEWKey long, PId long, Mass double, atime double", [(1, 2, 3.0, 0.7)])
+    put("rejoins", "PhEWKey long, Mass double, atime double", [(1, 1.0, 0.8)])
+    written = []
+    real = store.save
+    monkeypatch.setattr(store, "save", lambda df, path, *a: written.append(path.split("/")[-3]) or real(df, path, *a))
+    base = str(tmp_path / "kept")
+    history.stored_tables(sim(), base, {"run": 1}, 1)
+    assert sorted(written) == ["hosts", "lifecycle", "progenitors", "splits", "winds"]
+    written.clear()
+    assert history.stored_tables(sim(), base, {"run": 1}, 1).splits.count() == 1 and written == []
+    put("splits", split, [(2, 1, 0.6, 1.0), (3, 1, 0.7, 1.0)])
+    assert history.stored_tables(sim(), base, {"run": 1}, 1).splits.count() == 2 and written == ["splits"]
+    written.clear()
+    put("halos", "snapnum int, haloId int, logMvir double, logMsub double", [(s, h, 1.0, 1.0) for s in (0, 1) for h in (1, 2)])
+    assert history.stored_tables(sim(), base, {"run": 1}, 1).progenitors.count() == 4 and written == ["progenitors"]
+    written.clear()
+    put("launches", "PhEWKey long, PId long, Mass double, atime double", [(1, 2, 3.5, 0.7)])
+    history.stored_tables(sim(), base, {"run": 1}, 1)
+    assert sorted(written) == ["lifecycle", "winds"]
+    in_memory = [spark.createDataFrame([(k,)], "a int") for k in (1, 1, 2)]
+    keys = [store.inputs_version(df) for df in in_memory]
+    assert keys[0] == keys[1] != keys[2]
