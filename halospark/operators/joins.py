@@ -90,10 +90,19 @@ class Knots:
             for table in [*reversed(self.levels[:-1]), self.leaves]:
                 # before the first knot: the first node
                 child = F.when(F.col("_value").isNotNull(), F.get("_near", F.greatest(_count_upto(), F.lit(1)) - 1)["child"])
-                found = found.withColumn("_node", child).drop("_near").join(table, "_node", "left").drop("_node")
-            rank = F.coalesce("_before", F.lit(0)) + F.coalesce("_upto", F.lit(0))
-            return found.withColumn("_upto", _count_upto()).withColumn("_rank", rank).drop("_before", "_value")
-        return found.withColumn("_upto", _count_upto(self.n_top)).withColumn("_rank", F.col("_upto")).drop("_value")
+                found = _worked_out(found, child, "_node").drop("_near").join(table, "_node", "left").drop("_node")
+            found = _worked_out(found, F.coalesce(_count_upto(), F.lit(0)), "_upto")
+            return found.withColumn("_rank", F.coalesce("_before", F.lit(0)) + F.col("_upto")).drop("_before", "_value")
+        return _worked_out(found, _count_upto(self.n_top), "_upto").withColumn("_rank", F.col("_upto")).drop("_value")
+
+
+def _worked_out(df: DataFrame, value: Column, name: str) -> DataFrame:
+    """``df`` with a column that is worked out once, as a generator's output.
+
+    The optimizer takes an alias for its expression when it carries conditions over joins, and with a lambda function in
+    it (Spark 4.1) puts a filter on a side that lacks the columns.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
 
 
 def _array_of(rows: DataFrame, values: list) -> Column:

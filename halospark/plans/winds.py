@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..operators.joins import Knots, join_skewed, with_snap_after, with_snap_before
-from ..operators.ordered import with_diff
+from ..operators.ordered import running_total, with_diff
 from .progenitors import distinct_halos, halo_relations
 
 
@@ -124,17 +124,8 @@ def wind_mass_partition(history: DataFrame, subset: DataFrame) -> DataFrame:
 
 
 # -- nested tracks ----------------------------------------------------------------------------------------
-#: Records of one key from which its track is cut by finer units of time.
-DENSE = 100_000
-
-
-def _unit_of_time(df: DataFrame, time: str) -> Column:
-    """The unit's number for each record; ``_n`` has the records of a dense key."""
-    if dict(df.dtypes)[time].startswith(("timestamp", "date")):
-        seconds = F.unix_timestamp(F.col(time).cast("timestamp"))
-        length = F.when(F.col("_n") > 24 * DENSE, 1).when(F.col("_n") > DENSE, 3600).otherwise(86400)
-        return F.floor(seconds / length)
-    return F.when(F.col("_n") > DENSE, F.floor(F.col(time) * 1000)).otherwise(0).cast("long")
+#: Records of a row of a track, unless the caller says otherwise.
+CHUNK = 4096
 
 
 def build_tracks(
@@ -145,35 +136,38 @@ def build_tracks(
     fields: tuple[str, ...] = ("Mass", "M_c", "dr", "dv"),
     first: tuple[str, ...] = ("PID", "ainit", "Minit", "Z_c", "MinPotID"),
     segment: Column | None = None,
+    chunk: int = CHUNK,
 ) -> DataFrame:
     """One row per wind particle: ``track`` = struct of arrays in time order, ``records`` = their number.
 
     ``launches`` (with ``key``) restricts and extends the records.  The head fields ``first`` are those of the first
-    record of the whole track, ``records`` is its total.  A row must stay bounded: the track has a row for each unit of
-    time.  By default the unit is the day of a timestamp, an hour or a second where a key has more than DENSE or
-    24 * DENSE records; other times are one unit, or thousandths where a key is dense.  ``segment`` names another unit
-    (a non-decreasing whole-number function of ``time``).
+    record of the whole track, ``records`` is its total.  A row stays bounded whatever a key's share of all records:
+    the records of a key are numbered in time order over ranges of (key, time), and row ``segment`` has the records from
+    segment * chunk on, ``chunk`` of them.  ``segment`` names another unit, a non-decreasing whole-number function of
+    ``time``, whose rows are as large as the caller lets them be.
     """
     if launches is not None:
-        records = records.join(launches, key)
+        # one particle may have a third of all records
+        records = join_skewed(records, launches, [key], salt_on=[time])
     present = [c for c in fields if c in records.columns]
     heads = [c for c in first if c in records.columns]
-    placed = records.select(key, time, *present, *heads)
+    placed = records.select(key, time, *present, *[c for c in heads if c not in present])
     if segment is None:
-        # the dense keys: at most one for every DENSE records of the table
-        dense = placed.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > DENSE)
-        placed = placed.join(F.broadcast(dense), key, "left").withColumn("segment", _unit_of_time(placed, time)).drop("_n")
+        order = [F.col(c) for c in placed.columns if c != key]
+        ranked = running_total(placed, [key], order, F.lit(1), "_rank", "records")
+        placed = ranked.withColumn("segment", F.floor((F.col("_rank") - 1) / chunk).cast("int"))
+        # the first record of a key tells its head
+        head = placed.where("_rank = 1").select(key, *[F.col(c).alias(f"_first_{c}") for c in heads], "records")
     else:
         placed = placed.withColumn("segment", segment.cast("int"))
-    whole = placed.groupBy(key).agg(
-        *[F.min_by(c, F.struct(time, *present)).alias(c) for c in heads], F.count("*").alias("records")
-    )
-    row = F.struct(time, *present)
-    parts = placed.groupBy(key, "segment").agg(F.sort_array(F.collect_list(row)).alias("_rows"))
-    return parts.join(whole, key).select(
+        head = placed.groupBy(key).agg(
+            *[F.min_by(c, F.struct(time, *present)).alias(f"_first_{c}") for c in heads], F.count("*").alias("records")
+        )
+    parts = placed.groupBy(key, "segment").agg(F.sort_array(F.collect_list(F.struct(time, *present))).alias("_rows"))
+    return parts.join(head, key).select(
         key,
         "segment",
-        *heads,
+        *[F.col(f"_first_{c}").alias(c) for c in heads],
         F.struct(*[F.col(f"_rows.{c}").alias(c) for c in (time, *present)]).alias("track"),
         "records",
     )

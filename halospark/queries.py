@@ -960,26 +960,15 @@ def star_history(fx):
 
 
 @query("""SELECT PhEWKey, segment, string_agg(CAST(CAST(round(Mass * 100) AS BIGINT) AS VARCHAR), ',' ORDER BY atime, Mass) AS masses,
-    max(records) AS records, max(first_mass) AS first_mass FROM (SELECT *, CAST(month(atime) - 1 AS INT) AS segment,
+    max(records) AS records, max(first_mass) AS first_mass FROM (SELECT *, CAST((row_number() OVER (PARTITION BY PhEWKey ORDER BY atime, Mass) - 1) // 32 AS INT) AS segment,
         count(*) OVER (PARTITION BY PhEWKey) AS records, first_value(Mass) OVER (PARTITION BY PhEWKey ORDER BY atime, Mass) AS first_mass
         FROM fx_tracks) GROUP BY PhEWKey, segment""")
 def wind_tracks(fx):
+    """A row has 32 records at most, so that no particle's row grows with its track."""
     records = fx.tracks.withColumn("Minit", F.col("Mass"))
-    tracks = winds.build_tracks(records, first=("Minit",))
+    tracks = winds.build_tracks(records, first=("Minit",), chunk=32)
     cents = F.transform("track.Mass", lambda m: F.round(m * 100).cast("long").cast("string"))
-    # only the text of each unit meets the others of its month
-    text = tracks.select(
-        "PhEWKey",
-        (F.month(F.col("track.atime")[0]) - 1).alias("segment"),
-        "records",
-        F.struct(F.col("track.atime")[0].alias("start"), F.concat_ws(",", cents).alias("masses")).alias("part"),
-        F.col("Minit").alias("first_mass"),
-    )
-    return text.groupBy("PhEWKey", "segment").agg(
-        F.max("records").alias("records"),
-        F.concat_ws(",", F.sort_array(F.collect_list("part"))["masses"]).alias("masses"),
-        F.max("first_mass").alias("first_mass"),
-    )
+    return tracks.select("PhEWKey", "segment", F.concat_ws(",", cents).alias("masses"), "records", F.col("Minit").alias("first_mass"))
 
 
 # == galaxy trees ==========================================================================================
@@ -1147,7 +1136,7 @@ def stored_tracks(fx):
     ON l.PhEWKey = t.PhEWKey GROUP BY t.PhEWKey""")
 def tracks_of_launches(fx):
     chosen = fx.launch.where("atime > 0.2 and atime < 0.6").select("PhEWKey", F.col("Mass").alias("Minit"))
-    tracks = winds.build_tracks(fx.tracks, chosen, first=("Minit",))
+    tracks = winds.build_tracks(fx.tracks, chosen, first=("Minit",), chunk=100)
     return tracks.groupBy("PhEWKey").agg(F.sum(F.size("track.Mass")).alias("records"), F.max("Minit").alias("Minit"))
 
 

@@ -184,13 +184,16 @@ def test_recent_accretion(rows):
     assert history.star_history(gas, 5, 1).agg(F.count("*")).collect()[0][0] == 4
 
 
-def test_tracks_are_cut_by_default(rows, monkeypatch):
-    monkeypatch.setattr(winds, "DENSE", 200)
+def test_tracks_are_cut_by_records(rows):
+    """One particle has most records, all but two of them at one time: its rows are no larger than any other's."""
     start = 1_704_067_200
-    # key 1 has a record every 10 minutes, key 2 a few in three days
-    data = [(1, start + 600 * i, float(i)) for i in range(300)] + [(2, start + 86400 * i, float(i)) for i in range(3)]
-    records = rows("PhEWKey long, s long, Mass double", data).selectExpr("PhEWKey", "timestamp_seconds(s) AS atime", "Mass")
-    tracks = winds.build_tracks(records, fields=("Mass",), first=("Mass",)).orderBy("PhEWKey", "segment").collect()
-    assert [len(r.track.Mass) for r in tracks] == [6] * 50 + [1] * 3
+    data = [(1, start + (i > 0) + (i > 298), float(i)) for i in range(300)] + [(2, start + 86400 * i, float(i)) for i in range(3)]
+    records = rows("PhEWKey long, s long, Mass double", data).selectExpr("PhEWKey", "timestamp_seconds(s) AS atime", "Mass").repartition(5)
+    tracks = winds.build_tracks(records, fields=("Mass",), first=("Mass",), chunk=32).orderBy("PhEWKey", "segment").collect()
+    assert [(r.PhEWKey, r.segment, len(r.track.Mass)) for r in tracks] == [(1, k, 32 if k < 9 else 12) for k in range(10)] + [(2, 0, 3)]
     assert [m for r in tracks for m in r.track.Mass] == [m for _, _, m in data]
     assert {(r.PhEWKey, r.Mass, r.records) for r in tracks} == {(1, 0.0, 300), (2, 0.0, 3)}
+    launches = rows("PhEWKey long, Minit double", [(1, 7.0)])
+    some = winds.build_tracks(records, launches, fields=("Mass",), first=("Minit",), chunk=100).collect()
+    assert sorted(len(r.track.Mass) for r in some) == [100] * 3 and {(r.Minit, r.records) for r in some} == {(7.0, 300)}
+    assert winds.build_tracks(records.limit(0), fields=("Mass",)).count() == 0
