@@ -15,7 +15,7 @@ How it runs.  Words are 64-bit hashes; tasks hand on packed arrays, never a row
 4. With the discounts known, the context table gives alpha(h), and the parts of every document are added up.
 
 The driver sees counts of counts, and the contexts heavier than a bucket, of which there are at most as many as
-buckets.  The number of buckets is spark.sql.shuffle.partitions.
+buckets.  The number of buckets is BUCKETS_PER_PART times spark.sql.shuffle.partitions.
 
 Cases: a NULL or empty text is its end token alone; a context whose leftover mass is zero gets one more count in its
 denominator, so every probability is positive; without any training token every token has probability 1; rows repeated
@@ -45,6 +45,8 @@ END, START = np.uint64(1), np.uint64(2)
 LARGEST = 5
 #: Bytes of text that one piece of a task takes in; its arrays are about twenty times that.
 PIECE_BYTES = 9 << 20
+#: Buckets for each part of a shuffle: a task holds one bucket at a time, whose arrays are about ten times its bytes.
+BUCKETS_PER_PART = 2
 #: Rows of a piece: its documents are numbered in 16 bits.
 PIECE_ROWS = 1 << 16
 
@@ -494,7 +496,7 @@ def score(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 probabilities of the text)."""
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     spark = docs.sparkSession
-    buckets = shuffle_parts(spark)
+    buckets = BUCKETS_PER_PART * shuffle_parts(spark)
     table = unigram_table(docs, buckets)
     totals = table.agg(
         F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n"),
