@@ -15,7 +15,7 @@ How it runs.  Words are 64-bit hashes; tasks hand on packed arrays, never a row
 4. With the discounts known, the context table gives alpha(h), and the parts of every document are added up.
 
 The driver sees counts of counts, and the contexts heavier than a bucket, of which there are at most as many as
-buckets.  The number of buckets is BUCKETS_PER_PART times spark.sql.shuffle.partitions.
+buckets.  The number of buckets is spark.sql.shuffle.partitions.
 
 Cases: a NULL or empty text is its end token alone; a context whose leftover mass is zero gets one more count in its
 denominator, so every probability is positive; without any training token every token has probability 1; rows repeated
@@ -45,8 +45,8 @@ END, START = np.uint64(1), np.uint64(2)
 LARGEST = 5
 #: Bytes of text that one piece of a task takes in; its arrays are about twenty times that.
 PIECE_BYTES = 9 << 20
-#: Buckets for each part of a shuffle: a task holds one bucket at a time, whose arrays are about ten times its bytes.
-BUCKETS_PER_PART = 2
+#: Parts of a bucket's contexts that are evaluated one after the other: the arrays are about ten times a part's bytes.
+CONTEXT_PARTS = 4
 #: Rows of a piece: its documents are numbered in 16 bits.
 PIECE_ROWS = 1 << 16
 
@@ -263,21 +263,28 @@ def bigram_rows(docs: DataFrame, buckets: int, heavy: dict[int, int], least: flo
 
 
 class Bucket:
-    """The merged bigrams of a bucket, and the pieces whose tokens they are: a document belongs to one piece only."""
+    """The merged bigrams of a part of a bucket's contexts, and the pieces whose tokens they are.
 
-    def __init__(self, rows: pa.Table):
+    A document belongs to one piece only; every part has all pieces, in the same order.
+    """
+
+    def __init__(self, rows: pa.Table, part: int, parts: int):
         h, w, sizes = [], [], []
         self.pieces: list[tuple] = []
         column = {name: rows.column(name).combine_chunks() for name in _BIGRAM_NAMES[1:]}
         for k in range(rows.num_rows):
             buffer = {name: c[k].as_buffer() for name, c in column.items()}
-            h.append(np.repeat(np.frombuffer(buffer["contexts"], "<u8"), np.frombuffer(buffer["context_types"], "<u4")))
+            contexts, types = np.frombuffer(buffer["contexts"], "<u8"), np.frombuffer(buffer["context_types"], "<u4")
+            own = (scramble(contexts) >> np.uint64(40)) % np.uint64(parts) == np.uint64(part)
+            mine = np.repeat(own, types)
+            h.append(np.repeat(contexts[own], types[own]))
             words = np.frombuffer(buffer["words"], "<u8")
-            w.append(words[np.frombuffer(buffer["which"], "<u2" if len(words) <= 1 << 16 else "<u4")])
-            sizes.append(np.frombuffer(buffer["occurrences"], "<u4"))
+            w.append(words[np.frombuffer(buffer["which"], "<u2" if len(words) <= 1 << 16 else "<u4")[mine]])
+            every = np.frombuffer(buffer["occurrences"], "<u4")
+            sizes.append(every[mine])
             ids, versions = np.cumsum(np.frombuffer(buffer["ids"], "<i8")), np.frombuffer(buffer["versions"], "<u4").astype(np.uint64)
             has_id, held = (np.unpackbits(np.frombuffer(buffer[c], np.uint8), count=len(ids)).astype(bool) for c in ("has_id", "held"))
-            self.pieces.append((np.frombuffer(buffer["docs"], "<u2"), sizes[-1], ids, has_id, versions, held))
+            self.pieces.append((np.frombuffer(buffer["docs"], "<u2")[np.repeat(mine, every)], sizes[-1], ids, has_id, versions, held))
         h, w = np.concatenate(h), np.concatenate(w)
         with np.errstate(over="ignore"):
             key = scramble(scramble(h) ^ (w * np.uint64(3)))
@@ -364,13 +371,8 @@ def _doc_parts(ids, has_id, versions, held, sums, buckets: int) -> list[tuple]:
 
 
 def _evaluate(buckets: int, unigrams: Unigrams, heavy: np.ndarray):
-    def evaluated(rows: pa.Table, answers: pa.Table) -> pa.Table:
-        b = Bucket(rows)
-        order, cuts = cut_by(word_bucket(b.words, buckets), buckets)
-        told = {r["word_bucket"]: np.frombuffer(r["counts"], "<i8") for r in answers.to_pylist()}
-        word_count = np.zeros(len(b.words), np.int64)
-        for bucket, s, e in cuts:
-            word_count[order[s:e]] = told[bucket]
+    def one_part(b: Bucket, word_count: np.ndarray) -> tuple:
+        """Contexts with their sums, sums of all documents, tokens that wait for a context, and counts of counts."""
         p1 = unigrams.p(word_count)[b.word]
         contexts, ctx = np.unique(b.h, return_inverse=True)
         is_heavy = np.isin(contexts, heavy)
@@ -388,30 +390,48 @@ def _evaluate(buckets: int, unigrams: Unigrams, heavy: np.ndarray):
         wait = (seen & hot) | (~seen & (hot | (sums[ctx, 0] > 0)))
         per_type = [np.ones(len(c)), word_count[b.word] > 0, np.log10(word_count[b.word] + 1.0), value, b.w == END]
         per_type += [c == r for r in range(1, LARGEST + 1)]
-        documents, document_sums, waiting, base = [], [], [], 0
+        document_sums, waiting, base = [], [], 0
         for types, (doc, size, *known) in zip(b.types, b.pieces):
             docs, of = len(known[0]), np.repeat(types, size)
-            own = np.stack([np.bincount(doc, x[of], minlength=docs) for x in per_type], axis=1)
+            document_sums.append(np.stack([np.bincount(doc, x[of], minlength=docs) for x in per_type], axis=1))
             still = wait[of]
             of, pair = of[still], ctx[of[still]] * docs + doc[still]
             names, at = np.unique(pair, return_inverse=True)
             n_seen, n_unseen = (np.bincount(at, x[of], minlength=len(names)) for x in (seen, ~seen))
             waiting.append(np.stack([names // docs, names % docs + base, n_seen, n_unseen], axis=1).astype("<u4"))
-            documents.append(known)
-            document_sums.append(own)
             base += docs
-        known, own = [np.concatenate(x) for x in zip(*documents)], np.concatenate(document_sums)
+        counts = np.bincount(np.minimum(c[seen], LARGEST + 2), minlength=LARGEST + 2)[: LARGEST + 2]
+        return contexts, sums, np.concatenate(document_sums), np.concatenate(waiting), counts
+
+    def evaluated(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        words = np.unique(joined(rows.column("words"), "<u8"))
+        order, cuts = cut_by(word_bucket(words, buckets), buckets)
+        told = {r["word_bucket"]: np.frombuffer(r["counts"], "<i8") for r in answers.to_pylist()}
+        count_of = np.zeros(len(words), np.int64)
+        for bucket, s, e in cuts:
+            count_of[order[s:e]] = told[bucket]
+        contexts, sums, waiting, own, counts, base = [], [], [], 0, 0, 0
+        for k in range(CONTEXT_PARTS):
+            b = Bucket(rows, k, CONTEXT_PARTS)
+            some, their, docs, tokens, seen = one_part(b, count_of[np.searchsorted(words, b.words)])
+            tokens[:, 0] += base
+            base += len(some)
+            contexts.append(some)
+            sums.append(their)
+            waiting.append(tokens)
+            own, counts = own + docs, counts + seen
+        contexts, sums, waiting = np.concatenate(contexts), np.concatenate(sums), np.concatenate(waiting)
+        known = [np.concatenate(x) for x in zip(*(piece[2:] for piece in b.pieces))]
         used = own[:, 0] > 0
         out = _doc_parts(*(x[used] for x in known), own[used], buckets)
         # the contexts that some token waits for, and those tokens: (context, document, seen, unseen)
-        waiting = np.concatenate(waiting)
         if len(waiting):
             used_ctx, waiting[:, 0] = np.unique(waiting[:, 0], return_inverse=True)
             used_doc, waiting[:, 1] = np.unique(waiting[:, 1], return_inverse=True)
             out.append((1, 0, *(packed(x[used_doc]) for x in known), None, packed(contexts[used_ctx]), packed(sums[used_ctx]), packed(waiting), None))
+        is_heavy = np.isin(contexts, heavy)
         if is_heavy.any():
             out.append((2, 0, None, None, None, None, None, packed(contexts[is_heavy]), packed(sums[is_heavy]), None, None))
-        counts = np.bincount(np.minimum(c[seen], LARGEST + 2), minlength=LARGEST + 2)[: LARGEST + 2]
         out.append((3, 0, *[None] * 8, counts.tolist()))
         return _table(_EVALUATED_NAMES, _EVALUATED_TYPES, out)
 
@@ -496,7 +516,7 @@ def score(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 probabilities of the text)."""
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     spark = docs.sparkSession
-    buckets = BUCKETS_PER_PART * shuffle_parts(spark)
+    buckets = shuffle_parts(spark)
     table = unigram_table(docs, buckets)
     totals = table.agg(
         F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n"),
