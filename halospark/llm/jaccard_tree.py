@@ -10,16 +10,19 @@
    hashed tokens with its size; an inner node ORs the bitmaps of its children and keeps their range of sizes and
    the largest number of tokens that share bits in one leaf.  Two subtrees are walked together and left as soon as the
    largest possible overlap, popcount(A & B) plus hidden tokens, cannot reach the threshold for any sizes in their
-   ranges.  Leaf pairs that stay are checked on their exact sets, unless links have united them already.  A large
+   ranges.  Leaves stand in the order of their smallest hashes, so that similar sets share nodes.  Leaf pairs that
+   stay are checked on their exact sets, unless only classes are wanted and links have united them already.  A large
    group is cut into blocks of BLOCK sets sorted by size, and each pair of blocks with possible sizes is a task of
    its own: no group is ever one task.
-4. Links form a forest per task; components are found by exchanging smallest neighbours in rounds on tables.
+4. Links form a forest per task; components are found by exchanging smallest neighbours in rounds on tables.  Where
+   links are counted, a task gives one number for each of its sets, never the pairs.
 
 Nothing is capped or sampled.  A group of n near copies of similar size costs (n / BLOCK)^2 / 2 block tasks.
 
 Cases: a text without words, empty or NULL has no shingles and is alone; with fewer words than a shingle has the whole
-sequence is the one shingle; rows repeated under one doc_id are linked with each other and each is returned; a NULL
-doc_id is alone, with a NULL component; other columns are ignored by the join and kept by :func:`one_of_each`.
+sequence is the one shingle; rows repeated under one doc_id are linked with each other and each is returned (a row's
+links are counted from its own text); a NULL doc_id is alone, with a NULL component and no links; other columns are
+ignored by the join and kept by :func:`one_of_each`.
 """
 
 from __future__ import annotations
@@ -45,6 +48,8 @@ SKETCH_BITS, SLICES = 24, 64
 PIECE_BYTES = 4 << 20
 #: Node pairs whose bitmaps are compared at once, in bytes.
 PAIR_BYTES = 16 << 20
+#: Leaves of a side whose exact overlaps are counted together, and shingles of theirs at once.
+TILE, TILE_SHINGLES = 64, 1 << 16
 #: Sum of bytes of the sets that one small-group task holds.
 GROUP_BYTES = 32 << 20
 
@@ -182,7 +187,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 # -- signature trees ---------------------------------------------------------------------------------------------
 class SignatureTree:
-    """A tree over sets sorted by size: per level bitmaps (words of 64 bits), smallest and largest size, spare tokens.
+    """A tree over sets: per level bitmaps (words of 64 bits), smallest and largest size, spare tokens.
 
     ``spare`` of a leaf is its number of tokens less its number of bits: what a bitmap can hide.
     """
@@ -223,13 +228,10 @@ def _possible(a: SignatureTree, la: int, i: np.ndarray, b: SignatureTree, lb: in
     return (100 + percent) * overlap >= percent * (a.low[la][i] + b.low[lb][j])
 
 
-def join_trees(
-    a: SignatureTree, sets_a: list[np.ndarray], b: SignatureTree, sets_b: list[np.ndarray], percent: int, forest: Forest, shift: int
-) -> None:
-    """Unite all similar leaves of two trees (or of one with itself) in ``forest``; b's leaves begin at ``shift``.
+def leaf_pairs(a: SignatureTree, b: SignatureTree, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Leaves (i of ``a``, j of ``b``) that may be similar; of one tree with itself those with i < j.
 
-    Level by level: pairs of nodes whose bound is too low are dropped together with all pairs below them.  Leaf pairs
-    are checked on exact sets, except where earlier links have already united the two.
+    Level by level: pairs of nodes whose bound is too low are dropped together with all pairs below them.
     """
     same = a is b
     la, lb = len(a.maps) - 1, len(b.maps) - 1
@@ -250,8 +252,17 @@ def join_trees(
         la, lb = la - down_a, lb - down_b
         if same:
             i, j = i[i <= j], j[i <= j]
-    if same:
-        i, j = i[i < j], j[i < j]
+    return (i[i < j], j[i < j]) if same else (i, j)
+
+
+def join_trees(
+    a: SignatureTree, sets_a: list[np.ndarray], b: SignatureTree, sets_b: list[np.ndarray], percent: int, forest: Forest, shift: int
+) -> None:
+    """Unite all similar leaves of two trees (or of one with itself) in ``forest``; b's leaves begin at ``shift``.
+
+    Leaf pairs that stay are checked on exact sets, except where earlier links have already united the two.
+    """
+    i, j = leaf_pairs(a, b, percent)
     for x, y in zip(i.tolist(), j.tolist()):
         if forest.root(x) != forest.root(y + shift):
             s, r = sets_a[x], sets_b[y]
@@ -260,6 +271,51 @@ def join_trees(
                 forest.union(x, y + shift)
 
 
+def _incidence(sets: list[np.ndarray], tokens: np.ndarray) -> np.ndarray:
+    """1.0 where a set (row) has a token (column)."""
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    at = np.minimum(np.searchsorted(tokens, flat), len(tokens) - 1)
+    hit = tokens[at] == flat
+    out = np.zeros((len(sets), len(tokens)), np.float32)
+    out[owner[hit], at[hit]] = 1.0
+    return out
+
+
+def overlaps(sets_a: list[np.ndarray], sets_b: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The exact number of common tokens of every pair of leaves: products of 0-1 matrices, tile by tile."""
+    out = np.zeros(len(i), np.int64)
+    tile = (i // TILE << 32) + j // TILE
+    order = np.argsort(tile, kind="stable")
+    for own in np.split(order, np.flatnonzero(np.diff(tile[order])) + 1) if len(i) else []:
+        rows, at_row = np.unique(i[own], return_inverse=True)
+        columns, at_column = np.unique(j[own], return_inverse=True)
+        left, right = [sets_a[x] for x in rows], [sets_b[y] for y in columns]
+        common = np.intersect1d(np.concatenate(left), np.concatenate(right))
+        both = np.zeros((len(left), len(right)), np.int64)
+        for k in range(0, len(common), TILE_SHINGLES):
+            part = common[k : k + TILE_SHINGLES]
+            both += (_incidence(left, part) @ _incidence(right, part).T).astype(np.int64)
+        out[own] = both[at_row, at_column]
+    return out
+
+
+def count_links(
+    a: SignatureTree, sets_a: list[np.ndarray], b: SignatureTree, sets_b: list[np.ndarray], percent: int, forest: Forest, shift: int, weight: np.ndarray
+) -> np.ndarray:
+    """As :func:`join_trees`, with every leaf pair that stays checked; the links of every leaf, by its partners' weights."""
+    i, j = leaf_pairs(a, b, percent)
+    size_a, size_b = (np.array([len(s) for s in sets], np.int64) for sets in (sets_a, sets_b))
+    both = overlaps(sets_a, sets_b, i, j)
+    linked = 100 * both >= percent * (size_a[i] + size_b[j] - both)
+    i, j = i[linked], j[linked] + shift
+    for x, y in zip(i.tolist(), j.tolist()):
+        forest.union(x, y)
+    links = np.zeros(len(weight), np.int64)
+    np.add.at(links, i, weight[j])
+    np.add.at(links, j, weight[i])
+    return links
+
+
 def _bits(sets: list[np.ndarray]) -> int:
     """Bits per leaf: four for each token of a middling set, so that a bitmap takes a sixteenth of its set."""
     middle = int(np.median([len(s) for s in sets])) if sets else 1
@@ -387,57 +443,70 @@ def candidate_groups(docs: DataFrame, width: int, percent: int, rarity: bytes) -
     return components(cut_lineage(keys.groupBy("bucket").applyInArrow(_bucket_edges, "a bigint, b bigint")))
 
 
-def _one_join(docs: np.ndarray, side: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """The links of one group, or between the two sides of a block pair: a forest of edges."""
+def _one_join(
+    docs: np.ndarray, side: np.ndarray, sets: list[np.ndarray], copies: np.ndarray, percent: int, counted: bool
+) -> tuple[list[tuple[int, int]], list[tuple[int, int, int, int]]]:
+    """The links of one group, or between the two sides of a block pair: a forest of edges, and (n, h1, h2, links)."""
     seen: dict[tuple[int, int, bytes], int] = {}
     for i, k in enumerate(zip(side.tolist(), docs.tolist())):
         seen.setdefault((*k, sets[i].tobytes()), i)
-    order = sorted(seen.values(), key=lambda i: (side[i], len(sets[i]), docs[i]))
+    least = {i: int(scramble(sets[i]).min()) for i in seen.values()}
+    order = sorted(seen.values(), key=lambda i: (side[i], least[i], len(sets[i]), docs[i]))
     n_left = sum(1 for i in order if side[i] == 0)
     left, right = [sets[i] for i in order[:n_left]], [sets[i] for i in order[n_left:]]
-    forest, bits = Forest(len(order)), _bits(sets)
-    if left and right:
-        join_trees(SignatureTree(left, bits), left, SignatureTree(right, bits), right, percent, forest, n_left)
-    elif left:
+    forest, bits, weight = Forest(len(order)), _bits(sets), copies[order]
+    links = np.zeros(len(order), np.int64)
+    if left:
         tree = SignatureTree(left, bits)
-        join_trees(tree, left, tree, left, percent, forest, 0)
+        other, others, shift = (SignatureTree(right, bits), right, n_left) if right else (tree, left, 0)
+        if counted:
+            links = count_links(tree, left, other, others, percent, forest, shift, weight)
+        else:
+            join_trees(tree, left, other, others, percent, forest, shift)
     named = docs[order].tolist()
-    return [(named[i], named[r]) for i, r in enumerate(forest.roots().tolist()) if named[i] != named[r]]
+    edges = [(named[i], named[r]) for i, r in enumerate(forest.roots().tolist()) if named[i] != named[r]]
+    return edges, [(len(sets[i]), *set_hash(sets[i]), n) for i, n in zip(order, links.tolist()) if n]
+
+
+LINKS = "a bigint, b bigint, n_shingles bigint, h1 bigint, h2 bigint, links bigint"
 
 
-def _join_task(percent: int):
+def _join_task(percent: int, counted: bool):
     def task(rows: pa.Table) -> pa.Table:
-        group, doc, side = (rows.column(c).to_numpy() for c in ("component", "node", "side"))
+        group, doc, side, copies = (rows.column(c).to_numpy() for c in ("component", "node", "side", "copies"))
         sets = [np.frombuffer(x.as_buffer(), "<u8") for x in rows.column("shingles").combine_chunks()]
         order = np.argsort(group, kind="stable")
-        edges: list[tuple[int, int]] = []
+        out: list[tuple] = []
         for own in np.split(order, np.flatnonzero(np.diff(group[order])) + 1):
-            edges += _one_join(doc[own], side[own], [sets[i] for i in own], percent)
-        a, b = zip(*edges) if edges else ((), ())
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+            edges, counts = _one_join(doc[own], side[own], [sets[i] for i in own], copies[own], percent, counted)
+            out += [(*e, None, None, None, None) for e in edges] + [(None, None, *c) for c in counts]
+        columns = zip(*out) if out else [()] * 6
+        return pa.table([pa.array(c, pa.int64()) for c in columns], names=["a", "b", "n_shingles", "h1", "h2", "links"])
 
     return task
 
 
 def _with_sets(rows: DataFrame, width: int) -> DataFrame:
-    """The placed rows with the shingles of their text instead of the text."""
+    """The placed rows with the shingles of their text instead of the text, where the text has the set placed."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, "text", PIECE_BYTES):
-                sets = [packed(s) for s in shingle_sets(part.column("text").fill_null(""), width)]
-                place = [part.column("places"), part.column("node")]
-                yield pa.RecordBatch.from_arrays([*place, pa.array(sets, pa.binary())], names=["places", "node", "shingles"])
+                h1, h2 = part.column("h1").to_pylist(), part.column("h2").to_pylist()
+                sets = shingle_sets(part.column("text").fill_null(""), width)
+                own = [i for i, s in enumerate(sets) if set_hash(s) == (h1[i], h2[i])]
+                place = [part.column(c).take(pa.array(own, pa.int64())) for c in ("places", "node")]
+                yield pa.RecordBatch.from_arrays([*place, pa.array([packed(sets[i]) for i in own], pa.binary())], names=["places", "node", "shingles"])
 
-    place = "struct<bundle: bigint, left_block: bigint, right_block: bigint, side: int, component: bigint>"
+    place = "struct<bundle: bigint, left_block: bigint, right_block: bigint, side: int, component: bigint, copies: bigint>"
     sets = rows.mapInArrow(task, f"places array<{place}>, node bigint, shingles binary")
     return sets.select("node", "shingles", F.explode("places").alias("p")).select("node", "shingles", "p.*")
 
 
 def placements(member: DataFrame, percent: int) -> DataFrame:
-    """(node, places): the tasks that each document of a candidate group takes part in.
+    """(node, h1, h2, places): the tasks that each set of a candidate group takes part in.
 
-    Small groups are bundled by a hash; a large one is cut into blocks by size, and a document goes to each pair of
+    Small groups are bundled by a hash; a large one is cut into blocks by size, and a set goes to each pair of
     blocks that its own belongs to and whose sizes can be similar.
     """
     spark = member.sparkSession
@@ -446,51 +515,57 @@ def placements(member: DataFrame, percent: int) -> DataFrame:
     fits = (F.col("members") <= BLOCK) & (F.col("tokens") * 8 <= GROUP_BYTES)
     bundle = F.pmod(F.xxhash64("component"), F.lit(4 * shuffle_parts(spark)))
     at = lambda b, left, right, side: F.struct(
-        b.alias("bundle"), left.cast("long").alias("left_block"), right.cast("long").alias("right_block"), side.cast("int").alias("side"), F.col("component")
+        b.alias("bundle"), left.cast("long").alias("left_block"), right.cast("long").alias("right_block"), side.cast("int").alias("side"), F.col("component"), F.col("copies")
     )
-    small = placed.where(fits).select("node", F.array(at(bundle, F.lit(0), F.lit(0), F.lit(0))).alias("places"))
-    ranked = running_total(placed.where(~fits), ["component"], [F.col("n"), F.col("node")], F.lit(1), "rank")
+    small = placed.where(fits).select("node", "h1", "h2", F.array(at(bundle, F.lit(0), F.lit(0), F.lit(0))).alias("places"))
+    ranked = running_total(placed.where(~fits), ["component"], [F.col("n"), F.col("node"), F.col("h1"), F.col("h2")], F.lit(1), "rank")
     # a block also ends where its tokens fill a task
     per_block = F.least(F.lit(BLOCK), F.greatest(F.lit(1), F.floor(F.lit(GROUP_BYTES / 16) * F.col("members") / F.col("tokens"))))
-    block = cut_lineage(ranked.select("node", "component", "n", "n_low", F.floor((F.col("rank") - 1) / per_block).alias("block")))
-    spans = block.groupBy("component", "block").agg(F.min("n_low").alias("low"), F.max("n").alias("high"))
+    block = cut_lineage(ranked.select("node", "h1", "h2", "copies", "component", "n", F.floor((F.col("rank") - 1) / per_block).alias("block")))
+    spans = block.groupBy("component", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     partner = spans.select("component", F.col("block").alias("other"), F.col("low").alias("other_low"), F.col("high").alias("other_high"))
     pairs = spans.join(partner, "component").where(
         (F.col("high") * 100 >= F.col("other_low") * percent) & (F.col("other_high") * 100 >= F.col("low") * percent)
     )
     first = F.col("block") <= F.col("other")
     place = at(F.lit(-1).cast("long"), F.least("block", "other"), F.greatest("block", "other"), F.when(first, 0).otherwise(1))
-    partners = pairs.groupBy("component", "block").agg(F.collect_list(place).alias("places"))
-    return small.unionByName(block.join(partners, ["component", "block"]).select("node", "places"))
+    partners = pairs.select("component", "block", "other")
+    of_set = block.join(partners, ["component", "block"]).groupBy("node", "h1", "h2").agg(F.collect_list(place).alias("places"))
+    return small.unionByName(of_set)
 
 
-def linked(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_shingles, h1, h2 (hash of its set), component_id.
+def linked(docs: DataFrame, width: int = 5, percent: int = 80, counted: bool = False) -> DataFrame:
+    """Per row of ``docs``: doc_id, n_shingles, h1, h2 (hash of its set), component_id; if ``counted`` also n_links.
 
-    Documents link when 100 * overlap >= percent * union of their sets of ``width``-word shingles.
+    Documents link when 100 * overlap >= percent * union of their sets of ``width``-word shingles.  ``n_links`` are the
+    other rows (with a doc_id) whose sets link with a row's own, copies included.
     """
     known = cut_lineage(described(docs, width))
     sets = known.where("slice is null").select("doc_id", "n_shingles", "h1", "h2")
     same = ["n_shingles", "h1", "h2"]
-    heads = cut_lineage(sets.where("n_shingles > 0 and doc_id is not null").groupBy(*same).agg(F.min("doc_id").alias("head")))
+    filled = sets.where("n_shingles > 0 and doc_id is not null")
+    heads = cut_lineage(filled.groupBy(*same).agg(F.min("doc_id").alias("head"), F.count("*").alias("copies")))
     groups = candidate_groups(docs, width, percent, rarity_levels(known))
     # a key's owner need not be the smallest of its equals: go over to heads
     member = (
         sets.join(groups, F.col("doc_id") == F.col("node"))
         .join(heads, same)
-        .groupBy(F.col("head").alias("node"))
-        .agg(F.min("component").alias("component"), F.min("n_shingles").alias("n_low"), F.max("n_shingles").alias("n"))
+        .groupBy(F.col("head").alias("node"), F.col("n_shingles").alias("n"), "h1", "h2")
+        .agg(F.min("component").alias("component"), F.first("copies").alias("copies"))
     )
     places = placements(cut_lineage(member), percent)
     # the places grow with the input: never broadcast, whatever a small input's size suggests
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(places.hint("merge"), "node")
     tasks = _with_sets(texts, width).groupBy("bundle", "left_block", "right_block", F.when(F.col("bundle") < 0, F.col("component")).alias("own"))
-    links = tasks.applyInArrow(_join_task(percent), "a bigint, b bigint")
-    classes = components(cut_lineage(links))
-    of = heads.join(classes, F.col("head") == F.col("node"), "left").select(*same, F.coalesce("component", "head").alias("class"))
-    return sets.join(of, same, "left").select(
-        "doc_id", *same, F.when(F.col("doc_id").isNotNull(), F.coalesce("class", "doc_id")).alias("component_id")
-    )
+    found = cut_lineage(tasks.applyInArrow(_join_task(percent, counted), LINKS))
+    classes = components(found.where("a is not null").select("a", "b"))
+    of = heads.join(classes, F.col("head") == F.col("node"), "left").select(*same, "copies", F.coalesce("component", "head").alias("class"))
+    if counted:
+        others = found.where("h1 is not null").groupBy(*same).agg(F.sum("links").alias("links"))
+        of = of.join(others, same, "left").select(*same, "class", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    known_id = F.col("doc_id").isNotNull()
+    links = [F.when(known_id, F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links")] if counted else []
+    return sets.join(of, same, "left").select("doc_id", *same, F.when(known_id, F.coalesce("class", "doc_id")).alias("component_id"), *links)
 
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:

@@ -73,7 +73,8 @@ def op2_katz_scores(spark, sf_dir):
 
 @query()
 def op3_jaccard_join(spark, sf_dir):
-    return jaccard_tree.linked(table(spark, sf_dir, "documents"), width=3, percent=90).select("doc_id", "n_shingles", "component_id")
+    df = jaccard_tree.linked(table(spark, sf_dir, "documents"), width=3, percent=90, counted=True)
+    return df.select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 @query(

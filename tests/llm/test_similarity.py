@@ -94,6 +94,46 @@ def test_classes_of_repeated_ids_and_empty_table(rows):
     assert jaccard_tree.linked(df.limit(0)).count() == 0 and jaccard_tree.one_of_each(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("block", [512, 16])
+def test_link_counts_equal_brute_force(rows, monkeypatch, block):
+    monkeypatch.setattr(jaccard_tree, "BLOCK", block)
+    monkeypatch.setattr(jaccard_tree, "TILE", 8)
+    monkeypatch.setattr(jaccard_tree, "TILE_SHINGLES", 100)
+    docs = near_copies(block) + [(2000, None), (2001, ""), (None, "a b c d"), (2002, "a b c d")]
+    # one group of copies with a third of all rows, rows repeated under one doc_id, one doc_id with two texts
+    docs += [(3000 + k, docs[7][1]) for k in range(len(docs) // 2)] + [docs[3], docs[3], (5, docs[9][1])]
+    sets = [plain_set(t, 3) for _, t in docs]
+    want = Counter()
+    for i, (d, _) in enumerate(docs):
+        like = [j for j, (e, _) in enumerate(docs) if j != i and e is not None and sets[i] and sets[j]]
+        n = sum(100 * len(sets[i] & sets[j]) >= 90 * len(sets[i] | sets[j]) for j in like)
+        want[d, len(sets[i]), n if d is not None else 0] += 1
+    got = jaccard_tree.linked(rows("doc_id long, text string", docs).repartition(3), 3, 90, counted=True).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.n_links) for r in got) == want
+    assert max(n for _, _, n in want) > len(docs) // 4
+
+
+def test_exact_overlaps_and_pruning_of_families(monkeypatch):
+    rng = np.random.default_rng(6)
+    sets = []
+    for _ in range(32):
+        family = rng.integers(0, 1 << 63, rng.integers(180, 220)).astype(np.uint64)
+        for _ in range(16):
+            own = family[rng.random(len(family)) > 0.03]
+            sets.append(np.unique(np.append(own, rng.integers(0, 1 << 63, 2).astype(np.uint64))))
+    rng.shuffle(mixed := np.arange(len(sets)))
+    sets = [sets[i] for i in sorted(mixed.tolist(), key=lambda i: int(jaccard_tree.scramble(sets[i]).min()))]
+    tree = jaccard_tree.SignatureTree(sets, jaccard_tree._bits(sets))
+    i, j = np.triu_indices(len(tree.maps[1]))
+    # nodes of one level above the leaves: most pairs of different families go together
+    assert jaccard_tree._possible(tree, 1, i, tree, 1, j, 80).mean() < 0.2
+    x, y = jaccard_tree.leaf_pairs(tree, tree, 80)
+    monkeypatch.setattr(jaccard_tree, "TILE_SHINGLES", 500)
+    both = jaccard_tree.overlaps(sets, sets, x, y)
+    assert both.tolist() == [len(np.intersect1d(sets[a], sets[b])) for a, b in zip(x, y)]
+    assert len(x) >= 32 * 100 and len(jaccard_tree.overlaps(sets, sets, x[:0], y[:0])) == 0
+
+
 def test_tree_bound_never_loses_a_pair():
     rng = np.random.default_rng(4)
     sets = []
