@@ -3,7 +3,8 @@
 Each of CURVES orderings projects the unit vectors on DIMS random orthogonal directions, shifts them, cuts the
 coordinates into 2^BITS steps, and numbers the cells along a Hilbert curve.  Spark range-partitions and ranks every
 vector in every ordering.  A query looks at the window of ranks around its own place in each ordering, the windows are
-met block by block of BLOCK rows as matrix products, and the best of all windows are merged by exact cosine.
+met block by block of BLOCK rows as matrix products, and the best of all windows are merged by exact cosine.  Blocks
+only deal the work out: what a query sees of a block is cut to its window, so BLOCK has no part in the result.
 
 ``window`` is the share of an ordering that a window covers.  Vectors that cluster are found with small windows;
 vectors spread evenly over many dimensions (as in the test tables, where the nearest cosine is about 0.4) have no
@@ -159,13 +160,18 @@ def _block_best(k: int):
         if queries.num_rows and block.num_rows:
             q, v = _matrix(queries.column("vector")), _matrix(block.column("vector"))
             q_id, q_nth = queries.column("vec_id").to_pylist(), queries.column("nth").to_pylist()
-            v_id, v_nth = block.column("vec_id").to_numpy(), block.column("nth").to_numpy()
+            by_rank = np.argsort(block.column("rank").to_numpy())
+            v, v_rank = v[by_rank], block.column("rank").to_numpy()[by_rank]
+            v_id, v_nth = block.column("vec_id").to_numpy()[by_rank], block.column("nth").to_numpy()[by_rank]
+            low = np.searchsorted(v_rank, queries.column("start").to_numpy(), "left")
+            high = np.searchsorted(v_rank, queries.column("stop").to_numpy(), "right")
             unit_v = _unit(v)
             for first in range(0, len(q), 256):
                 near = _unit(q[first : first + 256]) @ unit_v.T
                 for i, row in enumerate(near, first):
+                    row = row[low[i] : high[i]]
                     bound = np.partition(row, -k)[-k] if len(row) > k else -np.inf
-                    hit = np.flatnonzero(row >= bound - 1e-9)
+                    hit = low[i] + np.flatnonzero(row >= bound - 1e-9)
                     exact = cosines(np.broadcast_to(q[i], (len(hit), q.shape[1])), v[hit])
                     for j in np.lexsort((v_nth[hit], v_id[hit], -exact))[:k]:
                         out.append((q_id[i], q_nth[i], int(v_id[hit[j]]), int(v_nth[hit[j]]), float(exact[j])))
@@ -191,11 +197,17 @@ def nearest(vectors: DataFrame, query: Column, k: int = 5, window: float = WINDO
     start = F.greatest(F.lit(0), F.least(F.col("rank") - reach, F.col("n") - 1 - 2 * reach))
     stop = F.least(F.col("n") - 1, F.greatest(F.col("rank") + reach, 2 * reach))
     probes = places.where("is_query").select(
-        "curve", F.explode(F.sequence(F.floor(start / BLOCK), F.floor(stop / BLOCK))).alias("block"), "vec_id", "nth", "vector"
+        "curve",
+        F.explode(F.sequence(F.floor(start / BLOCK), F.floor(stop / BLOCK))).alias("block"),
+        start.cast("long").alias("start"),
+        stop.cast("long").alias("stop"),
+        "vec_id",
+        "nth",
+        "vector",
     )
     met = (
         probes.groupBy("curve", "block")
-        .cogroup(places.select("curve", "block", "vec_id", "nth", "vector").groupBy("curve", "block"))
+        .cogroup(places.select("curve", "block", "rank", "vec_id", "nth", "vector").groupBy("curve", "block"))
         .applyInArrow(_block_best(k + most), "q_vec bigint, q_nth int, vec_id bigint, nth int, score double")
     )
     order = F.struct((-F.col("score")).alias("far"), F.col("vec_id"), F.col("nth"), F.col("score"))

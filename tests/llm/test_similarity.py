@@ -316,6 +316,32 @@ def test_nearest_in_clusters_with_small_windows(rows, monkeypatch):
     assert sum(r.vec_id in want[r.query_id] for r in got) >= 0.9 * len(got)
 
 
+@pytest.mark.parametrize("block", [64, 4096])
+def test_windows_do_not_depend_on_blocks_and_beat_random_orderings(rows, monkeypatch, block):
+    monkeypatch.setattr(curve_ann, "BLOCK", block)
+    rng = np.random.default_rng(12)
+    data = [(i, rng.standard_normal(8).tolist()) for i in range(1500)]
+    df, query = rows("vec_id long, embedding array<double>", data), F.col("vec_id") % 50 == 0
+    got = curve_ann.nearest(df, query, k=5, window=0.15).collect()
+    want = plain_nearest(data, lambda q: q % 50 == 0, 5)
+    hits = {(r.query_id, r.vec_id) for r in got if r.vec_id in want[r.query_id]}
+    # four random orderings with the same windows hold a neighbour with probability 1 - 0.85^4 = 0.48
+    assert len(hits) >= 0.7 * 5 * len(want)
+    # the windows themselves, worked out here
+    places = curve_ann.ordered(curve_ann.folded(curve_ann.usable(df), query, 5)[0]).collect()
+    rank = {(r.curve, r.vec_id): r["rank"] for r in places}
+    n, reach = 1500, math.ceil(1500 * 0.075)
+    for q in want:
+        seen = set()
+        for c in range(curve_ann.CURVES):
+            start = max(0, min(rank[c, q] - reach, n - 1 - 2 * reach))
+            stop = min(n - 1, max(rank[c, q] + reach, 2 * reach))
+            seen |= {i for i in range(n) if start <= rank[c, i] <= stop}
+        assert sorted(r.vec_id for r in got if r.query_id == q) == sorted(
+            sorted(seen - {q}, key=lambda i: -float(np.dot(data[q][1], data[i][1]) / np.linalg.norm(data[i][1])))[:5]
+        )
+
+
 def test_nearest_cases(rows):
     vectors = [
         (0, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [0.5, 0.0]), (3, [0.0, 1.0]), (4, [0.0, 0.0]), (5, None), (6, [1.0, None]),
