@@ -5,16 +5,20 @@ secret, a token of dotted parts, an armoured private key, or the user:password o
 regular expression; those with candidates are cut at them, so the words before and after are at hand.  A forest,
 trained on labelled findings, scores each candidate by its length, its character transitions, how much of it dictionary
 words cover, the path it was found under, and the words around it.  Only built-in functions and Spark's own forest run.
+Candidates fall into FOLDS by a hash of their text; each is scored by a forest that was fitted on the other folds and so
+has not seen it, nor a copy of it.
 
-The dictionary is counted over all documents: every word that a share of MIN_SHARE of them holds.  The forest is fitted on at most about
+The dictionary is counted over all documents: every word that a share of MIN_SHARE of them holds.  A forest is fitted on at most about
 TRAIN_ROWS labelled findings of each class (drawn by a hash of the candidate, the rate worked out from all counts);
 everything else covers all documents.
 
 Cases: a NULL or empty text has no candidates; a NULL path is a path of its own; a candidate at the very start or end
 of a text has an empty neighbour; the same candidate found again is scored each time; rows repeated are scanned alike;
-a bare run that touches a letter outside ASCII is part of a word and no candidate, a value behind a name may hold any;
-without labelled findings of both kinds there is nothing to learn from and the label itself is the score; an empty
-table has no findings; other columns are ignored.
+a bare run that touches a letter outside ASCII is part of a word and no candidate unless it has a known format; a value
+behind a name may hold any; names and values have no longest length, of the words before and after at most
+NEIGHBOUR_CHARS characters count; where the other folds lack labelled findings of one kind there is nothing to learn
+from and the label itself is the score; a NULL candidate among ``labels`` meets none, a NULL label is no label, any
+label but 0 counts as 1; an empty table has no findings; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,10 +35,12 @@ from halospark.operators.lineage import cut_lineage
 
 MIN_CHARS = 16
 KEY_CHARS = r"A-Za-z0-9_+/=\-"
-LONG_RUN = rf"(?<![\p{{L}}\p{{N}}_+/=\-])[{KEY_CHARS}]{{{MIN_CHARS},}}+(?!\p{{L}})"
+#: What follows :// where a URL has user and password.
+LOGIN = r"""[^\s/:@"'<>]++:[^\s/@"'<>]{3,}+@"""
+LONG_RUN = rf"(?<![\p{{L}}\p{{N}}_+/=\-])(?!//{LOGIN})[{KEY_CHARS}]{{{MIN_CHARS},}}+(?!\p{{L}})"
 TRAIN_ROWS, PATHS, NEIGHBOUR_CHARS = 10_000, 16, 64
 MIN_SHARE, MIN_DOCS = 0.001, 2
-TREES, DEPTH, SEED = 20, 6, 7
+TREES, DEPTH, SEED, FOLDS = 20, 6, 7, 2
 
 #: Words that stand next to or inside a secret's assignment.
 HINTS = "(?i)(pass|pwd|secret|token|key|auth|bearer|credential|aws|private)"
@@ -42,7 +48,8 @@ HINTS = "(?i)(pass|pwd|secret|token|key|auth|bearer|credential|aws|private)"
 #: Names whose value is a secret, and what joins a name to its value.
 NAMES = (
     r"(?:pass|passw(?:or)?d|passphrase|pwd|secret|token|pat|credentials?|auth|authorization|bearer"
-    r"|(?:api|access|secret|private|auth|account|encryption|signing|client|master|storage)[_.\- ]?(?:key|token|secret)(?:[_.\-]?id)?)"
+    r"|(?:api|access|secret|private|auth|account|encryption|signing|client|master|storage)[_.\- ]?(?:key|token|secret)(?:[_.\-]?id)?"
+    r"|passwort|kennwort|geheimnis|zugangsdaten|mot[_\- ]?de[_\- ]?passe|mdp|jeton|contrase[ñÑn]a|clave|secreto|credencial(?:es)?)"
 )
 JOINED = r"""["'`]?\s{0,3}(?::=|=>|->|==|[=:>])\s{0,3}["'`]?(?:(?:Bearer|Basic|Token)\s+)?"""
 PLACEHOLDER = r"(?:[$%{<\[(]|[x*.#]{6}|0{6}|your|change_?me|placeholder|redacted|dummy|none|null|undefined|process\.env|os\.environ|getenv)"
@@ -85,21 +92,24 @@ DIGEST = r"(?i)(?:commit|\bsha|sha-?[0-9]|md5|checksum|digest|hash(?!i)|\brev|re
 #: A bare value ends at the next parameter (&name=, ;name=); the name is tried only where a separator follows it.
 _NAME_END = r"""["'`]?\s{0,3}(?::=|=>|->|==|[=:>])\s{0,3}"""
 BY_NAME = (
-    rf"(?<![\p{{L}}\p{{N}}_+/])-{{0,2}}(?=[\w./\-]{{1,128}}+{_NAME_END}\S)"
-    r"(?=[\w./\-]{0,128}?(?i:pass|pwd|pw\b|secret|token|key|auth|bearer|cred|private|api|\bpat\b|_pat\b|session|cookie|signature|\bpin\b))"
-    rf"[\w./\-]{{1,128}}+{_NAME_END}"
-    r"""(?:"[^"\r\n]{8,512}+"|'[^'\r\n]{8,512}+'|["'`]?(?:(?i:Bearer|Basic|Token)\s{1,3})?(?=[^\s"'`<>]{8})"""
+    rf"(?<![\p{{L}}\p{{N}}_+/.\-])-{{0,2}}(?=[\p{{L}}\p{{N}}_./\-]++{_NAME_END}\S)"
+    r"(?=[\p{L}\p{N}_./\-]*?(?i:pass|pwd|pw\b|secret|token|key|auth|bearer|cred|private|api|\bpat\b|_pat\b|session|cookie|signature|\bpin\b"
+    r"|kennwort|geheim|schl(?:[üÜ]|ue)ssel|zugang|\bmdp\b|jeton|contrase[ñÑn]a|clave))"
+    rf"[\p{{L}}\p{{N}}_./\-]++{_NAME_END}"
+    r"""(?:"[^"\r\n]{8,}+"|'[^'\r\n]{8,}+'|["'`]?(?:(?i:Bearer|Basic|Token)\s{1,3})?(?=[^\s"'`<>]{8})"""
     r"""[^\s"'`<>&;]++(?:[&;]++(?![\w.\-]{1,64}=)[^\s"'`<>&;]*+)*+)"""
 )
 #: Tokens of three parts (JWTs among them), private keys in armour, and user:password in front of a host.
 DOTTED = r"(?<![\p{L}\p{N}_+/=.\-])(?:eyJ[A-Za-z0-9_\-]{8,}+\.[A-Za-z0-9_\-]{8,}+(?:\.[A-Za-z0-9_\-]*+)?|[A-Za-z0-9_\-]{2,}+\.[A-Za-z0-9_\-]{6,}+\.[A-Za-z0-9_\-]{16,}+)(?!\p{L})"
 ARMOUR = r"-----BEGIN [A-Z ]{0,32}?PRIVATE KEY(?: BLOCK)?-----[^\-]*+"
-IN_URL = r"(?<=://)[^\s/:@\"'<>]{1,128}+:[^\s/@\"'<>]{3,128}+@"
-CANDIDATE = "|".join((ARMOUR, IN_URL, DOTTED, BY_NAME, LONG_RUN))
+IN_URL = rf"(?<=://){LOGIN}"
+#: Known formats also where a letter outside ASCII touches them.
+KNOWN = r"(?<![A-Za-z0-9])(?:" + "|".join(KNOWN_FORMATS) + r")(?![A-Za-z0-9])"
+CANDIDATE = "|".join((ARMOUR, IN_URL, DOTTED, BY_NAME, LONG_RUN, KNOWN))
 #: Closing marks that a bare value may bring along.
 CLOSING = ".,;:)]}"
 
-FEATURES = ("length", "runs", "digits", "uppers", "vowel_turns", "different", "coverage", "path", "hint_before", "hint_inside", "quoted", "words_around", "assigned", "digest", "hex", "symbols")
+FEATURES = ("length", "runs", "digits", "uppers", "vowel_turns", "different", "coverage", "path", "hint_before", "hint_inside", "quoted", "words_around", "symbols")
 
 
 def candidates(docs: DataFrame, path: str = "source") -> DataFrame:
@@ -181,9 +191,6 @@ def with_features(found: DataFrame, words: list[str]) -> DataFrame:
         "hint_inside": F.regexp_like(c, F.lit(HINTS)).cast("int"),
         "quoted": F.regexp_like("before", F.lit("[\"'`]$")).cast("int"),
         "words_around": F.size(F.filter(F.split(F.lower(F.concat_ws(" ", "before", "after")), r"[^\p{L}]+"), lambda w: w.isin(words))) if words else F.lit(0),
-        "assigned": F.regexp_like(F.concat(F.coalesce("before", F.lit("")), c), F.lit(rf"(?i){NAMES}{JOINED}\S")).cast("int"),
-        "digest": F.regexp_like(F.concat_ws(" ", "before", F.regexp_extract(c, r"^([\w./\-]*)[\"'`]?\s{0,3}[=:>]", 1), "after"), F.lit(DIGEST)).cast("int"),
-        "hex": F.regexp_like(c, F.lit(r"(^|[^A-Za-z0-9])[0-9a-f]{32,}$")).cast("int"),
         "symbols": _length_without(c, r"[^A-Za-z0-9]+") / n,
     }
     return found.withColumns({name: value[name].cast("double") for name in FEATURES})
@@ -230,12 +237,14 @@ def scan(docs: DataFrame, path: str = "source", labels: DataFrame | None = None,
     if labels is None:
         labelled = featured.withColumn("label", known_format(F.col("candidate"), F.col("before"), F.col("after")))
     else:
-        reviewed = labels.groupBy("candidate").agg(F.max("label").cast("double").alias("label"))
+        reviewed = labels.groupBy("candidate").agg(F.max((F.col("label") != 0).cast("double")).alias("label"))
         labelled = featured.join(reviewed, "candidate", "left")
-    labelled = cut_lineage(labelled)
-    forest = fit(labelled)
-    if forest is None:
-        scored = labelled.withColumn("score", F.coalesce("label", F.lit(0.0)))
-    else:
-        scored = forest.transform(labelled)
+    labelled = cut_lineage(labelled.withColumn("fold", F.pmod(F.xxhash64(F.lit("fold"), "candidate"), F.lit(FOLDS))))
+    forests = [fit(labelled.where(F.col("fold") != f)) for f in range(FOLDS)]
+    columns = ("doc_id", "nth", "candidate", "label", "score")
+    scored = None
+    for f, forest in enumerate(forests):
+        own = labelled.where(F.col("fold") == f)
+        part = (forest.transform(own) if forest else own.withColumn("score", F.coalesce("label", F.lit(0.0)))).select(*columns)
+        scored = part if scored is None else scored.unionByName(part)
     return scored.select("doc_id", "nth", "candidate", "label", "score", (F.col("score") >= threshold).alias("is_secret"))
