@@ -23,11 +23,16 @@ def join_skewed(
     Rows of one key are spread over SALTS parts by a hash of ``salt_on`` (all columns by default; deterministic,
     so a retried task repeats itself) and the small side is repeated for each part.  Unlike the adaptive skew
     join this also works where the result is grouped by the join keys right away.  ``how``: inner or left.
+
+    The parts are joined to the small side rather than exploded from it: an explode keeps the size estimate of one
+    copy, and the copies of a side just below the broadcast threshold would then meet in the driver and in every task.
+    A side that turns out small enough with its copies is still broadcast, by Spark's adaptive planning.
     """
     if how not in ("inner", "left"):
         raise ValueError("how must be inner or left")
     salt = F.pmod(F.xxhash64(*(salt_on or big.columns)), F.lit(SALTS)).cast("int")
-    repeated = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    parts = small.sparkSession.range(0, SALTS, 1, 1).select(F.col("id").cast("int").alias("_salt"))
+    repeated = small.crossJoin(F.broadcast(parts))
     return big.withColumn("_salt", salt).join(repeated, [*keys, "_salt"], how).drop("_salt")
 
 

@@ -172,3 +172,19 @@ def test_skewed_join_equals_plain_join(spark, how):
     assert sorted(map(str, plain.collect())) == sorted(map(str, cut.collect()))
     with pytest.raises(ValueError):
         joins.join_skewed(df, small, ["k"], "full")
+
+
+def test_skewed_join_counts_its_copies(spark, tmp_path):
+    """A side that could be broadcast once, but not SALTS times, is not broadcast."""
+    spark.range(60_000).selectExpr("id AS k", "id % 7 AS tag").write.parquet(str(tmp_path / "small"))
+    spark.range(1000).selectExpr("id AS k", "id AS t").write.parquet(str(tmp_path / "big"))
+    small, big = (spark.read.parquet(str(tmp_path / name)) for name in ("small", "big"))
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(4 << 20))
+    try:
+        joined = joins.join_skewed(big, small, ["k"], "left")
+        assert joined.count() == 1000
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
