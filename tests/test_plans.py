@@ -197,3 +197,19 @@ def test_tracks_are_cut_by_records(rows):
     some = winds.build_tracks(records, launches, fields=("Mass",), first=("Minit",), chunk=100).collect()
     assert sorted(len(r.track.Mass) for r in some) == [100] * 3 and {(r.Minit, r.records) for r in some} == {(7.0, 300)}
     assert winds.build_tracks(records.limit(0), fields=("Mass",)).count() == 0
+
+
+def test_star_table_does_not_broadcast_copies_of_the_lines(spark, tmp_path):
+    """Lines that fit a broadcast once are repeated for the parts of the skewed join, and then do not."""
+    spark.range(60_000).selectExpr("0 AS snapnum", "cast(id + 1 AS int) AS galId", "id AS mainId").write.parquet(str(tmp_path / "main"))
+    stars = spark.createDataFrame([(i, s, i % 3) for i in range(50) for s in (0, 1)], "PId long, snapnum int, galId int")
+    stars.write.parquet(str(tmp_path / "stars"))
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(4 << 20))
+    try:
+        table = galaxies.star_table(spark.read.parquet(str(tmp_path / "stars")), spark.read.parquet(str(tmp_path / "main")))
+        assert {(r.PId, r.snapnum): r.mainId for r in table.collect()} == {(i, s): i % 3 - 1 if i % 3 else None for i in range(50) for s in (0, 1)}
+        plan = table._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
