@@ -24,20 +24,20 @@ BITS = 10
 _SIDES = tuple(f"{c}{side}" for c in AXES for side in ("lo", "hi"))
 
 
-def _spread(number: Column) -> Column:
-    """The bits of a number below 2^BITS with two zeros before each."""
-    out = F.lit(0).cast("long")
-    for b in range(BITS):
-        out = out.bitwiseOR(F.shiftleft(F.shiftright(number, b).bitwiseAND(F.lit(1).cast("long")), 3 * b))
-    return out
+#: The bits of every number below 2^BITS with two zeros before each.
+_SPREAD = [sum((v >> b & 1) << 3 * b for b in range(BITS)) for v in range(1 << BITS)]
 
 
 def cell_number(low: float, high: float) -> Column:
-    """Place on the Morton curve of the grid cell that (x, y, z) lies in; NULL without a position."""
+    """Place on the Morton curve of the grid cell that (x, y, z) lies in; NULL without a position.
+
+    The bits are looked up in a constant: worked out bit by bit they make code too large for Java's compiler.
+    """
     n, key = 1 << BITS, F.lit(0).cast("long")
+    spread = F.split(F.lit(",".join(map(str, _SPREAD))), ",").cast("array<bigint>")
     for k, c in enumerate(AXES):
         at = F.floor((F.col(c).cast("double") - low) / (high - low) * n)
-        key = key.bitwiseOR(F.shiftleft(_spread(F.greatest(F.lit(0), F.least(at, F.lit(n - 1)))), k))
+        key = key.bitwiseOR(F.shiftleft(F.get(spread, F.greatest(F.lit(0), F.least(at, F.lit(n - 1))).cast("int")), k))
     return F.when(F.col("x").isNotNull() & F.col("y").isNotNull() & F.col("z").isNotNull(), key)
 
 
@@ -94,7 +94,7 @@ def build_cells(particles: DataFrame, out: str, low: float, high: float, rows_pe
         .parquet(f"{out}/rows")
     )
     spark = particles.sparkSession
-    rows = spark.read.parquet(f"{out}/rows").withColumn("file", F.regexp_extract(F.col("_metadata.file_path"), r"/rows/(.*)$", 1))
+    rows = spark.read.parquet(f"{out}/rows").withColumn("file", F.substring_index(F.col("_metadata.file_path"), "/rows/", -1))
     extent = [f(c).alias(f"{c}{side}") for c in AXES for f, side in ((F.min, "lo"), (F.max, "hi"))]
     cells = [F.min("cell").alias("first_cell"), F.max("cell").alias("last_cell"), F.count("*").alias("n")]
     save(rows.groupBy("snapnum", "file").agg(*extent, *cells, F.lit(low).alias("low"), F.lit(high).alias("high")), f"{out}/files")

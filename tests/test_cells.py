@@ -70,6 +70,17 @@ def test_extracts_are_kept(stored, tmp_path):
         progenitors.halo_extract(gas, halos, 8, 1, str(tmp_path / "kept"))
 
 
+def test_cell_numbers_are_short_code(spark):
+    """Each place is worked out once: bit by bit, the code was too large for Java's compiler."""
+    rng = random.Random(3)
+    data = [tuple(rng.uniform(-20, 120) for _ in range(3)) for _ in range(200)] + [(None, 1.0, 1.0), (0.0, 100.0, 50.0)]
+    df = spark.createDataFrame(data, "x double, y double, z double").withColumn("cell", cells.cell_number(0.0, 100.0))
+    for x, y, z, cell in df.collect():
+        at = None if x is None else [max(0, min(1023, int(v / 100.0 * 1024 // 1))) for v in (x, y, z)]
+        assert cell == (None if at is None else sum((v >> b & 1) << 3 * b + k for k, v in enumerate(at) for b in range(cells.BITS)))
+    assert df._jdf.queryExecution().optimizedPlan().toString().upper().count("FLOOR(") == 3
+
+
 def test_ranges_cover_the_box():
     rng = random.Random(2)
     for _ in range(30):
