@@ -21,6 +21,8 @@ from .store import load, save
 AXES = ("x", "y", "z")
 #: Bits of a cell's number along an axis: the curve has 2^(3 * BITS) cells.
 BITS = 10
+#: Files of a table, about: the index and the lists of chosen files, which the driver holds, do not grow beyond that.
+FILES = 10_000
 _SIDES = tuple(f"{c}{side}" for c in AXES for side in ("lo", "hi"))
 
 
@@ -80,8 +82,12 @@ def curve_ranges(low: list[int], high: list[int], most: int = 64) -> list[tuple[
 
 
 def build_cells(particles: DataFrame, out: str, low: float, high: float, rows_per_file: int = 4_000_000) -> Cells:
-    """Store particles (snapnum, x, y, z, ...) of a box from ``low`` to ``high`` along every axis, by place."""
+    """Store particles (snapnum, x, y, z, ...) of a box from ``low`` to ``high`` along every axis, by place.
+
+    A file has ``rows_per_file`` rows; where that would make more than FILES files, each has its share of all rows.
+    """
     order = ["snapnum", "cell"]
+    most = max(rows_per_file, -(-particles.count() // FILES))
     # a cell may hold very many particles: a hash of the row deals them over ranges
     placed = particles.withColumn("cell", cell_number(low, high)).withColumn("_tie", F.xxhash64(*particles.columns))
     (
@@ -89,7 +95,7 @@ def build_cells(particles: DataFrame, out: str, low: float, high: float, rows_pe
         .sortWithinPartitions(*order)
         .drop("_tie")
         .write.mode("overwrite")
-        .option("maxRecordsPerFile", rows_per_file)
+        .option("maxRecordsPerFile", most)
         .partitionBy("snapnum")
         .parquet(f"{out}/rows")
     )

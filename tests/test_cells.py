@@ -81,6 +81,17 @@ def test_cell_numbers_are_short_code(spark):
     assert df._jdf.queryExecution().optimizedPlan().toString().upper().count("FLOOR(") == 3
 
 
+def test_files_are_bounded(stored, tmp_path, monkeypatch):
+    """A table of many files gets larger ones, not ever more of them."""
+    df, where = stored
+    monkeypatch.setattr(cells, "FILES", 10, raising=False)
+    few = cells.build_cells(df, str(tmp_path / "few"), 0.0, 100.0, rows_per_file=100)
+    assert len(few.spark.read.parquet(f"{few.path}/rows").inputFiles()) < 30
+    for limits in (_limits((41, 41, 41), (44, 44, 44)), _limits((0, 0, 0), (100, 100, 100))):
+        assert sorted(few.in_cube(1, limits).collect()) == sorted(where.in_cube(1, limits).collect())
+    assert few.of_halo(1, 7).count() == where.of_halo(1, 7).count()
+
+
 def test_ranges_cover_the_box():
     rng = random.Random(2)
     for _ in range(30):
