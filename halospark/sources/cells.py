@@ -103,9 +103,13 @@ def build_cells(particles: DataFrame, out: str, low: float, high: float, rows_pe
     rows = spark.read.parquet(f"{out}/rows").withColumn("file", F.substring_index(F.col("_metadata.file_path"), "/rows/", -1))
     extent = [f(c).alias(f"{c}{side}") for c in AXES for f, side in ((F.min, "lo"), (F.max, "hi"))]
     cells = [F.min("cell").alias("first_cell"), F.max("cell").alias("last_cell"), F.count("*").alias("n")]
-    save(rows.groupBy("snapnum", "file").agg(*extent, *cells, F.lit(low).alias("low"), F.lit(high).alias("high")), f"{out}/files")
+    index = rows.groupBy("snapnum", "file").agg(*extent, *cells, F.lit(low).alias("low"), F.lit(high).alias("high"))
+    save(index.withColumn("number", F.monotonically_increasing_id()), f"{out}/files")
     if "haloId" in particles.columns:
-        save(rows.where("haloId <> 0").groupBy("snapnum", "haloId", "file").agg(F.count("*").alias("n")), f"{out}/halos", sort_by=["snapnum", "haloId"])
+        # a halo's files by number: names would make most of a row; the index, of about FILES rows, can be broadcast
+        numbers = F.broadcast(load(spark, f"{out}/files").select("file", "number"))
+        members = rows.where("haloId <> 0").select("snapnum", "haloId", "file").join(numbers, "file")
+        save(members.groupBy("snapnum", "haloId", "number").agg(F.count("*").alias("n")), f"{out}/halos", sort_by=["snapnum", "haloId"])
     return Cells(spark, out)
 
 
@@ -165,4 +169,7 @@ class Cells:
     def of_halo(self, snapnum: int, halo_id: int) -> DataFrame:
         """Members of one halo, from the files that hold some."""
         here = (F.col("snapnum") == snapnum) & (F.col("haloId") == halo_id)
-        return self._read(load(self.spark, f"{self.path}/halos").where(here)).where(here).drop("cell")
+        held = load(self.spark, f"{self.path}/halos").where(here)
+        if "file" not in held.columns:  # tables stored before the files had numbers name them
+            held = load(self.spark, f"{self.path}/files").select("file", "number").join(held.select("number"), "number")
+        return self._read(held).where(here).drop("cell")

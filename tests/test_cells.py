@@ -92,6 +92,28 @@ def test_files_are_bounded(stored, tmp_path, monkeypatch):
     assert few.of_halo(1, 7).count() == where.of_halo(1, 7).count()
 
 
+def test_halo_index_holds_numbers_of_files(stored):
+    """File names, twenty times as long as a number, are neither grouped nor stored for every halo and file."""
+    df, where = stored
+    halos = where.spark.read.parquet(f"{where.path}/halos")
+    files = where.spark.read.parquet(f"{where.path}/files")
+    assert [kind for _, kind in halos.dtypes if kind == "string"] == []
+    rows = where.spark.read.parquet(f"{where.path}/rows").withColumn("file", F.substring_index(F.col("_metadata.file_path"), "/rows/", -1))
+    want = rows.where("haloId <> 0").groupBy("snapnum", "haloId", "file").count()
+    got = halos.join(files.select("number", "file"), "number").select("snapnum", "haloId", "file", "n")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert files.select("number").distinct().count() == files.count() == files.select("file").distinct().count()
+
+
+def test_halo_index_with_names_is_still_read(stored, tmp_path):
+    df, where = stored
+    halos, files = (where.spark.read.parquet(f"{where.path}/{name}") for name in ("halos", "files"))
+    old = cells.Cells(where.spark, str(tmp_path / "old"))
+    halos.join(files.select("number", "file"), "number").drop("number").write.parquet(f"{old.path}/halos")
+    (tmp_path / "old" / "rows").symlink_to(f"{where.path}/rows")
+    assert sorted(old.of_halo(1, 7).select("PId").collect()) == sorted(where.of_halo(1, 7).select("PId").collect()) != []
+
+
 def test_ranges_cover_the_box():
     rng = random.Random(2)
     for _ in range(30):
