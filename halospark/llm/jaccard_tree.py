@@ -4,8 +4,12 @@
    shingles fall into the cells of a sketch of fixed size; the summed sketch, on a logarithmic scale, is broadcast.
 2. Sets that can be similar are brought together without loss: in any fixed order of all shingles, two sets with
    Jaccard similarity t share a shingle among the first n - ceil(t * n) + 1 of each.  The order is by sketch cell,
-   rarest first, so passages that many documents share hardly come up.  Equal sets of a batch are folded first, keys
-   travel as packed arrays, and each bucket of keys returns a forest of edges, never pairs.
+   rarest first, so passages that many documents share hardly come up.  Equal sets of a batch are folded first, and keys
+   travel as packed arrays with their place in the order.  In a large corpus unrelated documents share a key by chance,
+   and chains of those would make one group of all.  So the documents of a key that up to FEW share are met as pairs: a
+   pair goes on if the key can be its first common shingle with enough shingles behind it, and is an edge if the
+   profiles of the two sets (shingles counted in hashed parts) differ by no more than similar sets can.  The documents of
+   a key that more share are chained; a bucket returns a forest of those.
 3. The connected groups of that candidate graph are joined by signature trees.  A leaf is one set as a bitmap of
    hashed tokens with its size; an inner node ORs the bitmaps of its children and keeps their range of sizes and
    the largest number of tokens that share bits in one leaf.  Two subtrees are walked together and left as soon as the
@@ -32,13 +36,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from halospark.operators.lineage import cut_and_count, cut_lineage
 from halospark.operators.ordered import running_total
 
-from .common import as_list, free_prefix, packed, pieces, shuffle_parts, split_words
+from .common import as_list, free_prefix, packed, pieces, shuffle_parts, split_words, spread
 
 #: Sets per block and children per node of a signature tree.
 BLOCK, FANOUT = 512, 8
@@ -52,6 +57,10 @@ PAIR_BYTES = 16 << 20
 TILE, TILE_SHINGLES = 64, 1 << 16
 #: Sum of bytes of the sets that one small-group task holds.
 GROUP_BYTES = 32 << 20
+#: Documents of a key that are met as pairs.
+FEW = 16
+#: A profile has a part (one byte) for each SHINGLES_PER_PART shingles, in steps of two and within these bounds.
+SHINGLES_PER_PART, LEAST_PARTS, MOST_PARTS = 8, 32, 4096
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _S1, _S2, _S3 = np.uint64(30), np.uint64(27), np.uint64(31)
@@ -68,7 +77,6 @@ def scramble(x: np.ndarray) -> np.ndarray:
 
 def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of every text."""
-    import pyarrow.compute as pc
     import xxhash
 
     counts, flat = split_words(pc.ascii_lower(texts))
@@ -124,6 +132,56 @@ def prefix(s: np.ndarray, rarity: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate([below, s[level == bound][: keep - len(below)]])  # s is sorted by hash
 
 
+def in_order(kept: np.ndarray, rarity: np.ndarray) -> np.ndarray:
+    """A prefix in the order of all shingles: (sketch level, hash)."""
+    return kept[np.lexsort((kept, rarity[cells(kept)]))]
+
+
+def least_overlap(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    """The fewest shingles that similar sets of sizes n and m have in common."""
+    return -(-percent * (n + m) // (100 + percent))
+
+
+def profile(s: np.ndarray) -> bytes:
+    """Size of a set, and its shingles counted in hashed parts, modulo 256."""
+    parts = min(MOST_PARTS, max(LEAST_PARTS, 1 << (len(s) // SHINGLES_PER_PART).bit_length()))
+    count = np.bincount((s & np.uint64(parts - 1)).astype(np.int64), minlength=parts)
+    return packed(np.array([len(s)], "<u4")) + packed(count.astype(np.uint8))
+
+
+def _matrix(rows: pa.Array, width: int) -> np.ndarray:
+    """Binary values of one length as rows of bytes."""
+    data = b"".join(x.as_buffer() for x in rows)
+    return np.frombuffer(data, np.uint8).reshape(len(rows), width)
+
+
+def can_be_similar(left: pa.Array, right: pa.Array, percent: int) -> np.ndarray:
+    """Whether sets with these profiles can be similar; true where one is missing.
+
+    The parts' counts differ by at least their distance modulo 256, and the sum of that is no more than the shingles that
+    only one of the two sets has.
+    """
+    out = np.ones(len(left), bool)
+    known = pc.and_(pc.is_valid(left), pc.is_valid(right)).to_numpy(zero_copy_only=False)
+    widths = [pc.fill_null(pc.binary_length(x), 0).to_numpy(zero_copy_only=False).astype(np.int64) for x in (left, right)]
+    for key in np.unique((widths[0] << 32 | widths[1])[known]).tolist():
+        a, b = key >> 32, key & (1 << 32) - 1
+        every = np.flatnonzero(known & (widths[0] == a) & (widths[1] == b))
+        step = max(1, PAIR_BYTES // max(a, b))
+        for k in range(0, len(every), step):
+            own = pa.array(every[k : k + step])
+            x, y = _matrix(left.take(own), a), _matrix(right.take(own), b)
+            n, m = (np.ascontiguousarray(z[:, :4]).view("<u4")[:, 0].astype(np.int64) for z in (x, y))
+            x, y = x[:, 4:], y[:, 4:]
+            while x.shape[1] > y.shape[1]:
+                x = x[:, : x.shape[1] // 2] + x[:, x.shape[1] // 2 :]
+            while y.shape[1] > x.shape[1]:
+                y = y[:, : y.shape[1] // 2] + y[:, y.shape[1] // 2 :]
+            apart = np.minimum(x - y, y - x).sum(axis=1, dtype=np.int64)
+            out[every[k : k + step]] = apart <= n + m - 2 * least_overlap(n, m, percent)
+    return out
+
+
 def size_level(n: int, percent: int) -> int:
     """Sizes of similar sets are at most nine levels apart; with percent = 100 they are equal, and so a level each."""
     return int(8 * math.log(n) / math.log(100 / percent)) if percent < 100 else min(10 * n, 65535)
@@ -323,17 +381,15 @@ def _bits(sets: list[np.ndarray]) -> int:
 
 
 # -- the join ------------------------------------------------------------------------------------------------------
-DESCRIBED = "doc_id bigint, n_shingles bigint, h1 bigint, h2 bigint, slice int, dense boolean, cells binary, counts binary"
+DESCRIBED = "doc_id bigint, n_shingles bigint, h1 bigint, h2 bigint, profile binary, slice int, counts binary"
 
 
 def described(docs: DataFrame, width: int) -> DataFrame:
-    """Rows (doc_id, n_shingles, h1, h2): size and hash of every document's set; and slices of each task's sketch.
-
-    A slice is dense (a byte per cell, at most 255 counted in a task) or, where that is shorter, a list of cells.
-    """
+    """Rows (doc_id, n_shingles, h1, h2, profile): size, hash and profile of every document's set; and slices of each
+    task's sketch: a byte per cell, at most 255 counted in a task, compressed."""
     per_slice = 1 << (SKETCH_BITS - 6)
-    types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary(), pa.binary())
-    names = ["doc_id", "n_shingles", "h1", "h2", "slice", "dense", "cells", "counts"]
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary())
+    names = ["doc_id", "n_shingles", "h1", "h2", "profile", "slice", "counts"]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(1 << SKETCH_BITS, np.uint8)
@@ -343,36 +399,31 @@ def described(docs: DataFrame, width: int) -> DataFrame:
                 hashes = np.array([set_hash(s) for s in sets], np.int64).reshape(-1, 2)
                 cell, n = np.unique(cells(np.concatenate(sets)), return_counts=True)
                 sketch[cell] = np.minimum(255, sketch[cell] + np.minimum(n, 255))
-                none = [pa.nulls(len(sets), t) for t in types[4:]]
                 own = [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(hashes[:, 0]), pa.array(hashes[:, 1])]
-                yield pa.RecordBatch.from_arrays([*own, *none], names=names)
+                own += [pa.array([profile(s) if len(s) else None for s in sets], pa.binary()), *(pa.nulls(len(sets), t) for t in types[5:])]
+                yield pa.RecordBatch.from_arrays(own, names=names)
         for k in range(SLICES):
             counts = sketch[k * per_slice : (k + 1) * per_slice]
-            used = np.flatnonzero(counts).astype("<u4")
-            if len(used):
-                dense = 5 * len(used) > per_slice
-                row = [None] * 4 + [k, dense, None if dense else packed(used), packed(counts if dense else counts[used])]
+            if counts.any():
+                row = [None] * 5 + [k, pa.compress(packed(counts), "zstd", asbytes=True)]
                 yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types)], names=names)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(task, DESCRIBED)
 
 
 def _sum_slice(key: tuple, rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(1 << (SKETCH_BITS - 6), np.int64)
+    per_slice = 1 << (SKETCH_BITS - 6)
+    total = np.zeros(per_slice, np.int64)
     for batch in rows:
-        for r in batch.to_pylist():
-            counts = np.frombuffer(r["counts"], np.uint8)
-            if r["dense"]:
-                total += counts
-            else:
-                total[np.frombuffer(r["cells"], "<u4")] += counts
+        for counts in batch.column("counts").to_pylist():
+            total += np.frombuffer(pa.decompress(counts, per_slice, "zstd"), np.uint8)
     level = np.minimum(255, 4 * np.log2(1 + total)).astype(np.uint8)
     yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([packed(level)], pa.binary())], names=["slice", "levels"])
 
 
 def rarity_levels(table: DataFrame) -> bytes:
     """The summed sketch, 2^SKETCH_BITS bytes: the only thing the driver receives, of fixed size."""
-    parts = table.where("slice is not null").select("slice", "dense", "cells", "counts")
+    parts = table.where("slice is not null").select("slice", "counts")
     summed = parts.groupBy("slice").applyInArrow(_sum_slice, "slice int, levels binary").collect()
     levels = np.zeros((SLICES, 1 << (SKETCH_BITS - 6)), np.uint8)
     for row in summed:
@@ -380,8 +431,23 @@ def rarity_levels(table: DataFrame) -> bytes:
     return levels.tobytes()
 
 
+#: Of every key: 32 bits of it (the bucket gives more), the shingle before it in the order (0: none), its document, the size
+#: of the set, and its place.
+KEYS = "bucket int, keys binary, before binary, docs binary, sizes binary, places binary"
+
+
+def _narrow(x: np.ndarray) -> bytes:
+    """Whole numbers in as few bytes each as the largest needs; eight where one is negative."""
+    kind = "<i8" if x.min(initial=0) < 0 else next(t for t in ("u1", "<u2", "<u4", "<i8") if x.max(initial=0) <= np.iinfo(t).max)
+    return packed(x.astype(kind))
+
+
+def _wide(data: pa.Buffer, n: int) -> np.ndarray:
+    return np.frombuffer(data, {1: "u1", 2: "<u2", 4: "<u4", 8: "<i8"}[data.size // n]).astype(np.int64)
+
+
 def packed_keys(docs: DataFrame, width: int, percent: int, rarity: bytes, buckets: int) -> DataFrame:
-    """(bucket, keys, docs, levels): prefixes of a batch's sets as packed arrays, equal sets of a batch once."""
+    """Prefixes of a batch's sets as packed arrays (see KEYS), equal sets of a batch once."""
     sent = docs.sparkSession.sparkContext.broadcast(rarity)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -389,58 +455,107 @@ def packed_keys(docs: DataFrame, width: int, percent: int, rarity: bytes, bucket
         for batch in batches:
             folded: set[tuple[int, int]] = set()
             for part in pieces(batch, "text", PIECE_BYTES):
-                keys, owner, sizes = [], [], []
+                keys, before, owner, sizes = [], [], [], []
                 for doc, s in zip(part.column("doc_id").to_pylist(), shingle_sets(part.column("text").fill_null(""), width)):
                     h = set_hash(s)
                     if doc is None or not len(s) or h in folded:
                         continue
                     folded.add(h)
-                    keys.append(prefix(s, level, percent))
+                    keys.append(in_order(prefix(s, level, percent), level))
+                    before.append(np.concatenate([np.zeros(1, np.uint64), keys[-1][:-1]]))
                     owner.append(doc)
-                    sizes.append(size_level(len(s), percent))
+                    sizes.append(len(s))
                 if not keys:
                     continue
-                n = [len(k) for k in keys]
-                key, doc, size = np.concatenate(keys), np.repeat(np.array(owner, "<i8"), n), np.repeat(np.array(sizes, "<u2"), n)
-                bucket = (scramble(key) % np.uint64(buckets)).astype(np.int64)
+                n = np.array([len(k) for k in keys])
+                key, last = scramble(np.concatenate(keys)), np.concatenate(before)
+                doc, size, place = np.repeat(np.array(owner, np.int64), n), np.repeat(np.array(sizes, np.int64), n), spread(n)
+                bucket = (key % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
-                key, doc, size, ends = key[order], doc[order], size[order], np.cumsum(np.bincount(bucket, minlength=buckets))
+                key, last, doc, size, place = (key >> np.uint64(32)).astype("<u4")[order], last[order], doc[order], size[order], place[order]
+                ends = np.cumsum(np.bincount(bucket, minlength=buckets))
                 rows = [(b, int(s), int(e)) for b, (s, e) in enumerate(zip([0, *ends[:-1]], ends)) if e > s]
-                data = [pa.array([packed(x[s:e]) for _, s, e in rows], pa.binary()) for x in (key, doc, size)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([b for b, _, _ in rows], pa.int32()), *data], names=["bucket", "keys", "docs", "levels"]
-                )
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(task, "bucket int, keys binary, docs binary, levels binary")
-
-
-def _joined(column: pa.ChunkedArray, kind: str) -> np.ndarray:
-    return np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in column] or [np.zeros(0, kind)])
+                data = [[packed(key[s:e]), packed(last[s:e]), _narrow(np.diff(doc[s:e], prepend=0)), _narrow(size[s:e]), _narrow(place[s:e])] for _, s, e in rows]
+                columns = [pa.array([b for b, _, _ in rows], pa.int32()), *(pa.array(c, pa.binary()) for c in zip(*data))]
+                yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in KEYS.split(", ")])
 
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(task, KEYS)
 
-def _bucket_edges(bucket: pa.Table) -> pa.Table:
-    """A forest of edges (a, b) over the documents of equal keys.
 
-    The documents of a key are chained by size; a gap that no similar pair can cross ends the chain.
-    """
-    key, doc, level = (_joined(bucket.column(c), t) for c, t in (("keys", "<u8"), ("docs", "<i8"), ("levels", "<u2")))
-    order = np.lexsort((level, key))
-    key, doc, level = key[order], doc[order], level[order].astype(np.int64)
-    again = np.flatnonzero((key[1:] == key[:-1]) & (level[1:] - level[:-1] <= 9) & (doc[1:] != doc[:-1]))
-    pair = np.unique(np.sort(np.stack([doc[again], doc[again + 1]], axis=1), axis=1), axis=0)
+def _forest_edges(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (a, b) of a forest that connects what the pairs connect."""
+    pair = np.unique(np.sort(np.stack([x, y], axis=1), axis=1), axis=0)
     names, index = np.unique(pair, return_inverse=True)
     forest = Forest(len(names))
-    for x, y in index.reshape(-1, 2).tolist():
-        forest.union(x, y)
+    for i, j in index.reshape(-1, 2).tolist():
+        forest.union(i, j)
     roots = forest.roots()
     real = roots != np.arange(len(names))
-    return pa.table({"a": pa.array(names[real], pa.int64()), "b": pa.array(names[roots[real]], pa.int64())})
+    return names[real], names[roots[real]]
+
+
+def _bucket_pairs(percent: int):
+    """Pairs (a, b) of documents of equal keys; ``sure`` are edges as they are, the others wait for their profiles.
+
+    The documents of a key are ordered by size; a gap that no similar pair can cross ends the group.
+    """
+
+    def task(bucket: pa.Table) -> pa.Table:
+        key, last = (np.concatenate([np.frombuffer(x.as_buffer(), t) for x in bucket.column(c)]) for c, t in (("keys", "<u4"), ("before", "<u8")))
+        rows = {c: [x.as_buffer() for x in bucket.column(c)] for c in ("docs", "sizes", "places")}
+        n = [x.as_buffer().size // 4 for x in bucket.column("keys")]
+        doc = np.concatenate([np.cumsum(_wide(x, k)) for x, k in zip(rows["docs"], n)])
+        size, place = (np.concatenate([_wide(x, k) for x, k in zip(rows[c], n)]) for c in ("sizes", "places"))
+        order = np.lexsort((size, key))
+        key, last, doc, size, place = key[order], last[order], doc[order], size[order], place[order]
+        sizes, at = np.unique(size, return_inverse=True)
+        level = np.array([size_level(x, percent) for x in sizes.tolist()], np.int64)[at]
+        starts = np.concatenate([[True], (key[1:] != key[:-1]) | (level[1:] - level[:-1] > 9)])
+        group = np.cumsum(starts) - 1
+        members = np.bincount(group)[group]
+        again = np.flatnonzero(~starts[1:] & (members[1:] > FEW) & (doc[1:] != doc[:-1]))
+        a, b = _forest_edges(doc[again], doc[again + 1])
+        some = np.flatnonzero((members > 1) & (members <= FEW))
+        left, right = [a[:0]], [b[:0]]
+        for k in range(1, FEW):
+            i, j = some[:-k], some[k:]
+            own = (group[i] == group[j]) & (doc[i] != doc[j]) & (100 * size[i] >= percent * size[j])
+            i, j = i[own], j[own]
+            # their first common shingle has no common one before it, and enough to come
+            first = (last[i] != last[j]) | (last[i] == 0)
+            room = np.minimum(size[i] - place[i], size[j] - place[j]) >= least_overlap(size[i], size[j], percent)
+            i, j = i[first & room], j[first & room]
+            left.append(np.minimum(doc[i], doc[j]))
+            right.append(np.maximum(doc[i], doc[j]))
+        pair = np.unique(np.stack([np.concatenate(left), np.concatenate(right)], axis=1), axis=0)
+        sure = np.arange(len(a) + len(pair)) < len(a)
+        return pa.table({"a": np.concatenate([a, pair[:, 0]]), "b": np.concatenate([b, pair[:, 1]]), "sure": sure})
+
+    return task
+
+
+def likely(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose profiles can be those of similar sets; a doc_id with several sets passes."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = pa.array(can_be_similar(batch.column("left"), batch.column("right"), percent))
+            yield batch.select(["a", "b"]).filter(ok)
+
+    own = known.where("profile is not null and doc_id is not null").groupBy("doc_id").agg(F.min("profile").alias("low"), F.max("profile").alias("high"))
+    own = own.select("doc_id", F.when(F.col("low") == F.col("high"), F.col("low")).alias("profile"))
+    # profiles grow with the input: never broadcast
+    side = lambda of, name: own.select(F.col("doc_id").alias(of), F.col("profile").alias(name)).hint("merge")
+    both = pairs.join(side("a", "left"), "a").join(side("b", "right"), "b")
+    return both.select("a", "b", "left", "right").mapInArrow(task, "a bigint, b bigint")
 
 
-def candidate_groups(docs: DataFrame, width: int, percent: int, rarity: bytes) -> DataFrame:
-    """(node, component): the documents that share keys with others, and their group."""
+def candidate_groups(docs: DataFrame, known: DataFrame, width: int, percent: int, rarity: bytes) -> DataFrame:
+    """(node, component): the documents that can be similar to others, and their group; ``known`` are the described sets."""
     keys = packed_keys(docs, width, percent, rarity, shuffle_parts(docs.sparkSession))
-    return components(cut_lineage(keys.groupBy("bucket").applyInArrow(_bucket_edges, "a bigint, b bigint")))
+    pairs = cut_lineage(keys.groupBy("bucket").applyInArrow(_bucket_pairs(percent), "a bigint, b bigint, sure boolean"))
+    met = likely(pairs.where("not sure").select("a", "b").distinct(), known, percent)
+    return components(pairs.where("sure").select("a", "b").unionByName(met))
 
 
 def _one_join(
@@ -545,7 +660,7 @@ def linked(docs: DataFrame, width: int = 5, percent: int = 80, counted: bool = F
     same = ["n_shingles", "h1", "h2"]
     filled = sets.where("n_shingles > 0 and doc_id is not null")
     heads = cut_lineage(filled.groupBy(*same).agg(F.min("doc_id").alias("head"), F.count("*").alias("copies")))
-    groups = candidate_groups(docs, width, percent, rarity_levels(known))
+    groups = candidate_groups(docs, known, width, percent, rarity_levels(known))
     # a key's owner need not be the smallest of its equals: go over to heads
     member = (
         sets.join(groups, F.col("doc_id") == F.col("node"))

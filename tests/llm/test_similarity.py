@@ -178,6 +178,46 @@ def test_prefixes_of_similar_sets_meet():
             assert abs(jaccard_tree.size_level(len(s), percent) - jaccard_tree.size_level(len(r), percent)) <= 9
 
 
+def test_chance_shingles_make_no_candidate_groups(rows, monkeypatch):
+    """Where the order of shingles knows nothing (a full sketch), single common shingles do not chain documents."""
+    monkeypatch.setattr(jaccard_tree, "rarity_levels", lambda known: bytes(1 << jaccard_tree.SKETCH_BITS))
+    members = []
+    monkeypatch.setattr(jaccard_tree, "placements", lambda member, *a, f=jaccard_tree.placements: members.append(member) or f(member, *a))
+    own = lambda k, n=100: [f"w{k}x{i}" for i in range(n)]
+    # each document has passages in common with the next ones: short of similar, but all would make one group
+    docs = [(k, " ".join([*own(k), *(x for j in range(k, k + 4) for x in (*own(f"p{j}", 10), f"end{k}"))])) for k in range(150)]
+    near = [(1000 + k, " ".join(own(f"n{k // 3}", 300)[k % 3 :])) for k in range(30)]
+    found = {r.doc_id: r.component_id for r in jaccard_tree.linked(rows("doc_id long, text string", docs + near).repartition(3), 5, 80).collect()}
+    assert found == {**{k: k for k, _ in docs}, **{1000 + k: 1000 + k - k % 3 for k in range(30)}}
+    assert {r.node for r in members[0].collect()} == {k for k, _ in near}
+
+
+def test_profiles_and_places_never_lose_a_pair():
+    rng = np.random.default_rng(8)
+    level = rng.integers(0, 3, 1 << jaccard_tree.SKETCH_BITS).astype(np.uint8)
+    far = 0
+    for n in (1, 2, 9, 40, 250, 300, 3000):
+        for percent in (80, 90, 100):
+            s = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+            both = -(-percent * n // 100)
+            r = np.sort(rng.permutation(s)[:both])
+            # half of the room for other shingles is on the other side
+            if percent < 100 and n > 20:
+                half = (n - both) // 3
+                r = np.unique(np.concatenate([rng.permutation(s)[: n - half], rng.integers(0, 1 << 63, half).astype(np.uint64)]))
+            common = len(np.intersect1d(s, r))
+            assert 100 * common >= percent * (len(s) + len(r) - common)
+            other = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+            p = [pa.array([jaccard_tree.profile(x)], pa.binary()) for x in (s, r, other)]
+            assert jaccard_tree.can_be_similar(p[0], p[1], percent).all() and jaccard_tree.can_be_similar(p[0], pa.nulls(1, pa.binary()), percent).all()
+            far += not jaccard_tree.can_be_similar(p[0], p[2], percent).any()
+            a, b = (jaccard_tree.in_order(jaccard_tree.prefix(x, level, percent), level).tolist() for x in (s, r))
+            first = next(x for x in a if x in b)
+            assert min(len(s) - a.index(first), len(r) - b.index(first)) >= jaccard_tree.least_overlap(len(s), len(r), percent)
+            assert not {*a[: a.index(first)]} & {*b[: b.index(first)]}
+    assert far >= 12
+
+
 def test_components(rows):
     edges = [(1, 2), (2, 3), (7, 3), (10, 11), (11, 11), (2, 1), *((i, i + 1) for i in range(100, 160)), *((500, 501 + i) for i in range(40))]
     got = {r.node: r.component for r in jaccard_tree.components(rows("a long, b long", edges)).collect()}
