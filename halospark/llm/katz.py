@@ -10,7 +10,8 @@ How it runs.  Words are 64-bit hashes; tasks hand on packed arrays, never a row
 2. Bigrams: each piece of a task sorts its bigrams, counts them, and sends each bucket of contexts its part together
    with the documents they stand in.  A context that fills more than a bucket's share is dealt over as many buckets.
 3. Each bucket asks the unigram table for the counts of its distinct words (once each), and evaluates its tokens: what
-   needs no total of the whole corpus is summed per document at once.  Backoff weights need the Good-Turing discounts
+   needs no total of the whole corpus is summed per document at once, and the sums of a document are added up by bucket of
+   documents before anything is written.  A bucket holds the documents it has tokens of, no others.  Backoff weights need the Good-Turing discounts
    of all bigrams, so contexts with unseen bigrams are written with their sums: the context table, by bucket.
 4. With the discounts known, the context table gives alpha(h), and the parts of every document are added up.
 
@@ -245,17 +246,17 @@ def bigram_rows(docs: DataFrame, buckets: int, heavy: dict[int, int], least: flo
                 bucket = (bucket % np.uint64(buckets)).astype(np.int64)
                 order, cuts = cut_by(bucket, buckets)
                 h, w, n, begin = h[order], w[order], n[order], first[order]
-                # ids as steps and flags as bits: every bucket gets them
-                ids = np.diff(t.doc_id.fill_null(0).to_numpy(), prepend=0).astype("<i8")
-                flags = [np.packbits(x) for x in (t.doc_id.is_valid().to_numpy(zero_copy_only=False), t.held)]
-                known = [packed(x) for x in (ids, flags[0], t.version.astype("<u4"), flags[1])]
+                # a bucket gets the documents that it has tokens of, ids as steps and flags as bits
+                ids, has_id, version = t.doc_id.fill_null(0).to_numpy(), t.doc_id.is_valid().to_numpy(zero_copy_only=False), t.version.astype("<u4")
                 for b, s, e in cuts:
                     new = np.flatnonzero(np.concatenate([[True], h[s + 1 : e] != h[s : e - 1]]))
                     total = int(n[s:e].sum())
                     where = np.repeat(begin[s:e] - np.concatenate([[0], np.cumsum(n[s:e])[:-1]]), n[s:e]) + np.arange(total)
                     words, which = np.unique(w[s:e], return_inverse=True)
                     which = which.astype("<u2" if len(words) <= 1 << 16 else "<u4")
-                    row = (b, packed(h[s:e][new]), packed(np.diff(np.append(new, e - s)).astype("<u4")), packed(words), packed(which), packed(n[s:e].astype("<u4")), packed(doc[where]), *known)
+                    there, number = np.unique(doc[where], return_inverse=True)
+                    known = [np.diff(ids[there], prepend=0).astype("<i8"), np.packbits(has_id[there]), version[there], np.packbits(t.held[there])]
+                    row = (b, packed(h[s:e][new]), packed(np.diff(np.append(new, e - s)).astype("<u4")), packed(words), packed(which), packed(n[s:e].astype("<u4")), packed(number.astype("<u2")), *map(packed, known))
                     yield _rows(_BIGRAM_NAMES, [pa.int32(), *[pa.binary()] * 10], [row])
                 give_back()
 
@@ -336,22 +337,26 @@ _EVALUATED_TYPES = [pa.int32(), pa.int32(), *[pa.binary()] * 8, pa.list_(pa.int6
 N_SUMS = 5 + LARGEST
 
 
-def _pack_sums(sums: np.ndarray) -> bytes:
-    """Rows of sums by column: the two scores as they are, counts in as many bytes as the largest needs."""
-    out = [len(sums).to_bytes(4, "little")]
-    for k in range(N_SUMS):
-        column = sums[:, k]
+def no_sums(n: int) -> list[np.ndarray]:
+    """The columns of ``sums`` for n documents: scores, and counts in four bytes."""
+    return [np.zeros(n, np.float64 if k in (2, 3) else np.uint32) for k in range(N_SUMS)]
+
+
+def _pack_sums(sums: list[np.ndarray]) -> bytes:
+    """Sums by column: the two scores as they are, counts in as many bytes as the largest needs."""
+    out = [len(sums[0]).to_bytes(4, "little")]
+    for k, column in enumerate(sums):
         kind = "<f8" if k in (2, 3) else "u1" if column.max(initial=0) < 256 else "<u4"
         out += [b"814"[("<f8", "u1", "<u4").index(kind)].to_bytes(), packed(column.astype(kind))]
     return b"".join(out)
 
 
-def _unpack_sums(data: bytes) -> np.ndarray:
+def _unpack_sums(data: bytes) -> list[np.ndarray]:
     n, at = int.from_bytes(data[:4], "little"), 4
-    sums = np.empty((n, N_SUMS))
-    for k in range(N_SUMS):
+    sums = []
+    for _ in range(N_SUMS):
         kind = np.dtype({b"8": "<f8", b"1": "u1", b"4": "<u4"}[data[at : at + 1]])
-        sums[:, k] = np.frombuffer(data, kind, n, at + 1)
+        sums.append(np.frombuffer(data, kind, n, at + 1))
         at += 1 + n * kind.itemsize
     return sums
 
@@ -366,13 +371,15 @@ def _doc_parts(ids, has_id, versions, held, sums, buckets: int) -> list[tuple]:
         if e > s:
             pick = order[s:e]
             own = [packed(np.diff(ids[pick], prepend=0)), packed(has_id[pick]), packed(versions[pick].astype("<u4")), packed(held[pick])]
-            out.append((0, b, *own, _pack_sums(sums[pick]), None, None, None, None))
+            out.append((0, b, *own, _pack_sums([x[pick] for x in sums]), None, None, None, None))
     return out
 
 
-def _evaluate(buckets: int, unigrams: Unigrams, heavy: np.ndarray):
-    def one_part(b: Bucket, word_count: np.ndarray) -> tuple:
-        """Contexts with their sums, sums of all documents, tokens that wait for a context, and counts of counts."""
+def _evaluate(buckets: int, unigrams: Unigrams, heavy: np.ndarray, heavy_total: np.ndarray):
+    """``heavy_total`` are the training tokens after each heavy context; 0 where they are not known yet."""
+
+    def one_part(b: Bucket, word_count: np.ndarray, own: list[np.ndarray]) -> tuple:
+        """Contexts with their sums, tokens that wait for a context, and counts of counts; adds to the documents' ``own``."""
         p1 = unigrams.p(word_count)[b.word]
         contexts, ctx = np.unique(b.h, return_inverse=True)
         is_heavy = np.isin(contexts, heavy)
@@ -383,17 +390,26 @@ def _evaluate(buckets: int, unigrams: Unigrams, heavy: np.ndarray):
         for r in range(1, LARGEST + 1):
             sums[:, r] = r * np.bincount(ctx[c == r], minlength=n)
         sums[:, 1 + LARGEST] = np.bincount(ctx[seen], p1[seen], minlength=n)
-        # by type: what can be said now; a heavy context's denominator and every alpha are still to come
-        hot = is_heavy[ctx]
+        # by type: what can be said now; every alpha is still to come, and the denominator of a heavy context whose
+        # tokens are not counted yet, or of which no discounted bigram is known here
+        hot, below = is_heavy[ctx], denominators(sums)
+        if len(heavy):
+            total = heavy_total[np.minimum(np.searchsorted(heavy, contexts), len(heavy) - 1)]
+            settled = is_heavy & (total > 0) & (sums[:, 1 : 1 + LARGEST].sum(axis=1) > 0)
+            below = np.where(settled, total, below)
+            now = (~is_heavy | settled)[ctx]
+        else:
+            now = np.ones(len(ctx), bool)
         value = np.where(seen, np.log10(np.maximum(c, 1)), np.log10(p1))
-        value -= np.where(seen & ~hot, np.log10(np.maximum(denominators(sums), 1))[ctx], 0.0)
-        wait = (seen & hot) | (~seen & (hot | (sums[ctx, 0] > 0)))
+        value -= np.where(seen & now, np.log10(np.maximum(below, 1))[ctx], 0.0)
+        wait = (seen & ~now) | (~seen & (hot | (sums[ctx, 0] > 0)))
         per_type = [np.ones(len(c)), word_count[b.word] > 0, np.log10(word_count[b.word] + 1.0), value, b.w == END]
         per_type += [c == r for r in range(1, LARGEST + 1)]
-        document_sums, waiting, base = [], [], 0
+        waiting, base = [], 0
         for types, (doc, size, *known) in zip(b.types, b.pieces):
             docs, of = len(known[0]), np.repeat(types, size)
-            document_sums.append(np.stack([np.bincount(doc, x[of], minlength=docs) for x in per_type], axis=1))
+            for column, x in zip(own, per_type):
+                column[base : base + docs] += np.bincount(doc, x[of], minlength=docs).astype(column.dtype)
             still = wait[of]
             of, pair = of[still], ctx[of[still]] * docs + doc[still]
             names, at = np.unique(pair, return_inverse=True)
@@ -401,7 +417,7 @@ def _evaluate(buckets: int, unigrams: Unigrams, heavy: np.ndarray):
             waiting.append(np.stack([names // docs, names % docs + base, n_seen, n_unseen], axis=1).astype("<u4"))
             base += docs
         counts = np.bincount(np.minimum(c[seen], LARGEST + 2), minlength=LARGEST + 2)[: LARGEST + 2]
-        return contexts, sums, np.concatenate(document_sums), np.concatenate(waiting), counts
+        return contexts, sums, np.concatenate(waiting), counts
 
     def evaluated(rows: pa.Table, answers: pa.Table) -> pa.Table:
         words = np.unique(joined(rows.column("words"), "<u8"))
@@ -410,29 +426,30 @@ def _evaluate(buckets: int, unigrams: Unigrams, heavy: np.ndarray):
         count_of = np.zeros(len(words), np.int64)
         for bucket, s, e in cuts:
             count_of[order[s:e]] = told[bucket]
-        contexts, sums, waiting, own, counts, base = [], [], [], 0, 0, 0
+        contexts, sums, waiting, own, counts, base = [], [], [], None, 0, 0
         for k in range(CONTEXT_PARTS):
             b = Bucket(rows, k, CONTEXT_PARTS)
-            some, their, docs, tokens, seen = one_part(b, count_of[np.searchsorted(words, b.words)])
+            own = own or no_sums(sum(len(piece[2]) for piece in b.pieces))
+            some, their, tokens, seen = one_part(b, count_of[np.searchsorted(words, b.words)], own)
             tokens[:, 0] += base
             base += len(some)
             contexts.append(some)
             sums.append(their)
             waiting.append(tokens)
-            own, counts = own + docs, counts + seen
+            counts = counts + seen
         contexts, sums, waiting = np.concatenate(contexts), np.concatenate(sums), np.concatenate(waiting)
         known = [np.concatenate(x) for x in zip(*(piece[2:] for piece in b.pieces))]
-        used = own[:, 0] > 0
-        out = _doc_parts(*(x[used] for x in known), own[used], buckets)
+        # rows of other kinds go with some bucket of documents
+        out, here = _doc_parts(*known, own, buckets), rows.column("bucket")[0].as_py()
         # the contexts that some token waits for, and those tokens: (context, document, seen, unseen)
         if len(waiting):
             used_ctx, waiting[:, 0] = np.unique(waiting[:, 0], return_inverse=True)
             used_doc, waiting[:, 1] = np.unique(waiting[:, 1], return_inverse=True)
-            out.append((1, 0, *(packed(x[used_doc]) for x in known), None, packed(contexts[used_ctx]), packed(sums[used_ctx]), packed(waiting), None))
+            out.append((1, here, *(packed(x[used_doc]) for x in known), None, packed(contexts[used_ctx]), packed(sums[used_ctx]), packed(waiting), None))
         is_heavy = np.isin(contexts, heavy)
         if is_heavy.any():
-            out.append((2, 0, None, None, None, None, None, packed(contexts[is_heavy]), packed(sums[is_heavy]), None, None))
-        out.append((3, 0, *[None] * 8, counts.tolist()))
+            out.append((2, here, None, None, None, None, None, packed(contexts[is_heavy]), packed(sums[is_heavy]), None, None))
+        out.append((3, here, *[None] * 8, counts.tolist()))
         return _table(_EVALUATED_NAMES, _EVALUATED_TYPES, out)
 
     def task(rows: pa.Table, answers: pa.Table) -> pa.Table:
@@ -443,6 +460,40 @@ def _evaluate(buckets: int, unigrams: Unigrams, heavy: np.ndarray):
     return task
 
 
+# -- the parts of documents, by bucket of documents -------------------------------------------------------------------------
+def _merged(rows: pa.Table) -> tuple:
+    """ids, has_id, versions, held and sums of the documents of kind 0 rows, each once."""
+    ids = np.concatenate([np.cumsum(np.frombuffer(x.as_buffer(), "<i8")) for x in rows.column("ids")] or [np.zeros(0, np.int64)])
+    versions = joined(rows.column("versions"), "<u4").astype(np.uint64)
+    has_id, held = joined(rows.column("has_id"), bool), joined(rows.column("held"), bool)
+    with np.errstate(over="ignore"):
+        name = scramble(ids.view(np.uint64) ^ scramble(versions + has_id))
+    _, first, at = np.unique(name, return_index=True, return_inverse=True)
+    known = [x[first] for x in (ids, has_id, versions, held)]
+    del ids, versions, has_id, held, name
+    total, base = no_sums(len(first)), 0
+    for x in rows.column("sums"):
+        part = _unpack_sums(x.as_py())
+        of = at[base : base + len(part[0])]
+        for column, own in zip(total, part):
+            np.add.at(column, of, own.astype(column.dtype))
+        base += len(of)
+    return *known, total
+
+
+def _gather(key: tuple, rows: pa.Table) -> pa.Table:
+    """The rows of a bucket of documents with those of kind 0 added up."""
+    rows = rows.select(_EVALUATED_NAMES)
+    parts = rows.filter(pc.equal(rows.column("kind"), 0))
+    rest = rows.filter(pc.not_equal(rows.column("kind"), 0))
+    if parts.num_rows:
+        own = _table(_EVALUATED_NAMES, _EVALUATED_TYPES, _doc_parts(*_merged(parts), 1))
+        own = own.set_column(1, "doc_bucket", pa.array([key[0].as_py()] * own.num_rows, pa.int32()))
+        rest = pa.concat_tables([rest, own.cast(rest.schema)])
+    give_back()
+    return rest
+
+
 # -- 4. the sum -------------------------------------------------------------------------------------------------------------
 PARTS = "doc_bucket int, ids binary, has_id binary, versions binary, held binary, sums binary"
 
@@ -465,8 +516,8 @@ def _settle(buckets: int, d: np.ndarray, heavy: np.ndarray, heavy_sums: np.ndarr
                 below[known] = np.log10(denominators(sums[known]))
                 ctx, doc, seen, unseen = np.frombuffer(r["waiting"], "<u4").reshape(-1, 4).astype(np.int64).T
                 ids, versions = np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["versions"], "<u8")
-                parts = np.zeros((len(ids), N_SUMS))
-                parts[:, 3] = np.bincount(doc, unseen * alpha[ctx] - seen * below[ctx], minlength=len(ids))
+                parts = no_sums(len(ids))
+                parts[3] = np.bincount(doc, unseen * alpha[ctx] - seen * below[ctx], minlength=len(ids))
                 rows = _doc_parts(ids, np.frombuffer(r["has_id"], bool), versions, np.frombuffer(r["held"], bool), parts, buckets)
                 yield _rows(_EVALUATED_NAMES[1:7], _EVALUATED_TYPES[1:7], [x[1:7] for x in rows])
 
@@ -480,22 +531,16 @@ def _add_up(d: np.ndarray, base_total: float):
     """Scores of the documents of a bucket; ``base_total`` is the denominator of the base, N + V + 1."""
 
     def added(rows: pa.Table) -> pa.Table:
-        ids = np.concatenate([np.cumsum(np.frombuffer(x.as_buffer(), "<i8")) for x in rows.column("ids")])
-        versions = joined(rows.column("versions"), "<u4").astype(np.uint64)
-        has_id, held = joined(rows.column("has_id"), bool), joined(rows.column("held"), bool)
-        sums = np.concatenate([_unpack_sums(x.as_py()) for x in rows.column("sums")])
-        with np.errstate(over="ignore"):
-            name = scramble(ids.view(np.uint64) ^ scramble(versions + has_id))
-        _, first, at = np.unique(name, return_index=True, return_inverse=True)
-        total = np.stack([np.bincount(at, sums[:, k], minlength=len(first)) for k in range(N_SUMS)], axis=1)
+        ids, has_id, _, held, total = _merged(rows)
+        total = np.stack(total, axis=1)
         copies = np.maximum(total[:, 4], 1)
         n, n_known = np.rint(total[:, 0] / copies), np.rint(total[:, 1] / copies)
         base = total[:, 2] / copies - n * math.log10(base_total)
         score = (total[:, 3] + total[:, 5:] @ np.log10(d[1:])) / copies
         return pa.table(
             {
-                "doc_id": pa.array(ids[first], mask=~has_id[first]),
-                "held_out": pa.array(held[first]),
+                "doc_id": pa.array(ids, mask=~has_id),
+                "held_out": pa.array(held),
                 "n_tokens": pa.array(n.astype(np.int64)),
                 "n_known": pa.array(n_known.astype(np.int64)),
                 "base_score": pa.array(base),
@@ -526,10 +571,12 @@ def score(docs: DataFrame) -> DataFrame:
     unigrams = Unigrams(totals.n, [0, *[totals[f"n{r}"] for r in range(1, LARGEST + 2)]])
     least = totals.n / buckets
     heavy_count = heavy_words(table, least) if totals.n else {}
-    heavy_count.pop(int(END), None)
+    # every training token but the end is a context once; the start as often as there are ends
+    after = heavy_count | {int(START): heavy_count.pop(int(END), 0)}
     # the start is a context of every training document, as the end is a token of each
     heavy_count[int(START)] = max(1, totals.n // 2)
     heavy = np.array(sorted(heavy_count), np.uint64)
+    heavy_total = np.array([after[h] for h in sorted(heavy_count)], np.float64)
 
     rows = bigram_rows(docs, buckets, heavy_count, least)
     # both uses take all columns of the rows: one shuffle serves the two
@@ -539,8 +586,8 @@ def score(docs: DataFrame) -> DataFrame:
         .cogroup(table.select(F.col("bucket").alias("word_bucket"), "words", "counts").groupBy("word_bucket"))
         .applyInArrow(_answer, "bucket int, word_bucket int, counts binary")
     )
-    evaluated = rows.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(_evaluate(buckets, unigrams, heavy), EVALUATED)
-    parts = cut_lineage(evaluated)
+    evaluated = rows.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(_evaluate(buckets, unigrams, heavy, heavy_total), EVALUATED)
+    parts = cut_lineage(evaluated.groupBy("doc_bucket").applyInArrow(_gather, EVALUATED))
 
     seen = parts.where("kind = 3").agg(*[F.coalesce(F.sum(F.get("n_seen", F.lit(r))), F.lit(0)).alias(f"n{r}") for r in range(1, LARGEST + 2)]).first()
     d = discounts([0, *[seen[f"n{r}"] for r in range(1, LARGEST + 2)]])

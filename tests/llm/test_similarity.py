@@ -294,6 +294,18 @@ def test_katz_helps_on_text_not_trained_on(rows):
     assert got.s > got.b / 2
 
 
+def test_katz_buckets_hold_their_own_documents_only(rows):
+    """With many buckets and documents, a bucket's arrays are bounded by its tokens, not by all documents."""
+    docs = [(k, f"only{k} word{k}") for k in range(400)] + [(k, None) for k in range(400, 450)]
+    got = katz.bigram_rows(rows("doc_id long, text string", docs).repartition(2), 16, {}, 1e9).collect()
+    tokens = sum(sum(np.frombuffer(r.occurrences, "<u4").tolist()) for r in got)
+    assert tokens == 3 * 400 + 50
+    for r in got:
+        named, n = len(r.versions) // 4, sum(np.frombuffer(r.occurrences, "<u4").tolist())
+        assert named <= n and {*np.frombuffer(r.docs, "<u2").tolist()} == {*range(named)} and len(r.ids) == 8 * named
+    assert {int(i) for r in got for i in np.cumsum(np.frombuffer(r.ids, "<i8"))} == {*range(450)}
+
+
 def test_katz_without_training_or_rows(rows):
     only_held = [(i, "a b") for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2]
     got = katz.score(rows("doc_id long, text string", only_held)).collect()
